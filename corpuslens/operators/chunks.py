@@ -81,8 +81,11 @@ def _content(start: Column, end: Column) -> Column:
     return F.concat(body, F.when((end < F.col("_n")) | F.col("_closed"), F.lit("\n")).otherwise(F.lit("")))
 
 
-def _cut(files: DataFrame, count: Column, span) -> DataFrame:
-    """Explode ``count`` chunks per file; ``span(k)`` gives start, end and, if known, significant lines."""
+def _cut(files: DataFrame, count: Column, span, keep_empty: bool = False) -> DataFrame:
+    """Explode ``count`` chunks per file; ``span(k)`` gives start, end and, if known, significant lines.
+
+    ``keep_empty`` gives a file without chunks one row whose chunk columns are NULL.
+    """
     keep = [c for c in files.columns if not c.startswith("_")]
 
     def chunk(k):
@@ -94,9 +97,10 @@ def _cut(files: DataFrame, count: Column, span) -> DataFrame:
 
     # An empty file has no chunk: the range below would count downwards, so it is emptied.
     numbers = F.filter(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda k: k < count)
-    return files.select(
-        *keep, F.col("_n").alias("total_lines"), F.explode(F.transform(numbers, chunk)).alias("_c")
-    ).select(*keep, "total_lines", "_c.*")
+    opened = (F.explode_outer if keep_empty else F.explode)(F.transform(numbers, chunk))
+    return files.select(*keep, F.col("_n").alias("total_lines"), opened.alias("_c")).select(
+        *keep, "total_lines", "_c.*"
+    )
 
 
 def chunk_fixed(files: DataFrame, size: int = CHUNK_SIZE, start: int = 1) -> DataFrame:
@@ -113,7 +117,9 @@ def chunk_fixed(files: DataFrame, size: int = CHUNK_SIZE, start: int = 1) -> Dat
     return _cut(prepared, count, span).withColumn("eof", F.col("end_line") == F.col("total_lines"))
 
 
-def chunk_significant(files: DataFrame, size: int = CHUNK_SIZE, overlap: int = 1) -> DataFrame:
+def chunk_significant(
+    files: DataFrame, size: int = CHUNK_SIZE, overlap: int = 1, keep_empty: bool = False
+) -> DataFrame:
     """Chunks of ``size`` significant lines.
 
     ``overlap=1``: a chunk begins with the last line of the one before it, and ``reported_end_line``
@@ -139,7 +145,7 @@ def chunk_significant(files: DataFrame, size: int = CHUNK_SIZE, overlap: int = 1
         return first, last, inside
 
     return (
-        _cut(prepared, count, span)
+        _cut(prepared, count, span, keep_empty)
         .withColumn("reported_end_line", F.col("end_line") - overlap)
         .withColumn("eof", F.col("end_line") == F.col("total_lines"))
     )

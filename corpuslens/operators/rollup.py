@@ -7,50 +7,50 @@ from pyspark.sql import Column, DataFrame, functions as F
 from corpuslens import config
 from corpuslens.functions import paths
 from corpuslens.functions.replies import SECTIONS
+from corpuslens.operators.skew import lookup_join, rank_in_group
 
 FILE = ["corpus_id", "rel_path"]
+CHUNK_COLUMNS = (
+    "chunk_no", "start_line", "end_line", "reported_end_line", "total_lines", "n_sig", "eof", "structural_only",
+    "content", "prompt", "prompt_hash", "response", "error", "description", *SECTIONS, "parse_route",
+)
 
 
 def attach_responses(chunks: DataFrame, responses: DataFrame) -> DataFrame:
-    """Replies back onto chunks. A chunk without a reply row stays, with an error.
+    """Replies back onto chunks. A chunk without a reply stays, with an error.
 
     Copies of one chunk may hold a large share of all rows under one hash, so the join cuts hot keys.
     """
-    from corpuslens.operators.skew import lookup_join
-
-    return lookup_join(
-        chunks,
-        responses.select("prompt_hash", "response", F.coalesce("error", F.when(F.isnull("response"), "empty reply")).alias("error"), F.lit(True).alias("_answered")),
-        ["prompt_hash"],
-        [*FILE, "chunk_no"],
-    ).withColumn("error", F.when(F.col("_answered").isNull(), "no reply").otherwise(F.col("error"))).drop("_answered")
+    answers = responses.select(
+        "prompt_hash", "response", F.coalesce("error", F.when(F.isnull("response"), "empty reply")).alias("error"),
+        F.lit(True).alias("_answered"),
+    )
+    missing = F.col("_answered").isNull() & F.col("chunk_no").isNotNull()
+    return (
+        lookup_join(chunks, answers, ["prompt_hash"], [*FILE, "chunk_no"])
+        .withColumn("error", F.when(missing, "no reply").otherwise(F.col("error")))
+        .drop("_answered")
+    )
 
 
-def rollup(
-    files: DataFrame, chunk_analysis: DataFrame, functions: bool = True, dependencies: bool = True
-) -> DataFrame:
-    """One row per file; empty files stay. One shuffle on the file key, shared by everything here.
+def rollup(chunk_analysis: DataFrame, functions: bool = True, dependencies: bool = True) -> DataFrame:
+    """One row per file out of its chunk rows, which carry the file's own columns.
 
-    A group is one file's replies, so it is bounded by the size of one file.
+    A file without chunks comes as one row with a NULL ``chunk_no`` (``keep_empty``), so it stays
+    without a join back to the files and their text is read once. One shuffle on the file key; a group
+    is one file's replies, so it is bounded by the size of one file.
     """
-    union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
-    per_file = chunk_analysis.groupBy(*FILE).agg(
-        F.max("total_lines").alias("total_lines"),
-        F.count(F.lit(1)).alias("chunks"),
-        F.count_if(F.col("error").isNull()).alias("chunks_analyzed"),
-        F.bool_or(F.col("error").isNotNull()).alias("has_errors"),
-        *[union(s).alias(s) for s in SECTIONS],
-    )
+    is_chunk = F.col("chunk_no").isNotNull()
+    union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(is_chunk, F.col(c))))))
+    own = [c for c in chunk_analysis.columns if c not in (*FILE, *CHUNK_COLUMNS)]
     on = {"classes": True, "functions": functions, "dependencies": dependencies}
-    nothing = F.expr("array()").cast("array<string>")
-    kept = [c for c in files.columns if c not in ("content", "total_lines")]
-    return files.select(*kept).join(per_file, FILE, "left").select(
-        *kept,
-        F.coalesce("total_lines", F.lit(0)).cast("bigint").alias("total_lines"),
-        F.coalesce("chunks", F.lit(0)).cast("bigint").alias("chunks"),
-        F.coalesce("chunks_analyzed", F.lit(0)).cast("bigint").alias("chunks_analyzed"),
-        F.coalesce("has_errors", F.lit(False)).alias("has_errors"),
-        *[(F.coalesce(s, nothing) if on[s] else F.lit(None).cast("array<string>")).alias(s) for s in SECTIONS],
+    return chunk_analysis.groupBy(*FILE).agg(
+        *[F.any_value(c).alias(c) for c in own],
+        F.coalesce(F.max("total_lines"), F.lit(0)).cast("bigint").alias("total_lines"),
+        F.count("chunk_no").alias("chunks"),
+        F.count_if(is_chunk & F.col("error").isNull()).alias("chunks_analyzed"),
+        F.bool_or(is_chunk & F.col("error").isNotNull()).alias("has_errors"),
+        *[union(s).alias(s) if on[s] else F.lit(None).cast("array<string>").alias(s) for s in SECTIONS],
     )
 
 
@@ -167,8 +167,6 @@ def run_counts(files: DataFrame, done: DataFrame) -> DataFrame:
 
 def file_list_pages(files: DataFrame, page: int = config.FILE_LIST_PAGE) -> DataFrame:
     """Sorted paths of each corpus in pages. A group is one page; no task sees a whole corpus."""
-    from corpuslens.operators.skew import rank_in_group
-
     return (
         rank_in_group(files.select("corpus_id", "file_path"), ["corpus_id"], ["file_path"], "_at")
         .withColumn("chunk", F.floor(F.col("_at") / page).cast("int"))

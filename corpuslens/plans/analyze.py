@@ -22,9 +22,10 @@ def chunk_files(
     context: int = config.DEFAULT_CONTEXT_LENGTH,
     functions: bool = True,
     dependencies: bool = True,
+    keep_empty: bool = False,
 ) -> DataFrame:
     """Chunks with their prompts. Narrow: nothing is shuffled."""
-    cut = chunks.chunk_significant(chunks.mark_oversized(files, context), size, overlap)
+    cut = chunks.chunk_significant(chunks.mark_oversized(files, context), size, overlap, keep_empty)
     return model.add_prompts(chunks.mark_structural(cut), functions, dependencies)
 
 
@@ -40,11 +41,16 @@ def answer(prompts: DataFrame, store: str, provider: model.Provider, **options)
 
 
 def analyze_rules(
-    files: DataFrame, size: int = config.CHUNK_SIZE, overlap: int = 1,
-    context: int = config.DEFAULT_CONTEXT_LENGTH, functions: bool = True, dependencies: bool = True,
+    files: DataFrame,
+    size: int = config.CHUNK_SIZE,
+    overlap: int = 1,
+    context: int = config.DEFAULT_CONTEXT_LENGTH,
+    functions: bool = True,
+    dependencies: bool = True,
+    keep_empty: bool = False,
 ) -> DataFrame:
     """``chunk_analysis`` by the built-in patterns: no model, no Python, no shuffle."""
-    cut = chunks.chunk_significant(chunks.mark_oversized(files, context), size, overlap)
+    cut = chunks.chunk_significant(chunks.mark_oversized(files, context), size, overlap, keep_empty)
     return model.normalise_replies(model.rules_replies(cut).drop("content"), functions, dependencies)
 
 
@@ -59,39 +65,34 @@ def analyze_files(
     dependencies: bool = True,
     **options,
 ) -> DataFrame:
-    """``file_analysis``: one row per file. ``provider`` is RULES or a model provider with a ``store``."""
-    readable = files.filter(F.col("content").isNotNull())
+    """``file_analysis``: one row per file. ``provider`` is RULES or a model provider with a ``store``.
+
+    File columns ride along with the chunks, empty and unreadable files included.
+    """
+    known = F.col("read_error") if "read_error" in files.columns else F.lit(None).cast("string")
+    unread = F.when(F.col("content").isNull(), F.coalesce(known, F.lit("content could not be read")))
+    marked = files.withColumn("file_error", unread)
     if provider == RULES:
-        analysis = analyze_rules(readable, size, overlap, context, functions, dependencies)
+        analysis = analyze_rules(marked, size, overlap, context, functions, dependencies, keep_empty=True)
+        summarised = rollup.rollup(analysis, functions, dependencies).withColumn("summary", rules_summary())
     else:
         if store is None:
             raise ValueError("a model provider needs a store for its responses")
-        cut = chunk_files(readable, size, overlap, context, functions, dependencies)
-        responses = answer(cut, store, provider, **options)
-        keys = [
-            "corpus_id", "rel_path", "chunk_no", "start_line", "end_line", "reported_end_line", "total_lines",
-            "prompt_hash",
-        ]
-        attached = rollup.attach_responses(materialise(cut.select(*keys)), responses)
+        cut = chunk_files(marked, size, overlap, context, functions, dependencies, keep_empty=True)
+        asked = cut.filter(F.col("chunk_no").isNotNull()).select("prompt_hash", "prompt")
+        responses = answer(asked, store, provider, **options)
+        attached = rollup.attach_responses(materialise(cut.drop("content", "prompt")), responses)
         analysis = model.normalise_replies(attached, functions, dependencies)
-    sized = chunks.mark_oversized(files, context).drop("estimated_tokens")
-    rolled = rollup.rollup(
-        sized.withColumn("_unread", F.col("content").isNull()), analysis, functions, dependencies
-    )
-    if provider == RULES:
-        summarised = rolled.withColumn("summary", rules_summary())
-    else:
-        asked = materialise(model.add_summary_prompts(rolled, functions, dependencies))
-        replies = answer(asked.filter(F.col("prompt").isNotNull()), store, provider, **options)
-        summarised = model.add_summaries(asked, replies)
-    unread = F.col("_unread")
-    known = F.col("read_error") if "read_error" in files.columns else F.lit(None).cast("string")
+        prompts = materialise(model.add_summary_prompts(rollup.rollup(analysis, functions, dependencies), functions, dependencies))
+        replies = answer(prompts.filter(F.col("prompt").isNotNull()), store, provider, **options)
+        summarised = model.add_summaries(prompts, replies)
+    failed = F.col("file_error").isNotNull()
     return (
-        summarised.withColumn("error", F.when(unread, F.coalesce(known, F.lit("content could not be read"))))
-        .withColumn("last_line_analyzed", F.when(unread, F.lit(0)))
-        .withColumn("has_errors", F.col("has_errors") | unread)
-        .withColumn("summary", F.when(~unread, F.col("summary")))
-        .drop("_unread")
+        summarised.withColumn("last_line_analyzed", F.when(failed, F.lit(0)))
+        .withColumn("has_errors", F.col("has_errors") | failed)
+        .withColumn("summary", F.when(~failed, F.col("summary")))
+        .withColumnRenamed("file_error", "error")
+        .drop("estimated_tokens", "read_error")
     )
 
 

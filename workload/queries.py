@@ -364,7 +364,7 @@ def centroids(records: DataFrame) -> DataFrame:
 
 
 def hit_columns(hits: DataFrame) -> DataFrame:
-    return hits.select("query_id", "collection", "id", F.col("rank"), F.round("relevance_score", 6).alias("score"))
+    return hits.select("query_id", "collection", "id", F.col("rank"), (F.round("relevance_score", 6) + 0.0).alias("score"))
 
 
 def scored(found: DataFrame) -> DataFrame:
@@ -443,7 +443,7 @@ def search_text(spark, sf):
     """All collections, best 30 of at most 20 each, with the documents found."""
     hits = search.search(stored_collections(spark, sf), snippets(spark, sf), 30, dim=DIM)
     return hits.select(
-        "query_id", "collection", *FILE, "id", "rank", F.round("relevance_score", 6).alias("score"), "document", "name"
+        "query_id", "collection", *FILE, "id", "rank", (F.round("relevance_score", 6) + 0.0).alias("score"), "document", "name"
     )
 
 
@@ -511,7 +511,7 @@ def import_edges(spark, sf):
 def with_entry(files: DataFrame) -> DataFrame:
     """Some files of every corpus but one are named as entry points."""
     renamed = F.when(
-        (F.col("filename") == "doc_40.py") & (F.col("corpus_id") != "c1"), F.regexp_replace("rel_path", r"[^/]*\z", "cli.py")
+        (F.col("filename") == "doc_40.py") & (F.col("corpus_id") != "c1"), F.regexp_replace("rel_path", r"[^/]+\z", "cli.py")
     ).otherwise(F.col("rel_path"))
     moved = files.withColumn("rel_path", renamed)
     return moved.withColumn("filename", paths.filename(F.col("rel_path"))).withColumn(
