@@ -139,28 +139,34 @@ def infer(
     )
 
 
-def rules_replies(chunks: DataFrame) -> DataFrame:
-    """The built-in provider: replies made by patterns over the chunk text, without Python.
+def _declared(words: str) -> str:
+    """``word name`` where the word stands alone. The look behind comes after the word: it is then rare."""
+    return rf"(?:{words})(?<!{WORD}(?:{words})) +({WORD}+)"
 
-    Gives the same kind of JSON a model gives, so everything behind it is shared.
+
+# What the built-in patterns take as a class, a function and an import.
+CLASS = _declared("class|interface|struct|enum")
+FUNCTION = _declared("def|function|func")
+IMPORT_LINE = r"(?m)^[ \t]*+((?:import|from|using|#include)[ \t].*)"
+
+
+def rules_analysis(chunks: DataFrame, functions: bool = True, dependencies: bool = True) -> DataFrame:
+    """The built-in provider: ``chunk_analysis`` by patterns over the chunk text, without a model or Python.
+
+    Gives the columns ``normalise_replies`` gives, so everything behind it is shared.
     """
-    before = rf"(?:^|[^\p{{L}}\p{{N}}_])"
-    found = lambda pattern, group: F.array_distinct(
-        F.regexp_extract_all(F.col("content"), F.lit(pattern), F.lit(group))
-    )
-    classes = found(rf"{before}(?:class|interface|struct|enum) +({WORD}+)", 1)
-    functions = found(rf"{before}(?:def|function|func) +({WORD}+)", 1)
-    imports = found(r"(?:^|\n)[ \t]*((?:import|from|using|#include)[ \t][^\n]*)", 1)
-    description = F.concat(F.lit("Lines "), F.col("start_line"), F.lit(" to "), F.col("end_line"))
-    reply = F.to_json(
-        F.struct(
-            description.alias("description"),
-            classes.alias("classes"),
-            F.transform(functions, lambda f: F.concat(f, F.lit("()"))).alias("functions"),
-            imports.alias("dependencies"),
-        )
+    found = lambda pattern: F.array_distinct(F.regexp_extract_all(F.col("content"), F.lit(pattern), F.lit(1)))
+    off = F.lit(None).cast("array<string>")
+    named = F.transform(found(FUNCTION), lambda f: F.concat(f, F.lit("()")))
+    return chunks.select(
+        *[c for c in chunks.columns if c != "content"],
+        F.lit(None).cast("string").alias("error"),
+        F.concat(F.lit("Lines "), F.col("start_line"), F.lit(" to "), F.col("end_line")).alias("description"),
+        found(CLASS).alias("classes"),
+        (named if functions else off).alias("functions"),
+        (found(IMPORT_LINE) if dependencies else off).alias("dependencies"),
+        F.lit("direct").alias("parse_route"),
     )
-    return chunks.withColumn("response", reply).withColumn("error", F.lit(None).cast("string"))
 
 
 def normalise_replies(responses: DataFrame, functions: bool = True, dependencies: bool = True) -> DataFrame:

@@ -18,11 +18,39 @@ from corpuslens.functions.vectors import DIMENSIONS, Embedder, embed, relevance
 KEYS = ["corpus_id", "rel_path", "id"]
 QUERIES_PER_BLOCK = 1024
 RECORDS_PER_GROUP = 100_000
-ROWS_AT_ONCE = 1024
+CELLS_AT_ONCE = 2_000_000  # distances held at once in a task: 16 MB
+CANDIDATES_AT_ONCE = 50_000
 DIGITS = 9
 METADATA_NAMES = {"class_name": "name", "function_name": "name", "module_name": "name"}
 
 
+def _thin(piece, rows, vectors, k: int):
+    """``rows`` without copies that cannot matter: of one vector, only the k first by key can be hits.
+
+    A hot group of copies would otherwise tie for every query.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    if len(rows) <= k:
+        return rows
+    bits = np.ascontiguousarray(vectors[rows]).view(np.uint32).astype(np.uint64)
+    mixed = (bits * (2 * np.arange(bits.shape[1], dtype=np.uint64) + 0x9E3779B97F4A7C15)).sum(axis=1)
+    _, which, count = np.unique(mixed, return_inverse=True, return_counts=True)
+    if count.max() <= k:
+        return rows
+    keep = np.ones(len(rows), dtype=bool)
+    for hot in np.nonzero(count > k)[0]:
+        at = np.nonzero(which == hot)[0]
+        if (bits[at] != bits[at[0]]).any():
+            continue  # different vectors under one mix: left alone
+        keys = piece.select(KEYS).take(pa.array(rows[at]))
+        first = pa.Table.from_batches([keys]).append_column("at", pa.array(at)).sort_by([(c, "ascending") for c in KEYS])
+        keep[at] = False
+        keep[first.column("at").to_numpy()[:k]] = True
+    return rows[keep]
+
+
 def _best(batches: Iterator, query_ids: list, points, k: int, schema):
     """The k nearest rows per query and collection among ``batches`` of Arrow records.
 
@@ -31,50 +59,61 @@ def _best(batches: Iterator, query_ids: list, points, k: int, schema):
     batched or summed.
     """
     import numpy as np
-    import pandas as pd
     import pyarrow as pa
 
+    asked = len(query_ids)
     points_sq = (points * points).sum(axis=1)
-    kept: dict = {}
-    bound: dict = {}
+    step = max(1, CELLS_AT_ONCE // asked)
+    kept: dict = {}  # collection -> tables of candidates: query, distance and the record's key
+    bound: dict = {}  # collection -> k-th best distance per query so far
+
+    def cut(group) -> pa.Table:
+        """Candidates in order, at most k per query; the k-th best becomes the bound."""
+        ordered = pa.concat_tables(kept[group]).sort_by([(c, "ascending") for c in ("query", "distance", *KEYS)])
+        query = ordered.column("query").to_numpy()
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        ordered = ordered.filter(pa.array(place < k))
+        kept[group] = [ordered]
+        last = place == k - 1
+        bound[group][query[last]] = ordered.column("distance").to_numpy()[place[place < k] == k - 1]
+        return ordered
+
     for batch in batches:
-        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-            piece = batch.slice(at, ROWS_AT_ONCE)
+        for at in range(0, batch.num_rows, step):
+            piece = batch.slice(at, step)
             flat = piece.column("embedding").flatten().to_numpy(zero_copy_only=False)
             vectors = flat.reshape(piece.num_rows, -1).astype(np.float64)
             groups = piece.column("collection").dictionary_encode()
             codes = groups.indices.to_numpy(zero_copy_only=False)
             for code, group in enumerate(groups.dictionary.to_pylist()):
-                rows = np.nonzero(codes == code)[0]
+                rows = _thin(piece, np.nonzero(codes == code)[0], flat.reshape(piece.num_rows, -1), k)
                 part = vectors[rows]
                 part_sq = (part * part).sum(axis=1)
                 near = part_sq[:, None] + points_sq[None, :] - 2.0 * (part @ points.T)
-                limit = bound.get(group, np.full(len(query_ids), np.inf))
-                if len(rows) > k:
-                    limit = np.minimum(limit, np.partition(near, k - 1, axis=0)[k - 1])
                 slack = 4e-9 * (1.0 + part_sq.max() + points_sq.max())
+                limit = bound.setdefault(group, np.full(asked, np.inf))
+                if len(rows) > k and not np.isfinite(limit).all():
+                    limit = np.minimum(limit, np.partition(near, k - 1, axis=0)[k - 1])
                 r, q = np.nonzero(near <= limit + slack)
-                if not len(r):
-                    continue
-                found = piece.select(KEYS).take(pa.array(rows[r])).to_pandas()
-                found["query"] = q
-                found["distance"] = np.round(((part[r] - points[q]) ** 2).sum(axis=1), DIGITS)
-                if group in kept:
-                    found = pd.concat([kept[group], found], ignore_index=True)
-                found = found.sort_values(["query", "distance", *KEYS]).groupby("query").head(k)
-                kept[group] = found
-                full = found.groupby("query")["distance"].agg(["size", "max"])
-                full = full[full["size"] == k]
-                limit = np.full(len(query_ids), np.inf)
-                limit[full.index.to_numpy()] = full["max"].to_numpy()
-                bound[group] = limit
-    for group, found in kept.items():
+                for start in range(0, len(r), CANDIDATES_AT_ONCE):
+                    some, of = r[start : start + CANDIDATES_AT_ONCE], q[start : start + CANDIDATES_AT_ONCE]
+                    gaps = part[some] - points[of]
+                    key = piece.select(KEYS).take(pa.array(rows[some]))
+                    found = {
+                        "query": pa.array(of, pa.int32()),
+                        "distance": pa.array(np.round(np.einsum("ij,ij->i", gaps, gaps), DIGITS)),
+                    }
+                    kept.setdefault(group, []).append(pa.table({**found, **{c: key.column(c) for c in KEYS}}))
+                    if sum(map(len, kept[group])) > 4 * k * asked:
+                        cut(group)
+    for group in kept:
+        found = cut(group)
         yield pa.RecordBatch.from_pydict(
             {
-                "query_id": pa.array([query_ids[i] for i in found["query"]], schema.field("query_id").type),
+                "query_id": pa.array([query_ids[i] for i in found["query"].to_pylist()], schema.field("query_id").type),
                 "collection": pa.array([group] * len(found), schema.field("collection").type),
-                **{key: pa.array(found[key], schema.field(key).type, from_pandas=True) for key in KEYS},
-                "distance": pa.array(found["distance"], pa.float64()),
+                **{key: found[key].combine_chunks().cast(schema.field(key).type) for key in KEYS},
+                "distance": found["distance"].combine_chunks(),
             },
             schema=schema,
         )

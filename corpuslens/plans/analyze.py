@@ -51,7 +51,7 @@ def analyze_rules(
 ) -> DataFrame:
     """``chunk_analysis`` by the built-in patterns: no model, no Python, no shuffle."""
     cut = chunks.chunk_significant(chunks.mark_oversized(files, context), size, overlap, keep_empty)
-    return model.normalise_replies(model.rules_replies(cut).drop("content"), functions, dependencies)
+    return model.rules_analysis(cut, functions, dependencies)
 
 
 def analyze_files(
