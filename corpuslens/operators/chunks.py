@@ -81,7 +81,7 @@ def _content(start: Column, end: Column) -> Column:
     return F.concat(body, F.when((end < F.col("_n")) | F.col("_closed"), F.lit("\n")).otherwise(F.lit("")))
 
 
-def _cut(files: DataFrame, count: Column, span, keep_empty: bool = False) -> DataFrame:
+def _cut(files: DataFrame, count: Column, span, keep_empty: bool = False, content: bool = True) -> DataFrame:
     """Explode ``count`` chunks per file; ``span(k)`` gives start, end and, if known, significant lines.
 
     ``keep_empty`` gives a file without chunks one row whose chunk columns are NULL.
@@ -93,7 +93,9 @@ def _cut(files: DataFrame, count: Column, span, keep_empty: bool = False) -> Dat
         fields = [k.alias("chunk_no"), start.alias("start_line"), end.alias("end_line")]
         if n_sig is not None:
             fields.append(n_sig.alias("n_sig"))
-        return F.struct(*fields, _content(start, end).alias("content"))
+        if content:
+            fields.append(_content(start, end).alias("content"))
+        return F.struct(*fields)
 
     # An empty file has no chunk: the range below would count downwards, so it is emptied.
     numbers = F.filter(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda k: k < count)
@@ -118,13 +120,14 @@ def chunk_fixed(files: DataFrame, size: int = CHUNK_SIZE, start: int = 1) -> Dat
 
 
 def chunk_significant(
-    files: DataFrame, size: int = CHUNK_SIZE, overlap: int = 1, keep_empty: bool = False
+    files: DataFrame, size: int = CHUNK_SIZE, overlap: int = 1, keep_empty: bool = False, content: bool = True
 ) -> DataFrame:
     """Chunks of ``size`` significant lines.
 
     ``overlap=1``: a chunk begins with the last line of the one before it, and ``reported_end_line``
-    is one short. ``overlap=0``: chunks do not share lines. Bounds come straight from the marks:
-    chunk k ends at mark ``(k+1)*step+1`` (``(k+1)*size`` without overlap) or at the end of file.
+    is one short. ``overlap=0``: chunks do not share lines. Bounds come straight from the marks: chunk k
+    ends at mark ``(k+1)*step+1`` (``(k+1)*size`` without overlap) or at the end of file.
+    ``content=False`` gives the bounds only.
     """
     if overlap not in (0, 1):
         raise ValueError("overlap is 0 or 1")
@@ -145,7 +148,7 @@ def chunk_significant(
         return first, last, inside
 
     return (
-        _cut(prepared, count, span, keep_empty)
+        _cut(prepared, count, span, keep_empty, content)
         .withColumn("reported_end_line", F.col("end_line") - overlap)
         .withColumn("eof", F.col("end_line") == F.col("total_lines"))
     )

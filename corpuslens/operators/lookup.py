@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from corpuslens.functions import paths as names
+from corpuslens.operators.skew import lookup_join
 
 FILE = ["corpus_id", "rel_path"]
 
@@ -25,9 +26,10 @@ def file_summary(collections: DataFrame, paths: DataFrame) -> DataFrame:
     stored = _summaries(collections).select("corpus_id", "id", "rel_path", "file_path")
     ways = None
     for way, (mine, theirs) in enumerate((("_id", "id"), ("_name", "rel_path"), ("path", "file_path")), 1):
-        side = stored.select("corpus_id", F.col(theirs).alias(mine), F.struct(
-            F.lit(way).alias("way"), "file_path", F.col("rel_path"), F.col("id")).alias("_hit"))
-        hits = asked.join(side, ["corpus_id", mine]).select("corpus_id", "path", "_hit")
+        hit = F.struct(F.lit(way).alias("way"), "file_path", "rel_path", "id").alias("_hit")
+        side = stored.select("corpus_id", F.col(theirs).alias(mine), hit)
+        # Many paths may end in one name, so the join cuts hot keys.
+        hits = lookup_join(asked, side, ["corpus_id", mine], ["path"], "inner").select("corpus_id", "path", "_hit")
         ways = hits if ways is None else ways.unionByName(hits)
     order = F.struct(F.col("_hit.way"), F.col("_hit.file_path") != F.col("path"), F.col("_hit.file_path"))
     best = ways.groupBy("corpus_id", "path").agg(F.min_by("_hit", order).alias("_hit"))
@@ -48,7 +50,8 @@ def file_details(collections: DataFrame, paths: DataFrame, by: str = "path") ->
     key = {"path": "rel_path", "filename": "filename"}[by]
     wanted = F.col("path") if by == "path" else names.filename(F.col("path"))
     asked = paths.select("corpus_id", wanted.alias(key)).distinct()
-    return collections.join(asked, ["corpus_id", key], "left_semi").select(
+    found = lookup_join(collections, asked, ["corpus_id", key], ["rel_path", "id"], "left_semi")
+    return found.select(
         *FILE, "filename", section.alias("section"), "id", F.col("document").alias("content"), "name"
     )
 

@@ -149,10 +149,15 @@ def project_info(files: DataFrame, source_dir: Column) -> DataFrame:
 
 def finish_run(info: DataFrame, corpora: DataFrame | None = None) -> DataFrame:
     """Marks corpora complete: those in ``corpora``, or all."""
-    done = info if corpora is None else info.join(corpora.select("corpus_id").distinct(), "corpus_id", "left_semi")
-    rest = info.limit(0) if corpora is None else info.join(corpora.select("corpus_id").distinct(), "corpus_id", "left_anti")
-    stamped = done.withColumn("completed", F.lit(True)).withColumn("completion_date", F.current_timestamp())
-    return stamped.unionByName(rest)
+    if corpora is None:
+        marked = info.withColumn("_done", F.lit(True))
+    else:
+        marked = info.join(corpora.select("corpus_id", F.lit(True).alias("_done")).distinct(), "corpus_id", "left")
+    return marked.select(
+        *[c for c in info.columns if c not in ("completed", "completion_date")],
+        F.coalesce("_done", "completed").alias("completed"),
+        F.when(F.col("_done"), F.current_timestamp()).otherwise(F.col("completion_date")).alias("completion_date"),
+    )
 
 
 def run_counts(files: DataFrame, done: DataFrame) -> DataFrame:

@@ -20,6 +20,7 @@ QUERIES_PER_BLOCK = 1024
 RECORDS_PER_GROUP = 100_000
 CELLS_AT_ONCE = 2_000_000  # distances held at once in a task: 16 MB
 CANDIDATES_AT_ONCE = 50_000
+MAX_BROADCAST_HITS = 100_000
 DIGITS = 9
 METADATA_NAMES = {"class_name": "name", "function_name": "name", "module_name": "name"}
 
@@ -119,7 +120,14 @@ def _best(batches: Iterator, query_ids: list, points, k: int, schema):
         )
 
 
-def knn(records: DataFrame, queries: DataFrame, k: int, block: int = QUERIES_PER_BLOCK) -> DataFrame:
+def first_queries(queries: DataFrame, block: int = QUERIES_PER_BLOCK) -> list:
+    """At most ``block + 1`` query rows come to the driver: enough to know whether there are few."""
+    return queries.select("query_id", "embedding").filter(F.col("embedding").isNotNull()).limit(block + 1).collect()
+
+
+def knn(
+    records: DataFrame, queries: DataFrame, k: int, block: int = QUERIES_PER_BLOCK, few: list | None = None
+) -> DataFrame:
     """The k nearest records of each collection for each query: squared L2, nearest first.
 
     ``records``: collection, corpus_id, rel_path, id, embedding. ``queries``: query_id, embedding.
@@ -129,19 +137,24 @@ def knn(records: DataFrame, queries: DataFrame, k: int, block: int = QUERIES_PER
 
     if k < 1:
         raise ValueError("k begins at 1")
+    spark = records.sparkSession
     records = records.select("collection", *KEYS, "embedding").filter(F.col("embedding").isNotNull())
     queries = queries.select("query_id", "embedding").filter(F.col("embedding").isNotNull())
     out = T.StructType(
-        [queries.schema["query_id"], *[records.schema[c] for c in ("collection", *KEYS)], T.StructField("distance", T.DoubleType())]
+        [
+            queries.schema["query_id"],
+            *[records.schema[c] for c in ("collection", *KEYS)],
+            T.StructField("distance", T.DoubleType()),
+        ]
     )
     arrow_schema = to_arrow_schema(out)
-    few = queries.limit(block + 1).collect()  # at most block + 1 rows come to the driver
+    few = first_queries(queries, block) if few is None else few
     if not few:
-        return records.sparkSession.createDataFrame([], out).withColumn("rank", F.lit(0))
+        return spark.createDataFrame([], out).withColumn("rank", F.lit(0))
     if len(few) <= block:
         import numpy as np
 
-        shared = records.sparkSession.sparkContext.broadcast(
+        shared = spark.sparkContext.broadcast(
             ([row["query_id"] for row in few], np.array([row["embedding"] for row in few], dtype=np.float64))
         )
 
@@ -203,12 +216,6 @@ def _query_vectors(queries: DataFrame, embedder: Embedder | None, dim: int) -> D
     return queries if "embedding" in queries.columns else embed(queries, "text", embedder, dim=dim)
 
 
-def _with_content(hits: DataFrame, records: DataFrame) -> DataFrame:
-    """Documents and metadata for the hits, which are few; Spark broadcasts them if their size allows."""
-    payload = records.drop("embedding")
-    return hits.join(payload, ["collection", *KEYS])
-
-
 def search(
     collections: DataFrame,
     queries: DataFrame,
@@ -226,19 +233,24 @@ def search(
     or embedding.
     """
     chosen = metadata_filter(choose_collections(collections, collection), filters)
-    offered = knn(chosen, _query_vectors(queries, embedder, dim), min(n, per_collection_cap))
-    return _first(offered, chosen, n, content)
+    return _top(chosen, _query_vectors(queries, embedder, dim), n, min(n, per_collection_cap), content)
 
 
-def _first(offered: DataFrame, records: DataFrame, n: int, content: bool) -> DataFrame:
+def _top(records: DataFrame, queries: DataFrame, n: int, per_collection: int, content: bool) -> DataFrame:
+    few = first_queries(queries)
     order = Window.partitionBy("query_id").orderBy("distance", "collection", *KEYS)
     hits = (
-        offered.withColumn("rank", F.row_number().over(order))
+        knn(records, queries, per_collection, few=few)
+        .withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= n)
         .withColumn("relevance_score", relevance(F.col("distance")))
         .drop("distance")
     )
-    return _with_content(hits, records) if content else hits
+    if not content:
+        return hits
+    # Few queries have at most len(few) * n hits: broadcast, so that no document is shuffled.
+    bounded = len(few) <= QUERIES_PER_BLOCK and len(few) * n <= MAX_BROADCAST_HITS
+    return (F.broadcast(hits) if bounded else hits).join(records.drop("embedding"), ["collection", *KEYS])
 
 
 def search_by_type(collections: DataFrame, queries: DataFrame, type: str, n: int = 10, **options) -> DataFrame:
@@ -259,7 +271,7 @@ def find_similar(
     chosen = choose_collections(
         collections, "" if collection == "all" else collection, config.SIMILAR_COLLECTIONS
     )
-    return _first(knn(chosen, _query_vectors(snippets, embedder, dim), n), chosen, n, content)
+    return _top(chosen, _query_vectors(snippets, embedder, dim), n, n, content)
 
 
 def fit_cells(records: DataFrame, cells: int, seed: int = 7, per_cell: int = 256):
@@ -314,11 +326,9 @@ def knn_cells(cells: DataFrame, centres, queries: DataFrame, k: int, probe: int
     """
     import numpy as np
 
-    few = queries.select("query_id", "embedding").limit(block + 1).collect()
-    if len(few) > block:
-        return knn(cells, queries, k, block)
-    if not few:
-        return knn(cells, queries, k, block)
+    few = first_queries(queries, block)
+    if not few or len(few) > block:
+        return knn(cells, queries, k, block, few)
     radii = {
         row["cell"]: row["radius"]
         for row in cells.groupBy("cell").agg(F.max("cell_distance").alias("radius")).collect()  # one row per cell
@@ -329,7 +339,7 @@ def knn_cells(cells: DataFrame, centres, queries: DataFrame, k: int, probe: int
     gap = np.sqrt(((points[:, None, :] - middle[None, :, :]) ** 2).sum(axis=2))
     lowest = np.maximum(gap - np.array([radii[c] for c in held]), 0.0)
     first = sorted({held[i] for row in np.argsort(gap, axis=1)[:, :probe] for i in row})
-    tried = knn(cells.filter(F.col("cell").isin(first)), queries, k, block)
+    tried = knn(cells.filter(F.col("cell").isin(first)), queries, k, block, few)
     names = cells.select("collection").distinct().count()
     bounds = (
         tried.groupBy("query_id", "collection")
@@ -343,4 +353,4 @@ def knn_cells(cells: DataFrame, centres, queries: DataFrame, k: int, probe: int
     worst = {row["query_id"]: (row["worst"] + 1e-8) ** 0.5 + 1e-8 for row in bounds}
     limit = np.array([worst.get(row["query_id"], np.inf) for row in few])
     needed = [c for i, c in enumerate(held) if (lowest[:, i] <= limit).any() or c in first]
-    return knn(cells.filter(F.col("cell").isin(needed)), queries, k, block)
+    return knn(cells.filter(F.col("cell").isin(needed)), queries, k, block, few)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corpuslens import config
 from corpuslens.functions.vectors import DIMENSIONS, Embedder, embed
@@ -14,6 +14,9 @@ from corpuslens.sources import store as stores
 
 RULES = "rules"
 
+# Takes chunks with their prompts, gives chunk_analysis: a whole chunk stage of the user's own.
+Analyzer = Callable[[DataFrame], DataFrame]
+
 
 def chunk_files(
     files: DataFrame,
@@ -63,17 +66,22 @@ def analyze_files(
     context: int = config.DEFAULT_CONTEXT_LENGTH,
     functions: bool = True,
     dependencies: bool = True,
+    analyzer: Analyzer | None = None,
     **options,
 ) -> DataFrame:
     """``file_analysis``: one row per file. ``provider`` is RULES or a model provider with a ``store``.
 
-    File columns ride along with the chunks, empty and unreadable files included.
+    File columns ride along with the chunks, empty and unreadable files included. An ``analyzer``
+    replaces the chunk stage of the rules.
     """
     known = F.col("read_error") if "read_error" in files.columns else F.lit(None).cast("string")
     unread = F.when(F.col("content").isNull(), F.coalesce(known, F.lit("content could not be read")))
     marked = files.withColumn("file_error", unread)
     if provider == RULES:
-        analysis = analyze_rules(marked, size, overlap, context, functions, dependencies, keep_empty=True)
+        if analyzer is None:
+            analysis = analyze_rules(marked, size, overlap, context, functions, dependencies, keep_empty=True)
+        else:
+            analysis = analyzer(chunk_files(marked, size, overlap, context, functions, dependencies, keep_empty=True))
         summarised = rollup.rollup(analysis, functions, dependencies).withColumn("summary", rules_summary())
     else:
         if store is None:
@@ -132,11 +140,13 @@ def analyze_corpora(
     dim: int = DIMENSIONS,
     resume: bool = True,
     label: str | None = None,
+    source_dir: Column | None = None,
     **options,
 ) -> str:
     """Discovers, analyses and stores; gives the generation written. With ``resume`` only what is not stored yet."""
     spark = files.sparkSession
     found = discovery.discover(files, include, exclude, rules, recursive)
+    start_run(found, store, source_dir)
     if resume:
         try:
             done = stores.read_collections(spark, store, ["file_summaries"])
@@ -146,4 +156,30 @@ def analyze_corpora(
     analysis = analyze_files(
         found, provider, store, size, context=context, functions=functions, dependencies=dependencies, **options
     )
-    return stores.write_records(collection_records(analysis, embedder, dim), store, label)
+    written = stores.write_records(collection_records(analysis, embedder, dim), store, label)
+    end_run(spark, store, found)
+    return written
+
+
+def start_run(found: DataFrame, store: str, source_dir: Column | None = None) -> None:
+    """Project rows and paged file lists of the corpora found; corpora stored earlier keep theirs."""
+    spark = found.sparkSession
+    listed = found.select("corpus_id", "file_path", "rel_path")
+    root = F.col("file_path").substr(F.lit(1), F.length("file_path") - F.length("rel_path") - 1)
+    for name, new in (
+        (stores.PROJECTS, rollup.project_info(listed, root if source_dir is None else source_dir)),
+        (stores.FILE_LISTS, rollup.file_list_pages(listed)),
+    ):
+        old = stores.read_table(spark, store, name)
+        if old is not None:
+            new = materialise(new)
+            new = old.join(new.select("corpus_id").distinct(), "corpus_id", "left_anti").unionByName(new)
+        stores.write_table(new, store, name)
+
+
+def end_run(spark: SparkSession, store: str, corpora: DataFrame | None = None) -> DataFrame:
+    """Marks the corpora complete; gives record counts per collection."""
+    info = stores.read_table(spark, store, stores.PROJECTS)
+    if info is not None:
+        stores.write_table(rollup.finish_run(info, corpora), store, stores.PROJECTS)
+    return rollup.collection_stats(stores.read_collections(spark, store))

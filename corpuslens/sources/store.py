@@ -16,6 +16,8 @@ from corpuslens.operators.rollup import FILE
 
 RECORDS = "records"
 RESPONSES = "responses"
+PROJECTS = "project_info"
+FILE_LISTS = "file_list"
 BASE = "~base"
 SCHEMA = (
     "corpus_id string, rel_path string, id string, document string, embedding array<float>, "
@@ -114,3 +116,15 @@ def write_responses(responses: DataFrame, store: str) -> None:
     """Kept for good: a reply that was paid for is never asked for again."""
     number = len(_folders(responses.sparkSession, f"{store}/{RESPONSES}"))
     responses.write.mode("overwrite").parquet(f"{store}/{RESPONSES}/part={number:012d}")
+
+
+def write_table(df: DataFrame, store: str, name: str) -> None:
+    """A small table as a new version beside the old one, which may be what is being read."""
+    number = max((int(n.split("=")[1]) for n in _folders(df.sparkSession, f"{store}/{name}")), default=-1) + 1
+    df.write.mode("overwrite").parquet(f"{store}/{name}/version={number:012d}")
+
+
+def read_table(spark: SparkSession, store: str, name: str) -> DataFrame | None:
+    """The newest finished version; None if there is none."""
+    names = _folders(spark, f"{store}/{name}")
+    return spark.read.parquet(f"{store}/{name}/{names[-1]}") if names else None

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from corpuslens.operators.report import file_report
 from corpuslens.operators.rollup import FILE, collection_stats, finish_run
+from corpuslens.operators.skew import materialise
 from corpuslens.plans import analyze
 from corpuslens.sources import store as stores
 
@@ -31,6 +33,26 @@ def store_sink(store: str, stream: str = "stream", embedder=None, dim: int = ana
     return write
 
 
+def report_sink(folder: str, name: str = "reports") -> Sink:
+    """Reports of a micro-batch, one row per file, in a folder of the batch's number."""
+
+    def write(file_analysis: DataFrame, batch_id: int) -> None:
+        file_report(file_analysis).write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch_id:012d}")
+
+    return write
+
+
+def all_of(*sinks: Sink) -> Sink:
+    """Several sinks on one analysis, which is computed once."""
+
+    def write(file_analysis: DataFrame, batch_id: int) -> None:
+        rows = materialise(file_analysis)
+        for sink in sinks:
+            sink(rows, batch_id)
+
+    return write
+
+
 def analyze_stream(
     files: DataFrame,
     checkpoint: str,

@@ -183,3 +183,32 @@ def test_stream_resumes_and_replaces(spark, files, tmp_path):
     assert info.first()["completed"] and {r["collection"]: r["records"] for r in stats.collect()} == {
         "file_summaries": 3, "classes": 2,
     }
+
+
+def test_run_keeps_project_rows_and_file_lists(spark, files, stored):
+    info = lookup.project_info(stores.read_table(spark, stored, stores.PROJECTS), "c").first()
+    assert (info["source_dir"], info["file_count"], info["completed"]) == ("/r", 2, True)
+    pages = stores.read_table(spark, stored, stores.FILE_LISTS).collect()
+    assert [(r["id"], r["document"], r["count"]) for r in pages] == [("files_chunk_0", "/r/a.py\n/r/d/b.py", 2)]
+    analyze.analyze_corpora(files([("z.py", "class Z\n")], "other"), stored, dim=16)
+    both = {r["corpus_id"]: r["file_count"] for r in stores.read_table(spark, stored, stores.PROJECTS).collect()}
+    assert both == {"c": 2, "other": 1}
+
+
+def test_several_sinks_and_an_own_analyzer(spark, files, tmp_path):
+    rows = analyze.analyze_files(
+        files([("a.py", "x\n"), ("b.py", "")]),
+        analyzer=lambda chunks: chunks.drop("content", "prompt").select(
+            "*", F.lit(None).cast("string").alias("error"), F.array(F.lit("Own")).alias("classes"),
+            F.array(F.lit("f()")).alias("functions"), F.array(F.lit("os")).alias("dependencies"),
+        ),
+    )
+    store = str(tmp_path / "s")
+    sink = incremental.all_of(incremental.store_sink(store, dim=4), incremental.report_sink(store))
+    sink(rows, 0)
+    sink(rows, 0)
+    assert shown(stores.read_collections(spark, store)) == [
+        ("classes", "a.py", "Own"), ("dependencies", "a.py", "os"), ("functions", "a.py", "f()"),
+    ]
+    reports = spark.read.parquet(f"{store}/reports")
+    assert reports.count() == 2 and reports.filter("report LIKE '%- Own%'").count() == 1

@@ -55,13 +55,13 @@ def chunks(size: int, overlap: int = 1) -> str:
     placed AS (SELECT *, unnest({belongs}) AS chunk_no FROM lines),
     cut AS (
         SELECT corpus_id, rel_path, any_value(doc_id) AS doc_id, any_value(filename) AS filename,
-               any_value(extension) AS extension, any_value(size_bytes) AS size_bytes, any_value(n) AS total_lines,
-               chunk_no, min(line_no) AS start_line, max(line_no) AS end_line,
-               max(line_no) - {overlap} AS reported_end_line, count(*) FILTER (is_sig) AS n_sig,
+               any_value(extension) AS extension, any_value(size_bytes) AS size_bytes, any_value(n)::INT AS total_lines,
+               chunk_no::INT AS chunk_no, min(line_no)::INT AS start_line, max(line_no)::INT AS end_line,
+               (max(line_no) - {overlap})::INT AS reported_end_line, (count(*) FILTER (is_sig))::INT AS n_sig,
                max(line_no) = any_value(n) AS eof,
                string_agg(line || CASE WHEN line_no < n OR content[-1] = chr(10) THEN chr(10) ELSE '' END, ''
                           ORDER BY line_no) AS content
-        FROM placed GROUP BY corpus_id, rel_path, chunk_no)"""
+        FROM placed GROUP BY corpus_id, rel_path, placed.chunk_no)"""
 
 
 def query(*ctes: str, select: str) -> str:
@@ -72,8 +72,8 @@ CHUNK = "corpus_id, rel_path, chunk_no, start_line, end_line, eof"
 
 FIXED = """
     cut AS (
-        SELECT corpus_id, rel_path, (line_no - 1) // 50 AS chunk_no, min(line_no) AS start_line,
-               max(line_no) AS end_line, max(line_no) = any_value(n) AS eof,
+        SELECT corpus_id, rel_path, ((line_no - 1) // 50)::INT AS chunk_no, min(line_no)::INT AS start_line,
+               max(line_no)::INT AS end_line, max(line_no) = any_value(n) AS eof,
                string_agg(line || CASE WHEN line_no < n OR content[-1] = chr(10) THEN chr(10) ELSE '' END, ''
                           ORDER BY line_no) AS content
         FROM lines GROUP BY ALL)"""
@@ -125,7 +125,7 @@ ENTITIES = f"""
 
 ROLLED = """
     rolled AS (
-        SELECT files.*, coalesce(t.total_lines, 0) AS total_lines, coalesce(t.chunks, 0) AS chunks,
+        SELECT files.*, coalesce(t.total_lines, 0)::BIGINT AS total_lines, coalesce(t.chunks, 0) AS chunks,
                coalesce(t.cs, []) AS classes, coalesce(t.fs, []) AS functions, coalesce(t.ds, []) AS dependencies,
                size_bytes // 4 > {limit} AS oversized_file
         FROM files LEFT JOIN (

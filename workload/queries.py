@@ -114,7 +114,7 @@ def chunk_disjoint(spark, sf):
 def chunks_per_file(spark, sf):
     """How many chunks and significant lines does each file give?"""
     files = discovery.discover(docfiles(spark, sf), recursive=True)
-    cut = chunks.chunk_significant(files, SIZE, overlap=0)
+    cut = chunks.chunk_significant(files, SIZE, overlap=0, content=False)
     return cut.groupBy(*FILE).agg(
         F.count(F.lit(1)).alias("chunks"),
         F.sum("n_sig").alias("significant_lines"),
