@@ -11,6 +11,8 @@ from corpuslens.functions import ignore
 from corpuslens.functions.paths import suffix
 from corpuslens.operators.skew import lookup_join
 
+IGNORE_FILE = ".gitignore"
+
 
 def at_root(rel_path: Column) -> Column:
     return ~F.contains(rel_path, F.lit("/"))
@@ -53,7 +55,7 @@ def discover(
 
 def ignore_files(files: DataFrame) -> DataFrame:
     """The ignore file at the root of each corpus, as ``discover`` wants its rules."""
-    return files.filter(F.col("rel_path") == ".gitignore").select("corpus_id", "content")
+    return files.filter(F.col("rel_path") == IGNORE_FILE).select("corpus_id", "content")
 
 
 def drop_ignored(files: DataFrame, rules: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from corpuslens.functions.vectors import DIMENSIONS, Embedder, embed
 from corpuslens.operators import chunks, discovery, model, rollup
 from corpuslens.operators.skew import materialise
 from corpuslens.sources import store as stores
+from corpuslens.sources.files import read_content
 
 RULES = "rules"
 
@@ -132,6 +133,7 @@ def analyze_corpora(
     include: Sequence[str] | None = None,
     exclude: Sequence[str] | None = None,
     rules: DataFrame | None = None,
+    obey_gitignore: bool = False,
     recursive: bool = False,
     functions: bool = True,
     dependencies: bool = True,
@@ -143,18 +145,28 @@ def analyze_corpora(
     source_dir: Column | None = None,
     **options,
 ) -> str:
-    """Discovers, analyses and stores; gives the generation written. With ``resume`` only what is not stored yet."""
+    """Discovers, analyses and stores; gives the generation written. With ``resume`` only what is not stored yet.
+
+    ``files`` may be a listing without ``content`` (see ``walk``): filters, resume and bookkeeping then
+    work on names alone, and only what is left to analyse is read. ``rules`` holds ignore texts per
+    corpus; ``obey_gitignore`` takes each corpus's own.
+    """
     spark = files.sparkSession
+    listing = "content" not in files.columns
+    if obey_gitignore and rules is None:
+        own = files.filter(F.col("rel_path") == discovery.IGNORE_FILE)
+        rules = discovery.ignore_files(read_content(own) if listing else own)
     found = discovery.discover(files, include, exclude, rules, recursive)
     start_run(found, store, source_dir)
+    pending = found
     if resume:
         try:
-            done = stores.read_collections(spark, store, ["file_summaries"])
+            pending = discovery.remaining(found, stores.read_collections(spark, store, ["file_summaries"]))
         except ValueError:
-            done = None
-        found = found if done is None else discovery.remaining(found, done)
+            pass  # nothing stored yet
     analysis = analyze_files(
-        found, provider, store, size, context=context, functions=functions, dependencies=dependencies, **options
+        read_content(pending) if listing else pending,
+        provider, store, size, context=context, functions=functions, dependencies=dependencies, **options,
     )
     written = stores.write_records(collection_records(analysis, embedder, dim), store, label)
     end_run(spark, store, found)

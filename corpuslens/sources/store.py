@@ -96,13 +96,22 @@ def read_collections(spark: SparkSession, store: str, collections=None) -> DataF
 
 
 def compact(spark: SparkSession, store: str) -> None:
-    """Writes the current records as a base; earlier generations are then no longer read."""
+    """Writes the current records as a base; earlier generations are then no longer read.
+
+    The base is range-partitioned by file, so that file statistics prune look-ups by path.
+    """
     names = _generations(spark, store)
     if len(names) < 2:
         return
     current = read_collections(spark, store)
     base = f"gen={_number(names[-1]):012d}{BASE}"
-    current.write.mode("overwrite").partitionBy("collection").parquet(f"{store}/{RECORDS}/{base}")
+    (
+        current.repartitionByRange("collection", "corpus_id", "rel_path", "id")
+        .sortWithinPartitions("collection", "corpus_id", "rel_path", "id")
+        .write.mode("overwrite")
+        .partitionBy("collection")
+        .parquet(f"{store}/{RECORDS}/{base}")
+    )
 
 
 def read_responses(spark: SparkSession, store: str) -> DataFrame | None:

@@ -74,3 +74,22 @@ def test_rank_in_group_equals_window(spark):
 
     want = df.withColumn("at", F.row_number().over(Window.partitionBy("g").orderBy("o")).cast("bigint") - 1)
     assert got.select("g", "o", "at").exceptAll(want.select("g", "o", "at")).count() == 0 and got.count() == 2000
+
+
+def test_a_listing_runs_through_and_resumes(spark, tree, tmp_path):
+    from corpuslens.plans.analyze import analyze_corpora
+    from corpuslens.sources import store as stores
+
+    store = str(tmp_path / "store")
+    roots = spark.createDataFrame([("c", tree)], "corpus_id string, root string")
+    run = lambda: analyze_corpora(sources.walk(roots), store, obey_gitignore=True, recursive=True, dim=4)
+    run()
+    held = stores.read_collections(spark, store)
+    assert sorted(r["rel_path"] for r in held.filter("collection = 'file_summaries'").collect()) == [
+        "__init__.py", "a.py", "d/b c.py",
+    ]
+    (tmp_path / "tree" / "late.py").write_text("class Late\n")
+    name = run()
+    added = spark.read.parquet(f"{store}/records/{name}")
+    assert sorted({r["rel_path"] for r in added.collect()}) == ["late.py"]
+    assert stores.read_table(spark, store, stores.PROJECTS).first()["file_count"] == 4
