@@ -282,7 +282,7 @@ def fit_cells(records: DataFrame, cells: int, seed: int = 7, per_cell: int = 256
     vectors = records.select("embedding").filter(F.col("embedding").isNotNull())
     share = min(1.0, cells * per_cell / max(vectors.count(), 1))
     sampled = vectors.sample(share, seed) if share < 1.0 else vectors
-    model = KMeans(k=cells, seed=seed, maxIter=10).fit(sampled.select(array_to_vector("embedding").alias("features")))
+    model = KMeans(k=cells, seed=seed, maxIter=5, initMode="random").fit(sampled.select(array_to_vector("embedding").alias("features")))
     return model.clusterCenters()
 
 
