@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from corpuslens.functions.text import WORD
-from corpuslens.operators.skew import lookup_join, materialise, rank_in_group
+from corpuslens.operators.skew import lookup_join, rank_in_group
 
 FILE = ["corpus_id", "rel_path"]
 
@@ -35,14 +35,12 @@ def basename_counts(files: DataFrame) -> DataFrame:
 def import_edges(files: DataFrame) -> DataFrame:
     """Edges ``src_rel_path -> dst_rel_path``: a root file of the name, else the only file of the name.
 
-    The text is scanned once; the imports found are written out before the joins, because one module
-    may be imported everywhere and the join first counts how hot each name is. Both targets of a
-    name are merged into one lookup row, so one join answers both rules.
+    The text is scanned once: where the join must first count how hot each name is (one module may be
+    imported everywhere), the imports found are written out before. Both targets of a name are merged
+    into one lookup row, so one join answers both rules.
     """
-    imports = materialise(
-        extract_imports(files).select(
-            "corpus_id", F.col("rel_path").alias("src_rel_path"), F.concat("module", F.lit(".py")).alias("filename")
-        )
+    imports = extract_imports(files).select(
+        "corpus_id", F.col("rel_path").alias("src_rel_path"), F.concat("module", F.lit(".py")).alias("filename")
     )
     names = (
         files.select("corpus_id", "rel_path", "filename")
@@ -61,7 +59,7 @@ def import_edges(files: DataFrame) -> DataFrame:
         )
     )
     # Names are distinct per source and lead to distinct files, so no edge comes twice.
-    return lookup_join(imports, names, ["corpus_id", "filename"], ["src_rel_path"], "inner").select(
+    return lookup_join(imports, names, ["corpus_id", "filename"], ["src_rel_path"], "inner", costly=True).select(
         "corpus_id", "src_rel_path", "dst_rel_path", "match_kind"
     )
 

@@ -27,7 +27,7 @@ def attach_responses(chunks: DataFrame, responses: DataFrame) -> DataFrame:
     )
     missing = F.col("_answered").isNull() & F.col("chunk_no").isNotNull()
     return (
-        lookup_join(chunks, answers, ["prompt_hash"], [*FILE, "chunk_no"])
+        lookup_join(chunks, answers, ["prompt_hash"], [*FILE, "chunk_no"], costly=True)
         .withColumn("error", F.when(missing, "no reply").otherwise(F.col("error")))
         .drop("_answered")
     )

@@ -35,6 +35,14 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *keys) if df.rdd.getNumPartitions() <= cores else df
 
 
+def fits_broadcast(df: DataFrame) -> bool:
+    """Spark's own size check: would it broadcast this table by the estimate it has?"""
+    spark = df.sparkSession
+    limit = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return 0 <= size <= limit
+
+
 def lookup_join(
     facts: DataFrame,
     dim: DataFrame,
@@ -42,16 +50,22 @@ def lookup_join(
     vary: list[str],
     how: str = "left",
     rows_per_split: int = ROWS_PER_SPLIT,
+    costly: bool = False,
 ) -> DataFrame:
-    """Join many ``facts`` rows to at most one ``dim`` row per key.
+    """Join many ``facts`` rows to about one ``dim`` row per key.
 
-    The hot keys of ``facts`` are counted with map-side combining. Each is cut into pieces of about
-    ``rows_per_split`` rows by a hash of the ``vary`` columns, and its one ``dim`` row is repeated
-    per piece. The hot list is broadcast: it holds at most MAX_HOT_KEYS rows, and any key beyond it
-    owns less than 1/MAX_HOT_KEYS of the rows and needs no cutting.
+    A ``dim`` that Spark knows to be small is broadcast by Spark, and no key can be hot. Otherwise the
+    hot keys of ``facts`` are counted with map-side combining. Each is cut into pieces of about
+    ``rows_per_split`` rows by a hash of the ``vary`` columns, and its ``dim`` row is repeated per
+    piece. The hot list is broadcast: it holds at most MAX_HOT_KEYS rows, and any key beyond it owns
+    less than 1/MAX_HOT_KEYS of the rows and needs no cutting.
 
-    ``facts`` is read twice, so it should be a scan of few columns or a materialised table.
+    The count reads ``facts`` a second time: ``costly`` facts are written out first.
     """
+    if fits_broadcast(dim):
+        return facts.join(dim, keys, how)
+    if costly:
+        facts = materialise(facts)
     hot = F.broadcast(
         facts.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_rows"))

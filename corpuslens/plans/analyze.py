@@ -90,7 +90,7 @@ def analyze_files(
         cut = chunk_files(marked, size, overlap, context, functions, dependencies, keep_empty=True)
         asked = cut.filter(F.col("chunk_no").isNotNull()).select("prompt_hash", "prompt")
         responses = answer(asked, store, provider, **options)
-        attached = rollup.attach_responses(materialise(cut.drop("content", "prompt")), responses)
+        attached = rollup.attach_responses(cut.drop("content", "prompt"), responses)
         analysis = model.normalise_replies(attached, functions, dependencies)
         prompts = materialise(model.add_summary_prompts(rollup.rollup(analysis, functions, dependencies), functions, dependencies))
         replies = answer(prompts.filter(F.col("prompt").isNotNull()), store, provider, **options)

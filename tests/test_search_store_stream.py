@@ -139,6 +139,8 @@ def test_search_and_lookups_on_the_store(spark, stored):
     assert sorted(r["section"] for r in exact.collect()) == ["classes", "functions", "summary"]
     by_name = lookup.file_details(held, spark.createDataFrame([("c", "q/b.py")], "corpus_id string, path string"), by="filename")
     assert by_name.count() == 3
+    known = lookup.file_details(held, spark.createDataFrame([("c", "/r/d/b.py")], "corpus_id string, path string"), by="filename")
+    assert sorted(r["section"] for r in known.collect()) == ["classes", "functions", "summary"]
     listed = {r["rel_path"]: (r["total_lines"], r["has_error"]) for r in lookup.list_files(held).collect()}
     assert listed == {"a.py": (3, False), "d/b.py": (2, False)}
 

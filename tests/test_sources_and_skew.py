@@ -51,18 +51,33 @@ def test_read_content_reports_lost_files(spark, tree):
     assert row["content"] is None and "x" in row["read_error"]
 
 
-@pytest.mark.parametrize("how", ["left", "inner", "left_anti"])
-def test_lookup_join_equals_plain_join(spark, how):
+@pytest.fixture
+def no_broadcast(spark):
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, -1)
+    yield
+    spark.conf.set(name, before)
+
+
+def test_small_dim_is_left_to_spark(spark):
+    joined = lookup_join(spark.range(9).toDF("k"), spark.range(3).toDF("k"), ["k"], ["k"], "inner")
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "_piece" not in plan and joined.count() == 3
+
+
+@pytest.mark.parametrize("how", ["left", "inner", "left_anti", "left_semi"])
+def test_lookup_join_equals_plain_join(spark, how, no_broadcast):
     facts = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).alias("k"), "id")
     dim = spark.range(0, 40).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
     rows = lambda df: sorted(map(str, df.select(*sorted(df.columns)).collect()))
     assert rows(lookup_join(facts, dim, ["k"], ["id"], how, rows_per_split=100)) == rows(facts.join(dim, "k", how))
 
 
-def test_lookup_join_cuts_the_hot_key(spark):
+def test_lookup_join_cuts_the_hot_key(spark, no_broadcast):
     facts = spark.range(10000).select(F.lit(1).alias("k"), "id")
     dim = spark.createDataFrame([(1, "x")], "k int, v string")
-    joined = lookup_join(facts, dim, ["k"], ["id"], rows_per_split=500)
+    joined = lookup_join(facts, dim, ["k"], ["id"], rows_per_split=500, costly=True)
     plan = joined._jdf.queryExecution().optimizedPlan().toString()
     assert "_piece" in plan and joined.filter("v = 'x'").count() == 10000
 
