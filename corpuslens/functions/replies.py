@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from corpuslens import config
-from corpuslens.functions.text import strip
+from corpuslens.functions.text import let, strip
 
 SECTIONS = ("classes", "functions", "dependencies")
 REPLY_TYPE = (
@@ -105,7 +105,7 @@ def reply_text(reply: Column, *fields: str) -> Column:
 
 def clean_summary(summary: Column) -> Column:
     """Summary text fit for a report: no thinking, no wrapping fence, no repeated or top headings."""
-    return _clean_headings(_unwrap_fence(F.regexp_replace(summary, r"(?s)<think>.*?</think>", "")))
+    return _clean_headings(let(F.regexp_replace(summary, r"(?s)<think>.*?</think>", ""), _unwrap_fence))
 
 
 def _unwrap_fence(text: Column) -> Column:
@@ -128,29 +128,26 @@ def _clean_headings(text: Column) -> Column:
         kept = F.when(colon, F.left(line, F.length(line) - 1)).otherwise(line)
         return F.when(kept.rlike(r"^#(?!#)"), F.concat(F.lit("#"), kept)).otherwise(kept)
 
-    lines = F.transform(F.split(text, "\n"), level)
     # Headings by their trimmed text; every other line by NULL, which is never a repeat.
     keyed = F.transform(
-        lines,
+        F.transform(F.split(text, "\n"), level),
         lambda line: F.struct(line.alias("line"), F.when(F.startswith(line, F.lit("#")), strip(line)).alias("head")),
     )
-    return F.array_join(
-        F.transform(
-            F.filter(
-                keyed,
-                lambda x, i: x["head"].isNull() | (F.array_position(keyed["head"], x["head"]) == i + 1),
-            ),
-            lambda x: x["line"],
-        ),
-        "\n",
-    )
+
+    def first_heads(lines):
+        new = lambda x, i: x["head"].isNull() | (F.array_position(lines["head"], x["head"]) == i + 1)
+        return F.array_join(F.transform(F.filter(lines, new), lambda x: x["line"]), "\n")
+
+    return let(keyed, first_heads)
 
 
 def section_lines(items: Column) -> Column:
     """A bullet list, sorted and distinct; empty text where there is nothing to list."""
-    listed = F.array_sort(F.array_distinct(items))
-    body = F.concat(F.lit("\n- "), F.array_join(listed, "\n- "), F.lit("\n\n"))
-    return F.when(F.coalesce(F.size(listed), F.lit(0)) > 0, body).otherwise(F.lit(""))
+    body = lambda listed: F.concat(F.lit("\n- "), F.array_join(listed, "\n- "), F.lit("\n\n"))
+    return F.when(
+        F.size(F.coalesce(items, F.expr("cast(array() AS array<string>)"))) > 0,
+        body(F.sort_array(F.array_distinct(items))),
+    ).otherwise(F.lit(""))
 
 
 def error_description(error: Column) -> Column:

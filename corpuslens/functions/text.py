@@ -10,6 +10,11 @@ NOT_SPACE = r"[^\s\x1c-\x1f]"
 WORD = r"[\p{L}\p{N}_]"
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Both ends trimmed of every kind of white space (``trim`` takes spaces only)."""
     return F.regexp_replace(text, rf"(?U)^{SPACE}+|{SPACE}+\z", "")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from corpuslens import config
 from corpuslens.functions import replies
-from corpuslens.functions.text import strip
+from corpuslens.functions.text import let, strip
 
 # The layout of a report.
 HEADING = "## 📄 "
@@ -20,10 +20,12 @@ REMAINING_HEADING = "## Files Remaining to Study"
 
 
 def _section(name: str, title: str) -> Column:
-    body = replies.section_lines(F.col(name))
     base = F.replace(F.substring_index("rel_path", "/", -1), F.lit("`"), F.lit("\\`"))
     heading = F.concat(F.lit("\n### "), base, F.lit(f" - **{title}**\n"))
-    return F.when(body != "", F.concat(heading, body)).otherwise(F.lit(""))
+    return let(
+        replies.section_lines(F.col(name)),
+        lambda body: F.when(body != "", F.concat(heading, body)).otherwise(F.lit("")),
+    )
 
 
 def file_report(file_analysis: DataFrame) -> DataFrame:

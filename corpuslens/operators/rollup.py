@@ -41,7 +41,9 @@ def rollup(chunk_analysis: DataFrame, functions: bool = True, dependencies: bool
     is one file's replies, so it is bounded by the size of one file.
     """
     is_chunk = F.col("chunk_no").isNotNull()
-    union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(is_chunk, F.col(c))))))
+    union = lambda c: F.sort_array(
+        F.array_distinct(F.array_compact(F.flatten(F.collect_list(F.when(is_chunk, F.col(c))))))
+    )
     own = [c for c in chunk_analysis.columns if c not in (*FILE, *CHUNK_COLUMNS)]
     on = {"classes": True, "functions": functions, "dependencies": dependencies}
     return chunk_analysis.groupBy(*FILE).agg(
@@ -56,7 +58,7 @@ def rollup(chunk_analysis: DataFrame, functions: bool = True, dependencies: bool
 
 def section(items: Column) -> Column:
     """Sorted distinct items and whether there are any."""
-    listed = F.array_sort(F.array_distinct(F.coalesce(items, F.expr("array()").cast("array<string>"))))
+    listed = F.sort_array(F.array_distinct(F.coalesce(items, F.expr("array()").cast("array<string>"))))
     return F.struct(listed.alias("items"), (F.size(listed) > 0).alias("has_items"))
 
 
@@ -114,7 +116,7 @@ def to_records(file_analysis: DataFrame) -> DataFrame:
     }
     parts = [F.array(_record("file_summaries", F.lit(""), summary, None, F.lit(None)))]
     for name, (kind, rule) in naming.items():
-        items = F.array_sort(F.array_distinct(F.array_compact(F.col(name))))
+        items = F.sort_array(F.array_distinct(F.array_compact(F.col(name))))
         parts.append(_entities(F.when(F.col("error").isNull(), items), name, kind, rule))
     parts[1:] = [F.coalesce(part, F.filter(parts[0], lambda r: F.lit(False))) for part in parts[1:]]
     return (
@@ -177,7 +179,7 @@ def file_list_pages(files: DataFrame, page: int = config.FILE_LIST_PAGE) -> Data
         .withColumn("chunk", F.floor(F.col("_at") / page).cast("int"))
         .groupBy("corpus_id", "chunk")
         .agg(
-            F.array_join(F.array_sort(F.collect_list("file_path")), "\n").alias("document"),
+            F.array_join(F.sort_array(F.collect_list("file_path")), "\n").alias("document"),
             F.count(F.lit(1)).cast("int").alias("count"),
         )
         .withColumn("id", F.concat(F.lit("files_chunk_"), F.col("chunk")))

@@ -359,7 +359,7 @@ def centroids(records: DataFrame) -> DataFrame:
         F.round(F.avg("x"), 6).cast("float").alias("x")
     )
     return means.groupBy("collection").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda p: p["x"]).alias("embedding")
+        F.transform(F.sort_array(F.collect_list(F.struct("at", "x"))), lambda p: p["x"]).alias("embedding")
     ).select(F.col("collection").alias("query_id"), "embedding")
 
 
