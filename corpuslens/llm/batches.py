@@ -96,10 +96,11 @@ class Words:
     ``first[i]`` to ``first[i + 1]`` are the words of row i.
     """
 
-    def __init__(self, texts: pa.Array, lower: bool = False):
+    def __init__(self, texts: pa.Array, plain: np.ndarray | None = None):
+        """``plain`` maps bytes before they are read, such as ``LOWER``."""
         data, offsets = buffers(texts)
-        if lower:
-            data = LOWER[data]
+        if plain is not None:
+            data = plain[data]
         self.data, self.offsets = data, offsets
         solid = np.zeros(len(data) + 2, bool)
         solid[1:-1] = ~WHITE[data]

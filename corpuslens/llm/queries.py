@@ -7,6 +7,35 @@ from pyspark.sql import DataFrame, SparkSession
 from corpuslens.llm.shared import documents
 from corpuslens.llm.sql import OP9
 
+#: Where the vocabulary lies on this machine; a parameter, as the operators take the model itself.
+PIECES = "piece_bpe_32k.model"
+
+
+def _model() -> bytes:
+    import public_tokenizers
+
+    from corpuslens.llm.tokens import read_model
+
+    return read_model(public_tokenizers.path(PIECES))
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpuslens.llm.tokens import count_tokens
+
+    return count_tokens(documents(spark, sf_dir), _model())
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpuslens.llm.toxicity import toxicity
+
+    return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpuslens.llm.mixing import mix
+
+    return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpuslens.llm.substrings import dedup_substrings
@@ -15,6 +44,9 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_token_counts": op2_token_counts,
+    "op4_toxicity": op4_toxicity,
+    "op7_source_mixing": op7_source_mixing,
     "op9_substring_dedup": op9_substring_dedup,
 }
 
