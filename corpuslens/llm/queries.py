@@ -25,6 +25,15 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), _model())
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpuslens.llm.quality import judge
+
+    found = judge(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return found.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score"
+    )
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpuslens.llm.toxicity import toxicity
 
@@ -43,11 +52,19 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpuslens.llm.spotsigs import fingerprints
+
+    return fingerprints(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op2_token_counts": op2_token_counts,
+    "op3_quality_rules": op3_quality_rules,
     "op4_toxicity": op4_toxicity,
     "op7_source_mixing": op7_source_mixing,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_spotsigs": op10_spotsigs,
 }
 
 ORACLE = {
