@@ -24,11 +24,11 @@ from corpuslens.llm.shared import keep, text_of
 WORD = r"[^\x20\x09-\x0D]+"
 WHITE = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
-PLACES = 1 << 18
+PLACES = 1 << 14
 TARGET_ROWS = 50_000
 #: The target is mixed with so large a share of the corpus, so no place has probability 0 in it.
 SMOOTHING = 0.1
-LEAST_SCORE = -0.3
+LEAST_SCORE = -0.125
 MIN_WORDS = 20
 REPEAT_WORDS = 8
 

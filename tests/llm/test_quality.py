@@ -58,12 +58,12 @@ def test_scores_by_hand(spark):
     everything, target = {}, {}
     for r in hashed:
         for h in r.h:
-            p = h % (1 << 18)
+            p = h % (1 << 14)
             everything[p] = everything.get(p, 0) + 1
             target[p] = target.get(p, 0) + (r.doc_id in good)
     n, m = sum(everything.values()), sum(target.values())
     weight = {p: math.log((target[p] / m + SMOOTHING * everything[p] / n) / (1 + SMOOTHING) / (everything[p] / n)) for p in everything}
-    expected = sorted((repr(r.doc_id), round(sum(weight[h % (1 << 18)] for h in r.h) / len(r.h), 6) if r.h else 0.0) for r in hashed)
+    expected = sorted((repr(r.doc_id), round(sum(weight[h % (1 << 14)] for h in r.h) / len(r.h), 6) if r.h else 0.0) for r in hashed)
     found = sorted((repr(r.doc_id), round(r.score, 6)) for r in judge(docs, labels).collect())
     for a, b in zip(found, expected, strict=True):
         assert a[0] == b[0] and a[1] == pytest.approx(b[1], abs=2e-6)
