@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpuslens.llm.shared import documents
 from corpuslens.llm.sql import OP9
@@ -40,6 +40,17 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpuslens.llm.pieces import decode, encode
+
+    model = _model()
+    found = decode(encode(documents(spark, sf_dir), model, ["doc_id", "text"]), model)
+    return found.select(
+        "doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids",
+        (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("lossless"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpuslens.llm.mixing import mix
 
@@ -62,6 +73,7 @@ QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_quality_rules": op3_quality_rules,
     "op4_toxicity": op4_toxicity,
+    "op6_pieces": op6_pieces,
     "op7_source_mixing": op7_source_mixing,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_spotsigs": op10_spotsigs,
