@@ -124,6 +124,10 @@ class Words:
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
+#: ASCII lower-cased, with every sign a space: signs part words and carry no meaning.
+PLAIN = LOWER.copy()
+PLAIN[[i for i in range(128) if not chr(i).isalnum()]] = 32
+
 
 def sliding(values: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
     """``pick`` (minimum or maximum) over every ``width`` neighbours, in log(width) steps."""

@@ -40,6 +40,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpuslens.llm.licenses import scan
+
+    return scan(documents(spark, sf_dir))
+
+
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpuslens.llm.pieces import decode, encode
 
@@ -73,6 +79,7 @@ QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_quality_rules": op3_quality_rules,
     "op4_toxicity": op4_toxicity,
+    "op5_license_scan": op5_license_scan,
     "op6_pieces": op6_pieces,
     "op7_source_mixing": op7_source_mixing,
     "op9_substring_dedup": op9_substring_dedup,

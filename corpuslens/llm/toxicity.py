@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from corpuslens.llm.batches import LOWER, Words, column, mix, slices
+from corpuslens.llm.batches import PLAIN, Words, column, mix, slices
 from corpuslens.llm.shared import text_of
 
 BITS = 20
@@ -29,19 +29,13 @@ THRESHOLD = 0.3
 EPOCHS = 5
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 1.0
 
-#: Signs inside ASCII part words here, as they do not carry meaning.
-_SIGN = np.zeros(256, bool)
-_SIGN[:128] = [not chr(i).isalnum() for i in range(128)]
-_PLAIN = np.where(_SIGN, 32, LOWER).astype(np.uint8)
-
-
 def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2
 
 
 def features(texts: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """Row and place of every word, pair and skip pair (repeats included)."""
-    words = Words(texts, plain=_PLAIN)
+    words = Words(texts, plain=PLAIN)
     h, rows = words.hashes, words.owner()
     places, owners = [h], [rows]
     for gap in (1, 2):
