@@ -19,6 +19,12 @@ def _model() -> bytes:
     return read_model(public_tokenizers.path(PIECES))
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpuslens.llm.jaccard import jaccard_components
+
+    return jaccard_components(documents(spark, sf_dir))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpuslens.llm.tokens import count_tokens
 
@@ -76,6 +82,7 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_jaccard_join": op1_jaccard_join,
     "op2_token_counts": op2_token_counts,
     "op3_quality_rules": op3_quality_rules,
     "op4_toxicity": op4_toxicity,
