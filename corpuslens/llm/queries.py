@@ -69,6 +69,12 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpuslens.llm.suffixes import dedup_suffixes
+
+    return dedup_suffixes(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpuslens.llm.substrings import dedup_substrings
 
@@ -89,6 +95,7 @@ QUERIES = {
     "op5_license_scan": op5_license_scan,
     "op6_pieces": op6_pieces,
     "op7_source_mixing": op7_source_mixing,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_spotsigs": op10_spotsigs,
 }
