@@ -134,10 +134,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         links.select(F.col("_next_id").alias("_id"), F.col("_next_key").alias("_key"), F.col("_id").alias("_to"), F.col("_key").alias("_to_key"), "n_chars", "_turn"),
         ["_id", "_key"],
     ).select(
-        "_turn", F.col("_to").alias("_id"), F.col("_to_key").alias("_key"), F.col("_sig").alias("_next_sig"), F.left("text", cut).alias("_head")
+        F.col("_turn").alias("_sent_turn"), F.col("_to").alias("_id"), F.col("_to_key").alias("_key"), F.col("_sig").alias("_next_sig"), F.left("text", cut).alias("_head")
     )
-    own = signed.join(links.drop("_next_id", "_next_key"), ["_id", "_key"]).join(sent, ["_id", "_key", "_turn"])
-    edited = own.withColumn("_edited", F.concat(F.left("text", F.col("n_chars").cast("int") - cut), "_head")).drop("text", "_head")
+    # turns are compared aside from the keys, so that the text stays where the first join has put it
+    own = signed.join(links.drop("_next_id", "_next_key"), ["_id", "_key"]).join(sent, ["_id", "_key"]).filter("_turn - _sent_turn = 0")
+    edited = own.withColumn("_edited", F.concat(F.left("text", F.col("n_chars").cast("int") - cut), "_head")).drop("text", "_head", "_sent_turn")
     signed_again = with_signatures(edited, "_edited", "_edited_sig")
     out = signed_again.select(
         F.when(F.col("_id") != _MIN, F.col("_id")).alias("doc_id"), "n_chars", "_copies",
