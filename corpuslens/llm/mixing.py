@@ -19,10 +19,9 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from corpuslens.llm.shared import keep
+from corpuslens.llm.shared import WORD, keep, row_key, rows_with, text_of
 from corpuslens.operators.skew import rank_in_group
 
-WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
 REPEATS = 3
 #: Words of a block: at most BLOCK_WORDS, and so few that there are SLOTS of them at least.
@@ -123,7 +122,7 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     that pass p takes from the start of the document."""
     sizes = keep(
         docs.select(
-            "doc_id", "source", n_words().alias("size"), F.xxhash64("text").alias("row_key"),
+            "doc_id", "source", n_words().alias("size"), row_key(text_of()).alias("row_key"),
             F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), "text").alias("_hash"),
         ),
         "sizes",
@@ -151,3 +150,16 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
         "doc_id", "row_key", "size", "source_size", "target", "takes",
         F.aggregate("takes", F.lit(0).cast("long"), lambda a, x: a + x).alias("taken"),
     )
+
+
+def mixed(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """The mix itself, with the columns of ``docs``: a row for each pass that takes words of a document. A
+    document of which a pass takes a part only has its first words there, joined by one space."""
+    takes = mix(docs, seed).filter("taken > 0").groupBy("doc_id", F.col("row_key").alias("__cl_key")).agg(
+        F.count(F.lit(1)).alias("__cl_rows"), F.flatten(F.collect_list("takes")).alias("__cl_takes"), F.first("size").alias("__cl_size")
+    )
+    rows = rows_with(docs.withColumn("__cl_key", row_key(text_of())), keep(takes, "takes"))
+    passes = rows.withColumn("__cl_take", F.explode(F.filter("__cl_takes", lambda n: n > 0)))
+    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), 0), F.lit(1), F.col("__cl_take").cast("int")), " ")
+    text = F.when(F.col("__cl_take") < F.col("__cl_size"), part).otherwise(F.col("text"))
+    return passes.withColumn("text", text).select(docs.columns)

@@ -19,9 +19,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from corpuslens.llm.shared import keep, text_of
+from corpuslens.llm.shared import WORD, keep, text_of
 
-WORD = r"[^\x20\x09-\x0D]+"
 WHITE = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 PLACES = 1 << 14

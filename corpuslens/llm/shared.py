@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corpuslens.operators.skew import checkpoint_dir
 
-#: A table of at most so many narrow rows may be broadcast (some 64 MB); a larger one is shuffled.
+#: A table of at most so many rows of a few numbers may be broadcast (some 16 MB); a larger one is shuffled.
 BROADCAST_ROWS = 500_000
 
+WORD = r"[^\x20\x09-\x0D]+"
+
 
 def keep(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: cuts the lineage, survives lost executors."""
@@ -21,7 +23,9 @@ def keep(df: DataFrame, name: str) -> DataFrame:
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marked for broadcast after its rows are counted and found few; else left to a shuffle join."""
+    """Marked for broadcast after its rows are counted and found few; else left to a shuffle join.
+
+    For rows of a few numbers only: never for text, arrays or bytes."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
@@ -36,3 +40,18 @@ def text_of(column: str = "text") -> Column:
 def row_key(*columns: str) -> Column:
     """Tells rows of one doc_id with different texts apart; equal rows share it."""
     return F.xxhash64(*columns)
+
+
+def rows_with(docs: DataFrame, table: DataFrame) -> DataFrame:
+    """Each different row of ``docs`` (by ``doc_id, __cl_key``) that ``table`` has, once, with the columns of ``table``.
+
+    ``table`` has ``doc_id, __cl_key, __cl_rows``, ``__cl_rows`` being how often ``docs`` repeats the row: only
+    repeated rows are shuffled to be dropped. It is broadcast if it stands for few rows, what else it holds
+    being a few numbers for each of them.
+    """
+    right = table.withColumnsRenamed({"doc_id": "__cl_doc", "__cl_key": "__cl_of"})
+    if table.agg(F.coalesce(F.sum("__cl_rows"), F.lit(0))).first()[0] <= BROADCAST_ROWS:
+        right = F.broadcast(right)
+    joined = docs.join(right, docs["doc_id"].eqNullSafe(right["__cl_doc"]) & (docs["__cl_key"] == right["__cl_of"])).drop("__cl_doc", "__cl_of")
+    again = joined.filter("__cl_rows > 1").dropDuplicates(["doc_id", "__cl_key"])
+    return joined.filter("__cl_rows = 1").union(again)

@@ -17,19 +17,20 @@ they lose nothing to one another. Columns of any other name are ignored.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from corpuslens.llm.batches import Rolling, Words, column, mix, slices, winnow
-from corpuslens.llm.shared import keep, row_key, small, text_of
+from corpuslens.llm.shared import WORD, keep, row_key, small, text_of
 
 WINDOW_WORDS = 50
 #: A short window held by more documents than this is hot.
 HOT = 2_000
+#: Long windows in one row; they are told apart by the bits of a mask.
+RUN = 62
 
 _LONG_BASE = 0xA24BAED4963EE407 | 1
 
@@ -96,8 +97,10 @@ def _extended(docs: DataFrame, length: int) -> DataFrame:
                 continue
             longs = Rolling(words.hashes, _LONG_BASE).hash(starts, starts + length)
             head = np.ones(len(starts), bool)
-            head[1:] = (least[1:] != least[:-1]) | (starts[1:] != starts[:-1] + 1)
+            head[1:] = (short[least[1:]] != short[least[:-1]]) | (starts[1:] != starts[:-1] + 1)
             first = np.flatnonzero(head)
+            within = np.arange(len(starts)) - np.repeat(first, np.diff(np.append(first, len(starts))))
+            first = np.flatnonzero(within % RUN == 0)
             offsets = np.append(first, len(starts)).astype(np.int32)
             take = pa.array(rows[first])
             yield pa.RecordBatch.from_arrays(
@@ -143,8 +146,8 @@ def _repeats_in_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 def repeated_starts(docs: DataFrame, length: int = WINDOW_WORDS, hot: int = HOT) -> DataFrame:
     """``doc_id, row_key, starts``: per text the runs ``(start, mask)`` of long windows that a document with
     a smaller doc_id also holds; bit b of ``mask`` stands for the window at word ``start + b``."""
-    if length % 2 or not 2 <= length <= 124:
-        raise ValueError("length must be even, from 2 to 124")
+    if length % 2 or length < 2:
+        raise ValueError("length must be even")
     named = docs.filter(F.col("doc_id").isNotNull()).select(
         F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")
     )
@@ -160,9 +163,9 @@ def repeated_starts(docs: DataFrame, length: int = WINDOW_WORDS, hot: int = HOT)
         ),
         "wanted",
     )
-    reached = _extended(
-        named.withColumn("row_key", row_key("text")).join(small(wanted.select("doc_id", "shorts")), "doc_id"), length
-    )
+    # documents without a repeat stay where they are: ids go to them first, if few
+    touched = named.withColumn("row_key", row_key("text")).join(small(wanted.select("doc_id")), "doc_id", "left_semi")
+    reached = _extended(touched.join(wanted.select("doc_id", "shorts"), "doc_id"), length)
     many = small(wanted.select(F.explode("hot").alias("short")).distinct())
     reached = keep(reached, "long")
     calm = (
@@ -196,39 +199,44 @@ def removed_words(n: int, starts: list[dict], length: int) -> np.ndarray:
     return np.cumsum(steps[:n]) > 0
 
 
-def dedup_substrings(docs: DataFrame, length: int = WINDOW_WORDS) -> DataFrame:
-    """``doc_id, row_key, text, n_words, n_removed, kept, kept_sha256`` for every row; ``kept`` is the kept
-    words joined by one space."""
-    hits = repeated_starts(docs, length)
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn(
-        "row_key", row_key("text")
-    )
-    joined = keyed.join(small(hits), ["doc_id", "row_key"], "left")
+def with_removed(docs: DataFrame, length: int = WINDOW_WORDS) -> DataFrame:
+    """Every row of ``docs`` and ``__cl_n_words, __cl_n_removed, __cl_kept``: its words, those removed, and the kept ones
+    joined by one space (NULL where none is removed)."""
+    hits = keep(repeated_starts(docs, length), "starts")
+    columns = docs.columns
+    keyed = docs.withColumn("__cl_id", F.col("doc_id").cast("long")).withColumn("__cl_key", row_key(text_of()))
+    named = hits.select(F.col("doc_id").alias("__cl_id"), F.col("row_key").alias("__cl_key"))
+    touched = keyed.join(small(named), ["__cl_id", "__cl_key"], "left_semi")
+    rest = keyed.join(small(named), ["__cl_id", "__cl_key"], "left_anti")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            texts = column(part, "text")
-            removed, kept, total, digests = [], [], [], []
-            for text, starts in zip(texts.to_pylist(), column(part, "starts").to_pylist()):
+            removed, kept, total = [], [], []
+            for text, starts in zip(column(part, "text").to_pylist(), column(part, "__cl_starts").to_pylist()):
                 words = text.encode().split()
+                out = removed_words(len(words), starts, length)
                 total.append(len(words))
-                gone = 0
-                if starts:
-                    out = removed_words(len(words), starts, length)
-                    gone = int(out.sum())
-                    words = [words[i] for i in np.flatnonzero(~out)]
-                rest = b" ".join(words)
-                removed.append(gone)
-                kept.append(rest.decode())
-                digests.append(hashlib.sha256(rest).hexdigest())
+                removed.append(int(out.sum()))
+                kept.append(b" ".join([words[i] for i in np.flatnonzero(~out)]).decode())
             yield pa.RecordBatch.from_arrays(
-                [
-                    column(part, "doc_id"), column(part, "row_key"), texts, pa.array(total, pa.int64()),
-                    pa.array(removed, pa.int64()), pa.array(kept, pa.string()), pa.array(digests, pa.string()),
-                ],
-                ["doc_id", "row_key", "text", "n_words", "n_removed", "kept", "kept_sha256"],
+                [*(column(part, c) for c in columns), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())],
+                [*columns, "__cl_n_words", "__cl_n_removed", "__cl_kept"],
             )
 
-    return joined.select("doc_id", "row_key", "text", "starts").mapInArrow(
-        run, "doc_id long, row_key long, text string, n_words long, n_removed long, kept string, kept_sha256 string"
+    more = [T.StructField("__cl_n_words", T.LongType()), T.StructField("__cl_n_removed", T.LongType()), T.StructField("__cl_kept", T.StringType())]
+    starts = hits.select(F.col("doc_id").alias("__cl_id"), F.col("row_key").alias("__cl_key"), F.col("starts").alias("__cl_starts"))
+    cut = touched.join(starts, ["__cl_id", "__cl_key"]).select(*columns, "__cl_starts").mapInArrow(run, T.StructType([*docs.schema.fields, *more]))
+    words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    whole = rest.select(*columns, words.alias("__cl_n_words"), F.lit(0).cast("long").alias("__cl_n_removed"), F.lit(None).cast("string").alias("__cl_kept"))
+    return cut.union(whole)
+
+
+def dedup_substrings(docs: DataFrame, length: int = WINDOW_WORDS) -> DataFrame:
+    """``doc_id, n_words, n_removed, kept, kept_sha256`` for every row; ``kept`` is the kept words joined by one
+    space."""
+    spaced = F.array_join(F.regexp_extract_all(text_of(), F.lit(WORD), 0), " ")
+    kept = F.coalesce("__cl_kept", spaced)
+    found = with_removed(docs.select("doc_id", "text"), length)
+    return found.select(
+        "doc_id", F.col("__cl_n_words").alias("n_words"), F.col("__cl_n_removed").alias("n_removed"), kept.alias("kept"), F.sha2(kept, 256).alias("kept_sha256")
     )
