@@ -27,18 +27,25 @@ SIGNATURE = r'(?U)"([^"]+\(\))\s*"\s*:\s*"([^"]+)"'
 PAIR = r'(?U)"([^"]+)"\s*:\s*"([^"]+)"'
 FUNCTIONS_CLOSED = r'(?U)"functions"\s*:\s*\[[^\]]*\]'
 FUNCTIONS_OPEN = r'(?U)("functions"\s*:\s*\[[^\]]*),\s*"dependencies"'
-DESCRIPTION_COLON = r'(?U)(?:(?<="description":\s{0,64}")|\G(?!\A))([^":]*):(?=[^"]*")'
+DESCRIPTION_COLON = r'(?U)("description":\s*"|\G(?!\A))([^":]*):(?=[^"]*")'
+ARRAY = r'(?sU)"%s"\s*:\s*\[(.*?)\]'
+COLON_HEADING = r"(?dU)^#+\s+.*:$"
+LINK_HEADING = r"(?dU)^#+\s+.*\[.*\]\(.*\):$"
+TOP_HEADING = r"^#(?!#)"
+THINKING = r"(?s)<think>.*?</think>"
 FENCE = "```"
 
 
 def _array_of(name: str) -> str:
-    return rf'(?sU)"{name}"\s*:\s*\[(.*?)\]'
+    return ARRAY % name
 
 
 def is_json(candidate: Column) -> Column:
-    """One whole JSON value and nothing after it (the bare parser stops at the first value)."""
-    value = F.try_parse_json(F.concat(F.lit("["), candidate, F.lit("]")))
-    return value.isNotNull() & F.try_variant_get(value, "$[1]", "string").isNull()
+    """One whole JSON object and nothing after it (the bare parser stops at the first value). Of a key given
+    twice the last value counts, as in any reader of JSON text."""
+    alone = F.json_array_length(F.concat(F.lit("["), candidate, F.lit("]"))) == 1
+    options = {"columnNameOfCorruptRecord": "_bad", "allowSingleQuotes": "false"}
+    return F.coalesce(alone, F.lit(False)) & F.from_json(candidate, "_none string, _bad string", options)["_bad"].isNull()
 
 
 def direct_object(reply: Column) -> Column:
@@ -90,7 +97,7 @@ def close_functions(text: Column) -> Column:
 
 
 def drop_description_colons(text: Column) -> Column:
-    return F.regexp_replace(text, DESCRIPTION_COLON, "$1")
+    return F.regexp_replace(text, DESCRIPTION_COLON, "$1$2")
 
 
 def parse(text: Column) -> Column:
@@ -105,7 +112,7 @@ def reply_text(reply: Column, *fields: str) -> Column:
 
 def clean_summary(summary: Column) -> Column:
     """Summary text fit for a report: no thinking, no wrapping fence, no repeated or top headings."""
-    return _clean_headings(let(F.regexp_replace(summary, r"(?s)<think>.*?</think>", ""), _unwrap_fence))
+    return _clean_headings(let(F.regexp_replace(summary, THINKING, ""), _unwrap_fence))
 
 
 def _unwrap_fence(text: Column) -> Column:
@@ -124,9 +131,9 @@ def _unwrap_fence(text: Column) -> Column:
 
 def _clean_headings(text: Column) -> Column:
     def level(line):
-        colon = line.rlike(r"(?dU)^#+\s+.*:$") & ~line.rlike(r"(?dU)^#+\s+.*\[.*\]\(.*\):$")
+        colon = line.rlike(COLON_HEADING) & ~line.rlike(LINK_HEADING)
         kept = F.when(colon, F.left(line, F.length(line) - 1)).otherwise(line)
-        return F.when(kept.rlike(r"^#(?!#)"), F.concat(F.lit("#"), kept)).otherwise(kept)
+        return F.when(kept.rlike(TOP_HEADING), F.concat(F.lit("#"), kept)).otherwise(kept)
 
     # Headings by their trimmed text; every other line by NULL, which is never a repeat.
     keyed = F.transform(

@@ -68,8 +68,17 @@ def drop_ignored(files: DataFrame, rules: DataFrame) -> DataFrame:
     )
 
 
+def with_content_key(files: DataFrame) -> DataFrame:
+    """Adds ``content_key``, which changes with the file: a hash of the text, or size and time of a listing."""
+    if "content_key" in files.columns:
+        return files
+    if "content" in files.columns:
+        return files.withColumn("content_key", F.md5("content"))
+    return files.withColumn("content_key", F.concat_ws("@", "size_bytes", F.unix_micros("modified_at")))
+
+
 def remaining(files: DataFrame, done: DataFrame, keys: Sequence[str] = ("corpus_id", "rel_path")) -> DataFrame:
-    """Found but not yet analysed. Add a content hash to ``keys`` to redo changed files."""
+    """Found but not yet analysed. With ``content_key`` among ``keys`` changed files are found again."""
     return files.join(done.select(*keys).distinct(), list(keys), "left_anti")
 
 

@@ -41,37 +41,37 @@ def file_summary(collections: DataFrame, paths: DataFrame) -> DataFrame:
 
 
 def file_details(collections: DataFrame, paths: DataFrame, by: str = "path") -> DataFrame:
-    """Every record of the asked files (``corpus_id, path``), one row each, ``section`` telling the kind.
+    """Every record of the asked files (``corpus_id, path``), one row each, ``section`` telling the kind and
+    ``path`` which question it answers.
 
     ``by="path"``: exact ``corpus_id, rel_path``. ``by="filename"``: classes, functions and dependencies
     of every file of that name in the corpus, and the summary with the path's id, or, where no summary
-    has it, those of the name. A name is asked once however many paths share it.
+    has it, those of the name.
     """
     if by == "path":
         asked = paths.select("corpus_id", F.col("path").alias("rel_path")).distinct()
-        found = lookup_join(collections, asked, FILE, ["id"], "left_semi")
+        found = lookup_join(collections, asked, FILE, ["id"], "left_semi").withColumn("path", F.col("rel_path"))
     elif by == "filename":
         asked = paths.select(
-            "corpus_id", names.safe_id(F.col("path")).alias("id"), names.filename(F.col("path")).alias("filename")
+            "corpus_id", "path", names.safe_id(F.col("path")).alias("id"), names.filename(F.col("path")).alias("filename")
         ).distinct()
         summaries = _summaries(collections)
+        known_ids = asked.select("corpus_id", "id", "path")
         unknown = asked.join(summaries.select("corpus_id", "id").distinct(), ["corpus_id", "id"], "left_anti")
-        known_ids = asked.select("corpus_id", "id", F.lit(True).alias("_by_id")).distinct()
-        open_names = unknown.select("corpus_id", "filename", F.lit(True).alias("_by_name")).distinct()
-        named = lookup_join(summaries, open_names, ["corpus_id", "filename"], ["rel_path"])
-        chosen = named.join(known_ids, ["corpus_id", "id"], "left").filter("_by_id OR _by_name")
+        by_id = lookup_join(summaries, known_ids, ["corpus_id", "id"], ["rel_path"], "inner")
+        by_name = lookup_join(summaries, unknown.drop("id"), ["corpus_id", "filename"], ["rel_path"], "inner")
         entities = lookup_join(
             collections.filter(F.col("collection") != "file_summaries"),
-            asked.select("corpus_id", "filename").distinct(),
+            asked.drop("id"),
             ["corpus_id", "filename"],
             ["rel_path", "id"],
-            "left_semi",
+            "inner",
         )
-        found = chosen.drop("_by_id", "_by_name").unionByName(entities)
+        found = by_id.unionByName(by_name).unionByName(entities)
     else:
         raise ValueError("by is path or filename")
     section = F.when(F.col("collection") == "file_summaries", "summary").otherwise(F.col("collection"))
-    return found.select(*FILE, "filename", section.alias("section"), "id", F.col("document").alias("content"), "name")
+    return found.select("path", *FILE, "filename", section.alias("section"), "id", F.col("document").alias("content"), "name")
 
 
 def list_files(collections: DataFrame) -> DataFrame:

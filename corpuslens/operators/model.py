@@ -57,9 +57,12 @@ def add_prompts(chunks: DataFrame, functions: bool = True, dependencies: bool =
 
 
 def pending_prompts(prompts: DataFrame, responses: DataFrame | None) -> DataFrame:
-    """Distinct prompts that no stored response answers."""
-    asked = prompts.select("prompt_hash", "prompt").dropDuplicates(["prompt_hash"])
-    return asked if responses is None else asked.join(responses.select("prompt_hash"), "prompt_hash", "left_anti")
+    """Distinct prompts that no stored response answers; a stored failure is no answer. One shuffle serves
+    the duplicates and the look-up."""
+    asked = prompts.select("prompt_hash", "prompt").repartition("prompt_hash").dropDuplicates(["prompt_hash"])
+    if responses is None:
+        return asked
+    return asked.join(responses.filter("error IS NULL").select("prompt_hash"), "prompt_hash", "left_anti")
 
 
 def infer(

@@ -118,20 +118,22 @@ def to_records(file_analysis: DataFrame) -> DataFrame:
     for name, (kind, rule) in naming.items():
         items = F.sort_array(F.array_distinct(F.array_compact(F.col(name))))
         parts.append(_entities(F.when(F.col("error").isNull(), items), name, kind, rule))
+    version = [c for c in ("modified_at", "content_key") if c in file_analysis.columns]
     parts[1:] = [F.coalesce(part, F.filter(parts[0], lambda r: F.lit(False))) for part in parts[1:]]
     return (
         valid_files(file_analysis)
-        .select(*FILE, "file_path", "filename", F.explode(F.concat(*parts)).alias("_r"))
+        .select(*FILE, "file_path", "filename", *version, F.explode(F.concat(*parts)).alias("_r"))
         .select("_r.collection", *FILE, "_r.id", "_r.document", "file_path", "filename", *[
             F.col(f"_r.{c}") for c in
             ("name", "type", "extension", "total_lines", "has_error", "oversized_file", "error_message")
-        ])
+        ], *version)
     )
 
 
 def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
     """All records of a file in ``new`` replace all records of that file in ``old``."""
-    return old.join(new.select(*FILE).distinct(), FILE, "left_anti").unionByName(new)
+    touched = new.filter(F.col("collection") == "file_summaries").select(*FILE)  # one row a file
+    return old.join(touched, FILE, "left_anti").unionByName(new)
 
 
 def collection_stats(records: DataFrame) -> DataFrame:

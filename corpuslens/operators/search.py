@@ -203,12 +203,13 @@ def choose_collections(records: DataFrame, collection: str, allowed=config.COLLE
 
 
 def metadata_filter(records: DataFrame, filters: Mapping[str, object] | None) -> DataFrame:
-    """Equality on columns, values cast to the column's type; reaches the scan. Unknown keys match nothing."""
+    """Equality on columns, values cast to the column's type; reaches the scan. Unknown keys, and values that
+    the type cannot hold, match nothing."""
     for key, value in (filters or {}).items():
         name = METADATA_NAMES.get(key, key)
         if name not in records.columns:
             return records.filter(F.lit(False))
-        records = records.filter(F.col(name) == F.lit(value).cast(records.schema[name].dataType))
+        records = records.filter(F.col(name) == F.lit(value).try_cast(records.schema[name].dataType))
     return records
 
 
@@ -222,18 +223,19 @@ def search(
     n: int = 10,
     collection: str = "all",
     filters: Mapping[str, object] | None = None,
-    per_collection_cap: int = config.PER_COLLECTION_CAP,
+    per_collection_cap: int | None = None,
     embedder: Embedder | None = None,
     dim: int = DIMENSIONS,
     content: bool = True,
 ) -> DataFrame:
     """Best ``n`` records per query over the chosen collections, most relevant first.
 
-    Each collection offers at most ``min(n, per_collection_cap)``. ``queries``: query_id with text
-    or embedding.
+    ``queries``: query_id with text or embedding. With a ``per_collection_cap`` (such as
+    ``config.PER_COLLECTION_CAP``) each collection offers no more than that.
     """
     chosen = metadata_filter(choose_collections(collections, collection), filters)
-    return _top(chosen, _query_vectors(queries, embedder, dim), n, min(n, per_collection_cap), content)
+    offered = n if per_collection_cap is None else min(n, per_collection_cap)
+    return _top(chosen, _query_vectors(queries, embedder, dim), n, offered, content)
 
 
 def _top(records: DataFrame, queries: DataFrame, n: int, per_collection: int, content: bool) -> DataFrame:
@@ -267,7 +269,7 @@ def find_similar(
     dim: int = DIMENSIONS,
     content: bool = True,
 ) -> DataFrame:
-    """The ``n`` nearest functions, classes or summaries per snippet, without the per-collection cap."""
+    """The ``n`` nearest functions, classes or summaries per snippet."""
     chosen = choose_collections(
         collections, "" if collection == "all" else collection, config.SIMILAR_COLLECTIONS
     )

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 ROWS_PER_SPLIT = 1_000_000
-MAX_HOT_KEYS = 1024
+NULL_PIECES = 1 << 20
+#: Hot keys that may be broadcast; more of them meet the rows in a shuffle, which Spark splits.
+BROADCAST_KEYS = 100_000
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -15,7 +20,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        if not context.master.startswith("local"):
+        if not re.match(r"local(\[|$)", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="corpuslens-")
     if not context.getCheckpointDir():
@@ -57,8 +62,8 @@ def lookup_join(
     A ``dim`` that Spark knows to be small is broadcast by Spark, and no key can be hot. Otherwise the
     hot keys of ``facts`` are counted with map-side combining. Each is cut into pieces of about
     ``rows_per_split`` rows by a hash of the ``vary`` columns, and its ``dim`` row is repeated per
-    piece. The hot list is broadcast: it holds at most MAX_HOT_KEYS rows, and any key beyond it owns
-    less than 1/MAX_HOT_KEYS of the rows and needs no cutting.
+    piece. Every key of more rows is cut; the list of them is broadcast if it is short. Rows with a NULL
+    key, which find nothing, are spread by the same hash.
 
     The count reads ``facts`` a second time: ``costly`` facts are written out first.
     """
@@ -66,17 +71,21 @@ def lookup_join(
         return facts.join(dim, keys, how)
     if costly:
         facts = materialise(facts)
-    hot = F.broadcast(
-        facts.groupBy(*keys)
+    hot = materialise(
+        facts.dropna(subset=keys)
+        .groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_rows"))
         .filter(F.col("_rows") > rows_per_split)
-        .orderBy(F.desc("_rows"), *keys)
-        .limit(MAX_HOT_KEYS)
         .select(*keys, F.ceil(F.col("_rows") / rows_per_split).cast("int").alias("_pieces"))
     )
+    if hot.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        hot = F.broadcast(hot)
     pieces = F.coalesce("_pieces", F.lit(1))
+    spread_by = lambda n: F.pmod(F.xxhash64(*vary), n).cast("int")
+    unknown = reduce(or_, [F.col(k).isNull() for k in keys])
     cut = facts.join(hot, keys, "left").withColumn(
-        "_piece", F.when(pieces > 1, F.pmod(F.xxhash64(*vary), pieces).cast("int")).otherwise(F.lit(0))
+        "_piece",
+        F.when(unknown, -1 - spread_by(F.lit(NULL_PIECES))).when(pieces > 1, spread_by(pieces)).otherwise(F.lit(0)),
     )
     repeated = dim.join(hot, keys, "left").withColumn("_piece", F.explode(F.sequence(F.lit(0), pieces - 1)))
     return cut.drop("_pieces").join(repeated.drop("_pieces"), [*keys, "_piece"], how).drop("_piece")

@@ -14,6 +14,8 @@ from corpuslens.sources import store as stores
 from corpuslens.sources.files import read_content
 
 RULES = "rules"
+#: Prompts asked between two commits.
+WAVE = 100_000
 
 # Takes chunks with their prompts, gives chunk_analysis: a whole chunk stage of the user's own.
 Analyzer = Callable[[DataFrame], DataFrame]
@@ -33,14 +35,19 @@ def chunk_files(
     return model.add_prompts(chunks.mark_structural(cut), functions, dependencies)
 
 
-def answer(prompts: DataFrame, store: str, provider: model.Provider, **options) -> DataFrame:
-    """Responses for all prompts: asks for those not stored yet, stores them, reads the store.
+def answer(prompts: DataFrame, store: str, provider: model.Provider, wave: int = WAVE, **options) -> DataFrame:
+    """Responses for all prompts: asks for those without a good answer in the store, stores what comes, reads
+    the store.
 
-    Writing comes before reading on purpose: the stage behind a model must never run twice.
+    Writing comes before reading on purpose: the stage behind a model must never run twice. Prompts are
+    asked in waves of about ``wave``, each stored before the next begins, so a broken run keeps what it has.
     """
     spark = prompts.sparkSession
-    asked = model.pending_prompts(prompts, stores.read_responses(spark, store))
-    stores.write_responses(model.infer(asked, provider, **options), store)
+    asked = materialise(model.pending_prompts(prompts, stores.read_responses(spark, store)))
+    waves = max(1, -(-asked.count() // wave))
+    for number in range(waves):
+        part = asked.filter(F.pmod(F.xxhash64("prompt_hash"), F.lit(waves)) == number) if waves > 1 else asked
+        stores.write_responses(model.infer(part, provider, **options), store)
     return stores.read_responses(spark, store)
 
 
@@ -77,7 +84,7 @@ def analyze_files(
     """
     known = F.col("read_error") if "read_error" in files.columns else F.lit(None).cast("string")
     unread = F.when(F.col("content").isNull(), F.coalesce(known, F.lit("content could not be read")))
-    marked = files.withColumn("file_error", unread)
+    marked = discovery.with_content_key(files).withColumn("file_error", unread)
     if provider == RULES:
         if analyzer is None:
             analysis = analyze_rules(marked, size, overlap, context, functions, dependencies, keep_empty=True)
@@ -87,7 +94,7 @@ def analyze_files(
     else:
         if store is None:
             raise ValueError("a model provider needs a store for its responses")
-        cut = chunk_files(marked, size, overlap, context, functions, dependencies, keep_empty=True)
+        cut = materialise(chunk_files(marked, size, overlap, context, functions, dependencies, keep_empty=True))
         asked = cut.filter(F.col("chunk_no").isNotNull()).select("prompt_hash", "prompt")
         responses = answer(asked, store, provider, **options)
         attached = rollup.attach_responses(cut.drop("content", "prompt"), responses)
@@ -145,7 +152,8 @@ def analyze_corpora(
     source_dir: Column | None = None,
     **options,
 ) -> str:
-    """Discovers, analyses and stores; gives the generation written. With ``resume`` only what is not stored yet.
+    """Discovers, analyses and stores; gives the generation written. With ``resume`` only files that are not
+    stored yet, have changed since, or have failed.
 
     ``files`` may be a listing without ``content`` (see ``walk``): filters, resume and bookkeeping then
     work on names alone, and only what is left to analyse is read. ``rules`` holds ignore texts per
@@ -156,12 +164,13 @@ def analyze_corpora(
     if obey_gitignore and rules is None:
         own = files.filter(F.col("rel_path") == discovery.IGNORE_FILE)
         rules = discovery.ignore_files(read_content(own) if listing else own)
-    found = discovery.discover(files, include, exclude, rules, recursive)
+    found = discovery.with_content_key(discovery.discover(files, include, exclude, rules, recursive))
     start_run(found, store, source_dir)
     pending = found
     if resume:
         try:
-            pending = discovery.remaining(found, stores.read_collections(spark, store, ["file_summaries"]))
+            done = stores.read_collections(spark, store, ["file_summaries"]).filter(~F.coalesce("has_error", F.lit(False)))
+            pending = discovery.remaining(found, done, (*rollup.FILE, "content_key"))
         except ValueError:
             pass  # nothing stored yet
     analysis = analyze_files(

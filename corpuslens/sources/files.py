@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import fnmatch
 import os
-import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from corpuslens import config
 from corpuslens.functions import paths
 from corpuslens.operators.skew import materialise
 
-SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*:(//[^/]*)?"
+#: Entries of a folder in one frame, and bytes of content in one batch.
+LISTED_AT_ONCE, READ_AT_ONCE = 50_000, 32 << 20
 LISTED = "corpus_id string, root string, folder string, file_path string, size_bytes bigint, modified_at timestamp, is_folder boolean"
 
 
@@ -50,57 +51,46 @@ def with_names(files: DataFrame) -> DataFrame:
 
 
 def scan(spark: SparkSession, root: str, corpus_id: str, recursive: bool = True, glob: str | None = None) -> DataFrame:
-    """One folder as files, through Spark's own binary file reader. A missing root is an error.
-
-    Content is read only if it is selected. Spark's reader passes over names that begin with ``_`` or
-    ``.``; where those matter (``__init__.py``, ``.gitignore``) use ``walk``.
-    """
-    base = root if re.match(SCHEME, root) else os.path.abspath(root)
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
+    """One folder as files with their content, every name included. A missing root is an error."""
+    base = root if "://" in root else os.path.abspath(root)
+    listed = walk(spark.createDataFrame([(corpus_id, base)], "corpus_id string, root string"), recursive, excluded_folders=())
     if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    found = reader.load(base)
-    path = F.regexp_replace("path", SCHEME, "")
-    return with_names(
-        found.select(
-            F.lit(corpus_id).alias("corpus_id"),
-            path.alias("file_path"),
-            paths.relative_path(path, F.lit(re.sub(SCHEME, "", base))).alias("rel_path"),
-            F.col("length").alias("size_bytes"),
-            F.col("modificationTime").alias("modified_at"),
-            decode_text(F.col("content")).alias("content"),
-        )
-    )
+        listed = listed.filter(F.col("filename").rlike(fnmatch.translate(glob).replace("\\Z", "$").replace("\\z", "$")))
+    return read_content(listed.drop("root"))
 
 
 def walk(roots: DataFrame, recursive: bool = True, excluded_folders: Sequence[str] = config.EXCLUDED_FOLDERS) -> DataFrame:
     """Lists many folder trees at once (``corpus_id, root``), every name included, without content.
 
-    One step per depth: the folders found are spread over the tasks, which list them. Excluded
-    folders are not entered. A missing root is an error. Roots are local paths on shared storage or
+    One step per depth: the folders found are spread over the tasks, which list them. Excluded folders
+    and links to folders are not entered. A missing root is an error. Roots are local paths on shared storage or
     URIs that pyarrow's file systems know.
     """
     excluded = {f.lower() for f in excluded_folders}
 
+    names = [part.split()[0] for part in LISTED.split(", ")]
+
     def listing(frames):
         import pandas as pd
         from pyarrow import fs
 
         for frame in frames:
-            rows = []
             for corpus_id, root, folder in zip(frame["corpus_id"], frame["root"], frame["folder"]):
                 store, inner = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
                 prefix = folder[: len(folder) - len(inner)] if "://" in folder and folder.endswith(inner) else ""
-                for entry in store.get_file_info(fs.FileSelector(inner)):
-                    folder_found = entry.type == fs.FileType.Directory
-                    if folder_found and entry.base_name.lower() in excluded:
-                        continue
-                    rows.append((corpus_id, root, folder, prefix + entry.path, entry.size, entry.mtime, folder_found))
-            names = [part.split()[0] for part in LISTED.split(", ")]
-            out = pd.DataFrame(rows, columns=names)
-            out["modified_at"] = pd.to_datetime(out["modified_at"], utc=True)
-            out["size_bytes"] = out["size_bytes"].astype("Int64")
-            yield out
+                local = isinstance(store, fs.LocalFileSystem)
+                entries = store.get_file_info(fs.FileSelector(inner))
+                for at in range(0, len(entries), LISTED_AT_ONCE):
+                    rows = []
+                    for entry in entries[at : at + LISTED_AT_ONCE]:
+                        is_folder = entry.type == fs.FileType.Directory
+                        if is_folder and (entry.base_name.lower() in excluded or local and os.path.islink(entry.path)):
+                            continue
+                        rows.append((corpus_id, root, folder, prefix + entry.path, entry.size, entry.mtime, is_folder))
+                    out = pd.DataFrame(rows, columns=names)
+                    out["modified_at"] = pd.to_datetime(out["modified_at"], utc=True)
+                    out["size_bytes"] = out["size_bytes"].astype("Int64")
+                    yield out
 
     tasks = roots.sparkSession.sparkContext.defaultParallelism * 4
     frontier = roots.select("corpus_id", "root", F.col("root").alias("folder"))
@@ -116,34 +106,41 @@ def walk(roots: DataFrame, recursive: bool = True, excluded_folders: Sequence[st
 
 
 def read_content(files: DataFrame) -> DataFrame:
-    """Adds ``content`` to listed files: run the filters first, then read only what is left."""
-    schema = "corpus_id string, rel_path string, file_path string, content binary, read_error string"
+    """Adds ``content`` and ``read_error`` to listed files: run the filters first, then read only what is left.
 
-    def read(frames):
-        import pandas as pd
+    The other columns pass through the stage that reads, so content is never shuffled.
+    """
+    listed = files.drop("content", "read_error")
+    names = listed.columns
+
+    def read(batches):
+        import pyarrow as pa
         from pyarrow import fs
 
-        for frame in frames:
-            for row in frame.itertuples(index=False):
+        def out(part, contents, errors):
+            columns = [*part.columns, pa.array(contents, pa.binary()), pa.array(errors, pa.string())]
+            return pa.RecordBatch.from_arrays(columns, [*names, "content", "read_error"])
+
+        for batch in batches:
+            start, size, contents, errors = 0, 0, [], []
+            for i, path in enumerate(batch.column(names.index("file_path")).to_pylist()):
                 content = error = None
                 try:
-                    store, inner = (
-                        fs.FileSystem.from_uri(row.file_path) if "://" in row.file_path
-                        else (fs.LocalFileSystem(), row.file_path)
-                    )
+                    store, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
                     with store.open_input_stream(inner) as stream:
                         content = stream.read()
                 except OSError as failure:
                     error = str(failure)
-                yield pd.DataFrame(
-                    {"corpus_id": [row.corpus_id], "rel_path": [row.rel_path], "file_path": [row.file_path],
-                     "content": [content], "read_error": [error]}
-                )
+                contents.append(content)
+                errors.append(error)
+                size += len(content or b"")
+                if size >= READ_AT_ONCE:
+                    yield out(batch.slice(start, i + 1 - start), contents, errors)
+                    start, size, contents, errors = i + 1, 0, [], []
+            if contents:
+                yield out(batch.slice(start), contents, errors)
 
-    extra = [c for c in files.columns if c not in ("corpus_id", "rel_path", "file_path", "content")]
     tasks = files.sparkSession.sparkContext.defaultParallelism * 4
-    read_back = files.select("corpus_id", "rel_path", "file_path").repartition(tasks, "file_path").mapInPandas(read, schema)
-    return (
-        read_back.withColumn("content", decode_text(F.col("content")))
-        .join(files.select("corpus_id", "rel_path", *extra), ["corpus_id", "rel_path"])
-    )
+    more = [T.StructField("content", T.BinaryType()), T.StructField("read_error", T.StringType())]
+    found = listed.repartition(tasks, "file_path").mapInArrow(read, T.StructType([*listed.schema.fields, *more]))
+    return found.withColumn("content", decode_text(F.col("content")))

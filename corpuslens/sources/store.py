@@ -1,84 +1,111 @@
 """The stored tables: plain Parquet folders.
 
 Records are written as generations. A generation holds whole files: all records of each file it
-touches. Writing one costs what the batch costs, never what the store holds; the newest generation
-of a file is the one that counts. Spark puts ``_SUCCESS`` into a generation last, so a reader never
-sees half of one, and a repeated batch writes over its own generation and changes nothing else.
-``compact`` folds generations into one base now and then.
+touches. Writing one costs what the batch costs, never what the store holds. Of a file stored more
+than once the newest version counts: the latest ``modified_at``, or the time of writing where none is
+known; of equal versions the later generation. Every generation has a name of its own, so writers never
+meet in one folder. Spark puts ``_SUCCESS`` into a generation last, so a reader never sees half of one.
+
+A ``label`` names a batch: writing it again replaces the generation of that very label, as long as that
+is not folded yet. ``compact`` folds the generations it has read, by name, into a base; generations
+written meanwhile stay beside it. What the base before had folded is removed then: a reader has one
+compaction's time to end.
 """
 
 from __future__ import annotations
 
+import uuid
+from urllib.parse import quote
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpuslens import config
 from corpuslens.operators.rollup import FILE
 
 RECORDS = "records"
+FOLDED = "folded"
 RESPONSES = "responses"
 PROJECTS = "project_info"
 FILE_LISTS = "file_list"
-BASE = "~base"
+BASE = "base"
 SCHEMA = (
     "corpus_id string, rel_path string, id string, document string, embedding array<float>, "
     "file_path string, filename string, extension string, name string, type string, total_lines bigint, "
-    "has_error boolean, oversized_file boolean, error_message string"
+    "has_error boolean, oversized_file boolean, error_message string, content_key string, version timestamp"
 )
+#: Generations beside the base after which a writer compacts.
+COMPACT_AFTER = 32
+
+
+def _hadoop(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
 
 
 def _folders(spark: SparkSession, path: str) -> list[str]:
     """Names of the finished folders below ``path``; driver metadata only."""
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    files = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    where, files = _hadoop(spark, path)
     if not files.exists(where):
         return []
-    done = lambda p: files.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))
+    done = lambda p: files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))
     return sorted(s.getPath().getName() for s in files.listStatus(where) if s.isDirectory() and done(s.getPath()))
 
 
-def _generations(spark: SparkSession, store: str) -> list[str]:
-    """From the newest base on. Names sort by number; a base sorts behind what it folds together."""
-    names = _folders(spark, f"{store}/{RECORDS}")
-    bases = [n for n in names if n.endswith(BASE)]
-    return [n for n in names if not bases or n >= bases[-1]]
+def _name(names: list[str], prefix: str, label: str | None = None) -> str:
+    """A name behind all ``names`` that nobody else has."""
+    number = 1 + max((int(n[len(prefix) + 1 :][:12]) for n in names), default=-1)
+    return f"{prefix}={number:012d}.{uuid.uuid4().hex}" + (f"@{quote(label, safe='')}" if label else "")
+
 
+def _label(name: str) -> str:
+    return name.partition("@")[2]
 
-def _number(name: str) -> int:
-    return int(name[len("gen=") :][:12])
 
+def _folded(spark: SparkSession, store: str) -> list[tuple[str, list[str]]]:
+    """Each finished base and the names it holds together, oldest first."""
+    bases = _folders(spark, f"{store}/{FOLDED}")
+    listed = lambda base: spark.read.schema("name string").parquet(f"{store}/{FOLDED}/{base}").collect()
+    return [(base, [r["name"] for r in listed(base)]) for base in bases]
 
-def write_records(records: DataFrame, store: str, label: str | None = None) -> str:
+
+def _generations(spark: SparkSession, store: str) -> list[str]:
+    """What counts: the bases, and generations no base has folded."""
+    names = _folders(spark, f"{store}/{RECORDS}")
+    bases = _folded(spark, store)
+    hidden = {n for _, held in bases for n in held}
+    known = {base for base, _ in bases}
+    return [n for n in names if n not in hidden and (n in known or _label(n) != BASE)]
+
+
+def write_records(records: DataFrame, store: str, label: str | None = None, compact_after: int | None = COMPACT_AFTER) -> str:
     """Upsert: every file in ``records`` replaces its earlier records. Gives the generation's name.
 
-    A ``label`` names the batch: writing it again overwrites its own generation, in its old place.
+    A ``label`` names the batch, one of its own for each source and batch: written again, it replaces what
+    it wrote. With ``compact_after`` a store of more generations is compacted after the write.
     """
     spark = records.sparkSession
-    names = _folders(spark, f"{store}/{RECORDS}")
-    suffix = f".{label}" if label else ""
-    before = [n for n in names if suffix and n.endswith(suffix)]
-    name = before[-1] if before else f"gen={1 + max(map(_number, names), default=-1):012d}{suffix}"
-    if "embedding" not in records.columns:
-        records = records.withColumn("embedding", F.lit(None).cast("array<float>"))
+    if label and quote(label, safe="") == BASE:
+        raise ValueError(f"{BASE} is no label")
+    live = _generations(spark, store)
+    before = [n for n in live if label and _label(n) == quote(label, safe="")]
+    name = before[-1] if before else _name(_folders(spark, f"{store}/{RECORDS}"), "gen", label)
+    for column, kind in (("embedding", "array<float>"), ("content_key", "string"), ("modified_at", "timestamp")):
+        if column not in records.columns:
+            records = records.withColumn(column, F.lit(None).cast(kind))
     columns = [part.split(" ")[0] for part in SCHEMA.split(", ")]
     (
-        records.select("collection", *columns)
+        records.withColumn("version", F.coalesce("modified_at", F.current_timestamp()))
+        .select("collection", *columns)
         .write.mode("overwrite")
         .partitionBy("collection")
         .parquet(f"{store}/{RECORDS}/{name}")
     )
+    if compact_after is not None and len(live) >= compact_after:
+        compact(spark, store)
     return name
 
 
-def read_collections(spark: SparkSession, store: str, collections=None) -> DataFrame:
-    """Current records; ``collection`` filters prune folders. A store without records is an error.
-
-    The base is read beside the generations on top of it. Which files those replace is an aggregate of
-    their summary records alone; Spark broadcasts it if its size allows.
-    """
-    names = _generations(spark, store)
-    if not names:
-        raise ValueError(f"no collections in {store}")
+def _read(spark: SparkSession, store: str, names: list[str], collections=None) -> DataFrame:
     root = f"{store}/{RECORDS}"
     reader = lambda picked: (
         spark.read.schema(f"{SCHEMA}, collection string, gen string")
@@ -88,49 +115,76 @@ def read_collections(spark: SparkSession, store: str, collections=None) -> DataF
     wanted = list(collections or config.COLLECTIONS)
     rows = reader(names).filter(F.col("collection").isin(wanted))
     if len(names) > 1:
-        newest = (
-            reader(names[1:]).filter(F.col("collection") == "file_summaries").groupBy(*FILE).agg(F.max("gen").alias("_gen"))
-        )
+        base = [n for n in names if _label(n) == BASE][-1:] or names[:1]
+        summaries = lambda picked: reader(picked).filter(F.col("collection") == "file_summaries").select(*FILE, "version", "gen")
+        later = summaries([n for n in names if n not in base])
+        # only files that a generation beside the base touches can have several versions
+        held = later.unionByName(summaries(base).join(later.select(*FILE).distinct(), FILE, "left_semi"))
+        newest = held.groupBy(*FILE).agg(F.max(F.struct("version", "gen"))["gen"].alias("_gen"))
         rows = rows.join(newest, FILE, "left").filter(F.col("_gen").isNull() | (F.col("gen") == F.col("_gen"))).drop("_gen")
     return rows.drop("gen")
 
 
+def read_collections(spark: SparkSession, store: str, collections=None) -> DataFrame:
+    """Current records; ``collection`` filters prune folders. A store without records is an error.
+
+    Which versions count is an aggregate of the summary records of files touched since the last base;
+    Spark broadcasts it if its size allows.
+    """
+    names = _generations(spark, store)
+    if not names:
+        raise ValueError(f"no collections in {store}")
+    return _read(spark, store, names, collections)
+
+
 def compact(spark: SparkSession, store: str) -> None:
-    """Writes the current records as a base; earlier generations are then no longer read.
+    """Folds the current generations into a base, and removes those that an earlier base had folded.
 
     The base is range-partitioned by file, so that file statistics prune look-ups by path.
     """
     names = _generations(spark, store)
     if len(names) < 2:
         return
-    current = read_collections(spark, store)
-    base = f"gen={_number(names[-1]):012d}{BASE}"
+    earlier = _folded(spark, store)
+    base = _name(_folders(spark, f"{store}/{RECORDS}"), "gen", BASE)
     (
-        current.repartitionByRange("collection", "corpus_id", "rel_path", "id")
+        _read(spark, store, names)
+        .repartitionByRange("collection", "corpus_id", "rel_path", "id")
         .sortWithinPartitions("collection", "corpus_id", "rel_path", "id")
-        .write.mode("overwrite")
-        .partitionBy("collection")
+        .write.partitionBy("collection")
         .parquet(f"{store}/{RECORDS}/{base}")
     )
+    gone = [n for _, held in earlier for n in held]
+    # a base that is folded itself hides no longer what is removed, so its list is taken over first
+    spark.createDataFrame([(n,) for n in [*names, *gone]], "name string").coalesce(1).write.parquet(f"{store}/{FOLDED}/{base}")
+    for where in [*(f"{RECORDS}/{n}" for n in gone), *(f"{FOLDED}/{b}" for b, _ in earlier)]:
+        path, files = _hadoop(spark, f"{store}/{where}")
+        files.delete(path, True)
 
 
 def read_responses(spark: SparkSession, store: str) -> DataFrame | None:
+    """One row per prompt: a good answer if there is one, else the latest error."""
     names = _folders(spark, f"{store}/{RESPONSES}")
     if not names:
         return None
-    return spark.read.parquet(*[f"{store}/{RESPONSES}/{n}" for n in names])
+    held = spark.read.parquet(*[f"{store}/{RESPONSES}/{n}" for n in names])
+    good = held.filter("error IS NULL").drop("asked_at").dropDuplicates(["prompt_hash"])
+    tries = held.filter("error IS NOT NULL").join(good.select("prompt_hash"), "prompt_hash", "left_anti")
+    last = F.max_by(F.struct("response", "error", "attempts"), F.struct("asked_at", "error"))
+    failed = tries.groupBy("prompt_hash").agg(last.alias("_last")).select("prompt_hash", "_last.*")
+    return good.unionByName(failed)
 
 
 def write_responses(responses: DataFrame, store: str) -> None:
-    """Kept for good: a reply that was paid for is never asked for again."""
-    number = len(_folders(responses.sparkSession, f"{store}/{RESPONSES}"))
-    responses.write.mode("overwrite").parquet(f"{store}/{RESPONSES}/part={number:012d}")
+    """Kept for good: a reply that was paid for is never asked for again. Failures are kept beside it and
+    may be tried again."""
+    name = _name(_folders(responses.sparkSession, f"{store}/{RESPONSES}"), "part")
+    responses.withColumn("asked_at", F.current_timestamp()).write.parquet(f"{store}/{RESPONSES}/{name}")
 
 
 def write_table(df: DataFrame, store: str, name: str) -> None:
     """A small table as a new version beside the old one, which may be what is being read."""
-    number = max((int(n.split("=")[1]) for n in _folders(df.sparkSession, f"{store}/{name}")), default=-1) + 1
-    df.write.mode("overwrite").parquet(f"{store}/{name}/version={number:012d}")
+    df.write.parquet(f"{store}/{name}/{_name(_folders(df.sparkSession, f'{store}/{name}'), 'version')}")
 
 
 def read_table(spark: SparkSession, store: str, name: str) -> DataFrame | None:

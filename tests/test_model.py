@@ -36,6 +36,8 @@ CASES = [
     ('{"description": "d", "functions": ["a", "b", "dependencies": "x", "classes": 1}',
      ("repaired", "d", None, ["a", "b"], None)),
     ('{"classes": ["A"], "functions": [1, {"a": 2}]}', ("repaired", "No description available", ["A"], ["1", '{"a":2}'], None)),
+    ('{"description": "d", "classes": ["A"], "classes": ["B"]}', ("direct", "d", ["B"], None, None)),
+    ('{"classes": ["A"], "description":' + " " * 70 + '"a: b"}', ("repaired", "a b", ["A"], None, None)),
     ('{"classes": ["A"], "description": "x\\n: y"}', ("repaired", "x\n y", ["A"], None, None)),
 ]
 

@@ -110,11 +110,46 @@ def test_store_upsert_replay_and_compaction(spark, files, stored):
     assert shown(stores.read_collections(spark, stored, ["functions"])) == [("functions", "d/b.py", "f()")]
 
 
-def test_resume_leaves_stored_files_alone(spark, files, stored):
-    df = files([("a.py", "class Changed\n"), ("new.py", "class New\n")])
-    analyze.analyze_corpora(df, stored, dim=16)
-    classes = {r[2] for r in shown(stores.read_collections(spark, stored)) if r[0] == "classes"}
-    assert classes == {"X", "Y", "Z", "New"}
+def test_resume_redoes_changed_files_only(spark, files, stored):
+    seen = spark.sparkContext.accumulator(0)
+
+    def provider():
+        def client(prompts, timeout):
+            seen.add(sum("```" in p for p in prompts))
+            return ['{"description": "d", "classes": ["Asked"], "functions": []}' for _ in prompts]
+
+        return client
+
+    df = files([("a.py", "class Changed\n"), ("d/b.py", "class Z\ndef f\n"), ("new.py", "class New\n")])
+    analyze.analyze_corpora(df, stored, provider, dim=16, recursive=True)
+    classes = {(r[1], r[2]) for r in shown(stores.read_collections(spark, stored)) if r[0] == "classes"}
+    assert classes == {("a.py", "Asked"), ("d/b.py", "Z"), ("new.py", "Asked")} and seen.value == 2
+
+
+def test_labels_are_whole_and_old_places_are_not_written(spark, files, tmp_path):
+    store = str(tmp_path / "s")
+    record = lambda name, text: rollup.to_records(analyze.analyze_files(files([(name, f"class {text}\n")])))
+    first = stores.write_records(record("a.py", "A1"), store, "1")
+    assert stores.write_records(record("b.py", "B1"), store, "stream.1") != first
+    assert stores.write_records(record("a.py", "A1"), store, "1") == first
+    stores.compact(spark, store)
+    stores.write_records(record("c.py", "C1"), store)
+    assert stores.write_records(record("a.py", "A2"), store, "1") != first
+    want = [("classes", "a.py", "A2"), ("classes", "b.py", "B1"), ("classes", "c.py", "C1")]
+    assert shown(stores.read_collections(spark, store)) == want
+    stores.compact(spark, store)
+    stores.compact(spark, store)
+    assert shown(stores.read_collections(spark, store)) == want
+    with pytest.raises(ValueError):
+        stores.write_records(record("a.py", "A3"), store, "base")
+
+
+def test_a_store_compacts_itself_and_drops_what_was_folded(spark, files, tmp_path):
+    store = str(tmp_path / "s")
+    for k in range(9):
+        stores.write_records(rollup.to_records(analyze.analyze_files(files([(f"{k}.py", f"class C{k}\n")]))), store, compact_after=2)
+    assert shown(stores.read_collections(spark, store)) == [("classes", f"{k}.py", f"C{k}") for k in range(9)]
+    assert len(list((tmp_path / "s" / "records").iterdir())) <= 8 and len(list((tmp_path / "s" / "folded").iterdir())) == 1
 
 
 def test_missing_store(spark, tmp_path):
@@ -132,6 +167,7 @@ def test_search_and_lookups_on_the_store(spark, stored):
     named = search.search(held, asked, filters={"class_name": "Y"}, dim=16).collect()
     assert [r["document"] for r in named] == ["Y"]
     assert search.search(held, asked, filters={"no_such": 1}, dim=16).count() == 0
+    assert search.search(held, asked, filters={"total_lines": "abc"}, dim=16).count() == 0
     paths = spark.createDataFrame([("c", "/r/d/b.py"), ("c", "/q/a.py"), ("c", "b.py")], "corpus_id string, path string")
     got = {r["path"]: (r["rel_path"], r["found_by"]) for r in lookup.file_summary(held, paths).collect()}
     assert got == {"/r/d/b.py": ("d/b.py", 1), "/q/a.py": ("a.py", 2)}
@@ -207,8 +243,8 @@ def test_several_sinks_and_an_own_analyzer(spark, files, tmp_path):
     )
     store = str(tmp_path / "s")
     sink = incremental.all_of(incremental.store_sink(store, dim=4), incremental.report_sink(store))
-    sink(rows, 0)
-    sink(rows, 0)
+    sink(rows, "x.0")
+    sink(rows, "x.0")
     assert shown(stores.read_collections(spark, store)) == [
         ("classes", "a.py", "Own"), ("dependencies", "a.py", "os"), ("functions", "a.py", "f()"),
     ]

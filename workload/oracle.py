@@ -19,6 +19,7 @@ def files(view: str) -> str:
 
 DOC, CODE = files(DOCFILES), files(CODEFILES)
 
+# Folder names, extensions and context lengths that must match.
 FOLDERS = (
     "['obj','debug','release','properties','bin','node_modules','.git','__pycache__','venv','.venv','env','.env',"
     "'dist','build']"
@@ -362,6 +363,8 @@ PATTERNS = """
       AND NOT (regexp_matches(filename, '^doc_2.\\.md$') OR contains('/' || rel_path, '/fr/')
                OR regexp_matches(rel_path, '^b[1-3]/(?:.+/)?doc_[^/]*[05]\\.js$'))""".format(folder=IN_FOLDER)
 
+NOT_EXCLUDED = f"NOT {IN_FOLDER}"
+
 IGNORED = """
     SELECT corpus_id, rel_path FROM files WHERE NOT CASE corpus_id
         WHEN 'c0' THEN contains('/' || rel_path, '/de/')
@@ -444,8 +447,21 @@ ORACLE = {
                   FROM prompted"""),
     "infer_responses": query(DOC, LINES, chunks(SIZE), prompts(WANTED, KEYS), select=INFER),
     "reply_normalize": f"WITH {REPLY}",
-    "reply_text": """SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN text ELSE upper(role) END AS answer
-        FROM conversations WHERE turn % 3 < 2""",
+    "reply_text": """SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN text WHEN 1 THEN upper(role)
+        ELSE '{null, null, ' || role || '}' END AS answer FROM conversations""",
+    "retry_after_failure": query(DOC, LINES, chunks(SIZE), prompts(WANTED, KEYS), select=f"""
+        SELECT corpus_id, rel_path, chunk_no, CASE WHEN l % {BAD} = 0 OR l % {LATE} = 0 THEN 'again ' ELSE '' END
+               || l || ' letters' AS description, CAST(NULL AS VARCHAR) AS error
+        FROM (SELECT *, length(prompt) AS l FROM prompted)"""),
+    "walk_tree": query(DOC, f"ignored AS ({IGNORED})", select=f"""
+        SELECT corpus_id, rel_path, md5(content) AS content_md5 FROM files SEMI JOIN ignored USING (corpus_id, rel_path)
+        WHERE {KNOWN_EXTENSION} AND NOT {IN_FOLDER}
+        UNION ALL SELECT unnest(['c0', 'c1', 'c2']), 'pkg/__init__.py', md5('import os' || chr(10))"""),
+    "search_uncapped": search_query(DOC, SNIPPETS, DOCUMENTS, tail=nearest(30, 30, HITS)),
+    "label_after_compact": UPSERTED,
+    "changed_files_redone": query(*ANALYSED, records("analysed"), select=f"{RECORD_COLUMNS} records WHERE {NOT_EXCLUDED}"),
+    "two_streams_one_store": query(*ANALYSED, records("analysed"), select=f"{RECORD_COLUMNS} records"),
+    "late_old_version": query(*ANALYSED, records("analysed"), select=f"{RECORD_COLUMNS} records"),
     "clean_summaries": """
         SELECT conv_id, turn, CASE turn % 4
             WHEN 0 THEN '## Title' || chr(10) || text || chr(10) || 'end:'

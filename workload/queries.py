@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from corpuslens import config
 from corpuslens.functions import paths, replies
 from corpuslens.functions.vectors import embed, squared_distance
 from corpuslens.operators import chunks, discovery, graph, lookup, model, report, rollup, search
-from corpuslens.operators.skew import checkpoint_dir, materialise, spread
+from corpuslens.operators.skew import checkpoint_dir, lookup_join, materialise, spread
 from corpuslens.plans import analyze
 from corpuslens.sources import store as stores
-from corpuslens.sources.files import decode_text, from_table
+from corpuslens.sources.files import decode_text, from_table, read_content, walk
 from corpuslens.streaming import incremental
 from workload.adapter import codefiles, docfiles, table
 
@@ -223,6 +225,25 @@ def infer_responses(spark, sf):
     return done.select(*FILE, "chunk_no", "description", "parse_route", "error", "attempts")
 
 
+def healthy_provider():
+    """The stand-in again, after its outage."""
+    return lambda prompts, timeout: [
+        '{"description": "again %d letters", "classes": [], "functions": []}' % len(prompt) for prompt in prompts
+    ]
+
+
+def retry_after_failure(spark, sf):
+    """Prompts that failed are asked again in the next run; good answers are not."""
+    cut = materialise(
+        analyze.chunk_files(docfiles(spark, sf), SIZE, context=CONTEXT).select(*FILE, "chunk_no", "prompt", "prompt_hash")
+    )
+    store = work_folder(spark, "responses")
+    analyze.answer(cut, store, counting_provider, wave=1000, pause=0.0)
+    answers = analyze.answer(cut, store, healthy_provider)
+    done = model.normalise_replies(rollup.attach_responses(cut.drop("prompt"), answers))
+    return done.select(*FILE, "chunk_no", "description", "error")
+
+
 def reply_table(spark, sf) -> DataFrame:
     """Replies of every quality, made around the conversation texts."""
     said = spread(table(spark, sf, "conversations"), "conv_id").withColumn(
@@ -247,14 +268,16 @@ def reply_normalize(spark, sf):
 
 
 def reply_text(spark, sf):
+    """Text of replies that have it in one field, in another, or in none (their string form)."""
     said = table(spark, sf, "conversations").select(
         "conv_id", "turn",
         F.struct(
             F.when(F.col("turn") % 3 == 0, F.col("text")).alias("content"),
             F.when(F.col("turn") % 3 == 1, F.upper("role")).alias("prediction"),
+            F.col("role"),
         ).alias("reply"),
     )
-    return said.filter(F.col("turn") % 3 < 2).select(
+    return said.select(
         "conv_id", "turn", replies.reply_text(F.col("reply"), "content", "prediction").alias("answer")
     )
 
@@ -320,6 +343,57 @@ def stored_upsert(spark, sf):
     return stores.read_collections(spark, store).select(*RECORD)
 
 
+def label_after_compact(spark, sf):
+    """A label written again after its first generation was folded, and below a newer one."""
+    store = work_folder(spark, "store")
+    files = materialise(analysed(spark, sf))
+    stores.write_records(rollup.to_records(files), store, "batch")
+    stores.write_records(rollup.to_records(files.filter(F.col("corpus_id") == "c1")), store)
+    stores.compact(spark, store)
+    stores.write_records(rollup.to_records(files.filter(F.col("corpus_id") == "c2")), store)
+    stores.write_records(rollup.to_records(again(labelled(spark, sf, files))), store, "batch")
+    return stores.read_collections(spark, store).select(*RECORD)
+
+
+def changed_files_redone(spark, sf):
+    """A run over files of which the labelled ones have changed since the run before."""
+    files = codefiles(spark, sf)
+    store = work_folder(spark, "store")
+    old = F.when(F.col("_labelled"), F.concat(F.lit("class Old\n"), "content")).otherwise(F.col("content"))
+    marks = table(spark, sf, "labels").select("doc_id", F.lit(True).alias("_labelled")).distinct()
+    before = files.join(marks, "doc_id", "left").withColumn("content", old).drop("_labelled")
+    for version in (before, files):
+        analyze.analyze_corpora(version, store, size=SIZE, context=CONTEXT, include=["*"], recursive=True, dim=DIM)
+    return stores.read_collections(spark, store).select(*RECORD)
+
+
+def walk_tree(spark, sf):
+    """Documents as files in folders, listed, filtered by their ignore files and read back. Every corpus also
+    holds an ``__init__.py`` and a link that leads back to its root."""
+    folder = work_folder(spark, "tree").removeprefix("file:")
+    rules = spark.createDataFrame(list(IGNORE.items()), "corpus_id string, content string")
+    files = docfiles(spark, sf).select("corpus_id", "rel_path", "content")
+    extra = rules.select("corpus_id", F.lit(".gitignore").alias("rel_path"), "content").union(
+        rules.select("corpus_id", F.lit("pkg/__init__.py"), F.lit("import os\n"))
+    )
+
+    def write(rows):
+        for row in rows:
+            path = f"{folder}/{row.corpus_id}/{row.rel_path}"
+            os.makedirs(os.path.dirname(path), exist_ok=True)
+            with open(path, "w", encoding="utf-8", newline="") as file:
+                file.write(row.content)
+            if row.rel_path == ".gitignore":
+                os.symlink(os.path.dirname(path), f"{os.path.dirname(path)}/loop")
+
+    files.union(extra).foreachPartition(write)
+    roots = rules.select("corpus_id", F.concat(F.lit(f"{folder}/"), "corpus_id").alias("root"))
+    listed = walk(roots)
+    own = discovery.ignore_files(read_content(listed.filter(F.col("filename") == discovery.IGNORE_FILE)))
+    found = read_content(discovery.discover(listed, rules=own, recursive=True))
+    return found.select(*FILE, F.md5("content").alias("content_md5"))
+
+
 def collection_stats(spark, sf):
     return rollup.collection_stats(rollup.to_records(analysed(spark, sf)))
 
@@ -389,7 +463,7 @@ def neighbour_distances(spark, sf):
     """Distance of every vector to the mean of its label, as a plain expression."""
     records = vector_records(spark, sf)
     means = centroids(records).select(F.col("query_id").alias("collection"), F.col("embedding").alias("mean"))
-    return records.join(means, "collection").select(
+    return lookup_join(records, means, ["collection"], ["id"], "inner").select(
         "id", "collection", F.round(squared_distance(F.col("embedding"), F.col("mean")), 6).alias("distance")
     )
 
@@ -428,11 +502,16 @@ def search_filtered(spark, sf):
     return hit_columns(
         search.search(
             text_records(spark, sf), snippets(spark, sf), 30, filters={"extension": ".py", "has_error": "false"},
-            dim=DIM, content=False,
+            per_collection_cap=config.PER_COLLECTION_CAP, dim=DIM, content=False,
         )
     )
 
 
+def search_uncapped(spark, sf):
+    """As many of one collection as are asked for."""
+    return hit_columns(search.search(text_records(spark, sf), snippets(spark, sf), 30, dim=DIM, content=False))
+
+
 def stored_collections(spark, sf) -> DataFrame:
     store = work_folder(spark, "store")
     stores.write_records(analyze.collection_records(analysed(spark, sf), dim=DIM), store)
@@ -441,7 +520,7 @@ def stored_collections(spark, sf) -> DataFrame:
 
 def search_text(spark, sf):
     """All collections, best 30 of at most 20 each, with the documents found."""
-    hits = search.search(stored_collections(spark, sf), snippets(spark, sf), 30, dim=DIM)
+    hits = search.search(stored_collections(spark, sf), snippets(spark, sf), 30, per_collection_cap=config.PER_COLLECTION_CAP, dim=DIM)
     return hits.select(
         "query_id", "collection", *FILE, "id", "rank", (F.round("relevance_score", 6) + 0.0).alias("score"), "document", "name"
     )
@@ -560,6 +639,38 @@ def stream_equals_batch(spark, sf):
     return stores.read_collections(spark, store).select(*RECORD)
 
 
+def two_streams_one_store(spark, sf):
+    """Two streams of their own checkpoints write their halves into one store."""
+    store = work_folder(spark, "store")
+    files = codefiles(spark, sf).withColumn("modified_at", F.lit("2024-01-02").cast("timestamp"))
+    for half in range(2):
+        folder = work_folder(spark, "arriving")
+        files.filter(F.col("doc_id") % 2 == half).repartition(2, "doc_id").write.parquet(folder)
+        arriving = spark.readStream.schema(files.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        incremental.analyze_stream(
+            arriving, work_folder(spark, "stream"), incremental.store_sink(store, dim=DIM), size=SIZE, context=CONTEXT
+        ).awaitTermination()
+    incremental.finish(spark, store, rollup.project_info(files, F.lit("/")))
+    return stores.read_collections(spark, store).select(*RECORD)
+
+
+def late_old_version(spark, sf):
+    """Old versions of all files arrive in a later micro-batch than the new ones, in a stream that goes on."""
+    store, folder, checkpoint = (work_folder(spark, name) for name in ("store", "arriving", "stream"))
+    files = codefiles(spark, sf)
+    new = files.withColumn("modified_at", F.lit("2024-01-02").cast("timestamp"))
+    old = files.withColumn("modified_at", F.lit("2024-01-01").cast("timestamp")).withColumn(
+        "content", F.concat(F.lit("class Old\n"), "content")
+    )
+    for version in (new, old):
+        version.coalesce(1).write.mode("append").parquet(folder)
+        arriving = spark.readStream.schema(new.schema).parquet(folder)
+        incremental.analyze_stream(
+            arriving, checkpoint, incremental.store_sink(store, dim=DIM), size=SIZE, context=CONTEXT
+        ).awaitTermination()
+    return stores.read_collections(spark, store).select(*RECORD)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -572,6 +683,7 @@ QUERIES = {
         neighbour_distances, similar_topn, similar_many_snippets, search_filtered, search_text,
         search_by_type, file_summary, file_details, file_details_by_name, list_files, basename_counts,
         import_edges, graph_nodes, graph_lines, file_report, file_report_errors, report_index,
-        stream_equals_batch,
+        stream_equals_batch, retry_after_failure, label_after_compact, changed_files_redone, walk_tree,
+        search_uncapped, two_streams_one_store, late_old_version,
     )
 }
