@@ -28,7 +28,8 @@ def test_scores(spark):
 def test_caps(spark):
     held = records(spark, [[1.0, float(i)] for i in range(25)])
     asked = queries(spark, [[1.0, 0.0]])
-    assert search.search(held, asked, 30, content=False).count() == 20
+    assert search.search(held, asked, 30, content=False).count() == 25
+    assert search.search(held, asked, 30, per_collection_cap=20, content=False).count() == 20
     assert search.search(held, asked, 30, per_collection_cap=30, content=False).count() == 25
     assert search.find_similar(held, asked, 30, content=False).count() == 25
     assert search.search(held, asked, 30, "unknown", content=False).count() == 0
