@@ -453,6 +453,26 @@ ORACLE = {
         SELECT corpus_id, rel_path, chunk_no, CASE WHEN l % {BAD} = 0 OR l % {LATE} = 0 THEN 'again ' ELSE '' END
                || l || ' letters' AS description, CAST(NULL AS VARCHAR) AS error
         FROM (SELECT *, length(prompt) AS l FROM prompted)"""),
+    "model_run": query(DOC, LINES, chunks(SIZE), prompts(WANTED, KEYS), f"""
+        asked AS (SELECT corpus_id, rel_path, count(*) AS chunks, bool_or(length(prompt) % {BAD} = 0) AS bad,
+                         list_sort(list_distinct(list('K' || length(prompt)) FILTER (length(prompt) % {BAD} <> 0))) AS ks
+                  FROM prompted GROUP BY ALL),
+        run AS (SELECT files.*, doc_id % 9 = 0 AS unread, coalesce(chunks, 0) AS chunks, coalesce(bad, false) AS bad,
+                       coalesce(ks, []) AS ks FROM files LEFT JOIN asked USING (corpus_id, rel_path)),
+        summed AS (SELECT *, length(CASE WHEN size_bytes // 4 > {int(CONTEXT * 0.8)} THEN 'Summarise the beginning of the large file `'
+                ELSE 'Summarise the file `' END || filename || '` from what it defines.' || chr(10) || 'Classes:'
+                || CASE WHEN len(ks) = 0 THEN 'None' ELSE array_to_string(list_transform(ks, lambda x: chr(10) || '  - ' || x), '') END
+                || chr(10) || 'Functions:None' || chr(10) || 'Dependencies:None' || chr(10) || 'Use plain Markdown.' || chr(10)) AS l
+            FROM run),
+        shown AS (
+            SELECT 'file_summaries' AS collection, corpus_id, rel_path, CASE WHEN unread THEN 'Error analyzing file: content could not be read'
+                       WHEN chunks = 0 THEN 'No analysis available for this file.'
+                       WHEN l % {BAD} = 0 THEN 'Error generating summary: bad prompt' ELSE 'Sum ' || l END AS document,
+                   unread OR bad AS has_error, CASE WHEN unread THEN 'content could not be read' END AS error_message,
+                   unread OR bad AS found_by_filter FROM summed
+            UNION ALL
+            SELECT 'classes', corpus_id, rel_path, unnest(ks), NULL, NULL, false FROM summed WHERE NOT unread)""",
+        select="SELECT *, CAST(length(document) AS INT) AS letters FROM shown"),
     "walk_tree": query(DOC, f"ignored AS ({IGNORED})", select=f"""
         SELECT corpus_id, rel_path, md5(content) AS content_md5 FROM files SEMI JOIN ignored USING (corpus_id, rel_path)
         WHERE {KNOWN_EXTENSION} AND NOT {IN_FOLDER}

@@ -244,6 +244,39 @@ def retry_after_failure(spark, sf):
     return done.select(*FILE, "chunk_no", "description", "error")
 
 
+def summing_provider():
+    """Another stand-in: a class named by the prompt's length, or a summary; fails on some lengths."""
+
+    def answer(prompt: str):
+        if len(prompt) % BAD == 0:
+            return ValueError("bad prompt")
+        if prompt.startswith("Summarise"):
+            return "\n Sum %d \n" % len(prompt)
+        return '{"description": "d", "classes": ["K%d"], "functions": [], "dependencies": []}' % len(prompt)
+
+    return lambda prompts, timeout: [answer(p) for p in prompts]
+
+
+def letters_embedder():
+    return lambda texts: [[float(len(t)), 1.0] for t in texts]
+
+
+def model_run(spark, sf):
+    """The whole run through a model and an own embedder: chunk replies, roll-up, summary replies, records, the
+    store. Some files cannot be read, some prompts of either kind fail."""
+    files = docfiles(spark, sf).withColumn("content", F.when(F.col("doc_id") % 9 != 0, F.col("content")))
+    store = work_folder(spark, "store")
+    done = analyze.analyze_files(files, summing_provider, store, size=SIZE, context=CONTEXT, pause=0.0)
+    stores.write_records(analyze.collection_records(done, letters_embedder), store)
+    held = stores.read_collections(spark, store)
+    failed = search.metadata_filter(held, {"has_error": "true"}).select("collection", *FILE, F.lit(True).alias("_failed"))
+    found = held.join(failed, ["collection", *FILE], "left")
+    return found.select(
+        "collection", *FILE, "document", "has_error", "error_message", F.coalesce("_failed", F.lit(False)).alias("found_by_filter"),
+        F.col("embedding")[0].cast("int").alias("letters"),
+    )
+
+
 def reply_table(spark, sf) -> DataFrame:
     """Replies of every quality, made around the conversation texts."""
     said = spread(table(spark, sf, "conversations"), "conv_id").withColumn(
@@ -684,6 +717,6 @@ QUERIES = {
         search_by_type, file_summary, file_details, file_details_by_name, list_files, basename_counts,
         import_edges, graph_nodes, graph_lines, file_report, file_report_errors, report_index,
         stream_equals_batch, retry_after_failure, label_after_compact, changed_files_redone, walk_tree,
-        search_uncapped, two_streams_one_store, late_old_version,
+        search_uncapped, model_run, two_streams_one_store, late_old_version,
     )
 }
