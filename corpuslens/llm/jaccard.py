@@ -6,16 +6,18 @@ prefix) are rare ones, and two sets of Jaccard similarity 0.8 or more share a sh
 
 1. Shingles of all documents are counted in a table of fixed size; its logarithms give the order.
 2. Documents of one set are one class; classes of one prefix and size are one group. Groups post their
-   prefix; shingles that one group alone posts are dropped.
+   prefix; shingles that one group alone posts, or groups of too different sizes, are dropped.
 3. The groups that share a shingle are expanded into their classes: a bucket. In a bucket pairs are
-   filtered by size and by a parity bitmap of the set, whose difference is never more than that of the
-   sets. Each class not yet reached becomes a pivot and is paired with all that pass (never all pairs).
+   filtered by size and by parity bitmaps, as wide as the set is large, whose difference is never more
+   than that of the sets. Each class not yet reached becomes a pivot and is paired with all that pass (never all pairs).
 4. Pairs are verified on the whole sets; links give components. Buckets that still hold several
-   components give every pair across components that passes the filters, which is verified in turn. So
-   each link is either verified or joins two documents already connected: components are exact.
+   components give every pair across components that passes the filters, which is verified in turn; a
+   pair that a bucket of a smaller shingle gives, as far as the ``FIRST`` smallest ones of each class
+   tell, is not given again. So each link is either verified or joins two documents already connected:
+   components are exact.
 
-Shingles are compared by 59-bit hashes. Hot shingles are last in order, and a bucket in memory takes some
-60 bytes a class.
+Shingles are compared by 59-bit hashes. Hot shingles are last in order, and a bucket in memory takes one
+bitmap a class.
 
 Cases: NULL and empty texts have an empty set and link with nothing; fewer than ``SHINGLE`` words give
 one shingle, the whole sequence; rows with NULL doc_id are in a component of their own (NULL);
@@ -32,13 +34,17 @@ from pyspark.sql import DataFrame, functions as F
 
 from corpuslens.llm.batches import LOWER, Rolling, Words, column, mix, slices
 from corpuslens.llm.components import components
-from corpuslens.llm.shared import keep, small, text_of
+from corpuslens.llm.shared import keep, row_key, rows_with, small, text_of
 
 SHINGLE = 5
 #: Similar: 100 * |intersection| >= PERCENT * |union|.
 PERCENT = 80
 #: The table of counts has 2 ** PLACES places, sent in parts of 2 ** PART.
 PLACES, PART = 22, 12
+#: Shingles that a class names to the others of its buckets.
+FIRST = 8
+#: Bytes of text worked off at a time.
+SLICE = 2 << 20
 
 
 def shingles(texts: pa.Array, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -72,27 +78,25 @@ def corpus_levels(docs: DataFrame) -> np.ndarray:
     parts = 1 << (PLACES - PART)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << PLACES, np.int64)
-        for part in slices(batches):
-            hashes, _ = shingles(column(part, "text"))
-            table += np.bincount(_place(hashes), minlength=len(table))
-        rows = table.astype(np.int32).reshape(parts, -1) if table.max() < 1 << 31 else table.reshape(parts, -1)
-        held = [row.astype("<i8" if rows.dtype == np.int64 else "<i4").tobytes() for row in rows]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(parts, dtype=np.int32)), pa.array([rows.dtype.itemsize] * parts, pa.int32()), pa.array(held, pa.binary())],
-            ["part", "width", "counts"],
-        )
+        table = np.zeros(1 << PLACES, np.uint32)  # a task reads far fewer shingles than would overflow it
+        for part in slices(batches, limit=SLICE):
+            places, times = np.unique(_place(shingles(column(part, "text"))[0]), return_counts=True)
+            table[places] += times.astype(np.uint32)
+        rows = table.reshape(parts, -1)
+        for a in range(0, parts, 64):
+            held = [row.astype("<u4").tobytes() for row in rows[a : a + 64]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(a, a + len(held), dtype=np.int32)), pa.array(held, pa.binary())], ["part", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for part, width, counts in zip(*(c.to_pylist() for c in batch.columns)):
-                more = np.frombuffer(counts, f"<i{width}").astype(np.int64)
+            for part, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                more = np.frombuffer(counts, "<u4").astype(np.int64)
                 sums[part] = sums[part] + more if part in sums else more
         levels = [np.log2(np.maximum(s, 1)).astype(np.uint8).tobytes() for s in sums.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(levels, pa.binary())], ["part", "levels"])
 
-    counted = docs.select("text").mapInArrow(count, "part int, width int, counts binary").repartition("part")
+    counted = docs.select("text").mapInArrow(count, "part int, counts binary").repartition("part")
     levels = np.zeros((parts, 1 << PART), np.uint8)
     for row in counted.mapInArrow(add, "part int, levels binary").collect():  # 2 ** PLACES bytes in all
         levels[row.part] = np.frombuffer(bytes(row.levels), np.uint8)
@@ -110,109 +114,167 @@ def _identity(held: np.ndarray) -> int:
     return int(mix(mix(mix(total[:1]) + total[1:2]) + total[2:])[0])
 
 
+def parity(held: np.ndarray) -> bytes:
+    """For each of ``width`` places whether an odd number of the set's hashes falls on it. Halving the width
+    is to put one half over the other (exclusive or), so sets of different widths compare."""
+    width = max(512, 1 << int(np.ceil(np.log2(max(1.5 * len(held), 1)))))
+    odd = np.bincount((mix(held) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
 def _sets(docs: DataFrame, levels) -> DataFrame:
-    """``doc_id, n, cls, grp, b0..b3`` per document: size, class, group and parity bitmap of its set."""
+    """``doc_id, row_key, n, cls, grp, bits`` per document: size, class, group and parity bitmap of its set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, limit=SLICE):
             sets = ranked_sets(column(part, "text"), levels.value)
             n = np.array(list(map(len, sets)), np.int64)
             cls = np.array([_identity(s) if len(s) else 0 for s in sets], np.uint64)
             grp = np.array([_identity(np.append(s[: _prefix(len(s))], np.uint64(len(s)))) if len(s) else 0 for s in sets], np.uint64)
-            flat = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
-            bit = np.repeat(np.arange(len(sets)), n) * 256 + (mix(flat) >> np.uint64(56)).astype(np.int64)
-            odd = (np.bincount(bit, minlength=256 * len(sets)) & 1).astype(np.uint8)
-            bits = np.packbits(odd).view("<i8").reshape(-1, 4)
             yield pa.RecordBatch.from_arrays(
-                [column(part, "doc_id"), pa.array(n), pa.array(cls.view(np.int64)), pa.array(grp.view(np.int64)), *(pa.array(bits[:, k]) for k in range(4))],
-                ["doc_id", "n", "cls", "grp", "b0", "b1", "b2", "b3"],
+                [
+                    column(part, "doc_id"), column(part, "row_key"), pa.array(n), pa.array(cls.view(np.int64)), pa.array(grp.view(np.int64)),
+                    pa.array(list(map(parity, sets)), pa.binary()),
+                ],
+                ["doc_id", "row_key", "n", "cls", "grp", "bits"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n long, cls long, grp long, b0 long, b1 long, b2 long, b3 long")
+    return docs.mapInArrow(run, "doc_id long, row_key long, n long, cls long, grp long, bits binary")
 
 
 def _postings(docs: DataFrame, levels) -> DataFrame:
-    """``token, grp``: the prefix of every group."""
+    """``token, sizes, grp``: the prefix of every group.
+
+    ``sizes`` is the group's size and, in its lower half, the largest size of a set that can link with it if
+    this is the first shingle they share: the further back it stands, the less may follow.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, limit=SLICE):
             held = [s for s in ranked_sets(column(part, "text"), levels.value) if len(s)]
             heads = [s[: _prefix(len(s))] for s in held]
             grp = [_identity(np.append(h, np.uint64(len(s)))) for h, s in zip(heads, held)]
-            once = {g: h for g, h in zip(grp, heads)}  # equal groups of one slice post once
+            once = {g: (h, len(s)) for g, h, s in zip(grp, heads, held)}  # equal groups of one slice post once
             if once:
-                sizes = list(map(len, once.values()))
+                sizes = np.array([len(h) for h, _ in once.values()])
+                n = np.repeat(np.array([n for _, n in once.values()], np.int64), sizes)
+                at = np.arange(len(n)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                most = (100 + PERCENT) * (n - at) // PERCENT - n
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.concatenate(list(once.values())).view(np.int64)),
+                        pa.array(np.concatenate([h for h, _ in once.values()]).view(np.int64)),
+                        pa.array(n << 32 | np.maximum(most, 0)),
                         pa.array(np.repeat(np.array(list(once), np.uint64), sizes).view(np.int64)),
                     ],
-                    ["token", "grp"],
+                    ["token", "sizes", "grp"],
                 )
 
-    return docs.select("text").mapInArrow(run, "token long, grp long")
+    return docs.select("text").mapInArrow(run, "token long, sizes long, grp long")
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by ``token, grp`` the different ones whose token has several groups."""
-    held_token, held_grp = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def out(token: np.ndarray, grp: np.ndarray) -> pa.RecordBatch:
-        new = np.append(True, (token[1:] != token[:-1]) | (grp[1:] != grp[:-1]))[: len(token)]
-        token, grp = token[new], grp[new]
-        same = token[1:] == token[:-1]
-        several = np.append(same, False) | np.append(False, same) if len(token) else np.zeros(0, bool)
-        return pa.RecordBatch.from_arrays([pa.array(token[several]), pa.array(grp[several])], ["token", "grp"])
+    """``token, grp`` of the different rows, sorted by ``token, sizes, grp``, that may have a partner: of two
+    rows of a token both must allow the other's size, of more one next to it must fit by size."""
+    names = ("token", "sizes", "grp")
+    held = [np.zeros(0, np.int64) for _ in names]
+    before, near = 0, False  # rows of the first held token that are gone, and whether the last of them fits the next
+
+    def out(rows: list[np.ndarray], stop: int) -> pa.RecordBatch:
+        """Decides over the rows up to ``stop``; those behind it are seen only."""
+        token, sizes, grp = rows
+        n, most = sizes >> 32, sizes & 0xFFFFFFFF
+        new = np.append(True, token[1:] != token[:-1])
+        run = np.cumsum(new) - 1
+        length = np.bincount(run)
+        if len(length):
+            length[0] += before
+        pair = ~new[1:] & (100 * n[:-1] >= PERCENT * n[1:])
+        two = length[run[1:]] == 2
+        pair &= ~two | (n[1:] <= most[:-1]) & (n[:-1] <= most[1:])
+        fits = np.append(near, pair) | np.append(pair, False)
+        take = np.flatnonzero(fits[:stop])
+        out.state = (int((run[:stop] == run[stop]).sum()) + (before if stop < len(run) and run[stop] == 0 else 0), bool(pair[stop - 1])) if 0 < stop < len(run) else (0, False)
+        return pa.RecordBatch.from_arrays([pa.array(token[take]), pa.array(grp[take])], ["token", "grp"])
 
     for batch in batches:
-        token = np.append(held_token, column(batch, "token").to_numpy())
-        grp = np.append(held_grp, column(batch, "grp").to_numpy())
-        done = np.searchsorted(token, token[-1]) if len(token) else 0
-        yield out(token[:done], grp[:done])
-        held_token, held_grp = token[done:], grp[done:]
-        if len(held_grp) > 1:  # a token that goes on holds each group once
-            fresh = np.append(True, held_grp[1:] != held_grp[:-1])
-            held_token, held_grp = held_token[fresh], held_grp[fresh]
-    yield out(held_token, held_grp)
+        rows = [np.append(h, column(batch, c).to_numpy()) for h, c in zip(held, names)]
+        same = np.ones(max(len(rows[0]) - 1, 0), bool)
+        for r in rows:
+            same &= r[1:] == r[:-1]
+        rows = [r[np.append(True, ~same)[: len(r)]] for r in rows]
+        if len(rows[0]) > 3:
+            yield out(rows, len(rows[0]) - 3)  # three rows tell whether a token has more than two
+            before, near = out.state
+            held = [r[-3:] for r in rows]
+        else:
+            held = rows
+    if len(held[0]):
+        yield out(held, len(held[0]))
 
 
 class Bucket:
     """Classes that share a shingle, by size."""
 
-    def __init__(self, cls: np.ndarray, n: np.ndarray, bits: np.ndarray):
+    def __init__(self, cls: np.ndarray, n: np.ndarray, bits: list[bytes], root: list[int] | None = None, first: list[list[int]] | None = None):
         order = np.lexsort((cls, n))
-        self.cls, self.n, self.bits = cls[order], n[order], bits[order]
-        self.order = order
+        self.cls, self.n = cls[order], n[order]
+        if root is not None:
+            self.root = np.array(root, np.int64)[order]
+            self.first = np.full((len(order), FIRST), np.iinfo(np.int64).max)
+            for row, i in zip(self.first, order):
+                row[: len(first[i])] = first[i]
+        maps = [bits[i] for i in order]
+        size = np.array(list(map(len, maps)))
+        self.widths = np.unique(size)
+        self.at = {w: np.flatnonzero(size == w) for w in self.widths.tolist()}
+        self.maps = {w: np.frombuffer(b"".join(maps[i] for i in at), np.uint64).reshape(len(at), -1) for w, at in self.at.items()}
+        self.size = size
+        self.row = np.zeros(len(maps), np.int64)
+        for at in self.at.values():
+            self.row[at] = np.arange(len(at))
 
     def passing(self, i: int) -> np.ndarray:
         """Marks the classes that may link with class i."""
-        both = self.n + self.n[i]
-        differ = np.bitwise_count(self.bits ^ self.bits[i]).sum(axis=1, dtype=np.int64)
-        fits = 100 * np.minimum(self.n, self.n[i]) >= PERCENT * np.maximum(self.n, self.n[i])
-        fits &= (100 + PERCENT) * differ <= (100 - PERCENT) * both
+        lo = int(np.searchsorted(self.n, -(-PERCENT * self.n[i] // 100)))
+        hi = int(np.searchsorted(self.n, 100 * self.n[i] // PERCENT, side="right"))
+        fits = np.zeros(len(self.n), bool)
+        mine = self.maps[int(self.size[i])][self.row[i]]
+        for w, at in self.at.items():
+            a, b = np.searchsorted(at, (lo, hi))
+            if a == b:
+                continue
+            theirs, one = self.maps[w][a:b], mine
+            while theirs.shape[1] > len(one):
+                half = theirs.shape[1] // 2
+                theirs = theirs[:, :half] ^ theirs[:, half:]
+            while len(one) > theirs.shape[1]:
+                one = one[: len(one) // 2] ^ one[len(one) // 2 :]
+            differ = np.bitwise_count(theirs ^ one).sum(axis=1, dtype=np.int64)
+            fits[at[a:b]] = (100 + PERCENT) * differ <= (100 - PERCENT) * (self.n[at[a:b]] + self.n[i])
         fits[i] = False
         return fits
 
 
-def _buckets(batches: Iterator[pa.RecordBatch], more: tuple[str, ...] = ()) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """Runs of one token from rows sorted by token: cls, n, bits and further columns."""
-    names = ("token", "cls", "n", "b0", "b1", "b2", "b3", *more)
-    held = [np.zeros(0, np.int64) for _ in names]
-    for batch in batches:
-        held = [np.append(h, column(batch, c).to_numpy()) for h, c in zip(held, names)]
-        token = held[0]
-        ends = np.append(np.flatnonzero(token[1:] != token[:-1]) + 1, len(token)) if len(token) else np.zeros(0, np.int64)
-        start = 0
-        for end in ends[:-1].tolist():
-            yield int(token[start]), [h[start:end] for h in held[1:]]
-            start = end
-        held = [h[start:] for h in held]
-    if len(held[0]):
-        yield int(held[0][0]), [h for h in held[1:]]
+def _buckets(batches: Iterator[pa.RecordBatch], rooted: bool = False) -> Iterator[tuple[int, Bucket]]:
+    """Buckets of two classes or more from rows sorted by token. With ``root``, only those of several roots."""
+    held: list[tuple] = []
 
+    def bucket() -> Bucket | None:
+        if len(held) < 2 or rooted and len({r[4] for r in held}) < 2:
+            return None
+        more = ([r[4] for r in held], [r[5] for r in held]) if rooted else ()
+        return Bucket(np.array([r[1] for r in held], np.int64), np.array([r[2] for r in held], np.int64), [r[3] for r in held], *more)
 
-def _bucket(parts: list[np.ndarray]) -> Bucket:
-    return Bucket(parts[0], parts[1], np.stack([p.view(np.uint64) for p in parts[2:6]], axis=1))
+    names = ["token", "cls", "n", "bits"] + ["root", "first"] * rooted
+    for batch in batches:
+        for row in zip(*(column(batch, c).to_pylist() for c in names)):
+            if held and row[0] != held[0][0]:
+                if found := bucket():
+                    yield held[0][0], found
+                held = []
+            held.append(row)
+    if held and (found := bucket()):
+        yield held[0][0], found
 
 
 def _pivot_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,10 +285,7 @@ def _pivot_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pivot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    for token, parts in _buckets(batches):
-        if len(parts[0]) < 2:
-            continue
-        bucket = _bucket(parts)
+    for token, bucket in _buckets(batches):
         m = len(bucket.cls)
         covered, involved = np.zeros(m, bool), np.zeros(m, bool)
         given = 0
@@ -262,15 +321,14 @@ def _cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``x, y``: pairs of different components that pass the filters."""
 
     def rows() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for _, parts in _buckets(batches, ("root",)):
-            if (parts[6] == parts[6][:1]).all():
-                continue
-            bucket = _bucket(parts)
-            root = parts[6][bucket.order]
-            for i in range(len(root) - 1):
-                fits = bucket.passing(i) & (root != root[i])
+        for token, bucket in _buckets(batches, rooted=True):
+            for i in range(len(bucket.cls) - 1):
+                fits = bucket.passing(i) & (bucket.root != bucket.root[i])
                 fits[: i + 1] = False
                 found = np.flatnonzero(fits)
+                if len(found):
+                    smaller = bucket.first[i][bucket.first[i] < token]
+                    found = found[~np.isin(bucket.first[found], smaller).any(axis=1)]
                 if len(found):
                     yield np.full(len(found), bucket.cls[i]), bucket.cls[found]
 
@@ -283,7 +341,7 @@ def _whole_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, levels)
     ids = classes.join(wanted, "cls").select("rep", "cls")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, limit=SLICE):
             sets = ranked_sets(column(part, "text"), levels.value)
             right = [i for i, (s, c) in enumerate(zip(sets, column(part, "cls").to_pylist())) if len(s) and np.uint64(_identity(s)).view(np.int64) == c]
             yield pa.RecordBatch.from_arrays(
@@ -316,21 +374,23 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id, n_copies`` for every row; ``n_copies`` are the other rows of the
-    same set."""
+    """``doc_id, n_shingles, component_id, n_copies, row_key, root`` for every row; ``n_copies`` are the other
+    rows of the same set, ``row_key`` is ``xxhash64`` of the text, ``root`` names the component also where
+    rows of one doc_id are in several."""
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn("row_key", row_key("text"))
     levels = spark.sparkContext.broadcast(corpus_levels(texts))
     members = keep(_sets(texts, levels), "sets")
     named = texts.filter("doc_id IS NOT NULL")
     classes = keep(
-        members.filter("n > 0 AND doc_id IS NOT NULL").groupBy("cls", "grp", "n", "b0", "b1", "b2", "b3").agg(
-            F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("_rows")
+        members.filter("n > 0 AND doc_id IS NOT NULL").groupBy("cls").agg(
+            F.min("grp").alias("grp"), F.min("n").alias("n"), F.min("bits").alias("bits"), F.min("doc_id").alias("rep"),
+            F.count(F.lit(1)).alias("_rows"),
         ),
         "classes",
     )
-    about = classes.select("grp", "cls", "n", "b0", "b1", "b2", "b3")
-    posted = _postings(named, levels).repartition("token").sortWithinPartitions("token", "grp").mapInArrow(_shared, "token long, grp long")
+    about = classes.select("grp", "cls", "n", "bits")
+    posted = _postings(named, levels).repartition("token").sortWithinPartitions("token", "sizes", "grp").mapInArrow(_shared, "token long, grp long")
     crowded = classes.groupBy("grp").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").select(F.col("grp").alias("token"), "grp")
     expanded = posted.union(crowded).join(about, "grp").drop("grp")
     found = keep(
@@ -343,7 +403,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     links = keep(_verified(pairs, sets), "links")
     roots = components(links)
     rest = found.filter("kind = 1").select(F.col("x").alias("token"), F.col("y").alias("cls"))
-    labelled = rest.join(about.drop("grp"), "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn(
+    first = rest.groupBy("cls").agg(F.slice(F.sort_array(F.collect_list("token")), 1, FIRST).alias("first"))
+    labelled = rest.join(about.drop("grp").join(first, "cls"), "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn(
         "root", F.coalesce("root", "cls")
     )
     across = labelled.repartition("token").sortWithinPartitions("token", "n", "cls").mapInArrow(_cross_pairs, "x long, y long")
@@ -354,9 +415,24 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         "root", F.coalesce("root", "cls")
     )
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    labels = rooted.join(least, "root").select("cls", "component_id", (F.col("_rows") - 1).alias("n_copies"))
+    labels = rooted.join(least, "root").select("cls", "root", "component_id", (F.col("_rows") - 1).alias("n_copies"))
     linked = members.filter("n > 0 AND doc_id IS NOT NULL").join(labels, "cls")
     alone = members.filter("n = 0 OR doc_id IS NULL")
-    return linked.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_copies").union(
-        alone.select("doc_id", "n", "doc_id", F.lit(0).cast("long"))
+    return linked.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_copies", "row_key", "root").union(
+        alone.select("doc_id", "n", "doc_id", F.lit(0).cast("long"), "row_key", F.lit(None).cast("long"))
     )
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of every component: that of the smallest doc_id (of several, the least hash).
+
+    Documents without words, and those without doc_id, link with nothing and all stay; a repeated row
+    stays once.
+    """
+    found = keep(jaccard_components(docs), "components")
+    first = F.min(F.struct("doc_id", "row_key")).alias("_first")
+    alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
+    stay = found.filter(~alone).groupBy("root").agg(first).select("_first.*").withColumn("_stays", F.lit(True))
+    rows = found.groupBy("doc_id", "row_key").agg(F.count(F.lit(1)).alias("__cl_rows"), F.first(alone).alias("_alone"))
+    table = rows.join(stay, ["doc_id", "row_key"], "left").filter("_alone OR _stays").select("doc_id", F.col("row_key").alias("__cl_key"), "__cl_rows")
+    return rows_with(docs.withColumn("__cl_key", row_key(text_of())), table).select(docs.columns)

@@ -22,7 +22,7 @@ def _model() -> bytes:
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpuslens.llm.jaccard import jaccard_components
 
-    return jaccard_components(documents(spark, sf_dir))
+    return jaccard_components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "n_copies")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -98,8 +98,11 @@ def test_components(spark):
     for a, b in edges:
         a, b = root(a), root(b)
         top[max(a, b)] = min(a, b)
-    found = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert found == {x: root(x) for x in top if root(x) != x}
+    table = spark.createDataFrame(edges, "a long, b long")
+    for at_once in (1000, 60, 7):
+        found = {r.node: r.root for r in components(table, at_once).collect()}
+        assert found == {x: root(x) for x in top if root(x) != x}
+    assert components(table.limit(0)).collect() == []
 
 
 def test_empty_table(spark):
