@@ -102,7 +102,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, bits: int
 
 
 def score(docs: DataFrame, places: np.ndarray, weights: np.ndarray, columns: list[str], bits: int = BITS) -> DataFrame:
-    """``columns`` of every row and its ``_score``; one narrow stage."""
+    """``columns`` of every row and its ``__cl_score``; one narrow stage."""
     dense = np.zeros((1 << bits) + 1)
     dense[places] = weights
     model = docs.sparkSession.sparkContext.broadcast(dense.astype(np.float32))
@@ -110,24 +110,24 @@ def score(docs: DataFrame, places: np.ndarray, weights: np.ndarray, columns: lis
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = model.value
-        for part in slices(batches, "_text"):
-            owner, place = features(column(part, "_text"), bits)
+        for part in slices(batches, "__cl_text"):
+            owner, place = features(column(part, "__cl_text"), bits)
             said = w[place] != 0
             once = np.unique((owner[said] << (bits + 1)) | place[said])
             total = np.bincount(once >> (bits + 1), w[once & ((1 << (bits + 1)) - 1)], part.num_rows) + w[-1]
             yield pa.RecordBatch.from_arrays(
                 [column(part, name) for name in columns] + [pa.array(sigmoid(total) if taught else np.zeros(part.num_rows))],
-                [*columns, "_score"],
+                [*columns, "__cl_score"],
             )
 
-    held = docs.select(*columns, text_of().alias("_text"))
-    schema = T.StructType([*(docs.schema[name] for name in columns), T.StructField("_score", T.DoubleType())])
+    held = docs.select(*columns, text_of().alias("__cl_text"))
+    schema = T.StructType([*(docs.schema[name] for name in columns), T.StructField("__cl_score", T.DoubleType())])
     return held.mapInArrow(run, schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row."""
     return score(docs.select("doc_id", "text"), *train(docs, labels), columns=["doc_id"]).select(
-        "doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), F.col("_score").alias("score"),
-        (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"),
+        "doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), F.col("__cl_score").alias("score"),
+        (F.col("__cl_score") >= THRESHOLD).cast("int").alias("predicted"),
     )
