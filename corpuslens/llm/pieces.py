@@ -31,7 +31,7 @@ from corpuslens.llm.tokens import MARK, load
 DROPOUT = 0.1
 SEED = 20
 VARIANTS = 8
-REMEMBERED = 500_000
+REMEMBERED = 100_000
 #: Pre-tokens of more characters take a heap each.
 LONG = 48
 
@@ -66,23 +66,49 @@ class Vocabulary:
                 if left is not None and right is not None:
                     merges[left << 32 | right] = (i, rank[library.get_score(i)])
         self.keys = np.array(sorted(merges), np.int64)
+        self.slots = self.place_keys()
         self.merged = np.array([merges[k][0] for k in self.keys.tolist()], np.int64)
         self.ranks = np.array([merges[k][1] for k in self.keys.tolist()], np.int64)
         data = [t.replace(MARK, " ").encode() for t in text]
         for value, i in enumerate(self.byte_ids.tolist()):
             data[i] = bytes([value])
-        for i in range(self.size):
-            if i not in plain.values() and not byte[i]:
-                data[i] = b""
+        named = set(plain.values())
+        data = [d if i in named or byte[i] else b"" for i, d in enumerate(data)]
         self.lengths = np.array(list(map(len, data)), np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.data = np.frombuffer(b"".join(data), np.uint8)
 
+    def place_keys(self) -> np.ndarray:
+        """Row of ``keys`` by slot of a hash table with open addressing (-1: free)."""
+        slots = np.full(1 << max(8, (4 * len(self.keys)).bit_length()), -1, np.int32)
+        todo, at = np.arange(len(self.keys)), self.slot(self.keys, len(slots))
+        while len(todo):
+            free = np.flatnonzero(slots[at] < 0)
+            _, first = np.unique(at[free], return_index=True)
+            placed = free[first]
+            slots[at[placed]] = todo[placed]
+            rest = np.ones(len(todo), bool)
+            rest[placed] = False
+            todo, at = todo[rest], (at[rest] + 1) & (len(slots) - 1)
+        return slots
+
+    @staticmethod
+    def slot(keys: np.ndarray, size: int) -> np.ndarray:
+        return ((keys.astype(np.uint64) * _C[0]) >> np.uint64(65 - size.bit_length())).astype(np.int64)
+
     def look_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place in the merge table, and whether the pair is there."""
         key = left.astype(np.int64) << 32 | right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return at, self.keys[at] == key
+        slot = self.slot(key, len(self.slots))
+        at = self.slots[slot]
+        known = (at >= 0) & (self.keys[at] == key)
+        open_ = np.flatnonzero((at >= 0) & ~known)
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & (len(self.slots) - 1)
+            at[open_] = self.slots[slot[open_]]
+            known[open_] = (at[open_] >= 0) & (self.keys[at[open_]] == key[open_])
+            open_ = open_[(at[open_] >= 0) & ~known[open_]]
+        return at, known
 
 
 def skipped(key: np.ndarray, start: np.ndarray, middle: np.ndarray, end: np.ndarray, dropout: float) -> np.ndarray:
@@ -125,40 +151,45 @@ def agenda(vocabulary: Vocabulary, symbols: list[int], key: int, dropout: float)
 def side_by_side(
     vocabulary: Vocabulary, symbols: np.ndarray, counts: np.ndarray, keys: np.ndarray, dropout: float
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Many pre-tokens at once: one pop of every agenda per round. Gives ids and how many each has."""
+    """Many pre-tokens at once: one pop of every agenda per round. Gives ids and how many each has.
+
+    Every symbol holds the candidate it makes with the next one: rank and place in ``order``, the piece in
+    ``merged``. A merge changes the candidates of its symbol and of the one before; no other is looked up.
+    """
     word = np.repeat(np.arange(len(counts)), counts)
-    first = np.cumsum(counts) - counts
-    start = np.arange(len(symbols)) - np.repeat(first, counts)
+    start = np.arange(len(symbols)) - np.repeat(np.cumsum(counts) - counts, counts)
     end = start + 1
     symbols = symbols.astype(np.int64)
-    done_word, done_symbol, done_start = [], [], []
+    order, merged = np.full(len(symbols), _NEVER), np.zeros(len(symbols), np.int64)
+
+    def offer(at: np.ndarray) -> None:
+        order[at] = _NEVER
+        at = at[at + 1 < len(word)]
+        at = at[word[at] == word[at + 1]]
+        row, known = vocabulary.look_up(symbols[at], symbols[at + 1])
+        at, row = at[known], row[known]
+        fine = ~skipped(keys[word[at]], start[at], start[at + 1], end[at + 1], dropout)
+        at, row = at[fine], row[fine]
+        order[at] = vocabulary.ranks[row] << 32 | start[at]
+        merged[at] = vocabulary.merged[row]
+
+    offer(np.arange(len(symbols)))
+    done_word, done_symbol = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     while len(symbols):
-        rank = np.full(len(symbols), _NEVER)
-        merged = np.zeros(len(symbols), np.int64)
-        same = np.flatnonzero(word[1:] == word[:-1])
-        at, known = vocabulary.look_up(symbols[same], symbols[same + 1])
-        same, at = same[known], at[known]
-        fine = ~skipped(keys[word[same]], start[same], start[same + 1], end[same + 1], dropout)
-        same, at = same[fine], at[fine]
-        rank[same] = vocabulary.ranks[at] << 40 | same
-        merged[same] = vocabulary.merged[at]
         heads = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-        best = np.minimum.reduceat(rank, heads)
-        open_ = best < _NEVER
-        left = best[open_] & ((1 << 40) - 1)
+        best = np.repeat(np.minimum.reduceat(order, heads), np.diff(np.append(heads, len(symbols))))
+        stay = best < _NEVER
+        done_word.append(word[~stay])
+        done_symbol.append(symbols[~stay])
+        left = np.flatnonzero(stay & (order == best))
         symbols[left] = merged[left]
         end[left] = end[left + 1]
-        stay = np.repeat(open_, np.diff(np.append(heads, len(symbols))))
-        over = ~stay
-        done_word.append(word[over])
-        done_symbol.append(symbols[over])
-        done_start.append(start[over])
         stay[left + 1] = False
-        symbols, word, start, end = symbols[stay], word[stay], start[stay], end[stay]
-    word = np.concatenate(done_word) if done_word else np.zeros(0, np.int64)
-    order = np.argsort(word, kind="stable")
-    found = np.concatenate(done_symbol)[order] if done_symbol else np.zeros(0, np.int64)
-    return found, np.bincount(word, minlength=len(counts))
+        at = (np.cumsum(stay) - 1)[left]
+        symbols, word, start, end, order, merged = (x[stay] for x in (symbols, word, start, end, order, merged))
+        offer(np.concatenate([at, at[(at > 0)] - 1]))
+    word = np.concatenate(done_word)
+    return np.concatenate(done_symbol)[np.argsort(word, kind="stable")], np.bincount(word, minlength=len(counts))
 
 
 def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -266,29 +297,39 @@ def decode_ids(vocabulary: Vocabulary, ids: np.ndarray, offsets: np.ndarray) ->
     return raw.cast(pa.large_string()).cast(pa.string())
 
 
-def encode(docs: DataFrame, model: bytes, columns: list[str], seed: int = SEED, dropout: float = DROPOUT, variants: int = VARIANTS) -> DataFrame:
-    """``columns`` of every row and ``piece_ids``, the ids of its text."""
+def encode(
+    docs: DataFrame, model: bytes, columns: list[str], seed: int = SEED, dropout: float = DROPOUT, variants: int = VARIANTS, decoded: bool = False
+) -> DataFrame:
+    """``columns`` of every row and ``piece_ids``, the ids of its text. With ``decoded`` the same task turns the
+    ids back and adds the text they give as ``decoded``."""
     variant = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id").cast("string")), F.lit(variants)).cast("int")
 
+    vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary(model))  # as large as the model
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(Vocabulary(model), seed, dropout)
-        for part in slices(batches, "_text"):
-            ids, offsets = encoder.encode(column(part, "_text"), column(part, "_variant").to_numpy())
+        encoder = Encoder(vocabulary.value, seed, dropout)
+        for part in slices(batches, "__cl_text"):
+            ids, offsets = encoder.encode(column(part, "__cl_text"), column(part, "__cl_variant").to_numpy())
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
-            yield pa.RecordBatch.from_arrays([*(column(part, c) for c in columns), lists], [*columns, "piece_ids"])
+            texts = [decode_ids(vocabulary.value, ids, offsets)] if decoded else []
+            yield pa.RecordBatch.from_arrays([*(column(part, c) for c in columns), lists, *texts], names)
 
-    schema = T.StructType([*(docs.schema[c] for c in columns), T.StructField("piece_ids", T.ArrayType(T.IntegerType()))])
-    return docs.select(*columns, text_of().alias("_text"), variant.alias("_variant")).mapInArrow(run, schema)
+    names = [*columns, "piece_ids", *["decoded"] * decoded]
+    more = [T.StructField("piece_ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
+    schema = T.StructType([*(docs.schema[c] for c in columns), *more[: 1 + decoded]])
+    return docs.select(*columns, text_of().alias("__cl_text"), variant.alias("__cl_variant")).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, model: bytes) -> DataFrame:
     """All columns of ``encoded`` and ``decoded``, the text of its ``piece_ids`` (NULL ids: empty)."""
 
+    shared = encoded.sparkSession.sparkContext.broadcast(Vocabulary(model))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(model)
+        vocabulary = shared.value
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
                 lists = column(part, "piece_ids")
                 counts = np.array(lists.value_lengths().fill_null(0))
                 texts = decode_ids(vocabulary, lists.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(counts)))

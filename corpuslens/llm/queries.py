@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpuslens.llm.shared import documents
-from corpuslens.llm.sql import OP9
+from corpuslens.llm.sql import OP1, OP8, OP9
 
 #: Where the vocabulary lies on this machine; a parameter, as the operators take the model itself.
 PIECES = "piece_bpe_32k.model"
@@ -53,10 +53,9 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from corpuslens.llm.pieces import decode, encode
+    from corpuslens.llm.pieces import encode
 
-    model = _model()
-    found = decode(encode(documents(spark, sf_dir), model, ["doc_id", "text"]), model)
+    found = encode(documents(spark, sf_dir), _model(), ["doc_id", "text"], decoded=True)
     return found.select(
         "doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids",
         (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("lossless"), F.sha2("decoded", 256).alias("decoded_sha256"),
@@ -101,5 +100,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op1_jaccard_join": OP1,
+    "op8_suffix_dedup": OP8,
     "op9_substring_dedup": OP9,
 }

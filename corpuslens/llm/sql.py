@@ -21,3 +21,52 @@ SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT
        sha256(coalesce(t, '')) AS kept_sha256
 FROM w LEFT JOIN kept USING (doc_id)
 """
+
+# Bytes as pairs of hexadecimal digits: byte i is at 2 i + 1.
+OP8 = """
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+win AS (
+  SELECT doc_id, i, md5(substring(h, 2 * i + 1, 800)) AS s
+  FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 399)) AS i FROM b)
+),
+twice AS (SELECT s FROM win GROUP BY s HAVING count(*) > 1),
+hit AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS step FROM win SEMI JOIN twice USING (s)),
+island AS (
+  SELECT doc_id, i, sum(CASE WHEN step <= 400 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM hit
+),
+span AS (SELECT doc_id, r, min(i) AS a, max(i) + 400 AS z FROM island GROUP BY doc_id, r),
+part AS (
+  SELECT doc_id, a, substring(h, 2 * before + 1, 2 * (a - before)) AS x
+  FROM (SELECT doc_id, a, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM span) JOIN b USING (doc_id)
+  UNION ALL
+  SELECT doc_id, length(h), substring(h, 2 * coalesce(z, 0) + 1)
+  FROM b LEFT JOIN (SELECT doc_id, max(z) AS z FROM span GROUP BY doc_id) USING (doc_id)
+),
+kept AS (SELECT doc_id, string_agg(x, '' ORDER BY a) AS x FROM part GROUP BY doc_id),
+cut AS (SELECT doc_id, sum(z - a) AS n, count(*) AS k FROM span GROUP BY doc_id)
+SELECT b.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed,
+       coalesce(k, 0) AS n_spans, sha256(unhex(x)) AS kept_sha256
+FROM b JOIN kept USING (doc_id) LEFT JOIN cut USING (doc_id)
+"""
+
+OP1 = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, {WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS ws
+  FROM documents
+),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' '))
+                                      WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS x FROM w
+),
+sized AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pair AS (SELECT a.doc_id AS p, b.doc_id AS q, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (
+  SELECT p, q, c = np.n AND c = nq.n AS same FROM pair JOIN sized np ON np.doc_id = p JOIN sized nq ON nq.doc_id = q
+  WHERE 100 * c >= 80 * (np.n + nq.n - c)
+),
+reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT a, q FROM reach JOIN link ON b = p),
+least AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a),
+copies AS (SELECT p AS doc_id, count(*) AS n_copies FROM link WHERE same GROUP BY p)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, coalesce(n_copies, 0) AS n_copies
+FROM least LEFT JOIN sized USING (doc_id) LEFT JOIN copies USING (doc_id)
+"""
