@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpuslens.llm.jaccard import one_of_each
 from corpuslens.llm.mixing import mixed
-from corpuslens.llm.pieces import decode, encode
+from corpuslens.llm.pieces import encode
 from corpuslens.llm.shared import keep
 from corpuslens.llm.substrings import with_removed
 from corpuslens.llm.tokens import read_model
@@ -54,8 +54,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every text, and whether they decode to it."""
-    model = read_model(public_tokenizers.path(PIECES))
-    found = decode(encode(docs, model, ["doc_id", "source", "text"]), model)
+    found = encode(docs, read_model(public_tokenizers.path(PIECES)), ["doc_id", "source", "text"], decoded=True)
     return found.select(
         "doc_id", "source", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids",
         (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("lossless"),
