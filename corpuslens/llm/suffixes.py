@@ -14,6 +14,10 @@ compared, not hashes.
 Equal texts are handled once: if a text of LENGTH bytes or more occurs twice, all of it is covered, and
 one copy stands for all against other texts, so no group of copies meets anywhere.
 
+Heads of more than ``HOT`` anchors go to no task as a whole (``_split``): anchors whose bytes are equal
+as far as they matter are counted by a combining ``groupBy``, settled by that and stand as one; the
+others are split by the bytes around the head until a group is of ``HOT`` at most.
+
 Cases: NULL counts as empty; texts shorter than LENGTH keep everything; repeated rows cover each other;
 rows with NULL doc_id take part like others.
 """
@@ -21,6 +25,7 @@ rows with NULL doc_id take part like others.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +33,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from corpuslens.llm.batches import BYTE_VALUES, Rolling, buffers, column, slices, winnow
 from corpuslens.llm.shared import keep, small, text_of
+from corpuslens.operators.skew import lookup_join
 
 LENGTH = 400
 DEPTH = 32
 #: Bytes of text in memory at a time; every byte takes some hundred more while anchors are found.
 SLICE = 1 << 20
+#: Anchors that one task may compare at a time, some 800 bytes each and as much again for the tries.
+HOT = 4096
 
 _BLOCK = 4
 
@@ -220,7 +228,7 @@ def _covered(length: int, depth: int, at_once: int = 2_000):
         size, current = 0, None
 
         def out(groups: dict[int, list[tuple]]) -> pa.RecordBatch:
-            found = list(of([r for rows in groups.values() for r in rows]))
+            found = [f for rows in groups.values() for f in of(rows)]
             cols = list(zip(*found)) or [[], [], []]
             return pa.RecordBatch.from_arrays(
                 [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32())], ["uid", "first", "last"]
@@ -244,30 +252,78 @@ def _covered(length: int, depth: int, at_once: int = 2_000):
     return run
 
 
-def covered_spans(base: DataFrame, length: int = LENGTH, depth: int = DEPTH) -> DataFrame:
+def _split(contexts: DataFrame, length: int, depth: int, limit: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """The contexts of hot heads to ``uid, first, last`` of what is settled, and contexts, in groups of at
+    most ``limit`` by a new ``head``, that tell the rest.
+
+    A row asks about the starts ``lo`` to ``hi`` bytes before its anchor, so only ``hi`` bytes before and
+    ``length - lo`` after it count. Where both are those of another anchor, all these starts are covered, and
+    one row stands for both. Of what stays each half of the starts is asked alone: it can be equal only
+    where the ``lo`` bytes before and ``length - hi`` after agree, which makes the new groups. Halves of one
+    start are the strings themselves, so this ends after log2(length) rounds.
+    """
+    settled, groups = [], []
+    key = ["lo", "hi", "before", "after"]
+    whole = contexts.dropDuplicates(["uid", "pos"]).withColumns({"lo": F.lit(0), "hi": F.lit(length - depth)})
+    rows = keep(whole.select("uid", "pos", *key), "hot")
+    while True:
+        same = keep(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("uid", "pos")).alias("_one")), "same")
+        first = F.greatest("lo", F.lit(length) - F.octet_length("after"))
+        last = F.least("hi", F.octet_length("before"))
+        several = lookup_join(rows, same.filter("_n > 1").select(*key), key, ["uid", "pos"], "inner", limit).filter(first <= last)
+        settled.append(several.select("uid", (F.col("pos") - last).alias("first"), (F.col("pos") - first + length).alias("last")))
+        middle = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
+        half = F.explode(F.array(F.struct(F.col("lo"), middle.alias("hi")), F.struct((middle + 1).alias("lo"), F.col("hi"))))
+        asked = same.filter("lo < hi").select("_one.*", "before", "after", half.alias("_h")).select("uid", "pos", "_h.*", "before", "after").filter(
+            (F.octet_length("before") >= F.col("lo")) & (F.octet_length("after") >= F.lit(length) - F.col("hi"))
+        )
+        agreed = F.xxhash64("lo", "hi", F.substring("before", F.lit(1), F.col("lo")), F.substring("after", F.lit(1), F.lit(length) - F.col("hi")))
+        halves = keep(
+            asked.select(
+                agreed.alias("head"), "uid", "pos", "lo", "hi", F.substring("before", F.lit(1), F.col("hi")).alias("before"),
+                F.substring("after", F.lit(1), F.lit(length) - F.col("lo")).alias("after"),
+            ),
+            "halves",
+        )
+        hot = keep(halves.groupBy("head").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit).select("head"), "heads")
+        groups.append(halves.join(small(hot), "head", "left_anti").select("head", "uid", "pos", "before", "after"))
+        if not hot.limit(1).count():
+            return settled, groups
+        rows = halves.join(small(hot), "head", "left_semi")
+
+
+def covered_spans(base: DataFrame, length: int = LENGTH, depth: int = DEPTH, limit: int = HOT) -> DataFrame:
     """``uid, spans``: of each different text the covered byte ranges ``(first, last)``, ``last`` not included.
 
     ``base`` has ``doc_id, text, uid``. Texts that are covered as copies are not listed for that alone.
     """
     anchors = keep(_anchors(base, length, depth).distinct(), "anchors")
-    shared = anchors.groupBy("head").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("head")
-    marks = anchors.join(shared, "head").groupBy("uid").agg(F.collect_list(F.struct("pos", "head")).alias("marks"))
+    shared = anchors.groupBy("head").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("head", (F.col("_n") > limit).alias("hot"))
+    marks = anchors.join(shared, "head").groupBy("uid").agg(F.collect_list(F.struct("pos", "head", "hot")).alias("marks"))
     marks = keep(marks.join(base.groupBy("uid").agg(F.min("doc_id").alias("_rep")), "uid"), "marks")
-    # only texts with marks travel, one document for all of its copies
-    few = small(marks.select("uid", "_rep"))
-    texts = base.join(few, (base["uid"] == few["uid"]) & base["doc_id"].eqNullSafe(few["_rep"])).select(base["uid"], "text")
-    contexts = _contexts(texts.join(marks.select("uid", "marks"), "uid").select("uid", "text", "marks"), length, depth)
-    sorted_ = contexts.repartition("head").sortWithinPartitions("head")
-    found = sorted_.mapInArrow(_covered(length, depth), "uid long, first int, last int")
+
+    def contexts(hot: bool) -> DataFrame:
+        mine = marks.withColumn("marks", F.filter("marks", lambda m: m["hot"] == hot)).filter(F.size("marks") > 0)
+        # only texts with marks travel, one document for all of its copies
+        few = small(mine.select("uid", "_rep"))
+        texts = base.join(few, (base["uid"] == few["uid"]) & base["doc_id"].eqNullSafe(few["_rep"])).select(base["uid"], "text")
+        return _contexts(texts.join(mine.select("uid", "marks"), "uid").select("uid", "text", "marks"), length, depth)
+
+    settled, groups = [], [contexts(False)]
+    if marks.filter(F.exists("marks", lambda m: m["hot"])).limit(1).count():
+        settled, more = _split(contexts(True), length, depth, limit)
+        groups += more
+    sorted_ = reduce(DataFrame.union, groups).repartition("head").sortWithinPartitions("head")
+    found = reduce(DataFrame.union, [sorted_.mapInArrow(_covered(length, depth), "uid long, first int, last int"), *settled])
     return found.distinct().groupBy("uid").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
 
 
-def dedup_suffixes(docs: DataFrame, length: int = LENGTH, depth: int = DEPTH) -> DataFrame:
+def dedup_suffixes(docs: DataFrame, length: int = LENGTH, depth: int = DEPTH, limit: int = HOT) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept, kept_sha256`` of every row; ``kept`` are bytes."""
     if not 0 < depth < length:
         raise ValueError("depth must be less than length")
     base = docs.select("doc_id", text_of().alias("text")).withColumn("uid", F.xxhash64("text"))
-    spans = keep(covered_spans(base, length, depth), "spans")
+    spans = keep(covered_spans(base, length, depth, limit), "spans")
     copied = base.groupBy("uid").agg(F.count(F.lit(1)).alias("_n"), F.max(F.octet_length("text")).alias("_b")).filter(
         (F.col("_n") > 1) & (F.col("_b") >= length)
     )

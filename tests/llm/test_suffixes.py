@@ -3,6 +3,7 @@ import random
 
 import pytest
 
+from corpuslens.llm import suffixes
 from corpuslens.llm.suffixes import common, dedup_suffixes, deep_shallow
 from tests.llm.conftest import filler
 
@@ -50,6 +51,22 @@ def test_brute_force(docs, length, depth):
     assert result(docs(cases()), length, depth) == brute(cases(), length)
 
 
+@pytest.mark.parametrize("length, depth, limit", [(400, 32, 3), (12, 4, 5), (9, 8, 2)])
+def test_hot_heads_meet_in_no_task(docs, monkeypatch, length, depth, limit):
+    alike, ordinary = suffixes.repeated_ranges, suffixes._split
+
+    def ranges(lefts, rights, *more):
+        if len(more[2]) > limit:
+            raise MemoryError(f"{len(more[2])} anchors of one head in one task")
+        return alike(lefts, rights, *more)
+
+    used = []
+    monkeypatch.setattr(suffixes, "repeated_ranges", ranges)
+    monkeypatch.setattr(suffixes, "_split", lambda *args: used.append(1) or ordinary(*args))
+    found = dedup_suffixes(docs(cases()), length, depth, limit).collect()
+    assert used and sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found), key=repr) == brute(cases(), length)
+
+
 def test_sorting_is_sorting():
     rng = random.Random(2)
     for _ in range(60):
