@@ -2,8 +2,10 @@
 
 Slot t of the schedule is a point of the golden-ratio sequence; the cumulative target shares map it to a
 source, so every stretch of slots holds each source close to its share. The slots of a source are ranked,
-and rank r takes block r of the source's words, shuffled by a keyed hash and cut into blocks of equal
-length; past the last block the next pass begins. A source ends after ``REPEATS`` passes.
+and rank r takes block r of the source's words, shuffled by a keyed hash and cut into blocks that differ by
+one word at most; past the last block the next pass begins. A source ends with the word that meets its
+target, inside a block if need be: slots beyond it are left out, and sources that were dealt too few get
+the rest after the last slot.
 
 Everything is DataFrame work. Positions in a source are sums over (source, hash bucket) first and over
 one bucket then, ranks of slots come from a range partition: no source meets in one task.
@@ -72,14 +74,40 @@ def block_length(total: int) -> int:
     return max(1, min(BLOCK_WORDS, total // SLOTS))
 
 
+def _blocks(length: int) -> tuple[Column, Column, Column]:
+    """Of a source: how many blocks, words of a short one, and how many blocks (the first) have one word more."""
+    blocks = F.ceil(F.col("source_size") / length)
+    short = F.floor(F.col("source_size") / blocks)
+    return blocks, short, F.col("source_size") - short * blocks
+
+
+def block_start(block: Column, length: int) -> Column:
+    _, short, longer = _blocks(length)
+    return block * short + F.least(block, longer)
+
+
+def block_at(word: Column, length: int) -> Column:
+    """The block that holds the word at a place of the source."""
+    _, short, longer = _blocks(length)
+    head = longer * (short + 1)
+    return F.when(word < head, F.floor(word / (short + 1))).otherwise(longer + F.floor((word - head) / short))
+
+
 def schedule(targets: DataFrame, length: int) -> DataFrame:
-    """``slot, source, source_rank, rank, pass, block``: which block of which source each slot takes."""
+    """``slot, source_rank, rank, pass, block, upto``: which block of which source each slot takes, and the
+    place in the source where what it takes ends."""
     spark = targets.sparkSession
-    shares = targets.select("_rank", "source_size", "target").filter("target > 0")
-    total = shares.agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0]
-    slots = math.ceil(total / length) if total else 0
+    blocks = _blocks(length)[0]
+    words = F.round("target").cast("long")
+    rest = words % F.col("source_size")
+    shares = targets.filter("target > 0").select(
+        "_rank", "source_size", (F.col("target") * blocks / F.col("source_size")).alias("_share"), words.alias("_words"),
+        (F.floor(words / F.col("source_size")) * blocks + F.when(rest > 0, block_at(rest - 1, length) + 1).otherwise(0)).alias("_slots"),
+    )
+    total = shares.agg(F.coalesce(F.sum("_share"), F.lit(0.0))).first()[0]
+    slots = math.ceil(total)
     ordered = Window.orderBy("_rank").rowsBetween(Window.unboundedPreceding, 0)  # one small row per source
-    upto = F.sum("target").over(ordered) / F.lit(total or 1.0)
+    upto = F.sum("_share").over(ordered) / F.lit(total or 1.0)
     last = F.lead("_rank").over(Window.orderBy("_rank")).isNull()
     spans = shares.withColumn("_hi", F.when(last, F.lit(2.0)).otherwise(upto)).withColumn(
         "_lo", F.coalesce(F.lag("_hi").over(Window.orderBy("_rank")), F.lit(0.0))
@@ -90,13 +118,19 @@ def schedule(targets: DataFrame, length: int) -> DataFrame:
     point = (far * F.lit(_FAR)) % 1.0 + (near * F.lit(_GOLDEN)) % 1.0 + 0.5
     points = spark.range(slots).withColumnRenamed("id", "slot").withColumn("_u", point % 1.0).withColumn("_cell", cell(F.col("_u")))
     dealt = points.join(spans, "_cell").filter("_lo <= _u AND _u < _hi").select(
-        "slot", F.col("_rank").alias("source_rank"), "source_size"
+        "slot", F.col("_rank").alias("source_rank"), "source_size", "_words", "_slots"
     )
     ranked = rank_in_group(dealt, ["source_rank"], ["slot"], "rank")
-    blocks = F.ceil(F.col("source_size") / length)
-    return ranked.select(
-        "slot", "source_rank", "rank", F.floor(F.col("rank") / blocks).alias("pass"), (F.col("rank") % blocks).alias("block")
-    )
+    held = ranked.groupBy("source_rank").agg(F.count(F.lit(1)).alias("_held"))
+    short = shares.join(held, F.col("_rank") == F.col("source_rank"), "left").withColumn("_held", F.coalesce("_held", F.lit(0))).filter("_held < _slots")
+    before = F.coalesce(F.sum(F.col("_slots") - F.col("_held")).over(Window.orderBy("_rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    added = short.withColumn("_before", before).withColumn("rank", F.explode(F.sequence("_held", F.col("_slots") - 1)))
+    columns = ["slot", "source_rank", "source_size", "_words", "_slots", "rank"]
+    added = added.withColumn("slot", F.col("_before") + F.col("rank") - F.col("_held") + slots).withColumn("source_rank", F.col("_rank"))
+    whole = ranked.filter("rank < _slots").select(columns).union(added.select(columns))
+    passed, block = F.floor(F.col("rank") / blocks), F.col("rank") % blocks
+    upto = F.least(block_start(block + 1, length), F.col("_words") - passed * F.col("source_size"))
+    return whole.select("slot", "source_rank", "rank", passed.alias("pass"), block.alias("block"), upto.alias("upto"))
 
 
 def place(sizes: DataFrame, seed: int = SEED) -> DataFrame:
@@ -134,12 +168,12 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     placed = keep(
         place(sizes, seed).join(ranks, F.col("source").eqNullSafe(F.col("_source"))).drop("_source"), "placed"
     )
-    slots = schedule(targets, length).filter(F.col("pass") < REPEATS).select("source_rank", "block", "pass")
+    slots = schedule(targets, length).select("source_rank", "block", "pass", "upto")
     cut = placed.filter("size > 0").select(
         "doc_id", "source_rank", "start", "size",
-        F.explode(F.sequence(F.floor(F.col("start") / length), F.floor((F.col("start") + F.col("size") - 1) / length))).alias("block"),
-    )
-    inside = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * length) - F.greatest("start", F.col("block") * length)
+        "source_size", F.explode(F.sequence(block_at(F.col("start"), length), block_at(F.col("start") + F.col("size") - 1, length))).alias("block"),
+    ).withColumn("_from", F.greatest("start", block_start(F.col("block"), length)))
+    inside = F.greatest(F.lit(0), F.least(F.col("start") + F.col("size"), F.col("upto")) - F.col("_from"))
     took = cut.join(slots, ["source_rank", "block"]).groupBy("source_rank", "start", "size").agg(
         *(F.coalesce(F.sum(F.when(F.col("pass") == p, inside)), F.lit(0)).alias(f"_p{p}") for p in range(REPEATS))
     )

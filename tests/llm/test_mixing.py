@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from corpuslens.llm import mixing
 from corpuslens.llm.mixing import mix, schedule, source_targets
 
 
@@ -66,6 +67,17 @@ def test_schedule_holds_shares_in_every_stretch(spark):
     assert sorted(r.rank for r in slots if r.source_rank == 2) == list(range(sum(r.source_rank == 2 for r in slots)))
 
 
+def test_small_sources_meet_their_targets(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "block_length", lambda total: 512)
+    rows = rows_of({"a": 4, "b": 10, "c": 20, "d": 35, "e": 60, "f": 63, "g": 12})
+    found = mix(table(spark, rows)).collect()
+    by_id = {r[0]: r[2] for r in rows}
+    for s in "abcdefg":
+        mine = [r for r in found if by_id[r.doc_id] == s]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 0.5, s
+    assert all(t <= r.size for r in found for t in r.takes)
+
+
 def test_empty_tables(spark):
     assert mix(table(spark, [])).collect() == []
     found = mix(table(spark, [(1, None, None, "x", 1), (1, "", "a", "x", 1)])).collect()
