@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpuslens.llm.shared import documents
-from corpuslens.llm.sql import OP1, OP8, OP9
+from corpuslens.llm.sql import OP1, OP8, OP9, OP11
 
 #: Where the vocabulary lies on this machine; a parameter, as the operators take the model itself.
 PIECES = "piece_bpe_32k.model"
@@ -86,6 +86,15 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(documents(spark, sf_dir))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpuslens.llm.merkle import manifest
+
+    # what tampering changes: one more character where 7 divides the checksum of the key
+    hit = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    n_chars = F.col("n_chars").cast("decimal(20,0)")
+    return manifest(documents(spark, sf_dir), changed={"n_chars": F.when(hit, n_chars + 1).otherwise(n_chars).cast("decimal(20,0)")})
+
+
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_token_counts": op2_token_counts,
@@ -97,10 +106,12 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_spotsigs": op10_spotsigs,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 ORACLE = {
     "op1_jaccard_join": OP1,
     "op8_suffix_dedup": OP8,
     "op9_substring_dedup": OP9,
+    "op11_merkle_manifest": OP11,
 }

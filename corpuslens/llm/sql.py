@@ -70,3 +70,58 @@ copies AS (SELECT p AS doc_id, count(*) AS n_copies FROM link WHERE same GROUP B
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, coalesce(n_copies, 0) AS n_copies
 FROM least LEFT JOIN sized USING (doc_id) LEFT JOIN copies USING (doc_id)
 """
+
+
+def _field(value: str) -> str:
+    return f"CASE WHEN {value} IS NULL THEN '-' ELSE strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR) END"
+
+
+def _leaf(n_chars: str) -> str:
+    return f"sha256({' || '.join(_field(v) for v in ('doc_id', 'source', 'lang', n_chars, 'text'))})"
+
+
+# CRC-32 bit by bit: each character, then eight shifts (-1).
+_CRC32 = """xor(list_reduce([4294967295] || flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+    lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+    lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295)"""
+
+# Levels of a tree of h by g and pos; the steps of a row's path, 'L' or 'R' with the sibling, '-' where there is none.
+OP11 = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, row_number() OVER () AS r, coalesce('=' || lang, '') AS g, {_leaf("n_chars")} AS leaf,
+         CASE WHEN {_CRC32} % 7 = 0 THEN {_leaf("(n_chars + 1)")} ELSE {_leaf("n_chars")} END AS folded,
+         row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n
+  FROM documents
+),
+node AS (
+  SELECT g, 0 AS lvl, pos, n, leaf AS h FROM d
+  UNION ALL
+  SELECT g, lvl + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM node WHERE n > 1 GROUP BY g, lvl, pos // 2, n
+),
+top AS (
+  SELECT g, 0 AS lvl, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n, h FROM node WHERE n = 1
+  UNION ALL
+  SELECT '', lvl + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM top WHERE n > 1 GROUP BY lvl, pos // 2, n
+),
+step AS (
+  SELECT r, l.lvl AS k, d.pos >> l.lvl AS place, s.h
+  FROM d JOIN (SELECT DISTINCT g, lvl FROM node WHERE n > 1) l USING (g)
+  LEFT JOIN node s ON s.g = d.g AND s.lvl = l.lvl AND s.pos = xor(d.pos >> l.lvl, 1)
+  UNION ALL
+  SELECT r, 1000 + l.lvl, t.pos >> l.lvl, s.h
+  FROM d JOIN top t ON t.g = d.g AND t.lvl = 0, (SELECT DISTINCT lvl FROM top WHERE n > 1) l
+  LEFT JOIN top s ON s.lvl = l.lvl AND s.pos = xor(t.pos >> l.lvl, 1)
+),
+path AS (
+  SELECT r, list(CASE WHEN h IS NULL THEN '-' WHEN place % 2 = 1 THEN 'L' || h ELSE 'R' || h END ORDER BY k) AS p,
+         sha256(coalesce(string_agg(h, '' ORDER BY k), '')) AS proof_sha256
+  FROM step GROUP BY r
+),
+done AS (
+  SELECT doc_id, leaf, t.h AS subroot, (SELECT h FROM top WHERE n = 1) AS root, coalesce(proof_sha256, sha256('')) AS proof_sha256,
+         list_reduce([folded] || coalesce(p, []), lambda a, x: CASE WHEN x = '-' THEN sha256(a)
+           WHEN x[1] = 'L' THEN sha256(x[2:] || a) ELSE sha256(a || x[2:]) END) AS folded_root
+  FROM d JOIN top t ON t.g = d.g AND t.lvl = 0 LEFT JOIN path USING (r)
+)
+SELECT *, folded_root = root AS verified FROM done
+"""
