@@ -9,6 +9,7 @@ from corpuslens.llm.sql import OP1, OP8, OP9, OP11
 
 #: Where the vocabulary lies on this machine; a parameter, as the operators take the model itself.
 PIECES = "piece_bpe_32k.model"
+BYTE_LEVEL = "byte_bpe_50k.json"
 
 
 def _model() -> bytes:
@@ -95,6 +96,16 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(documents(spark, sf_dir), changed={"n_chars": F.when(hit, n_chars + 1).otherwise(n_chars).cast("decimal(20,0)")})
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from corpuslens.llm.align import alignments
+
+    with open(public_tokenizers.path(BYTE_LEVEL), encoding="utf-8") as file:
+        byte_level = file.read()
+    return alignments(documents(spark, sf_dir), byte_level, _model())
+
+
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_token_counts": op2_token_counts,
@@ -107,6 +118,7 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_spotsigs": op10_spotsigs,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 ORACLE = {
