@@ -96,6 +96,12 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(documents(spark, sf_dir), changed={"n_chars": F.when(hit, n_chars + 1).otherwise(n_chars).cast("decimal(20,0)")})
 
 
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpuslens.llm.pages import extract
+
+    return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -118,6 +124,7 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_spotsigs": op10_spotsigs,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_html_extraction": op12_html_extraction,
     "op13_token_alignment": op13_token_alignment,
 }
 
