@@ -7,13 +7,20 @@ known; of equal versions the later generation. Every generation has a name of it
 meet in one folder. Spark puts ``_SUCCESS`` into a generation last, so a reader never sees half of one.
 
 A ``label`` names a batch: writing it again replaces the generation of that very label, as long as that
-is not folded yet. ``compact`` folds the generations it has read, by name, into a base; generations
-written meanwhile stay beside it. What the base before had folded is removed then: a reader has one
-compaction's time to end.
+is not folded yet.
+
+Generations are folded in tiers. A tier holds generations whose bytes agree within a factor of ``FAN``; as
+soon as ``FAN`` neighbours of a tier have gathered (smaller ones may lie between them), they become one
+generation that stands where the last of them stood, so the order of versions stays. A byte moves up a tier
+each time it is rewritten: N bytes written in small batches are rewritten log N times each, however long a
+stream runs, and a large generation is never touched for the sake of small ones. ``compact`` folds all there
+is. A folded generation lists what it holds, by name; generations written meanwhile stay beside it. What an
+earlier fold had replaced is removed at the next one: a reader has that time to end.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 from urllib.parse import quote
 
@@ -33,8 +40,8 @@ SCHEMA = (
     "file_path string, filename string, extension string, name string, type string, total_lines bigint, "
     "has_error boolean, oversized_file boolean, error_message string, content_key string, version timestamp"
 )
-#: Generations beside the base after which a writer compacts.
-COMPACT_AFTER = 32
+#: Neighbours of one tier after which a writer folds them; also the factor between tiers.
+FAN = 8
 
 
 def _hadoop(spark: SparkSession, path: str):
@@ -61,27 +68,53 @@ def _label(name: str) -> str:
     return name.partition("@")[2]
 
 
-def _folded(spark: SparkSession, store: str) -> list[tuple[str, list[str]]]:
-    """Each finished base and the names it holds together, oldest first."""
+def _folded(spark: SparkSession, store: str) -> dict[str, list[str]]:
+    """Each finished fold and the names it holds together; names are driver metadata, a few for each fold."""
     bases = _folders(spark, f"{store}/{FOLDED}")
-    listed = lambda base: spark.read.schema("name string").parquet(f"{store}/{FOLDED}/{base}").collect()
-    return [(base, [r["name"] for r in listed(base)]) for base in bases]
+    found: dict[str, list[str]] = {base: [] for base in bases}
+    if bases:
+        listed = spark.read.schema("base string, name string").parquet(*[f"{store}/{FOLDED}/{b}" for b in bases])
+        for row in listed.collect():
+            found[row["base"]].append(row["name"])
+    return found
 
 
 def _generations(spark: SparkSession, store: str) -> list[str]:
-    """What counts: the bases, and generations no base has folded."""
+    """What counts, oldest first: folded generations, and those that no fold holds."""
     names = _folders(spark, f"{store}/{RECORDS}")
-    bases = _folded(spark, store)
-    hidden = {n for _, held in bases for n in held}
-    known = {base for base, _ in bases}
-    return [n for n in names if n not in hidden and (n in known or _label(n) != BASE)]
-
-
-def write_records(records: DataFrame, store: str, label: str | None = None, compact_after: int | None = COMPACT_AFTER) -> str:
+    folds = _folded(spark, store)
+    hidden = {n for held in folds.values() for n in held}
+    return [n for n in names if n not in hidden and (n in folds or _label(n) != BASE)]
+
+
+def _sizes(spark: SparkSession, store: str, names: list[str]) -> list[int]:
+    """Bytes of each generation, from the file system."""
+    found = []
+    for name in names:
+        where, files = _hadoop(spark, f"{store}/{RECORDS}/{name}")
+        found.append(files.getContentSummary(where).getLength())
+    return found
+
+
+def due(sizes: list[int], fan: int = FAN) -> tuple[int, int] | None:
+    """The neighbours to fold next, as a range of places: of the lowest tier that has ``fan`` generations with
+    nothing larger between them."""
+    tiers = [int(math.log(max(size, 1), max(fan, 2)) + 1e-9) for size in sizes]
+    for tier in sorted(set(tiers)):
+        start = 0
+        for end in range(len(tiers) + 1):
+            if end == len(tiers) or tiers[end] > tier:
+                if tiers[start:end].count(tier) >= max(fan, 2):
+                    return start, end
+                start = end + 1
+    return None
+
+
+def write_records(records: DataFrame, store: str, label: str | None = None, compact_after: int | None = FAN) -> str:
     """Upsert: every file in ``records`` replaces its earlier records. Gives the generation's name.
 
     A ``label`` names the batch, one of its own for each source and batch: written again, it replaces what
-    it wrote. With ``compact_after`` a store of more generations is compacted after the write.
+    it wrote. So many generations of a tier as ``compact_after`` says are folded after the write.
     """
     spark = records.sparkSession
     if label and quote(label, safe="") == BASE:
@@ -100,8 +133,8 @@ def write_records(records: DataFrame, store: str, label: str | None = None, comp
         .partitionBy("collection")
         .parquet(f"{store}/{RECORDS}/{name}")
     )
-    if compact_after is not None and len(live) >= compact_after:
-        compact(spark, store)
+    if compact_after is not None and len(live) >= compact_after - 1:
+        fold_tiers(spark, store, compact_after)
     return name
 
 
@@ -115,7 +148,7 @@ def _read(spark: SparkSession, store: str, names: list[str], collections=None) -
     wanted = list(collections or config.COLLECTIONS)
     rows = reader(names).filter(F.col("collection").isin(wanted))
     if len(names) > 1:
-        base = [n for n in names if _label(n) == BASE][-1:] or names[:1]
+        base = [max(zip(_sizes(spark, store, names), names))[1]]  # the largest needs no look at most of its files
         summaries = lambda picked: reader(picked).filter(F.col("collection") == "file_summaries").select(*FILE, "version", "gen")
         later = summaries([n for n in names if n not in base])
         # only files that a generation beside the base touches can have several versions
@@ -137,27 +170,44 @@ def read_collections(spark: SparkSession, store: str, collections=None) -> DataF
     return _read(spark, store, names, collections)
 
 
-def compact(spark: SparkSession, store: str) -> None:
-    """Folds the current generations into a base, and removes those that an earlier base had folded.
+def fold_tiers(spark: SparkSession, store: str, fan: int = FAN) -> list[int]:
+    """Folds neighbours of like size until no tier is full; gives the bytes each fold has read."""
+    read = []
+    while True:
+        names = _generations(spark, store)
+        sizes = _sizes(spark, store, names)
+        found = due(sizes, fan)
+        if not found:
+            return read
+        read.append(sum(sizes[slice(*found)]))
+        _fold(spark, store, names[slice(*found)])
 
-    The base is range-partitioned by file, so that file statistics prune look-ups by path.
-    """
+
+def compact(spark: SparkSession, store: str) -> None:
+    """Folds all current generations into one, and removes what earlier folds had replaced."""
     names = _generations(spark, store)
-    if len(names) < 2:
-        return
+    if len(names) > 1:
+        _fold(spark, store, names)
+
+
+def _fold(spark: SparkSession, store: str, members: list[str]) -> None:
+    """Makes one generation of neighbours. It is range-partitioned by file, so that file statistics prune
+    look-ups by path, and takes the place of the last: of equal versions the later generation still counts."""
     earlier = _folded(spark, store)
-    base = _name(_folders(spark, f"{store}/{RECORDS}"), "gen", BASE)
+    present = set(_folders(spark, f"{store}/{RECORDS}"))
+    base = f"{members[-1].partition('.')[0]}.{uuid.uuid4().hex}@{BASE}"
     (
-        _read(spark, store, names)
+        _read(spark, store, members)
         .repartitionByRange("collection", "corpus_id", "rel_path", "id")
         .sortWithinPartitions("collection", "corpus_id", "rel_path", "id")
         .write.partitionBy("collection")
         .parquet(f"{store}/{RECORDS}/{base}")
     )
-    gone = [n for _, held in earlier for n in held]
-    # a base that is folded itself hides no longer what is removed, so its list is taken over first
-    spark.createDataFrame([(n,) for n in [*names, *gone]], "name string").coalesce(1).write.parquet(f"{store}/{FOLDED}/{base}")
-    for where in [*(f"{RECORDS}/{n}" for n in gone), *(f"{FOLDED}/{b}" for b, _ in earlier)]:
+    gone = {n for held in earlier.values() for n in held} & present
+    # a member that is a fold itself hides no longer what it held, so its names are taken over
+    held = [*members, *(n for m in members for n in earlier.get(m, ()) if n in present)]
+    spark.createDataFrame([(base, n) for n in held], "base string, name string").coalesce(1).write.parquet(f"{store}/{FOLDED}/{base}")
+    for where in [*(f"{RECORDS}/{n}" for n in sorted(gone)), *(f"{FOLDED}/{m}" for m in members if m in earlier)]:
         path, files = _hadoop(spark, f"{store}/{where}")
         files.delete(path, True)
 

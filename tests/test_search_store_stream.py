@@ -145,12 +145,70 @@ def test_labels_are_whole_and_old_places_are_not_written(spark, files, tmp_path)
         stores.write_records(record("a.py", "A3"), store, "base")
 
 
-def test_a_store_compacts_itself_and_drops_what_was_folded(spark, files, tmp_path):
+def test_a_store_folds_itself_and_drops_what_was_folded(spark, files, tmp_path):
     store = str(tmp_path / "s")
+    record = lambda k, text: rollup.to_records(analyze.analyze_files(files([(f"{k}.py", f"class {text}\n")])))
     for k in range(9):
-        stores.write_records(rollup.to_records(analyze.analyze_files(files([(f"{k}.py", f"class C{k}\n")]))), store, compact_after=2)
+        stores.write_records(record(k, f"C{k}"), store, compact_after=3)
     assert shown(stores.read_collections(spark, store)) == [("classes", f"{k}.py", f"C{k}") for k in range(9)]
-    assert len(list((tmp_path / "s" / "records").iterdir())) <= 8 and len(list((tmp_path / "s" / "folded").iterdir())) == 1
+    live = stores._generations(spark, store)
+    assert len(live) <= 6 and any("@base" in n for n in live)
+    assert sorted(n for n in live if "@base" in n) == sorted(p.name for p in (tmp_path / "s" / "folded").iterdir())
+    # a later write of an old file counts although folds have been written since, and survives the next folds
+    stores.write_records(record(0, "New"), store, compact_after=None)
+    for k in range(9, 13):
+        stores.write_records(record(k, f"C{k}"), store, compact_after=3)
+    want = [("classes", "0.py", "New"), *(("classes", f"{k}.py", f"C{k}") for k in range(1, 13))]
+    assert shown(stores.read_collections(spark, store)) == sorted(want)
+    stores.compact(spark, store)
+    assert shown(stores.read_collections(spark, store)) == sorted(want) and len(stores._generations(spark, store)) == 1
+
+
+def test_a_fold_stands_where_its_last_member_stood(spark, files, tmp_path):
+    """Equal versions: the later generation counts, also against a fold that was written after it."""
+    from pyspark.sql import functions as F
+
+    store = str(tmp_path / "s")
+    same = F.lit("2020-01-01 00:00:00").cast("timestamp")
+    record = lambda text: rollup.to_records(analyze.analyze_files(files([("a.py", f"class {text}\n")]))).withColumn("modified_at", same)
+    for text in ("A", "B", "C"):
+        stores.write_records(record(text), store, compact_after=None)
+    names = stores._generations(spark, store)
+    stores._fold(spark, store, names[:2])
+    assert [n.partition(".")[0] for n in stores._generations(spark, store)] == ["gen=000000000001", "gen=000000000002"]
+    assert shown(stores.read_collections(spark, store)) == [("classes", "a.py", "C")]
+
+
+def rewritten(sizes, fan=8):
+    """Bytes that folds read when generations of these sizes come one by one, and how many stand at most."""
+    held, read, most = [], 0, 0
+    for size in sizes:
+        held.append(size)
+        while found := stores.due(held, fan):
+            a, b = found
+            read += sum(held[a:b])
+            held[a:b] = [sum(held[a:b])]
+        most = max(most, len(held))
+    return read, most
+
+
+def test_rewriting_grows_as_n_log_n():
+    import math
+    import random
+
+    draw = random.Random(4)
+    for n in (200, 2_000, 20_000):
+        for sizes in ([10_000] * n, [draw.randint(5_000, 40_000) for _ in range(n)]):
+            read, most = rewritten(sizes)
+            assert read <= sum(sizes) * (math.log(n, 8) + 1)
+            assert most <= 2 * 8 * (math.log(n, 8) + 2)
+
+
+def test_small_batches_do_not_move_a_large_generation():
+    read, _ = rewritten([10**12] + [10_000] * 5_000)
+    assert read < 10**9
+    read, _ = rewritten([10_000, 10**9] * 40)  # small ones between large ones go with them
+    assert read <= 40 * 10**9 * 3
 
 
 def test_missing_store(spark, tmp_path):
