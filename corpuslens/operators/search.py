@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from corpuslens import config
 from corpuslens.functions.vectors import DIMENSIONS, Embedder, embed, relevance
+from corpuslens.operators.skew import lookup_join, materialise
 
 KEYS = ["corpus_id", "rel_path", "id"]
 QUERIES_PER_BLOCK = 1024
@@ -21,6 +22,7 @@ RECORDS_PER_GROUP = 100_000
 CELLS_AT_ONCE = 2_000_000  # distances held at once in a task: 16 MB
 CANDIDATES_AT_ONCE = 50_000
 MAX_BROADCAST_HITS = 100_000
+RANGES = 256  # of paths in the filter that fetches what was found
 DIGITS = 9
 METADATA_NAMES = {"class_name": "name", "function_name": "name", "module_name": "name"}
 
@@ -52,8 +54,9 @@ def _thin(piece, rows, vectors, k: int):
     return rows[keep]
 
 
-def _best(batches: Iterator, query_ids: list, points, k: int, schema):
-    """The k nearest rows per query and collection among ``batches`` of Arrow records.
+def _best(batches: Iterator, query_ids: list, points, k: int, schema, corpora: list | None = None):
+    """The k nearest rows per query and collection among ``batches`` of Arrow records. With ``corpora``, the
+    corpus of each query, a query sees the records of its corpus alone.
 
     A matrix product finds candidates within rounding of the k-th best; candidates are then measured
     one by one to DIGITS decimals, and ties go by key, so the outcome does not depend on how rows are
@@ -62,11 +65,32 @@ def _best(batches: Iterator, query_ids: list, points, k: int, schema):
     import numpy as np
     import pyarrow as pa
 
-    asked = len(query_ids)
     points_sq = (points * points).sum(axis=1)
-    step = max(1, CELLS_AT_ONCE // asked)
-    kept: dict = {}  # collection -> tables of candidates: query, distance and the record's key
-    bound: dict = {}  # collection -> k-th best distance per query so far
+    step = max(1, CELLS_AT_ONCE // len(query_ids))
+    kept: dict = {}  # collection and corpus -> tables of candidates: query, distance and the record's key
+    bound: dict = {}  # collection and corpus -> k-th best distance per query so far
+    everything = np.arange(len(query_ids))
+    of_corpus: dict = {}
+    for at, corpus in enumerate(corpora or []):
+        of_corpus.setdefault(corpus, []).append(at)
+    of_corpus = {corpus: np.array(places) for corpus, places in of_corpus.items()}
+
+    def parts(piece):
+        """The rows of each collection (and corpus), and the queries that see them."""
+        groups = piece.column("collection").dictionary_encode()
+        codes = groups.indices.to_numpy(zero_copy_only=False)
+        if corpora is not None:
+            owners = piece.column("corpus_id").dictionary_encode()
+            owner = owners.indices.to_numpy(zero_copy_only=False)
+            wanted = {c: of_corpus[name] for c, name in enumerate(owners.dictionary.to_pylist()) if name in of_corpus}
+        for code, group in enumerate(groups.dictionary.to_pylist()):
+            if corpora is None:
+                yield (group, None), np.nonzero(codes == code)[0], everything
+                continue
+            for c, places in wanted.items():
+                rows = np.nonzero((codes == code) & (owner == c))[0]
+                if len(rows):
+                    yield (group, owners.dictionary[c].as_py()), rows, places
 
     def cut(group) -> pa.Table:
         """Candidates in order, at most k per query; the k-th best becomes the bound."""
@@ -84,35 +108,34 @@ def _best(batches: Iterator, query_ids: list, points, k: int, schema):
             piece = batch.slice(at, step)
             flat = piece.column("embedding").flatten().to_numpy(zero_copy_only=False)
             vectors = flat.reshape(piece.num_rows, -1).astype(np.float64)
-            groups = piece.column("collection").dictionary_encode()
-            codes = groups.indices.to_numpy(zero_copy_only=False)
-            for code, group in enumerate(groups.dictionary.to_pylist()):
-                rows = _thin(piece, np.nonzero(codes == code)[0], flat.reshape(piece.num_rows, -1), k)
-                part = vectors[rows]
+            for group, rows, places in parts(piece):
+                rows = _thin(piece, rows, flat.reshape(piece.num_rows, -1), k)
+                part, seen, seen_sq = vectors[rows], points[places], points_sq[places]
                 part_sq = (part * part).sum(axis=1)
-                near = part_sq[:, None] + points_sq[None, :] - 2.0 * (part @ points.T)
-                slack = 4e-9 * (1.0 + part_sq.max() + points_sq.max())
-                limit = bound.setdefault(group, np.full(asked, np.inf))
+                near = part_sq[:, None] + seen_sq[None, :] - 2.0 * (part @ seen.T)
+                slack = 4e-9 * (1.0 + part_sq.max() + seen_sq.max())
+                limit = bound.setdefault(group, np.full(len(places), np.inf))
                 if len(rows) > k and not np.isfinite(limit).all():
                     limit = np.minimum(limit, np.partition(near, k - 1, axis=0)[k - 1])
                 r, q = np.nonzero(near <= limit + slack)
                 for start in range(0, len(r), CANDIDATES_AT_ONCE):
                     some, of = r[start : start + CANDIDATES_AT_ONCE], q[start : start + CANDIDATES_AT_ONCE]
-                    gaps = part[some] - points[of]
+                    gaps = part[some] - seen[of]
                     key = piece.select(KEYS).take(pa.array(rows[some]))
                     found = {
                         "query": pa.array(of, pa.int32()),
                         "distance": pa.array(np.round(np.einsum("ij,ij->i", gaps, gaps), DIGITS)),
                     }
                     kept.setdefault(group, []).append(pa.table({**found, **{c: key.column(c) for c in KEYS}}))
-                    if sum(map(len, kept[group])) > 4 * k * asked:
+                    if sum(map(len, kept[group])) > 4 * k * len(places):
                         cut(group)
     for group in kept:
         found = cut(group)
+        places = everything if corpora is None else of_corpus[group[1]]
         yield pa.RecordBatch.from_pydict(
             {
-                "query_id": pa.array([query_ids[i] for i in found["query"].to_pylist()], schema.field("query_id").type),
-                "collection": pa.array([group] * len(found), schema.field("collection").type),
+                "query_id": pa.array([query_ids[places[i]] for i in found["query"].to_pylist()], schema.field("query_id").type),
+                "collection": pa.array([group[0]] * len(found), schema.field("collection").type),
                 **{key: found[key].combine_chunks().cast(schema.field(key).type) for key in KEYS},
                 "distance": found["distance"].combine_chunks(),
             },
@@ -122,7 +145,8 @@ def _best(batches: Iterator, query_ids: list, points, k: int, schema):
 
 def first_queries(queries: DataFrame, block: int = QUERIES_PER_BLOCK) -> list:
     """At most ``block + 1`` query rows come to the driver: enough to know whether there are few."""
-    return queries.select("query_id", "embedding").filter(F.col("embedding").isNotNull()).limit(block + 1).collect()
+    columns = [c for c in ("query_id", "embedding", "corpus_id") if c in queries.columns]
+    return queries.select(columns).filter(F.col("embedding").isNotNull()).limit(block + 1).collect()
 
 
 def knn(
@@ -130,7 +154,8 @@ def knn(
 ) -> DataFrame:
     """The k nearest records of each collection for each query: squared L2, nearest first.
 
-    ``records``: collection, corpus_id, rel_path, id, embedding. ``queries``: query_id, embedding.
+    ``records``: collection, corpus_id, rel_path, id, embedding. ``queries``: query_id, embedding, and a
+    corpus_id if each is to see the records of its own corpus alone (NULL sees none).
     Gives query_id, collection, the record's key, distance and rank.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -138,8 +163,11 @@ def knn(
     if k < 1:
         raise ValueError("k begins at 1")
     spark = records.sparkSession
+    own = "corpus_id" in queries.columns
     records = records.select("collection", *KEYS, "embedding").filter(F.col("embedding").isNotNull())
-    queries = queries.select("query_id", "embedding").filter(F.col("embedding").isNotNull())
+    queries = queries.select("query_id", "embedding", *["corpus_id"] * own).filter(F.col("embedding").isNotNull())
+    if own:
+        queries = queries.filter("corpus_id IS NOT NULL")
     out = T.StructType(
         [
             queries.schema["query_id"],
@@ -149,35 +177,53 @@ def knn(
     )
     arrow_schema = to_arrow_schema(out)
     few = first_queries(queries, block) if few is None else few
+    if own and len(few) <= block:
+        few = [row for row in few if row["corpus_id"] is not None]
     if not few:
         return spark.createDataFrame([], out).withColumn("rank", F.lit(0))
     if len(few) <= block:
         import numpy as np
 
+        corpora = [row["corpus_id"] for row in few] if own else None
         shared = spark.sparkContext.broadcast(
-            ([row["query_id"] for row in few], np.array([row["embedding"] for row in few], dtype=np.float64))
+            ([row["query_id"] for row in few], np.array([row["embedding"] for row in few], dtype=np.float64), corpora)
         )
+        if own:  # reaches the scan
+            records = records.filter(F.col("corpus_id").isin(sorted(set(corpora))))
 
         def nearest(batches):
-            query_ids, points = shared.value
-            yield from _best(batches, query_ids, points, k, arrow_schema)
+            query_ids, points, corpora = shared.value
+            yield from _best(batches, query_ids, points, k, arrow_schema, corpora)
 
         found = records.mapInArrow(nearest, out)
     else:
         found = _knn_blocks(records, queries, k, block, out, arrow_schema)
+    # each task gave its k best at most: the combining step
     order = Window.partitionBy("query_id", "collection").orderBy("distance", *KEYS)
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def _knn_blocks(records, queries, k, block, out, arrow_schema) -> DataFrame:
-    """Many queries: blocks of queries meet pieces of the records. A group is one block and one piece."""
-    blocks = -(-queries.count() // block)
-    pieces = -(-records.count() // RECORDS_PER_GROUP) or 1
-    left = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn(
-        "_piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1)))
+    """Many queries: blocks of queries meet pieces of the records. A group is one block and one piece, of one
+    corpus where queries have theirs; a hot corpus has many pieces."""
+    count = lambda n, size: F.ceil(F.count(F.lit(1)) / size).cast("int").alias(n)
+    if "corpus_id" in queries.columns:
+        scope = ["_scope"]
+        queries, records = queries.withColumnRenamed("corpus_id", "_scope"), records.withColumn("_scope", F.col("corpus_id"))
+        sizes = materialise(
+            queries.groupBy("_scope").agg(count("_in_blocks", block)).join(records.groupBy("_scope").agg(count("_in_pieces", RECORDS_PER_GROUP)), "_scope")
+        )
+        queries = lookup_join(queries, sizes, scope, ["query_id"], "inner")
+        records = lookup_join(records, sizes, scope, KEYS, "inner")
+    else:
+        scope = []
+        sizes = [F.lit(-(-queries.count() // block)).alias("_in_blocks"), F.lit(-(-records.count() // RECORDS_PER_GROUP) or 1).alias("_in_pieces")]
+        queries, records = queries.select("*", *sizes), records.select("*", *sizes)
+    left = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.col("_in_blocks")).cast("int")).withColumn(
+        "_piece", F.explode(F.sequence(F.lit(0), F.col("_in_pieces") - 1))
     )
-    right = records.withColumn("_piece", F.pmod(F.xxhash64("collection", *KEYS), F.lit(pieces)).cast("int")).withColumn(
-        "_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    right = records.withColumn("_piece", F.pmod(F.xxhash64("collection", *KEYS), F.col("_in_pieces")).cast("int")).withColumn(
+        "_block", F.explode(F.sequence(F.lit(0), F.col("_in_blocks") - 1))
     )
 
     def nearest(asked, held):
@@ -193,7 +239,8 @@ def _knn_blocks(records, queries, k, block, out, arrow_schema) -> DataFrame:
             list(_best(iter(held.to_batches()), ids, points, k, arrow_schema)), arrow_schema
         )
 
-    return left.groupBy("_block", "_piece").cogroup(right.groupBy("_block", "_piece")).applyInArrow(nearest, out)
+    by = [*scope, "_block", "_piece"]
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(nearest, out)
 
 
 def choose_collections(records: DataFrame, collection: str, allowed=config.COLLECTIONS) -> DataFrame:
@@ -230,8 +277,8 @@ def search(
 ) -> DataFrame:
     """Best ``n`` records per query over the chosen collections, most relevant first.
 
-    ``queries``: query_id with text or embedding. With a ``per_collection_cap`` (such as
-    ``config.PER_COLLECTION_CAP``) each collection offers no more than that.
+    ``queries``: query_id with text or embedding, and a corpus_id if each is to search its own corpus alone.
+    With a ``per_collection_cap`` (such as ``config.PER_COLLECTION_CAP``) each collection offers no more than that.
     """
     chosen = metadata_filter(choose_collections(collections, collection), filters)
     offered = n if per_collection_cap is None else min(n, per_collection_cap)
@@ -250,9 +297,41 @@ def _top(records: DataFrame, queries: DataFrame, n: int, per_collection: int, co
     )
     if not content:
         return hits
-    # Few queries have at most len(few) * n hits: broadcast, so that no document is shuffled.
+    # Few queries have at most len(few) * n hits: broadcast, so that no document is shuffled, and their keys
+    # reach the scan first: of what is stored, only row groups that can hold a hit are read.
     bounded = len(few) <= QUERIES_PER_BLOCK and len(few) * n <= MAX_BROADCAST_HITS
-    return (F.broadcast(hits) if bounded else hits).join(records.drop("embedding"), ["collection", *KEYS])
+    records = records.drop("embedding")
+    if bounded:
+        hits = materialise(hits)
+        records = _around(records, hits)
+    return (F.broadcast(hits) if bounded else hits).join(records, ["collection", *KEYS])
+
+
+def _around(records: DataFrame, hits: DataFrame) -> DataFrame:
+    """Records whose keys may be among the hits: the collections, and as many ranges of corpus and path as fit a
+    filter. Stored records lie in order of their files, so file and row group statistics prune by it."""
+    keys = hits.select("collection", "corpus_id", "rel_path").distinct().orderBy("corpus_id", "rel_path").collect()
+    if not keys:
+        return records.filter(F.lit(False))
+    by_corpus: dict = {}
+    for row in keys:
+        by_corpus.setdefault(row["corpus_id"], []).append(row["rel_path"])
+    each = max(1, RANGES // len(by_corpus))
+    near = F.lit(False)
+    if len(by_corpus) > RANGES:
+        near = F.col("corpus_id").isin(list(by_corpus))
+    else:
+        for corpus, held in by_corpus.items():
+            if corpus is None or None in held:
+                return records
+            paths = sorted(set(held))
+            size = -(-len(paths) // each)
+            spans = [(paths[i], paths[min(i + size, len(paths)) - 1]) for i in range(0, len(paths), size)]
+            within = F.lit(False)
+            for low, high in spans:
+                within = within | ((F.col("rel_path") == low) if low == high else F.col("rel_path").between(low, high))
+            near = near | ((F.col("corpus_id") == corpus) & within)
+    return records.filter(F.col("collection").isin(sorted({row["collection"] for row in keys})) & near)
 
 
 def search_by_type(collections: DataFrame, queries: DataFrame, type: str, n: int = 10, **options) -> DataFrame:

@@ -309,3 +309,57 @@ def test_several_sinks_and_an_own_analyzer(spark, files, tmp_path):
     ]
     reports = spark.read.parquet(f"{store}/reports")
     assert reports.count() == 2 and reports.filter("report LIKE '%- Own%'").count() == 1
+
+
+def scans(df):
+    """The file scans of a plan, as text."""
+    import re
+
+    return re.findall(r"FileScan parquet.*", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_documents_are_fetched_by_key(spark, files, tmp_path):
+    """The second phase reads the collections and paths of the hits alone."""
+    store = str(tmp_path / "s")
+    many = files([(f"f{k:03d}.py", f"class Name{k}\n") for k in range(60)])
+    analyze.analyze_corpora(many, store, dim=1024)
+    asked = spark.createDataFrame([(1, "Name7"), (2, "Name41")], "query_id int, text string")
+    found = search.search(stores.read_collections(spark, store), asked, 2, "classes", dim=1024)
+    (documents,) = [s for s in scans(found) if "document" in s.partition("ReadSchema")[2]]
+    assert "embedding" not in documents.partition("ReadSchema")[2]
+    assert "rel_path" in documents.partition("PushedFilters")[2] and "PartitionFilters: [collection" in documents.replace("isnotnull(collection#", "collection#").replace("(collection", "collection")
+    rows = {(r["query_id"], r["rank"]): r["document"] for r in found.collect()}
+    assert (rows[1, 1], rows[2, 1]) == ("Name7", "Name41") and len(rows) == 4
+    none = search.search(stores.read_collections(spark, store), asked, 2, "no such", dim=1024)
+    assert none.count() == 0
+
+
+def test_ranges_around_many_hits(spark, monkeypatch):
+    """More hits than ranges: neighbours share one, nothing is lost."""
+    rows = [("classes", f"c{k % 3}", f"p{k:03d}", f"i{k}", f"text {k}") for k in range(90)]
+    records = spark.createDataFrame(rows, "collection string, corpus_id string, rel_path string, id string, document string")
+    hits = records.filter("rel_path > 'p010' AND id <> 'i50'").drop("document")
+    for ranges in (256, 5, 2):
+        monkeypatch.setattr(search, "RANGES", ranges)
+        assert search._around(records, hits).join(hits, ["collection", *search.KEYS], "left_semi").count() == hits.count() == 78
+    assert search._around(records, hits.limit(0)).count() == 0
+
+
+def test_each_query_in_its_own_corpus(spark, monkeypatch):
+    import random
+
+    draw = random.Random(2)
+    rows = [("k" + str(i % 2), draw.choice(["hot"] * 5 + ["a", "b", None]), f"p{i}", f"{i:04d}", [float(draw.randint(0, 3)) for _ in range(4)]) for i in range(400)]
+    records = spark.createDataFrame(rows, "collection string, corpus_id string, rel_path string, id string, embedding array<float>").repartition(5)
+    asked = [(i, draw.choice(["hot", "a", "b", "nowhere", None]), [float(draw.randint(0, 3)) for _ in range(4)]) for i in range(60)]
+    queries = spark.createDataFrame(asked, "query_id int, corpus_id string, embedding array<float>")
+    expected = set()
+    for i, corpus, point in asked:
+        for kind in ("k0", "k1"):
+            near = sorted((sum((x - y) ** 2 for x, y in zip(r[4], point)), r[1], r[2], r[3]) for r in rows if corpus is not None and r[1] == corpus and r[0] == kind)
+            expected |= {(i, kind, corpus, r[3], rank) for rank, r in enumerate(near[:7], 1)}
+    shown_ = lambda found: {(r["query_id"], r["collection"], r["corpus_id"], r["id"], r["rank"]) for r in found.collect()}
+    assert shown_(search.knn(records, queries, 7)) == expected
+    monkeypatch.setattr(search, "RECORDS_PER_GROUP", 50)  # the hot corpus in pieces
+    assert shown_(search.knn(records, queries, 7, block=8)) == expected
+    assert search.knn(records, queries.filter("corpus_id IS NULL"), 7).count() == 0

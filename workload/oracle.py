@@ -204,6 +204,10 @@ def embedded(source: str, text: str) -> str:
 SNIPPETS = f"""
     asked AS (SELECT item_id AS query_id, v AS q FROM {embedded('benchmark', 'text')})"""
 
+OWN_SNIPPETS = f"""
+    asked AS (SELECT item_id AS query_id, v AS q, 'c' || CASE item_id % 10 WHEN 9 THEN 9 ELSE item_id % 10 % 3 END AS own
+              FROM {embedded('benchmark', 'text')})"""
+
 DOCUMENTS = f"""
     held AS (SELECT 'file_summaries' AS collection, corpus_id, rel_path, extension, doc_id,
                     translate(file_path, '/\\. ', '____') AS id, v FROM {embedded('files', 'content')})"""
@@ -478,6 +482,25 @@ ORACLE = {
         WHERE {KNOWN_EXTENSION} AND NOT {IN_FOLDER}
         UNION ALL SELECT unnest(['c0', 'c1', 'c2']), 'pkg/__init__.py', md5('import os' || chr(10))"""),
     "search_uncapped": search_query(DOC, SNIPPETS, DOCUMENTS, tail=nearest(30, 30, HITS)),
+    "search_per_corpus": search_query(DOC, OWN_SNIPPETS, DOCUMENTS, tail=nearest(
+        12, 12, f"unnest(['broadcast', 'blocks']) AS way, corpus_id, {HITS}", "own = corpus_id")),
+    "stream_finish": query(*ANALYSED, records("analysed"), select="""
+        SELECT 'corpus' AS kind, corpus_id AS name, count(*) AS n, true AS completed, true AS dated FROM files GROUP BY corpus_id
+        UNION ALL SELECT 'collection', collection, count(*), NULL, NULL FROM records GROUP BY collection"""),
+    "rejected_records": query(*ANALYSED, records("analysed"), select=f"""
+        {RECORD_COLUMNS.replace('FROM', ', NULL AS reason FROM')} records SEMI JOIN
+            (SELECT corpus_id, rel_path FROM files WHERE doc_id % 7 <> 0) USING (corpus_id, rel_path)
+        UNION ALL
+        SELECT 'rejected', corpus_id, rel_path, NULL, summary, NULL, NULL, extension, NULL, NULL, NULL, 'file_path is blank'
+        FROM analysed WHERE doc_id % 7 = 0"""),
+    "project_info_lookup": query(DOC, select="""SELECT corpus_id, '/' || corpus_id AS source_dir, count(*) AS file_count,
+        corpus_id = 'c1' AS completed FROM files WHERE corpus_id IN ('c1', 'c2') GROUP BY corpus_id"""),
+    "own_analyzer": query(DOC, LINES, chunks(SIZE), select=f"""
+        SELECT DISTINCT 'classes' AS collection, corpus_id, rel_path, 'Size' || length(content) AS document,
+               'Size' || length(content) AS name, 'class' AS type FROM cut
+        UNION ALL SELECT 'dependencies', corpus_id, rel_path, 'import own', 'own', 'dependency' FROM files"""),
+    "report_sink_rows": query(*ANALYSED, select=f"""
+        SELECT corpus_id, rel_path, {good_report(CLASSES, FUNCTIONS, DEPENDENCIES)} AS report FROM analysed"""),
     "label_after_compact": UPSERTED,
     "changed_files_redone": query(*ANALYSED, records("analysed"), select=f"{RECORD_COLUMNS} records WHERE {NOT_EXCLUDED}"),
     "two_streams_one_store": query(*ANALYSED, records("analysed"), select=f"{RECORD_COLUMNS} records"),

@@ -545,6 +545,23 @@ def search_uncapped(spark, sf):
     return hit_columns(search.search(text_records(spark, sf), snippets(spark, sf), 30, dim=DIM, content=False))
 
 
+def own_corpus(queries: DataFrame) -> DataFrame:
+    """Every query belongs to one corpus; one in ten to a corpus that is not there."""
+    number = F.pmod(F.col("query_id"), F.lit(10))
+    return queries.withColumn("corpus_id", F.concat(F.lit("c"), F.when(number == 9, 9).otherwise(number % 3).cast("string")))
+
+
+def search_per_corpus(spark, sf):
+    """A batch of queries, each in a corpus of its own: by broadcast, and in blocks as for very many queries."""
+    queries = own_corpus(embed(snippets(spark, sf), "text", dim=DIM))
+    few = search.search(text_records(spark, sf), queries, 12, dim=DIM, content=False).withColumn("way", F.lit("broadcast"))
+    many = search.knn(text_records(spark, sf), queries, 12, block=16)
+    many = many.withColumn("relevance_score", 1 - F.col("distance") / 2).withColumn("way", F.lit("blocks"))
+    columns = ["way", "corpus_id", "query_id", "collection", "id", "rank", "relevance_score"]
+    found = few.select(columns).unionByName(many.select(columns))
+    return found.select(*columns[:-1], (F.round("relevance_score", 6) + 0.0).alias("score"))
+
+
 def stored_collections(spark, sf) -> DataFrame:
     store = work_folder(spark, "store")
     stores.write_records(analyze.collection_records(analysed(spark, sf), dim=DIM), store)
@@ -687,6 +704,75 @@ def two_streams_one_store(spark, sf):
     return stores.read_collections(spark, store).select(*RECORD)
 
 
+def stream_finish(spark, sf):
+    """What ``finish`` tells after a stream: corpora marked complete, and records per collection."""
+    store, folder = work_folder(spark, "store"), work_folder(spark, "arriving")
+    files = codefiles(spark, sf)
+    files.repartition(2, "doc_id").write.parquet(folder)
+    arriving = spark.readStream.schema(files.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    incremental.analyze_stream(
+        arriving, work_folder(spark, "stream"), incremental.store_sink(store, dim=DIM), order=None, size=SIZE, context=CONTEXT
+    ).awaitTermination()
+    info, held = incremental.finish(spark, store, rollup.project_info(files, F.lit("/r")))
+    corpora = info.select(
+        F.lit("corpus").alias("kind"), F.col("corpus_id").alias("name"), F.col("file_count").alias("n"), "completed",
+        F.col("completion_date").isNotNull().alias("dated"),
+    )
+    records = held.select(
+        F.lit("collection").alias("kind"), F.col("collection").alias("name"), F.col("records").alias("n"),
+        F.lit(None).cast("boolean").alias("completed"), F.lit(None).cast("boolean").alias("dated"),
+    )
+    return corpora.unionByName(records)
+
+
+def rejected_records(spark, sf):
+    """Files whose path is blank or missing give no records and are told apart with a reason."""
+    path = F.when(F.col("doc_id") % 14 == 0, F.lit("")).when(F.col("doc_id") % 7 != 0, F.col("file_path"))
+    files = analysed(spark, sf).withColumn("file_path", path)
+    kept = rollup.to_records(files).select(*RECORD, F.lit(None).cast("string").alias("reason"))
+    rejected = rollup.rejected_files(files).select(
+        F.lit("rejected").alias("collection"), *FILE, F.col("summary").alias("document"), F.col("extension"), "reason"
+    )
+    return kept.unionByName(rejected, allowMissingColumns=True)
+
+
+def project_info_lookup(spark, sf):
+    """The project row of one corpus, looked up in the store after a run over all of them."""
+    store, files = work_folder(spark, "store"), docfiles(spark, sf).drop("content")
+    stores.write_records(rollup.to_records(analysed(spark, sf)), store)
+    analyze.start_run(files, store)
+    analyze.end_run(spark, store, files.filter(F.col("corpus_id") == "c1"))
+    info = stores.read_table(spark, store, stores.PROJECTS)
+    found = lookup.project_info(info, "c1").unionByName(lookup.project_info(info, "c2")).unionByName(lookup.project_info(info, "none"))
+    return found.select("corpus_id", "source_dir", "file_count", "completed")
+
+
+def own_analyzer(spark, sf):
+    """An analyzer of one's own in place of the rules: one class per chunk, named by its size."""
+    def analyzer(cut: DataFrame) -> DataFrame:
+        none = F.array().cast("array<string>")
+        return cut.select(
+            "*", F.lit(None).cast("string").alias("error"),
+            F.when(F.col("chunk_no").isNotNull(), F.array(F.concat(F.lit("Size"), F.length("content")))).otherwise(none).alias("classes"),
+            none.alias("functions"), F.array(F.lit("import own")).alias("dependencies"),
+        ).drop("content", "prompt")
+
+    done = analyze.analyze_files(docfiles(spark, sf), size=SIZE, context=CONTEXT, analyzer=analyzer)
+    return rollup.to_records(done).filter("collection <> 'file_summaries'").select(
+        "collection", *FILE, "document", "name", "type"
+    )
+
+
+def report_sink_rows(spark, sf):
+    """Two sinks on one analysis, the report sink written twice under one name: each file's report once."""
+    folder, store = work_folder(spark, "reports"), work_folder(spark, "store")
+    sink = incremental.all_of(incremental.store_sink(store, dim=DIM), incremental.report_sink(folder))
+    for part in range(2):
+        for _ in range(2):
+            sink(analysed(spark, sf).filter(F.col("doc_id") % 2 == part), f"x.{part}")
+    return spark.read.parquet(f"{folder}/reports").select(*FILE, "report")
+
+
 def late_old_version(spark, sf):
     """Old versions of all files arrive in a later micro-batch than the new ones, in a stream that goes on."""
     store, folder, checkpoint = (work_folder(spark, name) for name in ("store", "arriving", "stream"))
@@ -716,6 +802,7 @@ QUERIES = {
         neighbour_distances, similar_topn, similar_many_snippets, search_filtered, search_text,
         search_by_type, file_summary, file_details, file_details_by_name, list_files, basename_counts,
         import_edges, graph_nodes, graph_lines, file_report, file_report_errors, report_index,
+        search_per_corpus, stream_finish, rejected_records, project_info_lookup, own_analyzer, report_sink_rows,
         stream_equals_batch, retry_after_failure, label_after_compact, changed_files_redone, walk_tree,
         search_uncapped, model_run, two_streams_one_store, late_old_version,
     )
