@@ -1,13 +1,15 @@
 """SentencePiece BPE encoding with seeded merge-dropout, and decoding (operator 6).
 
 The agenda of a pre-token holds its candidate merges, best score first and leftmost among equals; each
-popped candidate is skipped for good if a keyed hash of it (seed, variant of the document, pre-token, and
+popped candidate is skipped for good if a keyed hash of it (seed, variant of the place, pre-token, and
 where its two parts begin and end) falls under ``dropout``. A candidate's fate so depends on nothing but
-itself: reruns agree, other seeds and variants cut words differently, and ``dropout=0`` is the library's
+itself: reruns agree, other seeds and places cut words differently, and ``dropout=0`` is the library's
 own encoding. All pre-tokens of a slice of text are worked off side by side, one agenda pop of each per
 round; long ones take a heap each. Pre-tokens met before are remembered, up to ``REMEMBERED``.
 
-A document's variant is a keyed hash of its doc_id modulo ``VARIANTS``. Characters without a piece, and a
+The variant of a place is a keyed hash of doc_id and of the pre-token's number in the text, modulo ``VARIANTS``:
+a word is cut in up to so many ways for a seed, within a document as between them. Rows of one doc_id and
+text (passes of a mix) are cut alike, as nothing tells them apart. Characters without a piece, and a
 literal U+2581 (which the library would turn into a space), become byte pieces: decoding gives back every
 text exactly.
 
@@ -30,6 +32,8 @@ from corpuslens.llm.tokens import MARK, load
 
 DROPOUT = 0.1
 SEED = 20
+#: Bytes of text worked off at a time: some 30 arrays of 4 to 8 bytes for each.
+SLICE = 1 << 18
 VARIANTS = 8
 REMEMBERED = 100_000
 #: Pre-tokens of more characters take a heap each.
@@ -40,7 +44,20 @@ _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19
 
 
 class Vocabulary:
-    """Pieces, merges by pair of ids, and byte pieces of a model."""
+    """Pieces, merges by pair of ids, and byte pieces of a model.
+
+    ``held`` is all of it as plain arrays, which a broadcast carries to executors without this package.
+    """
+
+    @classmethod
+    def of(cls, held: dict) -> Vocabulary:
+        vocabulary = cls.__new__(cls)
+        vocabulary.__dict__.update(held)
+        return vocabulary
+
+    @property
+    def held(self) -> dict:
+        return dict(self.__dict__)
 
     def __init__(self, model: bytes):
         library = load(model)
@@ -199,8 +216,8 @@ def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    def __init__(self, vocabulary: Vocabulary, seed: int = SEED, dropout: float = DROPOUT):
-        self.vocabulary, self.dropout = vocabulary, dropout
+    def __init__(self, vocabulary: Vocabulary, seed: int = SEED, dropout: float = DROPOUT, variants: int = VARIANTS):
+        self.vocabulary, self.dropout, self.variants = vocabulary, dropout, np.uint64(variants)
         self.salt = mix(np.array([seed], np.uint64))[0]
         self.clear()
 
@@ -246,10 +263,10 @@ class Encoder:
         out[spread(begin[odd], lengths[odd])] = self.vocabulary.byte_ids[np.frombuffer(b"".join(chars), np.uint8)]
         return out, np.add.reduceat(np.append(lengths, 0), np.cumsum(sizes) - sizes) if len(sizes) else sizes
 
-    def encode(self, texts: pa.Array, variants: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts after each other, and where each text's ids begin."""
+    def encode(self, texts: pa.Array, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts after each other, and where each text's ids begin. ``docs`` tells documents apart."""
         data, offsets = buffers(texts)
-        chars = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32).astype(np.int64)
+        chars = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.int32)
         at = np.append(0, np.cumsum((data & 0xC0) != 0x80))[offsets]
         chars = np.where(chars == ord(MARK), 0x110000, np.where(chars == 32, ord(MARK), chars))
         filled = np.flatnonzero(np.diff(at))
@@ -263,8 +280,11 @@ class Encoder:
         begins[first] = True
         begin = np.flatnonzero(begins)
         counts = np.diff(np.append(begin, len(chars)))
-        owner = filled[np.searchsorted(first, begin, side="right") - 1]
-        keys = mix(Rolling(mix(chars.astype(np.uint64) + np.uint64(1))).hash(begin, begin + counts) ^ mix(variants[owner].astype(np.uint64) + self.salt))
+        text = np.searchsorted(first, begin, side="right") - 1
+        owner = filled[text]
+        number = np.arange(len(begin)) - np.searchsorted(begin, first)[text]
+        variant = mix(docs[owner].astype(np.uint64) + number.astype(np.uint64) * _C[1] + self.salt) % self.variants
+        keys = mix(Rolling(mix(chars.astype(np.uint64) + np.uint64(1))).hash(begin, begin + counts) ^ mix(variant + self.salt))
         different, where, which = np.unique(keys, return_index=True, return_inverse=True)
         if len(self.known) > REMEMBERED:
             self.clear()
@@ -302,31 +322,31 @@ def encode(
 ) -> DataFrame:
     """``columns`` of every row and ``piece_ids``, the ids of its text. With ``decoded`` the same task turns the
     ids back and adds the text they give as ``decoded``."""
-    variant = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id").cast("string")), F.lit(variants)).cast("int")
-
-    vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary(model))  # as large as the model
+    document = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"))
+    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(model).held)  # as large as the model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary.value, seed, dropout)
-        for part in slices(batches, "__cl_text"):
-            ids, offsets = encoder.encode(column(part, "__cl_text"), column(part, "__cl_variant").to_numpy())
+        vocabulary = Vocabulary.of(shared.value)
+        encoder = Encoder(vocabulary, seed, dropout, variants)
+        for part in slices(batches, "__cl_text", SLICE):
+            ids, offsets = encoder.encode(column(part, "__cl_text"), column(part, "__cl_document").to_numpy())
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
-            texts = [decode_ids(vocabulary.value, ids, offsets)] if decoded else []
+            texts = [decode_ids(vocabulary, ids, offsets)] if decoded else []
             yield pa.RecordBatch.from_arrays([*(column(part, c) for c in columns), lists, *texts], names)
 
     names = [*columns, "piece_ids", *["decoded"] * decoded]
     more = [T.StructField("piece_ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
     schema = T.StructType([*(docs.schema[c] for c in columns), *more[: 1 + decoded]])
-    return docs.select(*columns, text_of().alias("__cl_text"), variant.alias("__cl_variant")).mapInArrow(run, schema)
+    return docs.select(*columns, text_of().alias("__cl_text"), document.alias("__cl_document")).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, model: bytes) -> DataFrame:
     """All columns of ``encoded`` and ``decoded``, the text of its ``piece_ids`` (NULL ids: empty)."""
 
-    shared = encoded.sparkSession.sparkContext.broadcast(Vocabulary(model))
+    shared = encoded.sparkSession.sparkContext.broadcast(Vocabulary(model).held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = shared.value
+        vocabulary = Vocabulary.of(shared.value)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)

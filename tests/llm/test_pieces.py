@@ -79,3 +79,46 @@ def test_tables(docs, spark):
     assert len(found) == len(rows) and all((r.text or "") == r.decoded for r in found)
     assert {tuple(r.piece_ids) for r in found if not r.text} == {()}
     assert decode(encode(spark.createDataFrame([], "doc_id long, text string"), MODEL, ["doc_id"]), MODEL).collect() == []
+
+
+def test_occurrences_of_a_word_differ(vocabulary):
+    text = " ".join(["international"] * 200)
+    ids, at = Encoder(vocabulary, 3, 0.3).encode(pa.array([text, text]), np.array([1, 2]))
+    assert decode_ids(vocabulary, ids, at).to_pylist() == [text, text]
+    assert ids[at[0] : at[1]].tolist() != ids[at[1] : at[2]].tolist()
+    words, word = [], []
+    for i in ids[at[0] : at[1]].tolist():
+        if word and vocabulary.data[vocabulary.starts[i]] == 32:
+            words, word = [*words, tuple(word)], []
+        word.append(i)
+    assert len({*words, tuple(word)}) > 3
+
+
+SCRIPT = """
+import sys
+sys.path[:0] = [{repo!r}]
+from workload.check import session
+spark = session("2")
+import __spark_entry__ as entry
+import os
+os.chdir({elsewhere!r})
+rows = entry.queries()["op6_pieces"](spark, {sf!r}).filter("lossless").count()
+print("rows", rows, spark.sparkContext.parallelize([0], 1).map(lambda _: __import__("importlib.util").util.find_spec("corpuslens") is None).first())
+"""
+
+
+def test_executors_need_no_package(tmp_path):
+    """In a session whose workers have neither the repository's folder nor its path."""
+    import os
+    import subprocess
+    import sys
+
+    repo = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("needs the given tables")
+    script = tmp_path / "job.py"
+    script.write_text(SCRIPT.format(repo=repo, elsewhere=str(tmp_path), sf=sf))
+    kept = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "SPARK_HOME")}
+    run = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=kept, capture_output=True, text=True, timeout=300)
+    assert "rows 200 True" in run.stdout, run.stderr[-2000:]
