@@ -8,7 +8,7 @@ tokens whose bytes it overlaps, found by position in the sorted ends and starts.
 A single space between two other characters is a border for both tokenizers (``parts_at_spaces`` proves it
 from the two vocabularies, else texts stay whole): no token holds it inside, so a text is the sequence of
 its parts, each aligned as a text of its own, and groups never cross it. Parts are remembered, up to
-``REMEMBERED`` (a bound on memory, some 50 MB a task; a forgotten one is aligned again). Memory follows a slice
+``REMEMBERED`` (a bound on memory, some 100 MB a task; those met once are forgotten first and aligned again). Memory follows a slice
 of texts or one single text that is longer; tokenizers see no more at once than a run without such a space.
 
 Then the corpus is counted: in how many documents does an id pair occur? Documents keep their distinct pairs
@@ -28,6 +28,7 @@ import os
 import re
 from collections.abc import Iterable, Iterator
 from hashlib import sha256
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,12 +39,15 @@ from corpuslens.llm.shared import keep, text_of
 from corpuslens.llm.tokens import MARK, load
 
 #: Characters of remembered parts, and so many more for each.
-REMEMBERED, EACH = 1 << 23, 50
+REMEMBERED, EACH = 1 << 24, 50
 BROADCAST_PAIRS = 1 << 20
 SLICE_BYTES = 1 << 18
 
 #: A space that both tokenizers begin a token with: between characters that no tokenizer takes for white space.
 _BORDER = re.compile(r"(?<=[^\s\u180e\u200b]) (?=[^\s\u180e\u200b])")
+_WHITE = frozenset(c for c in map(chr, range(0x3001)) if c.isspace() or c in "\u180e\u200b")
+#: New parts that the tokenizers get in one call, joined by spaces again.
+AT_ONCE = 1024
 
 
 def byte_of_sign() -> dict[str, int]:
@@ -91,8 +95,8 @@ class Tokens:
         ]
         self.a_size, self.b_size = np.array(list(map(len, self.a_bytes))), np.array(list(map(len, self.b_bytes)))
 
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of the texts, A with a space before; none where their bytes are not those of the text."""
+    def alone(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """Ids of the texts one by one, A with a space before; none where their bytes are not those of the text."""
         a = [found.ids for found in self.a.encode_batch([f" {t}" for t in texts], add_special_tokens=False)]
         b = self.b.encode(texts, num_threads=1)
         of_a, of_b = self.a_bytes.__getitem__, self.b_bytes.__getitem__
@@ -102,6 +106,48 @@ class Tokens:
                 a[i], b[i] = [], []
         return a, b
 
+    def together(self, parts: list[str]) -> tuple[list[int], np.ndarray, list[int], np.ndarray] | None:
+        """Ids of parts that have borders between them, in one call, and how many each has; None if one of them
+        does not give back its bytes."""
+        text = " ".join(parts)
+        held = b" " + text.encode()
+        ends = np.cumsum([len(p.encode()) + 1 for p in parts])
+        found = []
+        for ids, data, sizes in (
+            (self.a.encode(f" {text}", add_special_tokens=False).ids, self.a_bytes, self.a_size),
+            (self.b.encode(text), self.b_bytes, self.b_size),
+        ):
+            if b"".join(map(data.__getitem__, ids)) != held:
+                return None
+            token_ends = np.cumsum(sizes[ids])
+            upto = np.searchsorted(token_ends, ends, "right")
+            if (token_ends[upto - 1] != ends).any():
+                return None
+            found += [ids, np.diff(upto, prepend=0)]
+        return tuple(found)
+
+    def encode(self, parts: list[str], cut: bool) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The parts in another order, the ids of A in that order and how many each has, those of B and how many."""
+        single = [p for p in parts if p[0] in _WHITE or p[-1] in _WHITE] if cut else list(parts)
+        apart = set(single)
+        inner = [p for p in parts if p not in apart] if apart else parts
+        order, found = [], []
+        for start in range(0, len(inner), AT_ONCE):
+            some = inner[start : start + AT_ONCE]
+            ids = self.together(some)
+            if ids is None:
+                single += some
+            else:
+                order += some
+                found.append(ids)
+        if single:
+            a, b = self.alone(single)
+            order += single
+            count = lambda x: np.array(list(map(len, x)), np.int64)
+            found.append((list(chain.from_iterable(a)), count(a), list(chain.from_iterable(b)), count(b)))
+        flat = [np.concatenate([np.asarray(f[k], np.int64) for f in found]) for k in range(4)]
+        return order, *flat
+
 
 def coalesce(a_size: np.ndarray, b_size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Groups and links of two sequences of tokens, given by their sizes, over the same bytes.
@@ -125,64 +171,93 @@ def coalesce(a_size: np.ndarray, b_size: np.ndarray) -> tuple[np.ndarray, np.nda
     return group[: len(a_size)], group[len(a_size) :], of_a, of_b
 
 
-def _written(ids: list[int], group: np.ndarray, n: int) -> list[str]:
-    """The ids of each group, in order."""
-    cuts, said = np.searchsorted(group, np.arange(n + 1)).tolist(), list(map(str, ids))
-    return [",".join(said[i:j]) for i, j in zip(cuts, cuts[1:])]
+class Written:
+    """Ids as text with what follows them: a comma, bar, semicolon or line end."""
+
+    def __init__(self, a: int, b: int):
+        said = lambda n: np.array([[f"{i}{sign}" for i in range(n)] for sign in ",|;\n"], object)
+        self.a, self.b = said(a), said(b)
+
+    def parts(self, flat_a, group_a, flat_b, group_b, part_of: np.ndarray) -> list[str]:
+        """One text for every part that has tokens; ``part_of`` gives the part of each group."""
+        n = len(part_of)
+        have_a, have_b = np.bincount(group_a, minlength=n), np.bincount(group_b, minlength=n)
+        ends_part = np.ones(n, bool)
+        ends_part[:-1] = part_of[1:] != part_of[:-1]
+        last_a, last_b = np.cumsum(have_a) - 1, np.cumsum(have_b) - 1
+        sign_a, sign_b = np.zeros(len(flat_a), np.int64), np.zeros(len(flat_b), np.int64)
+        sign_a[last_a], sign_b[last_b] = 1, np.where(ends_part, 3, 2)
+        # in each group the tokens of A, then those of B
+        out = np.empty(len(flat_a) + len(flat_b), object)
+        out[np.arange(len(flat_a)) + (np.cumsum(have_b) - have_b)[group_a]] = self.a[sign_a, flat_a]
+        out[np.arange(len(flat_b)) + np.cumsum(have_a)[group_b]] = self.b[sign_b, flat_b]
+        return "".join(out.tolist()).split("\n")[:-1]
 
 
 class Parts:
     """Aligned parts by text: what each holds, pairs of ids in one array."""
 
-    def __init__(self, tokens: Tokens, remembered: int):
-        self.tokens, self.remembered = tokens, remembered
+    def __init__(self, tokens: Tokens, remembered: int, cut: bool):
+        self.tokens, self.remembered, self.cut = tokens, remembered, cut
+        self.written = Written(len(tokens.a_bytes), len(tokens.b_bytes))
         self.clear()
 
     def clear(self) -> None:
         self.place: dict[str, int] = {}
         self.weight = 0
+        self.met = np.zeros(0, np.int64)  # how often, since others were forgotten
         self.said: list[str] = []
         self.numbers = np.zeros((0, 4), np.int64)  # tokens of A, of B, groups, links
         self.pairs, self.upto = np.zeros(0, np.int64), np.zeros(1, np.int64)
 
     def add(self, texts: list[str]) -> None:
         """New parts, coalesced side by side: each begins where the one before ends, at a border of both."""
-        a, b = self.tokens.encode(texts)
-        n_a, n_b = np.array(list(map(len, a))), np.array(list(map(len, b)))
-        flat_a, flat_b = [np.array([i for ids in x for i in ids], np.int64) for x in (a, b)]
+        texts, flat_a, n_a, flat_b, n_b = self.tokens.encode(texts, self.cut)
         of_a, of_b, left, right = coalesce(self.tokens.a_size[flat_a], self.tokens.b_size[flat_b])
         owner = np.repeat(np.arange(len(texts)), n_a)
         n_links = np.bincount(owner[left], minlength=len(texts))
-        last = int(of_a[-1]) + 1 if len(of_a) else 0
-        of = np.zeros(last, np.int64)
-        of[of_a] = owner
-        n_groups = np.bincount(of, minlength=len(texts))
-        groups = [f"{x}|{y}" for x, y in zip(_written(flat_a.tolist(), of_a, last), _written(flat_b.tolist(), of_b, last))]
-        cuts = [0, *np.cumsum(n_groups).tolist()]
+        part_of = np.zeros(int(of_a[-1]) + 1 if len(of_a) else 0, np.int64)
+        part_of[of_a] = owner
+        n_groups = np.bincount(part_of, minlength=len(texts))
+        said = iter(self.written.parts(flat_a, of_a, flat_b, of_b, part_of))
         self.place.update(zip(texts, range(len(self.said), len(self.said) + len(texts))))
-        self.weight += sum(map(len, texts)) + EACH * len(texts)
-        self.said += [";".join(groups[i:j]) for i, j in zip(cuts, cuts[1:])]
+        self.said += [next(said) if n else "" for n in n_a.tolist()]
         self.numbers = np.concatenate([self.numbers, np.stack([n_a, n_b, n_groups, n_links], 1)])
         self.pairs = np.concatenate([self.pairs, flat_a[left] << 32 | flat_b[right]])
         self.upto = np.concatenate([self.upto, self.upto[-1] + np.cumsum(n_links)])
+        self.weight += sum(map(len, texts)) + EACH * len(texts)
+
+    def forget(self) -> None:
+        """Keeps the parts met again since the last time, as long as they are at most half of what may be kept."""
+        held = np.flatnonzero(self.met > 1)
+        texts = list(self.place)
+        weight = sum(len(texts[i]) + EACH for i in held.tolist())
+        if 2 * weight > self.remembered:
+            self.clear()
+            return
+        size = np.diff(self.upto)[held]
+        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.upto[held], size)
+        self.place = {texts[i]: k for k, i in enumerate(held.tolist())}
+        self.said = [self.said[i] for i in held.tolist()]
+        self.numbers, self.pairs, self.upto = self.numbers[held], self.pairs[at], np.concatenate([[0], np.cumsum(size)])
+        self.weight, self.met = weight, np.zeros(len(held), np.int64)
 
     def places(self, parts: list[str]) -> np.ndarray:
-        """Where each part stands; unknown ones are added, all others forgotten before that if there are too many."""
+        """Where each part stands; unknown ones are added, others forgotten before that if there are too many."""
         if self.weight > self.remembered:
-            self.clear()
-        new = list({p: None for p in parts if p not in self.place})
+            self.forget()
+        at = np.array(list(map(self.place.get, parts, repeat(-1))), np.int64)
+        new = np.flatnonzero(at < 0).tolist()
         if new:
-            self.add(new)
-        return np.fromiter(map(self.place.__getitem__, parts), np.int64, len(parts))
-
-
-def _cut(text: str, cut: bool) -> list[str]:
-    return _BORDER.split(text) if cut else [text]
+            self.add(list(dict.fromkeys(map(parts.__getitem__, new))))
+            at[new] = [self.place[parts[i]] for i in new]
+        self.met = np.bincount(at, minlength=len(self.place)) + np.pad(self.met, (0, len(self.place) - len(self.met)))
+        return at
 
 
-def _align(parts: Parts, texts: list[str], cut: bool) -> dict[str, np.ndarray | list]:
+def _align(parts: Parts, texts: list[str]) -> dict[str, np.ndarray | list]:
     """What a slice of texts holds: numbers, the groups' digest, distinct pairs with multiplicities."""
-    pieces = [_cut(t, cut) if t else [] for t in texts]
+    pieces = [(_BORDER.split(t) if parts.cut else [t]) if t else [] for t in texts]
     at = parts.places([p for some in pieces for p in some])
     count = np.array(list(map(len, pieces)), np.int64)
     begin = np.cumsum(count) - count
@@ -231,9 +306,9 @@ def align(docs: DataFrame, a: str, b: bytes, columns: Iterable[str] = ("doc_id",
     columns = list(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = Parts(Tokens(a, b), remembered)
+        parts = Parts(Tokens(a, b), remembered, cut)
         for piece in slices(batches, "__cl_text", SLICE_BYTES):
-            found = _align(parts, column(piece, "__cl_text").to_pylist(), cut)
+            found = _align(parts, column(piece, "__cl_text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [
                     *(column(piece, c) for c in columns),

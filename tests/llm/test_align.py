@@ -119,3 +119,17 @@ def test_very_long_text_and_empty_table(docs):
     a, b = brute.tokens(text)
     assert (found["n_a"], found["n_b"]) == (len(a), len(b))
     assert op.alignments(docs([]), A, B).collect() == []
+
+
+def test_forgotten_parts_are_aligned_again():
+    draw, tokens = random.Random(5), op.Tokens(A, B)
+    few, all_ = op.Parts(tokens, 3000, True), op.Parts(tokens, 1 << 30, True)
+    for _ in range(60):
+        parts = [f"w{int(draw.expovariate(0.02))}" for _ in range(40)] + draw.choices(["a ", " b", "x ▁", "▁", "naïve"], k=3)
+        for held in (few, all_):
+            at = held.places(parts)
+            pairs = [held.pairs[i:j].tolist() for i, j in zip(held.upto[at], held.upto[at + 1])]
+            got = [(held.said[i], held.numbers[i].tolist(), p) for i, p in zip(at.tolist(), pairs)]
+            assert held is few or got == before
+            before = got
+    assert len(few.place) < len(all_.place)
