@@ -29,6 +29,7 @@ FUNCTIONS_CLOSED = r'(?U)"functions"\s*:\s*\[[^\]]*\]'
 FUNCTIONS_OPEN = r'(?U)("functions"\s*:\s*\[[^\]]*),\s*"dependencies"'
 DESCRIPTION_COLON = r'(?U)("description":\s*"|\G(?!\A))([^":]*):(?=[^"]*")'
 ARRAY = r'(?sU)"%s"\s*:\s*\[(.*?)\]'
+ARRAY_OF_STRINGS = r'(?sU)"%s"\s*:\s*\[((?:[^"\]]++|"(?:[^"\\]++|\\.)*+")*+)\]'
 COLON_HEADING = r"(?dU)^#+\s+.*:$"
 LINK_HEADING = r"(?dU)^#+\s+.*\[.*\]\(.*\):$"
 TOP_HEADING = r"^#(?!#)"
@@ -36,8 +37,13 @@ THINKING = r"(?s)<think>.*?</think>"
 FENCE = "```"
 
 
-def _array_of(name: str) -> str:
-    return ARRAY % name
+def _array_of(text: Column, section: str) -> Column:
+    """What stands in a section's array, up to the first ``]``; if that lies within a string, such as
+    ``List[int]``, up to the first one outside of strings."""
+    short = F.regexp_extract(text, ARRAY % section, 1)
+    whole = F.regexp_extract(text, ARRAY_OF_STRINGS % section, 1)
+    quotes = F.length(short) - F.length(F.replace(short, F.lit('"'), F.lit("")))
+    return F.when((quotes % 2 == 1) & (whole != ""), whole).otherwise(short)
 
 
 def is_json(candidate: Column) -> Column:
@@ -85,7 +91,7 @@ def join_signatures(text: Column) -> Column:
 
 def join_pairs(text: Column, section: str) -> Column:
     """Pairs inside one section's array become single strings, assignments (``"a = b": "d"``) included."""
-    items = F.regexp_extract(text, _array_of(section), 1)
+    items = _array_of(text, section)
     joined = F.regexp_replace(items, PAIR, '"$1: $2"')
     return F.when(items != joined, F.replace(text, items, joined)).otherwise(text)
 

@@ -190,3 +190,21 @@ def test_failed_chunk_keeps_the_good_ones(spark, files, tmp_path):
 def test_blank_paths_are_rejected(spark, files):
     df = analyze.analyze_files(files([("a.py", "x")])).withColumn("file_path", F.lit(""))
     assert rollup.valid_files(df).count() == 0 and rollup.rejected_files(df).count() == 1
+
+
+def test_brackets_within_strings_of_a_section(spark):
+    from corpuslens.functions import replies
+
+    cases = [
+        ('"functions": ["f(x: List[int])": "does", "g(y)": "more"]', '"functions": ["f(x: List[int]): does", "g(y): more"]'),
+        ('"functions": ["f(x)": "does"], "dependencies": ["a[0]"]', '"functions": ["f(x): does"], "dependencies": ["a[0]"]'),
+        ('"functions": ["a\\"[b]": "c"]', '"functions": ["a\\"[b]": "c"]'),  # an escaped quote ends no pair
+        ('"functions": ["f": "open', '"functions": ["f": "open'),
+        ('"functions": []', '"functions": []'),
+    ]
+    table = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(cases)], "i int, text string")
+    from pyspark.sql import functions as F
+
+    got = {r["i"]: r["t"] for r in table.select("i", replies.join_pairs(F.col("text"), "functions").alias("t")).collect()}
+    assert {i: got[i] for i in (0, 1, 3, 4)} == {i: cases[i][1] for i in (0, 1, 3, 4)}
+    assert got[2].startswith('"functions": [')
