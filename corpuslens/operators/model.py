@@ -18,6 +18,8 @@ Client = Callable[[Sequence[str], float], Sequence[object]]
 Provider = Callable[[], Client]
 
 RESPONSE_TYPE = "prompt_hash string, response string, error string, attempts int"
+#: Estimated tokens that go out with one call.
+BATCH_TOKENS = 16 * config.DEFAULT_CONTEXT_LENGTH
 
 
 def add_prompts(chunks: DataFrame, functions: bool = True, dependencies: bool = True) -> DataFrame:
@@ -65,6 +67,21 @@ def pending_prompts(prompts: DataFrame, responses: DataFrame | None) -> DataFram
     return asked.join(responses.filter("error IS NULL").select("prompt_hash"), "prompt_hash", "left_anti")
 
 
+def pack(rows, batch: int, batch_tokens: float):
+    """Batches of ``(prompt_hash, prompt)`` in their order: at most ``batch`` prompts, and at most
+    ``batch_tokens`` by estimate. A prompt that alone passes the budget goes alone."""
+    part, held = [], 0
+    for row in rows:
+        tokens = len((row[1] or "").encode()) // config.BYTES_PER_TOKEN
+        if part and (len(part) == batch or held + tokens > batch_tokens):
+            yield part
+            part, held = [], 0
+        part.append(row)
+        held += tokens
+    if part:
+        yield part
+
+
 def infer(
     prompts: DataFrame,
     provider: Provider,
@@ -73,68 +90,104 @@ def infer(
     tries: int = config.CALL_TRIES,
     pause: float = config.RETRY_PAUSE_SECONDS,
     timeout: float = config.CALL_TIMEOUT_SECONDS,
+    batch_tokens: int = BATCH_TOKENS,
+    in_flight: int = 1,
+    calls_per_second: float | None = None,
 ) -> DataFrame:
-    """One response row per prompt. ``tasks`` bounds how many clients work at once.
+    """One response row per prompt. ``tasks`` times ``in_flight`` bounds how many clients work at once.
+
+    A call takes at most ``batch`` prompts and ``batch_tokens`` estimated tokens. With ``in_flight`` above
+    one a task has that many calls on their way, each by a client of its own, so a client never sees two at
+    once. ``calls_per_second`` holds for the whole job, repeated calls included: each task has its share.
 
-    Only timeouts are tried again; any other failure, or the last timeout, becomes the row's error.
+    Only timeouts are tried again; any other failure, or the last timeout, becomes the row's error. A call
+    that raises is halved until the prompts at fault stand alone.
     Write the result before reading it twice: a model may answer differently the second time.
     """
-
-    def ask(client: Client, texts: list[str]) -> list[object]:
-        from concurrent.futures import ThreadPoolExecutor, TimeoutError as Late
-
-        pool = ThreadPoolExecutor(1)
-        try:
-            answers = list(pool.submit(client, texts, timeout).result(timeout * len(texts)))
-            if len(answers) != len(texts):
-                raise ValueError("a provider gives one reply per prompt")
-            return answers
-        except (TimeoutError, Late):
-            late = TimeoutError(f"no reply within {timeout:g} seconds")
-            return [late] * len(texts)
-        except Exception as failure:
-            # One bad prompt must not fail its neighbours.
-            return [failure] if len(texts) == 1 else [ask(client, [t])[0] for t in texts]
-        finally:
-            pool.shutdown(wait=False)
+    if min(batch, batch_tokens, in_flight) < 1 or (calls_per_second is not None and calls_per_second <= 0):
+        raise ValueError("batch, batch_tokens and in_flight begin at 1, calls_per_second lies above 0")
+    tasks = tasks or prompts.sparkSession.sparkContext.defaultParallelism
+    gap = tasks / calls_per_second if calls_per_second else 0.0
 
     def call(frames):
+        import threading
         import time
+        from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, TimeoutError as Late, wait
+        from queue import LifoQueue
 
         import pandas as pd
 
-        client = provider()
-        for frame in frames:
-            for at in range(0, len(frame), batch):
-                part = frame.iloc[at : at + batch]
-                texts, todo = list(part["prompt"]), list(range(len(part)))
-                answer, error, attempts = [None] * len(part), [None] * len(part), [0] * len(part)
-                for attempt in range(1, tries + 1):
-                    again = []
-                    for i, got in zip(todo, ask(client, [texts[i] for i in todo])):
-                        attempts[i] = attempt
-                        if isinstance(got, TimeoutError):
-                            error[i] = f"{got} ({attempt} attempts)"
-                            again.append(i)
-                        elif isinstance(got, BaseException):
-                            error[i] = str(got)
-                        else:
-                            answer[i], error[i] = None if got is None else str(got), None
-                    todo = again
-                    if not todo:
-                        break
-                    if attempt < tries:
-                        time.sleep(pause)
-                yield pd.DataFrame(
-                    {
-                        "prompt_hash": list(part["prompt_hash"]),
-                        "response": answer,
-                        "error": error,
-                        "attempts": attempts,
-                    }
-                )
+        gate, begin = threading.Lock(), [0.0]
+
+        def take_turn() -> None:
+            if gap:
+                with gate:
+                    mine = begin[0] = max(begin[0] + gap, time.monotonic())
+                time.sleep(max(0.0, mine - time.monotonic()))
+
+        def ask(client: Client, texts: list[str]) -> list[object]:
+            take_turn()
+            one = ThreadPoolExecutor(1)
+            try:
+                answers = list(one.submit(client, texts, timeout).result(timeout * len(texts)))
+                if len(answers) != len(texts):
+                    raise ValueError("a provider gives one reply per prompt")
+                return answers
+            except (TimeoutError, Late):
+                late = TimeoutError(f"no reply within {timeout:g} seconds")
+                return [late] * len(texts)
+            except Exception as failure:
+                # One bad prompt must not fail its neighbours.
+                half = len(texts) // 2
+                return ask(client, texts[:half]) + ask(client, texts[half:]) if half else [failure]
+            finally:
+                one.shutdown(wait=False)
+
+        idle = LifoQueue()  # clients not at work; those in use go first, so no more are made than needed
+        for _ in range(in_flight):
+            idle.put(None)
+
+        def work(part):
+            client = idle.get()
+            if client is None:
+                client = provider()
+            texts, todo = [text for _, text in part], list(range(len(part)))
+            answer, error, attempts = [None] * len(part), [None] * len(part), [0] * len(part)
+            for attempt in range(1, tries + 1):
+                again = []
+                for i, got in zip(todo, ask(client, [texts[i] for i in todo])):
+                    attempts[i] = attempt
+                    if isinstance(got, TimeoutError):
+                        error[i] = f"{got} ({attempt} attempts)"
+                        again.append(i)
+                    elif isinstance(got, BaseException):
+                        error[i] = str(got)
+                    else:
+                        answer[i], error[i] = None if got is None else str(got), None
+                todo = again
+                if not todo:
+                    break
+                if attempt < tries:
+                    time.sleep(pause)
+            idle.put(client)
+            return pd.DataFrame(
+                {"prompt_hash": [name for name, _ in part], "response": answer, "error": error, "attempts": attempts}
+            )
+
+        rows = (row for frame in frames for row in zip(frame["prompt_hash"], frame["prompt"]))
+        pool, flying = ThreadPoolExecutor(in_flight), set()
+        try:
+            for part in pack(rows, batch, batch_tokens):
+                if len(flying) == in_flight:
+                    done, flying = wait(flying, return_when=FIRST_COMPLETED)
+                    yield from (one.result() for one in done)
+                flying.add(pool.submit(work, part))
+            while flying:
+                done, flying = wait(flying, return_when=FIRST_COMPLETED)
+                yield from (one.result() for one in done)
+        finally:
+            pool.shutdown(wait=False, cancel_futures=True)
 
-    tasks = tasks or prompts.sparkSession.sparkContext.defaultParallelism
     return (
         prompts.select("prompt_hash", "prompt")
         .repartition(tasks, "prompt_hash")

@@ -115,6 +115,70 @@ def test_a_failing_call_does_not_fail_its_neighbours(spark):
     assert got == {"a": ("A", None, 1), "b": ("B", None, 1), "bad": (None, "broken", 1)}
 
 
+def test_a_failing_call_is_halved(spark):
+    def provider():
+        made = []
+
+        def client(texts, timeout):
+            made.append(len(texts))
+            if "bad" in texts:
+                raise RuntimeError("broken")
+            return [f"{len(made)} {made[-1]}"] * len(texts)
+
+        return client
+
+    got = answers(model.infer(prompts(spark, ["bad", *map(str, range(15))]), provider, tasks=1))
+    assert got["bad"][:2] == (None, "broken") and sum(error is None for _, error, _ in got.values()) == 15
+    # 16 prompts with one bad: at most two calls a halving, not 17
+    assert max(int(reply.split()[0]) for reply, error, _ in got.values() if error is None) <= 9
+
+
+def test_batches_keep_their_budget():
+    rows = [(str(i), "x" * (4 * n)) for i, n in enumerate([3, 3, 3, 20, 0, 5, 5, 1, 1, 1, 1, 1, 1])] + [("n", None)]
+    parts = list(model.pack(iter(rows), 4, 10))
+    assert [row for part in parts for row in part] == rows
+    tokens = [[len(text or "") // 4 for _, text in part] for part in parts]
+    assert all(len(part) == 1 or (len(part) <= 4 and sum(part) <= 10) for part in tokens)
+    assert tokens == [[3, 3, 3], [20], [0, 5, 5], [1, 1, 1, 1], [1, 1, 0]]
+    assert list(model.pack(iter([]), 4, 10)) == []
+    # the estimate counts bytes, as that of files does
+    assert len(list(model.pack(iter([("a", "\u00e9" * 20), ("b", "x")]), 4, 9))) == 2
+
+
+def timed():
+    """Says when each call began and ended, and refuses two calls at once by one client."""
+    busy = []
+
+    def client(texts, timeout):
+        if busy:
+            raise RuntimeError("a client at work was called")
+        busy.append(1)
+        start = time.time()
+        time.sleep(0.5)
+        busy.pop()
+        return [f"{start} {time.time()}"] * len(texts)
+
+    return client
+
+
+def test_calls_overlap_within_a_task(spark):
+    got = answers(model.infer(prompts(spark, list("abcdefgh")), timed, tasks=1, batch=1, in_flight=4))
+    assert len(got) == 8 and all(error is None for _, error, _ in got.values())
+    spans = [tuple(map(float, reply.split())) for reply, _, _ in got.values()]
+    at_once = [sum(a <= start < b for a, b in spans) for start, _ in spans]
+    assert 2 <= max(at_once) <= 4
+    assert max(b for _, b in spans) - min(a for a, _ in spans) < 8 * 0.5
+
+
+def test_calls_keep_the_rate(spark):
+    asked = prompts(spark, list("abcdef"))
+    got = answers(model.infer(asked, timed, tasks=1, batch=1, in_flight=6, calls_per_second=5))
+    starts = sorted(float(reply.split()[0]) for reply, _, _ in got.values())
+    assert starts[-1] - starts[0] >= 5 * 0.2 - 0.1
+    with pytest.raises(ValueError):
+        model.infer(asked, timed, calls_per_second=0)
+
+
 def test_a_hanging_call_is_given_up(spark):
     def provider():
         def client(texts, timeout):
