@@ -21,7 +21,7 @@ from corpuslens.operators.report import file_report, report_index, write_lines
 from corpuslens.operators.search import find_similar, knn, knn_cells, search, search_by_type  # noqa: E402
 from corpuslens.plans.analyze import analyze_corpora, analyze_files  # noqa: E402
 from corpuslens.sources.files import from_table, read_content, scan, walk  # noqa: E402
-from corpuslens.sources.store import compact, read_collections, write_records  # noqa: E402
+from corpuslens.sources.store import build_index, compact, read_collections, read_index, write_records  # noqa: E402
 from corpuslens.streaming.incremental import all_of, analyze_stream, report_sink, store_sink  # noqa: E402
 
 __version__ = "0.1.0"

@@ -8,7 +8,8 @@ block by block in a shuffle instead.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterable, Iterator, Mapping
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
@@ -24,9 +25,19 @@ CANDIDATES_AT_ONCE = 50_000
 MAX_BROADCAST_HITS = 100_000
 RANGES = 256  # of paths in the filter that fetches what was found
 DIGITS = 9
+LOOSE = -1  # the cell of records that no cell holds yet: always searched
 METADATA_NAMES = {"class_name": "name", "function_name": "name", "module_name": "name"}
 
 
+class Cells(NamedTuple):
+    """Records cut into cells. ``rows``: what ``knn`` takes and ``cell``; ``centres``: a vector for each cell;
+    ``radii``: by collection and cell the distance of its farthest record, one entry for each that holds any."""
+
+    rows: DataFrame
+    centres: list
+    radii: dict
+
+
 def _thin(piece, rows, vectors, k: int):
     """``rows`` without copies that cannot matter: of one vector, only the k first by key can be hits.
 
@@ -274,23 +285,28 @@ def search(
     embedder: Embedder | None = None,
     dim: int = DIMENSIONS,
     content: bool = True,
+    index: Cells | None = None,
 ) -> DataFrame:
     """Best ``n`` records per query over the chosen collections, most relevant first.
 
     ``queries``: query_id with text or embedding, and a corpus_id if each is to search its own corpus alone.
     With a ``per_collection_cap`` (such as ``config.PER_COLLECTION_CAP``) each collection offers no more than that.
+    With the ``index`` of the store only the cells that can hold a hit are read; the hits are the same.
     """
-    chosen = metadata_filter(choose_collections(collections, collection), filters)
+    pick = lambda held: metadata_filter(choose_collections(held, collection), filters)
     offered = n if per_collection_cap is None else min(n, per_collection_cap)
-    return _top(chosen, _query_vectors(queries, embedder, dim), n, offered, content)
+    index = index and index._replace(rows=pick(index.rows))
+    return _top(pick(collections), _query_vectors(queries, embedder, dim), n, offered, content, index)
 
 
-def _top(records: DataFrame, queries: DataFrame, n: int, per_collection: int, content: bool) -> DataFrame:
+def _top(
+    records: DataFrame, queries: DataFrame, n: int, per_collection: int, content: bool, index: Cells | None = None
+) -> DataFrame:
     few = first_queries(queries)
     order = Window.partitionBy("query_id").orderBy("distance", "collection", *KEYS)
+    near = knn(records, queries, per_collection, few=few) if index is None else knn_index(index, queries, per_collection, few=few)
     hits = (
-        knn(records, queries, per_collection, few=few)
-        .withColumn("rank", F.row_number().over(order))
+        near.withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= n)
         .withColumn("relevance_score", relevance(F.col("distance")))
         .drop("distance")
@@ -347,12 +363,12 @@ def find_similar(
     embedder: Embedder | None = None,
     dim: int = DIMENSIONS,
     content: bool = True,
+    index: Cells | None = None,
 ) -> DataFrame:
-    """The ``n`` nearest functions, classes or summaries per snippet."""
-    chosen = choose_collections(
-        collections, "" if collection == "all" else collection, config.SIMILAR_COLLECTIONS
-    )
-    return _top(chosen, _query_vectors(snippets, embedder, dim), n, n, content)
+    """The ``n`` nearest functions, classes or summaries per snippet; ``index`` as for ``search``."""
+    pick = lambda held: choose_collections(held, "" if collection == "all" else collection, config.SIMILAR_COLLECTIONS)
+    index = index and index._replace(rows=pick(index.rows))
+    return _top(pick(collections), _query_vectors(snippets, embedder, dim), n, n, content, index)
 
 
 def fit_cells(records: DataFrame, cells: int, seed: int = 7, per_cell: int = 256):
@@ -397,41 +413,80 @@ def assign_cells(records: DataFrame, centres) -> DataFrame:
     return records.filter(F.col("embedding").isNotNull()).mapInArrow(place, schema)
 
 
+def cell_radii(cells: DataFrame) -> DataFrame:
+    """``radius`` of each collection and cell of what ``assign_cells`` gives."""
+    return cells.groupBy("collection", "cell").agg(F.max("cell_distance").alias("radius"))
+
+
 def knn_cells(cells: DataFrame, centres, queries: DataFrame, k: int, probe: int = 4, block: int = QUERIES_PER_BLOCK) -> DataFrame:
-    """As ``knn``, reading only the cells that can hold a neighbour. Exact.
+    """As ``knn_index`` on a table of cells whose radii are not kept beside it: they are read from the table."""
+    radii = {(row["collection"], row["cell"]): row["radius"] for row in cell_radii(cells).collect()}  # a row a cell
+    return knn_index(Cells(cells, centres, radii), queries, k, probe, block)
+
+
+def in_cells(pairs: Iterable[tuple[str, int]], ranges: int = RANGES):
+    """A filter for collections and cells that reaches the scan: equality and ranges. Cells between those asked
+    for may pass it where the ranges run out."""
+    by_collection: dict = {}
+    for collection, cell in sorted(pairs):
+        runs = by_collection.setdefault(collection, [])
+        if runs and runs[-1][1] == cell - 1:
+            runs[-1][1] = cell
+        else:
+            runs.append([cell, cell])
+    each = max(1, ranges // max(len(by_collection), 1))
+    wanted = F.col("cell") == LOOSE
+    for collection, runs in by_collection.items():
+        size = -(-len(runs) // each)
+        spans = [(runs[i][0], runs[min(i + size, len(runs)) - 1][1]) for i in range(0, len(runs), size)]
+        within = F.lit(False)
+        for low, high in spans:
+            within = within | ((F.col("cell") == low) if low == high else F.col("cell").between(low, high))
+        wanted = wanted | ((F.col("collection") == collection) & within)
+    return wanted
+
+
+def knn_index(
+    index: Cells, queries: DataFrame, k: int, probe: int = 4, block: int = QUERIES_PER_BLOCK, few: list | None = None
+) -> DataFrame:
+    """As ``knn``, reading only the cells that can hold a neighbour, each of them once. Exact.
 
-    First the ``probe`` cells nearest to each query are searched, which bounds the k-th distance. A
-    cell whose nearest possible record (centre distance minus radius) lies beyond every query's bound
-    is left out of the second search; all others are searched. A query that found fewer than k in a
+    First the ``probe`` cells nearest to each query are searched in each collection, which bounds its k-th
+    distance there. A cell whose nearest possible record (centre distance minus radius) lies beyond the bounds
+    of all queries is left out of the second search; all others are searched. A query that found fewer than k in a
     collection has no bound there, and skips nothing.
     """
     import numpy as np
 
-    few = first_queries(queries, block)
-    if not few or len(few) > block:
-        return knn(cells, queries, k, block, few)
-    radii = {
-        row["cell"]: row["radius"]
-        for row in cells.groupBy("cell").agg(F.max("cell_distance").alias("radius")).collect()  # one row per cell
-    }
-    held = sorted(radii)
+    few = first_queries(queries, block) if few is None else few
+    if not few or len(few) > block or not index.radii:
+        return knn(index.rows, queries, k, block, few)
     points = np.array([row["embedding"] for row in few], dtype=np.float64)
-    middle = np.array(centres, dtype=np.float64)[held]
+    middle = np.array(index.centres, dtype=np.float64)
     gap = np.sqrt(((points[:, None, :] - middle[None, :, :]) ** 2).sum(axis=2))
-    lowest = np.maximum(gap - np.array([radii[c] for c in held]), 0.0)
-    first = sorted({held[i] for row in np.argsort(gap, axis=1)[:, :probe] for i in row})
-    tried = knn(cells.filter(F.col("cell").isin(first)), queries, k, block, few)
-    names = cells.select("collection").distinct().count()
+    names = sorted({name for name, _ in index.radii})
+    held = {name: np.array(sorted(cell for other, cell in index.radii if other == name)) for name in names}
+    first = set()
+    for name, cells in held.items():
+        nearest = np.argsort(gap[:, cells], axis=1, kind="stable")[:, :probe]
+        first |= {(name, int(cell)) for cell in np.unique(cells[nearest])}
+    tried = materialise(knn(index.rows.filter(in_cells(first)), queries, k, block, few))
     bounds = (
         tried.groupBy("query_id", "collection")
         .agg(F.count(F.lit(1)).alias("held"), F.max("distance").alias("worst"))
         .filter(F.col("held") >= k)
-        .groupBy("query_id")
-        .agg(F.count(F.lit(1)).alias("full"), F.max("worst").alias("worst"))
-        .filter(F.col("full") == names)
-        .collect()  # at most one row per query
+        .collect()  # at most one row per query and collection
     )
-    worst = {row["query_id"]: (row["worst"] + 1e-8) ** 0.5 + 1e-8 for row in bounds}
-    limit = np.array([worst.get(row["query_id"], np.inf) for row in few])
-    needed = [c for i, c in enumerate(held) if (lowest[:, i] <= limit).any() or c in first]
-    return knn(cells.filter(F.col("cell").isin(needed)), queries, k, block, few)
+    worst = {(row["query_id"], row["collection"]): (row["worst"] + 1e-8) ** 0.5 + 1e-8 for row in bounds}
+    needed = set()
+    for name, cells in held.items():
+        limit = np.array([worst.get((row["query_id"], name), np.inf) for row in few])
+        lowest = np.maximum(gap[:, cells] - np.array([index.radii[name, int(cell)] for cell in cells]), 0.0)
+        needed |= {(name, int(cell)) for cell in cells[(lowest <= limit[:, None]).any(axis=0)]}
+    if not needed - first:
+        return tried
+    # what the ranges of the first filter let in besides is left out by the second, so no record counts twice
+    rest = index.rows.filter(~in_cells(first) & in_cells(needed - first))
+    order = Window.partitionBy("query_id", "collection").orderBy("distance", *KEYS)
+    both = tried.unionByName(knn(rest, queries, k, block, few)).withColumn("rank", F.row_number().over(order))
+    return both.filter(F.col("rank") <= k)

@@ -16,6 +16,10 @@ each time it is rewritten: N bytes written in small batches are rewritten log N
 stream runs, and a large generation is never touched for the sake of small ones. ``compact`` folds all there
 is. A folded generation lists what it holds, by name; generations written meanwhile stay beside it. What an
 earlier fold had replaced is removed at the next one: a reader has that time to end.
+
+``build_index`` cuts the vectors into cells, kept beside the generations in order of collection and cell, with
+the radius of each cell. From then on a generation is placed as soon as it is written or folded; one whose
+writer broke off in between is searched in full, so an index never hides a record.
 """
 
 from __future__ import annotations
@@ -28,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpuslens import config
 from corpuslens.operators.rollup import FILE
+from corpuslens.operators.search import LOOSE, Cells, assign_cells, cell_radii, fit_cells
 
 RECORDS = "records"
 FOLDED = "folded"
@@ -35,6 +40,9 @@ RESPONSES = "responses"
 PROJECTS = "project_info"
 FILE_LISTS = "file_list"
 BASE = "base"
+CENTRES = "centres"
+CELLS = "cells"
+RADII = "radii"
 SCHEMA = (
     "corpus_id string, rel_path string, id string, document string, embedding array<float>, "
     "file_path string, filename string, extension string, name string, type string, total_lines bigint, "
@@ -42,6 +50,9 @@ SCHEMA = (
 )
 #: Neighbours of one tier after which a writer folds them; also the factor between tiers.
 FAN = 8
+#: Records a cell holds on average, and the most cells: their centres and radii go through the driver.
+RECORDS_PER_CELL = 20_000
+MAX_CELLS = 4096
 
 
 def _hadoop(spark: SparkSession, path: str):
@@ -126,6 +137,8 @@ def write_records(records: DataFrame, store: str, label: str | None = None, comp
         if column not in records.columns:
             records = records.withColumn(column, F.lit(None).cast(kind))
     columns = [part.split(" ")[0] for part in SCHEMA.split(", ")]
+    if before:
+        _unplace(spark, store, [name])  # the cells of what is replaced
     (
         records.withColumn("version", F.coalesce("modified_at", F.current_timestamp()))
         .select("collection", *columns)
@@ -133,23 +146,24 @@ def write_records(records: DataFrame, store: str, label: str | None = None, comp
         .partitionBy("collection")
         .parquet(f"{store}/{RECORDS}/{name}")
     )
+    _place(spark, store, name)
     if compact_after is not None and len(live) >= compact_after - 1:
         fold_tiers(spark, store, compact_after)
     return name
 
 
-def _read(spark: SparkSession, store: str, names: list[str], collections=None) -> DataFrame:
+def _rows(spark: SparkSession, store: str, names: list[str]) -> DataFrame:
     root = f"{store}/{RECORDS}"
-    reader = lambda picked: (
-        spark.read.schema(f"{SCHEMA}, collection string, gen string")
-        .option("basePath", root)
-        .parquet(*[f"{root}/{n}" for n in picked])
-    )
-    wanted = list(collections or config.COLLECTIONS)
-    rows = reader(names).filter(F.col("collection").isin(wanted))
+    reader = spark.read.schema(f"{SCHEMA}, collection string, gen string").option("basePath", root)
+    return reader.parquet(*[f"{root}/{n}" for n in names])
+
+
+def _current(rows: DataFrame, store: str, names: list[str]) -> DataFrame:
+    """Of ``rows`` with the generation ``gen`` of each, those of the newest version of their file."""
     if len(names) > 1:
+        spark = rows.sparkSession
         base = [max(zip(_sizes(spark, store, names), names))[1]]  # the largest needs no look at most of its files
-        summaries = lambda picked: reader(picked).filter(F.col("collection") == "file_summaries").select(*FILE, "version", "gen")
+        summaries = lambda picked: _rows(spark, store, picked).filter(F.col("collection") == "file_summaries").select(*FILE, "version", "gen")
         later = summaries([n for n in names if n not in base])
         # only files that a generation beside the base touches can have several versions
         held = later.unionByName(summaries(base).join(later.select(*FILE).distinct(), FILE, "left_semi"))
@@ -158,6 +172,11 @@ def _read(spark: SparkSession, store: str, names: list[str], collections=None) -
     return rows.drop("gen")
 
 
+def _read(spark: SparkSession, store: str, names: list[str], collections=None) -> DataFrame:
+    wanted = list(collections or config.COLLECTIONS)
+    return _current(_rows(spark, store, names).filter(F.col("collection").isin(wanted)), store, names)
+
+
 def read_collections(spark: SparkSession, store: str, collections=None) -> DataFrame:
     """Current records; ``collection`` filters prune folders. A store without records is an error.
 
@@ -203,6 +222,7 @@ def _fold(spark: SparkSession, store: str, members: list[str]) -> None:
         .write.partitionBy("collection")
         .parquet(f"{store}/{RECORDS}/{base}")
     )
+    _place(spark, store, base)
     gone = {n for held in earlier.values() for n in held} & present
     # a member that is a fold itself hides no longer what it held, so its names are taken over
     held = [*members, *(n for m in members for n in earlier.get(m, ()) if n in present)]
@@ -210,6 +230,90 @@ def _fold(spark: SparkSession, store: str, members: list[str]) -> None:
     for where in [*(f"{RECORDS}/{n}" for n in sorted(gone)), *(f"{FOLDED}/{m}" for m in members if m in earlier)]:
         path, files = _hadoop(spark, f"{store}/{where}")
         files.delete(path, True)
+    _unplace(spark, store, sorted(gone))
+
+
+def build_index(spark: SparkSession, store: str, cells: int | None = None) -> int:
+    """Cuts the stored vectors into cells; gives their number, 0 for a store without vectors.
+
+    Later generations are placed as they are written. Build again when the store has grown several times over:
+    the cells then follow its size; results are the same before and after.
+    """
+    names = _generations(spark, store)
+    if not names:
+        return 0
+    held = _rows(spark, store, names).filter(F.col("embedding").isNotNull())
+    count = held.count()
+    if not count:
+        return 0
+    cells = cells or min(MAX_CELLS, 1 + count // RECORDS_PER_CELL)
+    centres = [[float(x) for x in centre] for centre in fit_cells(held, cells)]
+    write_table(spark.createDataFrame(list(enumerate(centres)), "cell int, centre array<double>").coalesce(1), store, CENTRES)
+    for name in names:
+        _place(spark, store, name)
+    return len(centres)
+
+
+def _centres(spark: SparkSession, store: str) -> tuple[str, list] | None:
+    """The version of the index and its centres, at most ``MAX_CELLS`` unless more were asked for."""
+    versions = _folders(spark, f"{store}/{CENTRES}")
+    if not versions:
+        return None
+    return versions[-1], [row["centre"] for row in read_table(spark, store, CENTRES).orderBy("cell").collect()]
+
+
+def _place(spark: SparkSession, store: str, name: str) -> None:
+    """Writes the cells of a generation, and last their radii: what has radii is placed."""
+    index = _centres(spark, store)
+    if index is None:
+        return
+    version, centres = index
+    rows = _rows(spark, store, [name]).drop("document", "content_key", "gen")
+    where = lambda part: f"{store}/{part}/{version}/{name}"
+    (
+        assign_cells(rows, centres)
+        .repartitionByRange("collection", "cell", "corpus_id", "rel_path", "id")
+        .sortWithinPartitions("collection", "cell", "corpus_id", "rel_path", "id")
+        .write.mode("overwrite")
+        .parquet(where(CELLS))
+    )
+    cell_radii(spark.read.parquet(where(CELLS))).coalesce(1).write.mode("overwrite").parquet(where(RADII))
+
+
+def _unplace(spark: SparkSession, store: str, names: list[str]) -> None:
+    """Removes the cells of generations, radii first."""
+    for part in (RADII, CELLS):
+        for version in _folders(spark, f"{store}/{CENTRES}") if names else ():
+            for name in names:
+                path, files = _hadoop(spark, f"{store}/{part}/{version}/{name}")
+                files.delete(path, True)
+
+
+def read_index(spark: SparkSession, store: str) -> Cells | None:
+    """The cells of the current records, for ``search``; None where no index was built. Radii are those of all
+    versions a cell has held: never too small."""
+    index = _centres(spark, store)
+    if index is None:
+        return None
+    version, centres = index
+    names = _generations(spark, store)
+    placed = sorted(set(names) & set(_folders(spark, f"{store}/{RADII}/{version}")))
+    columns = ["collection", *(p.split(" ")[0] for p in SCHEMA.split(", ")), "gen", "cell"]
+    columns = [c for c in columns if c not in ("document", "content_key")]
+    loose = [n for n in names if n not in placed]
+    parts, radii = [], {}
+    if placed:
+        read = lambda part, schema: spark.read.schema(f"{schema}, gen string").option("basePath", f"{store}/{part}/{version}").parquet(
+            *[f"{store}/{part}/{version}/{n}" for n in placed]
+        )
+        parts.append(read(CELLS, f"{SCHEMA}, collection string, cell int").select(columns))
+        for row in read(RADII, "collection string, cell int, radius double").collect():  # a row a generation and cell
+            key = row["collection"], row["cell"]
+            radii[key] = max(row["radius"], radii.get(key, 0.0))
+    if loose:
+        parts.append(_rows(spark, store, loose).withColumn("cell", F.lit(LOOSE)).select(columns))
+    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return Cells(_current(rows, store, names), centres, radii)
 
 
 def read_responses(spark: SparkSession, store: str) -> DataFrame | None:

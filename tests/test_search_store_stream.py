@@ -73,6 +73,71 @@ def test_exact_with_copies_on_every_way(spark, tmp_path):
     assert found(search.knn_cells(spark.read.parquet(str(tmp_path / "cells")), centres, wanted, 7, probe=1)) == want
 
 
+def test_index_of_a_store_is_exact_and_reads_cells(spark, tmp_path):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    middles = rng.normal(size=(12, 4)) * 20
+    points = lambda n, seed: (middles[np.arange(n) % 12] + np.random.default_rng(seed).normal(size=(n, 4))).astype(np.float32)
+    store, kinds = str(tmp_path / "store"), ("file_summaries", "classes")
+
+    def write(numbers, seed, label=None):
+        vectors = points(600, seed).tolist()
+        rows = [(c, "c", f"{i:04d}", f"{i:04d}", "d", [float(x) for x in vectors[i]], f"n{i % 2}") for i in numbers for c in kinds]
+        df = spark.createDataFrame(rows, "collection string, corpus_id string, rel_path string, id string, document string, embedding array<float>, name string")
+        for column in ("file_path", "filename", "extension", "type", "error_message"):
+            df = df.withColumn(column, F.lit("x"))
+        df = df.withColumn("total_lines", F.lit(1).cast("long")).withColumns({c: F.lit(False) for c in ("has_error", "oversized_file")})
+        return stores.write_records(df, store, label)
+
+    asked = queries(spark, [[float(x) for x in row] for row in points(3, 9)])
+
+    def same(**options):
+        held, index = stores.read_collections(spark, store), stores.read_index(spark, store)
+        pick = lambda df: sorted((r["query_id"], r["collection"], r["rank"], r["id"], r["relevance_score"]) for r in df.collect())
+        want = pick(search.search(held, asked, 9, **options))
+        assert len(want) > 0 and pick(search.search(held, asked, 9, index=index, **options)) == want
+
+    write(range(400), 1)
+    assert stores.read_index(spark, store) is None and stores.build_index(spark, store, cells=12) == 12
+    same()
+    write(range(300, 600), 2, "again")  # placed as it is written, replaces a hundred files
+    same()
+    same(collection="classes", filters={"class_name": "n1"})
+    write(range(250, 450), 3, "again")  # the same label: the cells of the old batch go
+    same()
+    index = stores.read_index(spark, store)
+    assert {cell for _, cell in index.radii} <= set(range(12))
+    reached = search.knn_index(index, asked, 3)
+    assert reached.count() == 18
+    # 3 queries near 3 of 12 middles: at most half of the rows are read, by filters that reach the scan
+    first = index.rows.filter(search.in_cells({("classes", 1), ("classes", 2), ("classes", 7)}))
+    spark.conf.set("spark.sql.maxMetadataStringLength", 5000)
+    plan = first._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    pushed = [line for line in plan.split("PushedFilters: ") if "cell" in line.split("ReadSchema")[0]]
+    assert any("EqualTo(cell,7)" in line and "GreaterThanOrEqual(cell,1)" in line for line in pushed), plan
+    near = lambda rows: rows.filter("collection = 'classes'").count()
+    assert near(first) < near(index.rows) / 2
+    # a generation whose writer broke off before its cells: searched in full
+    name = write([7, 900 - 400], 4)
+    stores._unplace(spark, store, [name])
+    assert stores.read_index(spark, store).rows.filter(F.col("cell") == search.LOOSE).count() == 4
+    same()
+    stores.compact(spark, store)
+    assert stores.read_index(spark, store).rows.filter(F.col("cell") == search.LOOSE).count() == 0
+    same()
+
+
+def test_filters_of_cells(spark):
+    held = spark.range(40).select(F.lit("a").alias("collection"), (F.col("id") - 1).cast("int").alias("cell"))
+    cells = lambda pairs, *more: [r["cell"] for r in held.filter(search.in_cells(pairs, *more)).orderBy("cell").collect()]
+    assert cells([]) == [-1] and cells([("b", 3)]) == [-1]
+    assert cells([("a", n) for n in (1, 2, 3, 9, 20)]) == [-1, 1, 2, 3, 9, 20]
+    # too few ranges: cells between pass too, none is lost
+    assert cells([("a", n) for n in (1, 3, 5, 30)], 2) == [-1, 1, 2, 3, *range(5, 31)]
+
+
 def test_embedders(spark):
     df = spark.createDataFrame([("a b a",), ("A. b, a",), ("",), (None,)], "t string")
     vectors = [r["embedding"] for r in embed(df, "t", dim=16).collect()]

@@ -539,6 +539,8 @@ ORACLE = {
         20, 30, HITS, "extension = '.py' AND doc_id % 5 <> 0")),
     "search_text": search_query(*ANALYSED, records("analysed"), SNIPPETS, RECORDS, tail=nearest(
         20, 30, f"corpus_id, rel_path, {HITS}, document, name")),
+    "search_indexed": search_query(*ANALYSED, records("analysed"), SNIPPETS, RECORDS, tail=nearest(
+        20, 30, f"corpus_id, rel_path, {HITS}, document, name")),
     "search_by_type": search_query(*ANALYSED, records("analysed"), SNIPPETS, RECORDS, tail=nearest(
         10, 10, HITS, "collection = 'classes'")),
     "file_summary": query(DOC, select="""

@@ -576,6 +576,22 @@ def search_text(spark, sf):
     )
 
 
+def search_indexed(spark, sf):
+    """As ``search_text`` through the cells of the store, some files of which were written again later."""
+    store = work_folder(spark, "store")
+    records = materialise(analyze.collection_records(analysed(spark, sf), dim=DIM))
+    stores.write_records(records, store)
+    stores.build_index(spark, store, cells=24)
+    stores.write_records(records.filter(F.pmod(F.xxhash64("rel_path"), F.lit(3)) == 0), store)
+    hits = search.search(
+        stores.read_collections(spark, store), snippets(spark, sf), 30, per_collection_cap=config.PER_COLLECTION_CAP, dim=DIM,
+        index=stores.read_index(spark, store),
+    )
+    return hits.select(
+        "query_id", "collection", *FILE, "id", "rank", (F.round("relevance_score", 6) + 0.0).alias("score"), "document", "name"
+    )
+
+
 def search_by_type(spark, sf):
     return hit_columns(
         search.search_by_type(
@@ -799,7 +815,7 @@ QUERIES = {
         file_rollup, file_sections, summary_prompts, infer_responses, reply_normalize, reply_text,
         clean_summaries, entity_records, file_list_pages, project_info, upsert_records, stored_upsert,
         collection_stats, remaining_files, resume_split, run_counts, knn_search, knn_cells,
-        neighbour_distances, similar_topn, similar_many_snippets, search_filtered, search_text,
+        neighbour_distances, similar_topn, similar_many_snippets, search_filtered, search_text, search_indexed,
         search_by_type, file_summary, file_details, file_details_by_name, list_files, basename_counts,
         import_edges, graph_nodes, graph_lines, file_report, file_report_errors, report_index,
         search_per_corpus, stream_finish, rejected_records, project_info_lookup, own_analyzer, report_sink_rows,
