@@ -78,3 +78,63 @@ def test_empty_table_and_bad_template(spark):
     assert scan(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     with pytest.raises(ValueError):
         Index({"x": "too short"})
+
+
+def names(text):
+    (matches,) = find(Index(TEMPLATES), Words(pa.array([text]), PLAIN))
+    assert all(a[5] <= b[4] or b[5] <= a[4] for i, a in enumerate(matches) for b in matches[:i])
+    return [m[0] for m in sorted(matches, key=lambda m: m[4])]
+
+
+def test_relatives_are_told_apart():
+    gpl = TEMPLATES["gpl-3.0-header"]
+    assert names(gpl.replace("version 3", "version 2")) == ["gpl-2.0-header"]
+    assert names(gpl.replace("GNU General", "GNU Lesser General")) == ["lgpl-3.0-header"]
+    assert names(gpl.replace("GNU General", "GNU Affero General")) == ["agpl-3.0-header"]
+    assert names(gpl.replace("version 3", "version 9")) == []
+    assert names(TEMPLATES["gpl-2.0-only-header"].replace("version 2", "only version 2")) == ["gpl-2.0-only-header"]
+    library = gpl.replace("This program", "This library").replace("GNU General", "GNU Lesser General")
+    assert names(library.replace("version 3", "version 2.1")) == ["lgpl-2.1-header"]
+    # bullets in place of numbers, the holder's name in place of the copyright holder
+    bsd = TEMPLATES["bsd-3-clause"].replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* ").replace("the copyright holder nor", "Acme Inc nor")
+    assert names(bsd) == ["bsd-3-clause"]
+    assert names(bsd.replace(bsd[bsd.index("* Neither"):bsd.index("THIS SOFTWARE")], "")) == ["bsd-2-clause"]
+    assert names(TEMPLATES["apache-2.0-header"].replace("http:", "https:")) == ["apache-2.0-header"]
+    assert names(TEMPLATES["mpl-2.0-header"] + "\n" + TEMPLATES["unlicense"]) == ["mpl-2.0-header", "unlicense"]
+    assert names("Licensed under the Apache License, Version 1.1.") == []
+
+
+def test_inserted_words_cost():
+    mit = TEMPLATES["mit-grant"].split()
+    spread = lambda n: " ".join(w + (f" not{i}" if i < 3 * n and i % 3 == 0 else "") for i, w in enumerate(mit))
+    index = Index({"mit-grant": TEMPLATES["mit-grant"]})
+    (few,), (many,) = (find(index, Words(pa.array([spread(n)]), PLAIN)) for n in (5, 20))
+    assert few[0][:4] == ("mit-grant", 1.0, len(mit) + 1, 5)  # "and/or" is two words
+    assert many == []
+
+
+def test_recall_against_full_alignment():
+    """Every template against every place of the text, without fingerprints or a narrow band."""
+    rng = random.Random(8)
+    short = {n: t for n, t in TEMPLATES.items() if len(t.split()) <= 60}
+    index = Index(short)
+    wanted = caught = 0
+    for n in range(24):
+        words = rng.choice(list(short.values())).split()
+        for _ in range(rng.randint(0, len(words) // 6)):
+            at = rng.randrange(len(words))
+            words[at : at + rng.randint(0, 1)] = [f"edit{rng.randrange(99)}"] * rng.randint(0, 1)
+        text = " ".join([*filler(n, 20), *words, *filler(n + 99, 20)])
+        one = Words(pa.array([text]), PLAIN)
+        best = []
+        for k, name in enumerate(index.names):
+            pairs = align(index.words[k], one.hashes, 0, len(one.hashes) + len(index.words[k]))
+            size = len(index.words[k])
+            inserted = pairs[-1][1] + 1 - pairs[0][1] - len(pairs) if pairs else 0
+            if pairs and index.versions[k] <= {i for i, _ in pairs} and len(pairs) >= 0.8 * (size + inserted):
+                best.append((3 * len(pairs) - size - inserted, name))
+        (got,) = find(index, one)
+        assert bool(best) or not got
+        wanted += bool(best)
+        caught += bool(best) and bool(got) and max(best)[0] == max(3 * m[2] - len(index.words[index.names.index(m[0])]) - m[3] for m in got)
+    assert wanted >= 15 and caught >= 0.9 * wanted, (caught, wanted)
