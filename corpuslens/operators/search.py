@@ -20,6 +20,7 @@ from corpuslens.operators.skew import lookup_join, materialise
 KEYS = ["corpus_id", "rel_path", "id"]
 QUERIES_PER_BLOCK = 1024
 RECORDS_PER_GROUP = 100_000
+QUERIES_PER_CELL = 16_384  # of one cell in a group: records are sent once more only beyond that
 CELLS_AT_ONCE = 2_000_000  # distances held at once in a task: 16 MB
 CANDIDATES_AT_ONCE = 50_000
 MAX_BROADCAST_HITS = 100_000
@@ -169,8 +170,6 @@ def knn(
     corpus_id if each is to see the records of its own corpus alone (NULL sees none).
     Gives query_id, collection, the record's key, distance and rank.
     """
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     if k < 1:
         raise ValueError("k begins at 1")
     spark = records.sparkSession
@@ -179,14 +178,7 @@ def knn(
     queries = queries.select("query_id", "embedding", *["corpus_id"] * own).filter(F.col("embedding").isNotNull())
     if own:
         queries = queries.filter("corpus_id IS NOT NULL")
-    out = T.StructType(
-        [
-            queries.schema["query_id"],
-            *[records.schema[c] for c in ("collection", *KEYS)],
-            T.StructField("distance", T.DoubleType()),
-        ]
-    )
-    arrow_schema = to_arrow_schema(out)
+    out, arrow_schema = _found_schema(records, queries)
     few = first_queries(queries, block) if few is None else few
     if own and len(few) <= block:
         few = [row for row in few if row["corpus_id"] is not None]
@@ -208,19 +200,35 @@ def knn(
 
         found = records.mapInArrow(nearest, out)
     else:
+        if own:
+            queries = queries.withColumnRenamed("corpus_id", "_scope")
+            records = records.withColumn("_scope", F.col("corpus_id"))
         found = _knn_blocks(records, queries, k, block, out, arrow_schema)
     # each task gave its k best at most: the combining step
     order = Window.partitionBy("query_id", "collection").orderBy("distance", *KEYS)
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def _found_schema(records: DataFrame, queries: DataFrame):
+    """What the tasks of a search give, for Spark and for Arrow."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    out = T.StructType(
+        [
+            queries.schema["query_id"],
+            *[records.schema[c] for c in ("collection", *KEYS)],
+            T.StructField("distance", T.DoubleType()),
+        ]
+    )
+    return out, to_arrow_schema(out)
+
+
 def _knn_blocks(records, queries, k, block, out, arrow_schema) -> DataFrame:
     """Many queries: blocks of queries meet pieces of the records. A group is one block and one piece, of one
-    corpus where queries have theirs; a hot corpus has many pieces."""
+    ``_scope`` (corpus or cell) where the queries name theirs; a hot scope has many pieces."""
     count = lambda n, size: F.ceil(F.count(F.lit(1)) / size).cast("int").alias(n)
-    if "corpus_id" in queries.columns:
+    if "_scope" in queries.columns:
         scope = ["_scope"]
-        queries, records = queries.withColumnRenamed("corpus_id", "_scope"), records.withColumn("_scope", F.col("corpus_id"))
         sizes = materialise(
             queries.groupBy("_scope").agg(count("_in_blocks", block)).join(records.groupBy("_scope").agg(count("_in_pieces", RECORDS_PER_GROUP)), "_scope")
         )
@@ -455,10 +463,15 @@ def knn_index(
     distance there. A cell whose nearest possible record (centre distance minus radius) lies beyond the bounds
     of all queries is left out of the second search; all others are searched. A query that found fewer than k in a
     collection has no bound there, and skips nothing.
+
+    More than ``block`` queries go to the cells themselves, by the same bounds, each for itself: queries are
+    repeated for each cell that they need, records are not repeated for queries.
     """
     import numpy as np
 
     few = first_queries(queries, block) if few is None else few
+    if len(few) > block and index.radii and "corpus_id" not in queries.columns:
+        return _knn_by_cell(index, queries, k, probe)
     if not few or len(few) > block or not index.radii:
         return knn(index.rows, queries, k, block, few)
     points = np.array([row["embedding"] for row in few], dtype=np.float64)
@@ -490,3 +503,75 @@ def knn_index(
     order = Window.partitionBy("query_id", "collection").orderBy("distance", *KEYS)
     both = tried.unionByName(knn(rest, queries, k, block, few)).withColumn("rank", F.row_number().over(order))
     return both.filter(F.col("rank") <= k)
+
+
+def _to_cells(index: Cells, queries: DataFrame, probe: int) -> DataFrame:
+    """A row for each query and cell (``_scope``) it has to look at. Without ``worst``: the ``probe`` nearest cells
+    of each collection, and what is in no cell. With ``worst``, the squared distance of the k-th hit by collection in
+    order of their names (NULL where there are fewer): the other cells that could hold a nearer one."""
+    import numpy as np
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    names = sorted({name for name, _ in index.radii})
+    held = [sorted((cell, radius) for (other, cell), radius in index.radii.items() if other == name) for name in names]
+    shared = queries.sparkSession.sparkContext.broadcast(
+        (np.array(index.centres, dtype=np.float64), [(np.array([c for c, _ in h]), np.array([r for _, r in h])) for h in held])
+    )
+    again = "worst" in queries.columns
+    out = T.StructType([queries.schema["query_id"], queries.schema["embedding"], T.StructField("_scope", T.IntegerType())])
+    arrow_schema = to_arrow_schema(out)
+
+    def spread(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        centres, held = shared.value
+        rows = max(1, CELLS_AT_ONCE // len(centres))
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                points = part.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
+                gap = np.empty((part.num_rows, len(centres)))
+                for i, point in enumerate(points):
+                    gap[i] = np.sqrt(((centres - point) ** 2).sum(axis=1))
+                first = np.zeros(gap.shape, dtype=bool)
+                for cells, _ in held:
+                    np.put_along_axis(first, cells[np.argsort(gap[:, cells], axis=1, kind="stable")[:, :probe]], True, axis=1)
+                wanted = first
+                if again:
+                    worst = part.column("worst").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
+                    limit = np.where(np.isnan(worst), np.inf, np.sqrt(worst + 1e-8) + 1e-8)
+                    wanted = np.zeros(gap.shape, dtype=bool)
+                    for which, (cells, radii) in enumerate(held):
+                        wanted[:, cells] |= np.maximum(gap[:, cells] - radii, 0.0) <= limit[:, which : which + 1]
+                    wanted &= ~first
+                row, cell = np.nonzero(wanted)
+                if not again:
+                    row, cell = np.append(row, np.arange(part.num_rows)), np.append(cell, np.full(part.num_rows, LOOSE))
+                told = part.select(["query_id", "embedding"])
+                for start in range(0, len(row), CANDIDATES_AT_ONCE):
+                    some = told.take(pa.array(row[start : start + CANDIDATES_AT_ONCE]))
+                    yield pa.RecordBatch.from_arrays(
+                        [*some.columns, pa.array(cell[start : start + CANDIDATES_AT_ONCE].astype(np.int32))], schema=arrow_schema
+                    )
+
+    return queries.mapInArrow(spread, out)
+
+
+def _knn_by_cell(index: Cells, queries: DataFrame, k: int, probe: int) -> DataFrame:
+    """Many queries: each is sent to its own cells, in two rounds as ``knn_index`` does for few."""
+    if k < 1:
+        raise ValueError("k begins at 1")
+    queries = queries.select("query_id", "embedding").filter(F.col("embedding").isNotNull())
+    records = index.rows.select("collection", *KEYS, "embedding", F.col("cell").alias("_scope")).filter(F.col("embedding").isNotNull())
+    out, arrow_schema = _found_schema(records, queries)
+    order = Window.partitionBy("query_id", "collection").orderBy("distance", *KEYS)
+    ranked = lambda found: found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    near = lambda asked: _knn_blocks(records, asked, k, QUERIES_PER_CELL, out, arrow_schema)
+    tried = materialise(ranked(near(_to_cells(index, queries, probe))))
+    names = sorted({name for name, _ in index.radii})
+    last = lambda name: F.max(F.when((F.col("collection") == name) & (F.col("rank") == k), F.col("distance")))
+    bounds = tried.groupBy("query_id").agg(F.array(*[last(name) for name in names]).alias("worst"))
+    none = F.array(*[F.lit(None).cast("double") for _ in names])
+    asked = queries.join(bounds, "query_id", "left").withColumn("worst", F.coalesce("worst", none))
+    return ranked(tried.drop("rank").unionByName(near(_to_cells(index, asked, probe))))

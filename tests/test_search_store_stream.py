@@ -71,6 +71,31 @@ def test_exact_with_copies_on_every_way(spark, tmp_path):
     centres = search.fit_cells(held, 8)
     search.assign_cells(held, centres).write.partitionBy("cell").parquet(str(tmp_path / "cells"))
     assert found(search.knn_cells(spark.read.parquet(str(tmp_path / "cells")), centres, wanted, 7, probe=1)) == want
+    cells = spark.read.parquet(str(tmp_path / "cells"))
+    assert found(search.knn_cells(cells, centres, wanted, 7, probe=1, block=4)) == want  # queries sent to cells
+    assert found(search.knn_cells(cells, centres, wanted, 700, probe=2, block=4)) == brute(vectors.tolist(), asked.tolist(), 700)
+
+
+def test_many_queries_go_to_few_cells(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    middles = np.eye(6) * 50
+    place = lambda n: [[float(x) for x in row] for row in (middles[np.arange(n) % 6] + rng.normal(size=(n, 6))).astype(np.float32)]
+    held = records(spark, place(600)).withColumn("collection", F.when(F.col("id") < "0300", "classes").otherwise("functions"))
+    cells = search.assign_cells(held, middles).unionByName(
+        records(spark, [[1.0] * 6]).withColumns({"cell": F.lit(search.LOOSE), "cell_distance": F.lit(None).cast("double")})
+    )
+    radii = {(r["collection"], r["cell"]): r["radius"] for r in search.cell_radii(cells.filter("cell >= 0")).collect()}
+    index, asked = search.Cells(cells, middles.tolist(), radii), queries(spark, place(60))
+    pick = lambda df: sorted(tuple(r[c] for c in ("query_id", "collection", "id", "distance", "rank")) for r in df.collect())
+    assert pick(search.knn_index(index, asked, 5, probe=1, block=8)) == pick(search.knn(cells, asked, 5))
+    # one cell and the loose records each; the second round finds nothing that could be nearer
+    assert search._to_cells(index, asked, 1).groupBy("query_id").count().filter("count <> 2").count() == 0
+    bounded = asked.withColumn("worst", F.array(F.lit(400.0), F.lit(400.0)))
+    assert search._to_cells(index, bounded, 1).count() == 0
+    unbounded = asked.withColumn("worst", F.array(F.lit(400.0), F.lit(None).cast("double")))
+    assert search._to_cells(index, unbounded, 1).count() == 60 * 5
 
 
 def test_index_of_a_store_is_exact_and_reads_cells(spark, tmp_path):

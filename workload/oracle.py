@@ -535,6 +535,7 @@ ORACLE = {
             AS distance FROM held JOIN asked ON query_id = collection"""),
     "similar_topn": search_query(DOC, SNIPPETS, DOCUMENTS, tail=nearest(25, 25, HITS)),
     "similar_many_snippets": search_query(DOC, SNIPPETS, DOCUMENTS, tail=nearest(25, None, HITS)),
+    "similar_many_by_cells": search_query(DOC, SNIPPETS, DOCUMENTS, tail=nearest(25, None, HITS)),
     "search_filtered": search_query(DOC, SNIPPETS, DOCUMENTS, tail=nearest(
         20, 30, HITS, "extension = '.py' AND doc_id % 5 <> 0")),
     "search_text": search_query(*ANALYSED, records("analysed"), SNIPPETS, RECORDS, tail=nearest(

@@ -530,6 +530,16 @@ def similar_many_snippets(spark, sf):
     return scored(found)
 
 
+def similar_many_by_cells(spark, sf):
+    """The same, each snippet sent to the cells that could hold one of its hits."""
+    records = text_records(spark, sf)
+    centres = search.fit_cells(records, 16)
+    folder = work_folder(spark, "cells")
+    search.assign_cells(records, centres).write.parquet(folder)
+    queries = embed(snippets(spark, sf), "text", dim=DIM)
+    return scored(search.knn_cells(spark.read.parquet(folder), centres, queries, 25, block=16))
+
+
 def search_filtered(spark, sf):
     """Metadata filters: one given as text for a boolean column."""
     return hit_columns(
@@ -815,7 +825,7 @@ QUERIES = {
         file_rollup, file_sections, summary_prompts, infer_responses, reply_normalize, reply_text,
         clean_summaries, entity_records, file_list_pages, project_info, upsert_records, stored_upsert,
         collection_stats, remaining_files, resume_split, run_counts, knn_search, knn_cells,
-        neighbour_distances, similar_topn, similar_many_snippets, search_filtered, search_text, search_indexed,
+        neighbour_distances, similar_topn, similar_many_snippets, similar_many_by_cells, search_filtered, search_text, search_indexed,
         search_by_type, file_summary, file_details, file_details_by_name, list_files, basename_counts,
         import_edges, graph_nodes, graph_lines, file_report, file_report_errors, report_index,
         search_per_corpus, stream_finish, rejected_records, project_info_lookup, own_analyzer, report_sink_rows,
