@@ -29,7 +29,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from corpuslens.llm.batches import BYTE_VALUES, Rolling, buffers, column, slices, winnow
 from corpuslens.llm.shared import keep, small, text_of
@@ -318,11 +318,24 @@ def covered_spans(base: DataFrame, length: int = LENGTH, depth: int = DEPTH, lim
     return found.distinct().groupBy("uid").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
 
 
-def dedup_suffixes(docs: DataFrame, length: int = LENGTH, depth: int = DEPTH, limit: int = HOT) -> DataFrame:
+def text_ids(docs: DataFrame, hashed: Column | None = None) -> DataFrame:
+    """``doc_id, text, uid``: texts have one ``uid`` if they are equal. Where different texts share a hash of 64
+    bits (some 70 pairs of 5*10^10 texts), a second hash, which tells them apart, becomes their ``uid``."""
+    base = docs.select("doc_id", text_of().alias("text")).withColumn("uid", F.xxhash64("text") if hashed is None else hashed)
+    second = F.xxhash64(F.lit(1), "text")
+    told = base.groupBy("uid").agg(F.min(second).alias("_a"), F.max(second).alias("_b")).filter("_a <> _b")
+    shared = keep(told.select("uid"), "shared")
+    if not shared.limit(1).count():
+        return base
+    mixed = base.join(small(shared).withColumn("_mixed", F.lit(True)), "uid", "left")
+    return mixed.select("doc_id", "text", F.when(F.col("_mixed"), second).otherwise(F.col("uid")).alias("uid"))
+
+
+def dedup_suffixes(docs: DataFrame, length: int = LENGTH, depth: int = DEPTH, limit: int = HOT, hashed: Column | None = None) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept, kept_sha256`` of every row; ``kept`` are bytes."""
     if not 0 < depth < length:
         raise ValueError("depth must be less than length")
-    base = docs.select("doc_id", text_of().alias("text")).withColumn("uid", F.xxhash64("text"))
+    base = text_ids(docs, hashed)
     spans = keep(covered_spans(base, length, depth, limit), "spans")
     copied = base.groupBy("uid").agg(F.count(F.lit(1)).alias("_n"), F.max(F.octet_length("text")).alias("_b")).filter(
         (F.col("_n") > 1) & (F.col("_b") >= length)

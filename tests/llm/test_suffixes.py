@@ -67,6 +67,13 @@ def test_hot_heads_meet_in_no_task(docs, monkeypatch, length, depth, limit):
     assert used and sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found), key=repr) == brute(cases(), length)
 
 
+def test_texts_of_one_hash_are_told_apart(docs):
+    from pyspark.sql import functions as F
+
+    found = dedup_suffixes(docs(cases()), 400, 32, hashed=F.pmod(F.length("text"), F.lit(3)).cast("long")).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found), key=repr) == brute(cases(), 400)
+
+
 def test_sorting_is_sorting():
     rng = random.Random(2)
     for _ in range(60):
