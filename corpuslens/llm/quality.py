@@ -1,33 +1,42 @@
 """Quality rules: hashed n-gram log-likelihood ratio between a trusted target and the corpus (operator 3).
 
-Words and pairs of neighbouring words are hashed to ``PLACES`` places. Two multinomials over the places
-are counted: one over all documents, one over trusted ones (labelled good). A document's score is the
-mean of ``ln p_target - ln p_corpus`` over its n-grams, so it does not depend on length; it is kept if it
-passes the base rules and scores at least ``LEAST_SCORE``. DataFrame functions only: counts combine in the
-task that reads the text, weights are a broadcast of at most ``PLACES`` rows, and no text is shuffled.
-
-The trusted texts are those of at most ``TARGET_ROWS`` rows labelled good, of the least hash (a documented
-bound); the corpus counts cover all documents.
-
-Cases: NULL and empty texts have no words and fail the base rules; without trusted documents the target
-is the corpus itself and every score 0; labels that are NULL or of unknown documents count for nothing;
-repeated rows are judged alike and all stay.
+Words and pairs of neighbouring words are hashed to places, whose number grows with the corpus (see ``places``).
+Multinomials over the places are counted in one pass over all documents: one of the corpus, and one of the
+trusted documents (labelled good) of each of ``FOLDS`` folds. Folds are cut by a hash of the text, and a document
+is measured by the trusted texts of the other folds, so none is measured by its own counts and equal texts are
+judged alike. The score is the mean of ``ln p_target - ln p_corpus`` over its n-grams, so it does not depend on
+length. A document is kept if it passes the base rules and scores at least as high as the trusted document at
+``QUANTILE`` of all trusted ones; the border is read off a histogram of steps of ``STEP``, so reruns agree.
+
+DataFrame functions only: counts combine in the task that reads the text, weights are sent to the tasks while
+they are at most ``SENT_PLACES`` rows and joined by shuffle beyond, and no text is shuffled.
+
+Cases: NULL and empty texts have no words and fail the base rules; a fold that finds no trusted text in the
+others scores 0 throughout, and without trusted documents the border is 0; labels that are NULL or of unknown
+documents count for nothing; repeated rows are judged alike and all stay; a very long text is one row of its task.
 """
 
 from __future__ import annotations
 
+import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from corpuslens.llm.shared import WORD, keep, text_of
+from corpuslens.llm.shared import WORD, keep, small, text_of
 
 WHITE = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
-PLACES = 1 << 14
-TARGET_ROWS = 50_000
+LEAST_PLACES = 1 << 10
+#: Places for each square root of a byte: 2^17 for 0.5 GB, 2^20 for 30 GB, 2^26 for 100 TB.
+PLACES_A_ROOT = 4
+#: At most so many weights (a place and a number for each fold) are broadcast.
+SENT_PLACES = 1 << 20
+FOLDS = 2
 #: The target is mixed with so large a share of the corpus, so no place has probability 0 in it.
 SMOOTHING = 0.1
-LEAST_SCORE = -0.125
+#: The share of trusted documents that score below the border.
+QUANTILE = 0.01
+STEP = 0.001
 MIN_WORDS = 20
 REPEAT_WORDS = 8
 
@@ -45,11 +54,21 @@ def with_words(docs: DataFrame) -> DataFrame:
     return held.withColumn("_h1", F.transform("_words", lambda w: F.xxhash64(w))).withColumn("_h2", _pairs("_h1", 1))
 
 
-def grams() -> Column:
-    spread = lambda name: F.transform(name, lambda h: F.pmod(h, F.lit(PLACES)).cast("int"))
+def places(docs: DataFrame) -> int:
+    """Places for the n-grams of ``docs``: the power of two at or above ``PLACES_A_ROOT`` times the root of its bytes."""
+    held = docs.agg(F.coalesce(F.sum(F.octet_length(text_of())), F.lit(0))).first()[0]
+    return max(LEAST_PLACES, 1 << max(0, math.ceil(math.log2(PLACES_A_ROOT * math.sqrt(max(1, held))))))
+
+
+def grams(n_places: int) -> Column:
+    spread = lambda name: F.transform(name, lambda h: F.pmod(h, F.lit(n_places)).cast("int"))
     return F.concat(spread("_h1"), spread("_h2"))
 
 
+def fold() -> Column:
+    return F.pmod(F.xxhash64("_text", F.lit(3)), F.lit(FOLDS)).cast("int")
+
+
 def with_base(docs: DataFrame) -> DataFrame:
     """Adds the base measures. Needs the columns of ``with_words``.
 
@@ -87,41 +106,65 @@ def with_base(docs: DataFrame) -> DataFrame:
     )
 
 
-def trusted(labels: DataFrame, rows: int = TARGET_ROWS) -> DataFrame:
-    """``doc_id, _trusted`` of at most ``rows`` documents labelled good."""
-    return (
-        labels.filter("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
-        .orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit(3)), "doc_id").limit(rows)
-        .withColumn("_trusted", F.lit(True))
-    )
+def trusted(labels: DataFrame) -> DataFrame:
+    """``doc_id, _trusted`` of the documents labelled good."""
+    good = labels.filter("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
+    return small(good.withColumn("_trusted", F.lit(True)))
 
 
-def place_weights(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``_place, _weight``: the log ratio of the two multinomials at every place the corpus uses."""
-    counted = with_words(docs.select("doc_id", "text")).join(F.broadcast(trusted(labels)), "doc_id", "left")
+def place_weights(docs: DataFrame, good: DataFrame, n_places: int) -> DataFrame:
+    """``_place, _weight0, _weight1, ...``: the log ratio of the two multinomials at every place the corpus uses,
+    for documents of each fold."""
+    marked = with_words(docs.select("doc_id", "text").join(good, "doc_id", "left"))
+    fold_of = F.when(F.col("_trusted"), fold()).alias("_fold")
     counts = keep(
-        counted.select("_trusted", F.explode(grams()).alias("_place")).groupBy("_place").agg(
-            F.count(F.lit(1)).alias("_all"), F.count("_trusted").alias("_good")
+        marked.select(fold_of, F.explode(grams(n_places)).alias("_place")).groupBy("_place").agg(
+            F.count(F.lit(1)).alias("_all"), *(F.count_if(F.col("_fold") != f).alias(f"_good{f}") for f in range(FOLDS))
         ),
         "places",
     )
-    everything, good = counts.agg(F.coalesce(F.sum("_all"), F.lit(0)), F.coalesce(F.sum("_good"), F.lit(0))).first()
-    share = F.col("_all") / F.lit(float(everything or 1))
-    mixed = (F.col("_good") / F.lit(float(good)) + F.lit(SMOOTHING) * share) / F.lit(1 + SMOOTHING) if good else share
-    return counts.select("_place", F.log(mixed / share).alias("_weight"))
+    totals = counts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts.columns[1:])).first()
+    share = F.col("_all") / F.lit(float(totals["_all"] or 1))
+
+    def weight(name: str) -> Column:
+        if not totals[name]:
+            return F.lit(0.0)
+        seen = F.col(name) / F.lit(float(totals[name]))
+        return F.log((seen + SMOOTHING * share) / (1 + SMOOTHING) / share)
+
+    return counts.select("_place", *(weight(f"_good{f}").alias(f"_weight{f}") for f in range(FOLDS)))
+
+
+def border(scored: DataFrame) -> float:
+    """The score that a share of ``1 - QUANTILE`` of the trusted documents reach, in steps of ``STEP``; 0 without any.
+
+    The histogram has a row for each step between the least and the greatest weight that occur."""
+    steps = scored.filter("_trusted AND NOT base_failed").groupBy(F.floor(F.col("score") / STEP).alias("step")).count().orderBy("step")
+    held = [(r["step"], r["count"]) for r in steps.toLocalIterator()]
+    left = QUANTILE * sum(n for _, n in held)
+    for step, n in held:
+        left -= n
+        if left < 0:
+            return round(step * STEP, 9)
+    return 0.0
 
 
-def judge(docs: DataFrame, labels: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, least: float | None = None) -> DataFrame:
     """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept`` for
-    every row."""
-    weights = F.broadcast(place_weights(docs, labels))  # at most PLACES rows
+    every row. ``least`` is the score required; if None, the ``border`` of the trusted documents."""
+    n_places, good = places(docs), trusted(labels)
+    weights = small(place_weights(docs, good, n_places), SENT_PLACES)
     base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     rows = with_base(with_words(docs.select("doc_id", "text"))).withColumn("_row", F.monotonically_increasing_id())
-    scored = (
-        rows.select("_row", *base, F.explode_outer(grams()).alias("_place"))
+    weight = F.coalesce(*(F.when(F.col("_fold") == f, F.col(f"_weight{f}")) for f in range(FOLDS)))
+    summed = (
+        rows.select("_row", *base, fold().alias("_fold"), F.explode_outer(grams(n_places)).alias("_place"))
         .join(weights, "_place", "left")
-        .groupBy("_row").agg(*(F.first(c).alias(c) for c in base), F.avg("_weight").alias("score"))
+        .groupBy("_row").agg(*(F.first(c).alias(c) for c in base), F.avg(weight).alias("score"))
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     score = F.round(F.coalesce("score", F.lit(0.0)), 9)
-    return scored.select(*base, failed.alias("base_failed"), score.alias("score"), (~failed & (score >= least)).alias("kept"))
+    scored = keep(summed.select(*base, failed.alias("base_failed"), score.alias("score")), "scores")
+    if least is None:
+        least = border(scored.join(good, "doc_id"))
+    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= least))
