@@ -115,10 +115,9 @@ def trusted(labels: DataFrame) -> DataFrame:
 def place_weights(docs: DataFrame, good: DataFrame, n_places: int) -> DataFrame:
     """``_place, _weight0, _weight1, ...``: the log ratio of the two multinomials at every place the corpus uses,
     for documents of each fold."""
-    marked = with_words(docs.select("doc_id", "text").join(good, "doc_id", "left"))
-    fold_of = F.when(F.col("_trusted"), fold()).alias("_fold")
+    marked = with_words(docs.select("doc_id", "text").join(good, "doc_id", "left")).withColumn("_fold", F.when(F.col("_trusted"), fold()))
     counts = keep(
-        marked.select(fold_of, F.explode(grams(n_places)).alias("_place")).groupBy("_place").agg(
+        marked.select("_fold", F.explode(grams(n_places)).alias("_place")).groupBy("_place").agg(
             F.count(F.lit(1)).alias("_all"), *(F.count_if(F.col("_fold") != f).alias(f"_good{f}") for f in range(FOLDS))
         ),
         "places",
@@ -155,10 +154,10 @@ def judge(docs: DataFrame, labels: DataFrame, least: float | None = None) -> Dat
     n_places, good = places(docs), trusted(labels)
     weights = small(place_weights(docs, good, n_places), SENT_PLACES)
     base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    rows = with_base(with_words(docs.select("doc_id", "text"))).withColumn("_row", F.monotonically_increasing_id())
+    rows = with_base(with_words(docs.select("doc_id", "text"))).withColumns({"_row": F.monotonically_increasing_id(), "_fold": fold()})
     weight = F.coalesce(*(F.when(F.col("_fold") == f, F.col(f"_weight{f}")) for f in range(FOLDS)))
     summed = (
-        rows.select("_row", *base, fold().alias("_fold"), F.explode_outer(grams(n_places)).alias("_place"))
+        rows.select("_row", *base, "_fold", F.explode_outer(grams(n_places)).alias("_place"))
         .join(weights, "_place", "left")
         .groupBy("_row").agg(*(F.first(c).alias(c) for c in base), F.avg(weight).alias("score"))
     )
