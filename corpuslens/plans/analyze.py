@@ -37,18 +37,19 @@ def chunk_files(
 
 def answer(prompts: DataFrame, store: str, provider: model.Provider, wave: int = WAVE, **options) -> DataFrame:
     """Responses for all prompts: asks for those without a good answer in the store, stores what comes, reads
-    the store.
+    theirs back. Only the hashes of the prompts meet the store, of which other rows are not shuffled.
 
     Writing comes before reading on purpose: the stage behind a model must never run twice. Prompts are
     asked in waves of about ``wave``, each stored before the next begins, so a broken run keeps what it has.
     """
     spark = prompts.sparkSession
-    asked = materialise(model.pending_prompts(prompts, stores.read_responses(spark, store)))
+    hashes = materialise(prompts.select("prompt_hash").distinct())
+    asked = materialise(model.pending_prompts(prompts, stores.read_responses(spark, store, hashes)))
     waves = max(1, -(-asked.count() // wave))
     for number in range(waves):
         part = asked.filter(F.pmod(F.xxhash64("prompt_hash"), F.lit(waves)) == number) if waves > 1 else asked
         stores.write_responses(model.infer(part, provider, **options), store)
-    return stores.read_responses(spark, store)
+    return stores.read_responses(spark, store, hashes)
 
 
 def analyze_rules(

@@ -37,6 +37,7 @@ from corpuslens.operators.search import LOOSE, Cells, assign_cells, cell_radii,
 RECORDS = "records"
 FOLDED = "folded"
 RESPONSES = "responses"
+RESPONSES_FOLDED = "responses_folded"
 PROJECTS = "project_info"
 FILE_LISTS = "file_list"
 BASE = "base"
@@ -53,6 +54,8 @@ FAN = 8
 #: Records a cell holds on average, and the most cells: their centres and radii go through the driver.
 RECORDS_PER_CELL = 20_000
 MAX_CELLS = 4096
+#: Prompt hashes that are sent to the readers of stored responses (some 6 MB); more are joined by shuffle.
+ASKED_HASHES = 100_000
 
 
 def _hadoop(spark: SparkSession, path: str):
@@ -79,30 +82,30 @@ def _label(name: str) -> str:
     return name.partition("@")[2]
 
 
-def _folded(spark: SparkSession, store: str) -> dict[str, list[str]]:
+def _folded(spark: SparkSession, store: str, folder: str = FOLDED) -> dict[str, list[str]]:
     """Each finished fold and the names it holds together; names are driver metadata, a few for each fold."""
-    bases = _folders(spark, f"{store}/{FOLDED}")
+    bases = _folders(spark, f"{store}/{folder}")
     found: dict[str, list[str]] = {base: [] for base in bases}
     if bases:
-        listed = spark.read.schema("base string, name string").parquet(*[f"{store}/{FOLDED}/{b}" for b in bases])
+        listed = spark.read.schema("base string, name string").parquet(*[f"{store}/{folder}/{b}" for b in bases])
         for row in listed.collect():
             found[row["base"]].append(row["name"])
     return found
 
 
-def _generations(spark: SparkSession, store: str) -> list[str]:
+def _generations(spark: SparkSession, store: str, folder: str = RECORDS, folded: str = FOLDED) -> list[str]:
     """What counts, oldest first: folded generations, and those that no fold holds."""
-    names = _folders(spark, f"{store}/{RECORDS}")
-    folds = _folded(spark, store)
+    names = _folders(spark, f"{store}/{folder}")
+    folds = _folded(spark, store, folded)
     hidden = {n for held in folds.values() for n in held}
     return [n for n in names if n not in hidden and (n in folds or _label(n) != BASE)]
 
 
-def _sizes(spark: SparkSession, store: str, names: list[str]) -> list[int]:
+def _sizes(spark: SparkSession, store: str, names: list[str], folder: str = RECORDS) -> list[int]:
     """Bytes of each generation, from the file system."""
     found = []
     for name in names:
-        where, files = _hadoop(spark, f"{store}/{RECORDS}/{name}")
+        where, files = _hadoop(spark, f"{store}/{folder}/{name}")
         found.append(files.getContentSummary(where).getLength())
     return found
 
@@ -223,14 +226,21 @@ def _fold(spark: SparkSession, store: str, members: list[str]) -> None:
         .parquet(f"{store}/{RECORDS}/{base}")
     )
     _place(spark, store, base)
+    gone = _list_fold(spark, store, RECORDS, FOLDED, base, members, earlier, present)
+    _unplace(spark, store, gone)
+
+
+def _list_fold(spark, store, folder, folded, name, members, earlier, present) -> list[str]:
+    """Lists the ``members`` that the fold ``name`` now stands for; removes what ``earlier`` folds had replaced and
+    gives its names."""
     gone = {n for held in earlier.values() for n in held} & present
     # a member that is a fold itself hides no longer what it held, so its names are taken over
     held = [*members, *(n for m in members for n in earlier.get(m, ()) if n in present)]
-    spark.createDataFrame([(base, n) for n in held], "base string, name string").coalesce(1).write.parquet(f"{store}/{FOLDED}/{base}")
-    for where in [*(f"{RECORDS}/{n}" for n in sorted(gone)), *(f"{FOLDED}/{m}" for m in members if m in earlier)]:
+    spark.createDataFrame([(name, n) for n in held], "base string, name string").coalesce(1).write.parquet(f"{store}/{folded}/{name}")
+    for where in [*(f"{folder}/{n}" for n in sorted(gone)), *(f"{folded}/{m}" for m in members if m in earlier)]:
         path, files = _hadoop(spark, f"{store}/{where}")
         files.delete(path, True)
-    _unplace(spark, store, sorted(gone))
+    return sorted(gone)
 
 
 def build_index(spark: SparkSession, store: str, cells: int | None = None) -> int:
@@ -316,24 +326,58 @@ def read_index(spark: SparkSession, store: str) -> Cells | None:
     return Cells(_current(rows, store, names), centres, radii)
 
 
-def read_responses(spark: SparkSession, store: str) -> DataFrame | None:
-    """One row per prompt: a good answer if there is one, else the latest error."""
-    names = _folders(spark, f"{store}/{RESPONSES}")
+def _latest(held: DataFrame) -> DataFrame:
+    """The row that counts of each prompt: a good answer before any error, the latest of either. One shuffle."""
+    rank = F.struct(F.col("error").isNull(), "asked_at", "error", "response")
+    best = F.max_by(F.struct("response", "error", "attempts", "asked_at"), rank)
+    return held.groupBy("prompt_hash").agg(best.alias("_best")).select("prompt_hash", "_best.*")
+
+
+def _responses(spark: SparkSession, store: str, names: list[str]) -> DataFrame:
+    return spark.read.parquet(*[f"{store}/{RESPONSES}/{n}" for n in names])
+
+
+def read_responses(spark: SparkSession, store: str, asked: DataFrame | None = None) -> DataFrame | None:
+    """One row per prompt: a good answer if there is one, else the latest error.
+
+    With ``asked`` (a ``prompt_hash`` in each row, none twice) only its prompts: the rest of the store is left out in
+    the tasks that read it, before anything is shuffled, as long as at most ``ASKED_HASHES`` are asked for.
+    """
+    names = _generations(spark, store, RESPONSES, RESPONSES_FOLDED)
     if not names:
         return None
-    held = spark.read.parquet(*[f"{store}/{RESPONSES}/{n}" for n in names])
-    good = held.filter("error IS NULL").drop("asked_at").dropDuplicates(["prompt_hash"])
-    tries = held.filter("error IS NOT NULL").join(good.select("prompt_hash"), "prompt_hash", "left_anti")
-    last = F.max_by(F.struct("response", "error", "attempts"), F.struct("asked_at", "error"))
-    failed = tries.groupBy("prompt_hash").agg(last.alias("_last")).select("prompt_hash", "_last.*")
-    return good.unionByName(failed)
+    held = _responses(spark, store, names)
+    if asked is not None:
+        hashes = asked.select("prompt_hash")
+        few = hashes.limit(ASKED_HASHES + 1).count() <= ASKED_HASHES
+        held = held.join(F.broadcast(hashes) if few else hashes, "prompt_hash", "left_semi")
+    return _latest(held).drop("asked_at")
 
 
-def write_responses(responses: DataFrame, store: str) -> None:
+def write_responses(responses: DataFrame, store: str, fold_after: int | None = FAN) -> None:
     """Kept for good: a reply that was paid for is never asked for again. Failures are kept beside it and
-    may be tried again."""
-    name = _name(_folders(responses.sparkSession, f"{store}/{RESPONSES}"), "part")
+    may be tried again. So many parts of a tier as ``fold_after`` says are folded after the write."""
+    spark = responses.sparkSession
+    name = _name(_folders(spark, f"{store}/{RESPONSES}"), "part")
     responses.withColumn("asked_at", F.current_timestamp()).write.parquet(f"{store}/{RESPONSES}/{name}")
+    if fold_after is not None:
+        fold_responses(spark, store, fold_after)
+
+
+def fold_responses(spark: SparkSession, store: str, fan: int = FAN) -> None:
+    """Folds neighbouring parts of like size in tiers, as records are, into the row that counts of each prompt. What
+    an earlier fold had replaced is removed at the next."""
+    while True:
+        names = _generations(spark, store, RESPONSES, RESPONSES_FOLDED)
+        found = due(_sizes(spark, store, names, RESPONSES), fan) if len(names) >= fan else None
+        if not found:
+            return
+        members = names[slice(*found)]
+        earlier = _folded(spark, store, RESPONSES_FOLDED)
+        present = set(_folders(spark, f"{store}/{RESPONSES}"))
+        part = f"{members[-1].partition('.')[0]}.{uuid.uuid4().hex}@{BASE}"
+        _latest(_responses(spark, store, members)).write.parquet(f"{store}/{RESPONSES}/{part}")
+        _list_fold(spark, store, RESPONSES, RESPONSES_FOLDED, part, members, earlier, present)
 
 
 def write_table(df: DataFrame, store: str, name: str) -> None:

@@ -272,3 +272,27 @@ def test_brackets_within_strings_of_a_section(spark):
     got = {r["i"]: r["t"] for r in table.select("i", replies.join_pairs(F.col("text"), "functions").alias("t")).collect()}
     assert {i: got[i] for i in (0, 1, 3, 4)} == {i: cases[i][1] for i in (0, 1, 3, 4)}
     assert got[2].startswith('"functions": [')
+
+
+def test_stored_responses_are_folded_and_only_asked_ones_are_shuffled(spark, tmp_path):
+    from corpuslens.sources import store as stores
+
+    store = str(tmp_path / "s")
+    assert stores.read_responses(spark, store) is None
+    rows = lambda *r: spark.createDataFrame(list(r), "prompt_hash string, response string, error string, attempts int")
+    for k in range(10):  # prompt x fails twice, is answered, and fails again; y never has an answer
+        failed = k != 2
+        x = ("x", None if failed else "good", f"bad {k}" if failed else None, 1)
+        stores.write_responses(rows(x, (f"p{k}", f"r{k}", None, 1), ("y", None, f"no {k}", k)), store, fold_after=3)
+    live = stores._generations(spark, store, stores.RESPONSES, stores.RESPONSES_FOLDED)
+    assert len(live) <= 6 and any("@base" in n for n in live)
+    held = {r["prompt_hash"]: (r["response"], r["error"], r["attempts"]) for r in stores.read_responses(spark, store).collect()}
+    assert held == {"x": ("good", None, 1), "y": (None, "no 9", 9)} | {f"p{k}": (f"r{k}", None, 1) for k in range(10)}
+    asked = spark.createDataFrame([("p3",), ("y",), ("unknown",)], "prompt_hash string")
+    some = stores.read_responses(spark, store, asked)
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and plan.count("Exchange hashpartitioning") == 1
+    # what the join leaves is below the only shuffle
+    assert plan.index("Exchange hashpartitioning") < plan.index("BroadcastHashJoin")
+    assert sorted(r["prompt_hash"] for r in some.collect()) == ["p3", "y"]
+    assert stores.read_responses(spark, store, asked.limit(0)).count() == 0
