@@ -60,9 +60,11 @@ def places(docs: DataFrame) -> int:
     return max(LEAST_PLACES, 1 << max(0, math.ceil(math.log2(PLACES_A_ROOT * math.sqrt(max(1, held))))))
 
 
-def grams(n_places: int) -> Column:
-    spread = lambda name: F.transform(name, lambda h: F.pmod(h, F.lit(n_places)).cast("int"))
-    return F.concat(spread("_h1"), spread("_h2"))
+def by_place(rows: DataFrame, n_places: int, *columns: str) -> DataFrame:
+    """A row with ``_place`` for each n-gram; one without a place for a text without words. ``n_places`` is a power of
+    two, so the low bits of a hash are its place."""
+    each = rows.select(*columns, F.explode_outer(F.concat("_h1", "_h2")).alias("_hash"))
+    return each.select(*columns, F.col("_hash").bitwiseAND(F.lit(n_places - 1)).cast("int").alias("_place"))
 
 
 def fold() -> Column:
@@ -117,7 +119,7 @@ def place_weights(docs: DataFrame, good: DataFrame, n_places: int) -> DataFrame:
     for documents of each fold."""
     marked = with_words(docs.select("doc_id", "text").join(good, "doc_id", "left")).withColumn("_fold", F.when(F.col("_trusted"), fold()))
     counts = keep(
-        marked.select("_fold", F.explode(grams(n_places)).alias("_place")).groupBy("_place").agg(
+        by_place(marked, n_places, "_fold").filter("_place IS NOT NULL").groupBy("_place").agg(
             F.count(F.lit(1)).alias("_all"), *(F.count_if(F.col("_fold") != f).alias(f"_good{f}") for f in range(FOLDS))
         ),
         "places",
@@ -157,7 +159,7 @@ def judge(docs: DataFrame, labels: DataFrame, least: float | None = None) -> Dat
     rows = with_base(with_words(docs.select("doc_id", "text"))).withColumns({"_row": F.monotonically_increasing_id(), "_fold": fold()})
     weight = F.coalesce(*(F.when(F.col("_fold") == f, F.col(f"_weight{f}")) for f in range(FOLDS)))
     summed = (
-        rows.select("_row", *base, "_fold", F.explode_outer(grams(n_places)).alias("_place"))
+        by_place(rows, n_places, "_row", "_fold", *base)
         .join(weights, "_place", "left")
         .groupBy("_row").agg(*(F.first(c).alias(c) for c in base), F.avg(weight).alias("score"))
     )
