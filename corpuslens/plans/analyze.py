@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor, as_completed
+from queue import SimpleQueue
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corpuslens import config
 from corpuslens.functions.vectors import DIMENSIONS, Embedder, embed
 from corpuslens.operators import chunks, discovery, model, rollup
-from corpuslens.operators.skew import materialise
+from corpuslens.operators.skew import checkpoint_dir, materialise
 from corpuslens.sources import store as stores
 from corpuslens.sources.files import read_content
 
 RULES = "rules"
 #: Prompts asked between two commits.
 WAVE = 100_000
+#: Prompts in one file of a wave.
+WAVE_FILE = 20_000
+#: Waves under way at once; they share the tasks and the rate of calls of one.
+WAVES_AT_ONCE = 8
 
 # Takes chunks with their prompts, gives chunk_analysis: a whole chunk stage of the user's own.
 Analyzer = Callable[[DataFrame], DataFrame]
@@ -40,18 +47,60 @@ def answer(prompts: DataFrame, store: str, provider: model.Provider, wave: int =
     theirs back. Only the hashes of the prompts meet the store, of which other rows are not shuffled.
 
     Writing comes before reading on purpose: the stage behind a model must never run twice. Prompts are
-    asked in waves of about ``wave``, each stored before the next begins, so a broken run keeps what it has.
+    asked in waves of about ``wave``, each stored as soon as it ends, so a broken run keeps what it has.
     """
     spark = prompts.sparkSession
     hashes = materialise(prompts.select("prompt_hash").distinct())
     asked = materialise(model.pending_prompts(prompts, stores.read_responses(spark, store, hashes)))
     waves = max(1, -(-asked.count() // wave))
-    for number in range(waves):
-        part = asked.filter(F.pmod(F.xxhash64("prompt_hash"), F.lit(waves)) == number) if waves > 1 else asked
-        stores.write_responses(model.infer(part, provider, **options), store)
+    if waves == 1:
+        stores.write_responses(model.infer(asked, provider, **options), store)
+    else:
+        _ask_waves(asked, waves, -(-wave // WAVE_FILE), store, provider, **options)
     return stores.read_responses(spark, store, hashes)
 
 
+def _ask_waves(
+    asked: DataFrame, waves: int, files: int, store: str, provider: model.Provider,
+    tasks: int | None = None, calls_per_second: float | None = None, **options,
+) -> None:
+    """Each wave lies in a folder of its own, so none reads the prompts of another. ``WAVES_AT_ONCE`` are under way,
+    so a small wave does not hold the cluster while it is planned and committed; together they have no more tasks
+    and calls a second than one would have. After a failure no further wave begins."""
+    spark = asked.sparkSession
+    tasks = tasks or spark.sparkContext.defaultParallelism
+    together = min(WAVES_AT_ONCE, waves, tasks)
+    shares: SimpleQueue = SimpleQueue()
+    for i in range(together):
+        shares.put(tasks // together + (i < tasks % together))
+    rate = calls_per_second and calls_per_second / together
+    folder = f"{checkpoint_dir(spark)}/waves-{uuid.uuid4().hex}"
+    number = F.pmod(F.xxhash64("prompt_hash"), F.lit(waves)).cast("int").alias("_wave")
+    file = F.pmod(F.xxhash64("prompt_hash", F.lit("file")), F.lit(files))
+    asked.select("prompt_hash", "prompt", number).repartition("_wave", file).write.partitionBy("_wave").parquet(folder)
+
+    def ask(at: int) -> None:
+        part = spark.read.schema("prompt_hash string, prompt string, _wave int").option("basePath", folder)
+        part = part.parquet(f"{folder}/_wave={at}")
+        mine = shares.get()
+        try:
+            stores.write_responses(model.infer(part, provider, tasks=mine, calls_per_second=rate, **options), store, fold_after=None)
+        finally:
+            shares.put(mine)
+
+    held = sorted(int(name.removeprefix("_wave=")) for name in stores.folder_names(spark, folder))
+    with ThreadPoolExecutor(together) as pool:
+        running = [pool.submit(ask, at) for at in held]
+        try:
+            for done, one in enumerate(as_completed(running), 1):
+                one.result()
+                if done % stores.FAN == 0 or done == len(running):
+                    stores.fold_responses(spark, store)
+        finally:
+            for one in running:
+                one.cancel()
+
+
 def analyze_rules(
     files: DataFrame,
     size: int = config.CHUNK_SIZE,

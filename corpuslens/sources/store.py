@@ -63,6 +63,12 @@ def _hadoop(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
 
 
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of all folders below ``path``; driver metadata only."""
+    where, files = _hadoop(spark, path)
+    return sorted(s.getPath().getName() for s in files.listStatus(where) if s.isDirectory()) if files.exists(where) else []
+
+
 def _folders(spark: SparkSession, path: str) -> list[str]:
     """Names of the finished folders below ``path``; driver metadata only."""
     where, files = _hadoop(spark, path)
