@@ -47,3 +47,15 @@ def test_a_failing_wave_keeps_what_was_stored(spark, tmp_path):
     with pytest.raises(Exception):
         analyze.answer(asked, str(tmp_path), provider, wave=2)
     assert stores.read_responses(spark, str(tmp_path)).count() == good.count()
+
+
+def test_late_versions_are_written_by_many_tasks(spark, tables, monkeypatch):
+    monkeypatch.setattr(q, "work_folder", lambda spark, name: f"{tables}/{name}")
+
+    def stop(*args, **options):
+        raise Stop
+
+    monkeypatch.setattr(q.incremental, "analyze_stream", stop)
+    with pytest.raises(Stop):
+        q.late_old_version(spark, tables)
+    assert len(spark.read.parquet(f"{tables}/arriving").inputFiles()) > 1
