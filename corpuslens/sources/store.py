@@ -26,6 +26,8 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -130,6 +132,18 @@ def due(sizes: list[int], fan: int = FAN) -> tuple[int, int] | None:
     return None
 
 
+@contextmanager
+def _unsorted(spark: SparkSession) -> Iterator[None]:
+    """A task keeps a file open for each collection; otherwise Spark sorts all its rows, vectors included, to have one."""
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name)
+    spark.conf.set(name, max(int(before), len(config.COLLECTIONS)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def write_records(records: DataFrame, store: str, label: str | None = None, compact_after: int | None = FAN) -> str:
     """Upsert: every file in ``records`` replaces its earlier records. Gives the generation's name.
 
@@ -148,13 +162,9 @@ def write_records(records: DataFrame, store: str, label: str | None = None, comp
     columns = [part.split(" ")[0] for part in SCHEMA.split(", ")]
     if before:
         _unplace(spark, store, [name])  # the cells of what is replaced
-    (
-        records.withColumn("version", F.coalesce("modified_at", F.current_timestamp()))
-        .select("collection", *columns)
-        .write.mode("overwrite")
-        .partitionBy("collection")
-        .parquet(f"{store}/{RECORDS}/{name}")
-    )
+    rows = records.withColumn("version", F.coalesce("modified_at", F.current_timestamp())).select("collection", *columns)
+    with _unsorted(spark):
+        rows.write.mode("overwrite").partitionBy("collection").parquet(f"{store}/{RECORDS}/{name}")
     _place(spark, store, name)
     if compact_after is not None and len(live) >= compact_after - 1:
         fold_tiers(spark, store, compact_after)

@@ -49,6 +49,16 @@ def test_a_failing_wave_keeps_what_was_stored(spark, tmp_path):
     assert stores.read_responses(spark, str(tmp_path)).count() == good.count()
 
 
+def test_a_larger_scan_is_spread_into_more_pieces(spark, tmp_path, monkeypatch):
+    spark.range(5000).coalesce(1).write.parquet(f"{tmp_path}/t")
+    held = spark.read.parquet(f"{tmp_path}/t")
+    assert skew.spread(held, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(skew, "PIECE_BYTES", 1000, raising=False)
+    more = skew.spread(held, "id")
+    assert more.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+    assert more.count() == 5000
+
+
 def test_late_versions_are_written_by_many_tasks(spark, tables, monkeypatch):
     monkeypatch.setattr(q, "work_folder", lambda spark, name: f"{tables}/{name}")
 
@@ -59,3 +69,11 @@ def test_late_versions_are_written_by_many_tasks(spark, tables, monkeypatch):
     with pytest.raises(Stop):
         q.late_old_version(spark, tables)
     assert len(spark.read.parquet(f"{tables}/arriving").inputFiles()) > 1
+
+
+def test_records_are_written_without_a_sort(spark):
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name)
+    with stores._unsorted(spark):
+        assert int(spark.conf.get(name)) >= 4
+    assert spark.conf.get(name) == before
