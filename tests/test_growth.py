@@ -59,6 +59,19 @@ def test_a_larger_scan_is_spread_into_more_pieces(spark, tmp_path, monkeypatch):
     assert more.count() == 5000
 
 
+def test_arriving_files_come_in_few_batches_of_many_files(spark, tables):
+    files = q.codefiles(spark, tables)
+    twice = files.unionByName(files)
+    batches = []
+    stream = q.arriving(twice, 4)
+    stream.writeStream.foreachBatch(lambda df, i: batches.append([r["doc_id"] for r in df.select("doc_id").collect()])).option(
+        "checkpointLocation", q.work_folder(spark, "stream")
+    ).trigger(availableNow=True).start().awaitTermination()
+    assert 1 < len(batches) <= 4
+    assert sorted(i for b in batches for i in b) == sorted([*range(40), *range(40)])
+    assert sum(len(set(b)) for b in batches) == 40  # both rows of a document in one batch
+
+
 def test_late_versions_are_written_by_many_tasks(spark, tables, monkeypatch):
     monkeypatch.setattr(q, "work_folder", lambda spark, name: f"{tables}/{name}")
 

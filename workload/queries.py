@@ -11,7 +11,7 @@ from corpuslens import config
 from corpuslens.functions import paths, replies
 from corpuslens.functions.vectors import embed, squared_distance
 from corpuslens.operators import chunks, discovery, graph, lookup, model, report, rollup, search
-from corpuslens.operators.skew import checkpoint_dir, lookup_join, materialise, spread
+from corpuslens.operators.skew import checkpoint_dir, lookup_join, materialise, pieces, spread
 from corpuslens.plans import analyze
 from corpuslens.sources import store as stores
 from corpuslens.sources.files import decode_text, from_table, read_content, walk
@@ -699,18 +699,25 @@ def report_index(spark, sf):
     return report.report_index(discovery.remaining(files, labelled(spark, sf, files)))
 
 
+def arriving(files: DataFrame, batches: int) -> DataFrame:
+    """Files as a stream of ``batches`` micro-batches, all rows of a document in one of them. Each batch comes in as
+    many Parquet files as there are tasks to write them, so none is written or read by one task alone."""
+    spark, folder = files.sparkSession, work_folder(files.sparkSession, "arriving")
+    files.repartition(batches * pieces(files), "doc_id").write.parquet(folder)
+    held = len(spark.read.schema(files.schema).parquet(folder).inputFiles())
+    return spark.readStream.schema(files.schema).option("maxFilesPerTrigger", max(1, -(-held // batches))).parquet(folder)
+
+
 def stream_equals_batch(spark, sf):
     """Files arriving in several micro-batches, each in an old and a new version, give the batch result."""
-    folder, store = work_folder(spark, "arriving"), work_folder(spark, "store")
+    store = work_folder(spark, "store")
     files = codefiles(spark, sf)
     new = files.withColumn("modified_at", F.lit("2024-01-02").cast("timestamp"))
     old = files.withColumn("modified_at", F.lit("2024-01-01").cast("timestamp")).withColumn(
         "content", F.concat(F.lit("class Old\n"), "content")
     )
-    new.unionByName(old).repartition(4, "doc_id").write.parquet(folder)
-    arriving = spark.readStream.schema(new.schema).option("maxFilesPerTrigger", 1).parquet(folder)
     incremental.analyze_stream(
-        arriving, work_folder(spark, "stream"), incremental.store_sink(store, dim=DIM), size=SIZE, context=CONTEXT
+        arriving(new.unionByName(old), 4), work_folder(spark, "stream"), incremental.store_sink(store, dim=DIM), size=SIZE, context=CONTEXT
     ).awaitTermination()
     return stores.read_collections(spark, store).select(*RECORD)
 
@@ -720,11 +727,9 @@ def two_streams_one_store(spark, sf):
     store = work_folder(spark, "store")
     files = codefiles(spark, sf).withColumn("modified_at", F.lit("2024-01-02").cast("timestamp"))
     for half in range(2):
-        folder = work_folder(spark, "arriving")
-        files.filter(F.col("doc_id") % 2 == half).repartition(2, "doc_id").write.parquet(folder)
-        arriving = spark.readStream.schema(files.schema).option("maxFilesPerTrigger", 1).parquet(folder)
         incremental.analyze_stream(
-            arriving, work_folder(spark, "stream"), incremental.store_sink(store, dim=DIM), size=SIZE, context=CONTEXT
+            arriving(files.filter(F.col("doc_id") % 2 == half), 2), work_folder(spark, "stream"),
+            incremental.store_sink(store, dim=DIM), size=SIZE, context=CONTEXT,
         ).awaitTermination()
     incremental.finish(spark, store, rollup.project_info(files, F.lit("/")))
     return stores.read_collections(spark, store).select(*RECORD)
@@ -732,12 +737,10 @@ def two_streams_one_store(spark, sf):
 
 def stream_finish(spark, sf):
     """What ``finish`` tells after a stream: corpora marked complete, and records per collection."""
-    store, folder = work_folder(spark, "store"), work_folder(spark, "arriving")
+    store = work_folder(spark, "store")
     files = codefiles(spark, sf)
-    files.repartition(2, "doc_id").write.parquet(folder)
-    arriving = spark.readStream.schema(files.schema).option("maxFilesPerTrigger", 1).parquet(folder)
     incremental.analyze_stream(
-        arriving, work_folder(spark, "stream"), incremental.store_sink(store, dim=DIM), order=None, size=SIZE, context=CONTEXT
+        arriving(files, 2), work_folder(spark, "stream"), incremental.store_sink(store, dim=DIM), order=None, size=SIZE, context=CONTEXT
     ).awaitTermination()
     info, held = incremental.finish(spark, store, rollup.project_info(files, F.lit("/r")))
     corpora = info.select(
@@ -810,7 +813,7 @@ def late_old_version(spark, sf):
     for version in (new, old):
         version.write.mode("append").parquet(folder)  # without a limit, all that is new is one micro-batch
         incremental.analyze_stream(
-            arriving, checkpoint, incremental.store_sink(store, dim=DIM), size=SIZE, context=CONTEXT
+            spark.readStream.schema(new.schema).parquet(folder), checkpoint, incremental.store_sink(store, dim=DIM), size=SIZE, context=CONTEXT
         ).awaitTermination()
     return stores.read_collections(spark, store).select(*RECORD)
 
