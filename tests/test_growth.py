@@ -84,6 +84,13 @@ def test_late_versions_are_written_by_many_tasks(spark, tables, monkeypatch):
     assert len(spark.read.parquet(f"{tables}/arriving").inputFiles()) > 1
 
 
+def test_reports_of_a_replay_come_from_one_analysis(spark, tables, monkeypatch):
+    calls, real = [], q.analysed
+    monkeypatch.setattr(q, "analysed", lambda *a, **o: calls.append(1) or real(*a, **o))
+    assert q.report_sink_rows(spark, tables).count() == 40
+    assert len(calls) == 1
+
+
 def test_records_are_written_without_a_sort(spark):
     name = "spark.sql.maxConcurrentOutputFileWriters"
     before = spark.conf.get(name)
