@@ -91,6 +91,16 @@ def test_reports_of_a_replay_come_from_one_analysis(spark, tables, monkeypatch):
     assert len(calls) == 1
 
 
+def test_records_of_cells_are_embedded_once(spark, tables, monkeypatch):
+    def fit(records, cells):
+        assert "LogicalRDD" in records._jdf.queryExecution().optimizedPlan().toString()
+        raise Stop
+
+    monkeypatch.setattr(q.search, "fit_cells", fit)
+    with pytest.raises(Stop):
+        q.similar_many_by_cells(spark, tables)
+
+
 def test_records_are_written_without_a_sort(spark):
     name = "spark.sql.maxConcurrentOutputFileWriters"
     before = spark.conf.get(name)

@@ -532,7 +532,7 @@ def similar_many_snippets(spark, sf):
 
 def similar_many_by_cells(spark, sf):
     """The same, each snippet sent to the cells that could hold one of its hits."""
-    records = text_records(spark, sf)
+    records = materialise(text_records(spark, sf).drop("document"))  # read three times, embedded once
     centres = search.fit_cells(records, 16)
     folder = work_folder(spark, "cells")
     search.assign_cells(records, centres).write.parquet(folder)
