@@ -15,20 +15,13 @@ from corpuslens.functions import text
 
 def _with_lines(files: DataFrame) -> DataFrame:
     """``_lines``; ``_marks``, the line numbers of significant lines; ``_n``, the line count."""
+    marked = lambda test: F.array_compact(F.transform("_lines", lambda line, i: F.when(test(line), i + 1)))
     return (
         files.withColumn("_parts", text.split_parts(F.col("content")))
         .withColumn("_closed", text.ends_with_newline(F.col("content")))
         .drop("content")
         .withColumn("_lines", text.drop_open_end(F.col("_parts")))
-        .withColumn(
-            "_marks",
-            F.array_compact(
-                F.transform(
-                    "_lines",
-                    lambda line, i: F.when(text.is_significant(line, F.col("extension")), i + 1),
-                )
-            ),
-        )
+        .withColumn("_marks", F.when(text.has_comments(F.col("extension")), marked(text.is_code)).otherwise(marked(text.is_filled)))
         .withColumn("_n", F.size("_lines"))
         .withColumn("_s", F.size("_marks"))
     )

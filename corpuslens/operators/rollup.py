@@ -62,34 +62,6 @@ def section(items: Column) -> Column:
     return F.struct(listed.alias("items"), (F.size(listed) > 0).alias("has_items"))
 
 
-def _record(collection: str, suffix: Column, document: Column, kind: str | None, name: Column) -> Column:
-    text = lambda c: c.cast("string")
-    summary = kind is None
-    failed = F.col("error").isNotNull()
-    only_summary = lambda c, t: (c if summary else F.lit(None)).cast(t)
-    return F.struct(
-        F.lit(collection).alias("collection"),
-        F.concat(paths.safe_id(F.col("file_path")), suffix).alias("id"),
-        text(document).alias("document"),
-        text(name).alias("name"),
-        text(F.lit(kind)).alias("type"),
-        only_summary(F.col("extension"), "string").alias("extension"),
-        only_summary(F.when(~failed, F.coalesce("total_lines", F.lit(0))), "bigint").alias("total_lines"),
-        only_summary(failed | F.coalesce("has_errors", F.lit(False)), "boolean").alias("has_error"),
-        only_summary(F.when(~failed, F.coalesce("oversized_file", F.lit(False))), "boolean").alias("oversized_file"),
-        only_summary(F.col("error"), "string").alias("error_message"),
-    )
-
-
-def _entities(items: Column, collection: str, kind: str, rule) -> Column:
-    return F.transform(
-        items,
-        lambda item, i: _record(
-            collection, F.concat(F.lit(f"_{kind}_"), i.cast("string")), item, kind, rule(item)
-        ),
-    )
-
-
 def valid_files(file_analysis: DataFrame) -> DataFrame:
     return file_analysis.filter(F.coalesce("file_path", F.lit("")) != "")
 
@@ -104,7 +76,8 @@ def to_records(file_analysis: DataFrame) -> DataFrame:
     """Summary, class, function and dependency records; entity numbers follow sorted order.
 
     Narrow: each file row opens into its records, nothing is shuffled. A failed file has only its
-    summary record, which tells the error.
+    summary record, which tells the error. What a file's records share is worked out once, and what
+    each has of its own after the opening.
     """
     summary = F.when(
         F.col("error").isNotNull(), F.concat(F.lit(config.FILE_ERROR_PREFIX), F.col("error"))
@@ -114,19 +87,38 @@ def to_records(file_analysis: DataFrame) -> DataFrame:
         "functions": ("function", paths.function_name),
         "dependencies": ("dependency", paths.module_name),
     }
-    parts = [F.array(_record("file_summaries", F.lit(""), summary, None, F.lit(None)))]
-    for name, (kind, rule) in naming.items():
+    failed = F.col("error").isNotNull()
+    opened = [F.array(F.struct(F.lit("file_summaries").alias("c"), F.lit(0).alias("i"), summary.cast("string").alias("d")))]
+    for name in naming:
         items = F.sort_array(F.array_distinct(F.array_compact(F.col(name))))
-        parts.append(_entities(F.when(F.col("error").isNull(), items), name, kind, rule))
+        numbered = F.transform(
+            F.when(~failed, items), lambda item, i: F.struct(F.lit(name).alias("c"), i.alias("i"), item.cast("string").alias("d"))
+        )
+        opened.append(F.coalesce(numbered, F.filter(opened[0], lambda r: F.lit(False))))
     version = [c for c in ("modified_at", "content_key") if c in file_analysis.columns]
-    parts[1:] = [F.coalesce(part, F.filter(parts[0], lambda r: F.lit(False))) for part in parts[1:]]
-    return (
+    rows = (
         valid_files(file_analysis)
-        .select(*FILE, "file_path", "filename", *version, F.explode(F.concat(*parts)).alias("_r"))
-        .select("_r.collection", *FILE, "_r.id", "_r.document", "file_path", "filename", *[
-            F.col(f"_r.{c}") for c in
-            ("name", "type", "extension", "total_lines", "has_error", "oversized_file", "error_message")
-        ], *version)
+        .withColumn("_base", paths.safe_id(F.col("file_path")))
+        .select(
+            *FILE, "file_path", "filename", *version, "_base", "extension", F.col("error").cast("string").alias("error"),
+            F.when(~failed, F.coalesce("total_lines", F.lit(0))).cast("bigint").alias("total_lines"),
+            (failed | F.coalesce("has_errors", F.lit(False))).alias("has_error"),
+            F.when(~failed, F.coalesce("oversized_file", F.lit(False))).alias("oversized_file"),
+            F.explode(F.concat(*opened)).alias("_r"),
+        )
+    )
+    collection, item = F.col("_r.c"), F.col("_r.d")
+    of_summary = lambda c, t: F.when(collection == "file_summaries", F.col(c)).cast(t).alias(c)
+    suffix, title, kind = F.lit(""), F.lit(None).cast("string"), F.lit(None).cast("string")
+    for name, (one, rule) in naming.items():
+        mine = collection == name
+        suffix = F.when(mine, F.concat(F.lit(f"_{one}_"), F.col("_r.i").cast("string"))).otherwise(suffix)
+        title, kind = F.when(mine, rule(item)).otherwise(title), F.when(mine, one).otherwise(kind)
+    return rows.select(
+        collection.alias("collection"), *FILE, F.concat("_base", suffix).alias("id"), item.alias("document"), "file_path", "filename",
+        title.alias("name"), kind.alias("type"), of_summary("extension", "string"), of_summary("total_lines", "bigint"),
+        of_summary("has_error", "boolean"), of_summary("oversized_file", "boolean"),
+        F.when(collection == "file_summaries", F.col("error")).alias("error_message"), *version,
     )
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator, Mapping
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from corpuslens import config
 from corpuslens.functions.vectors import DIMENSIONS, Embedder, embed, relevance
@@ -351,13 +351,22 @@ def _around(records: DataFrame, hits: DataFrame) -> DataFrame:
             paths = sorted(set(held))
             size = -(-len(paths) // each)
             spans = [(paths[i], paths[min(i + size, len(paths)) - 1]) for i in range(0, len(paths), size)]
-            within = F.lit(False)
-            for low, high in spans:
-                within = within | ((F.col("rel_path") == low) if low == high else F.col("rel_path").between(low, high))
+            within = _within(F.col("rel_path"), spans)
             near = near | ((F.col("corpus_id") == corpus) & within)
     return records.filter(F.col("collection").isin(sorted({row["collection"] for row in keys})) & near)
 
 
+def _within(value: Column, spans: list) -> Column:
+    """Whether a value lies in one of the ordered ``spans``. Halved at each step: a row meets few of them, and
+    statistics prune as by a plain list."""
+    if len(spans) == 1:
+        low, high = spans[0]
+        return (value == low) if low == high else value.between(low, high)
+    middle = len(spans) // 2
+    border = spans[middle][0]
+    return ((value < border) & _within(value, spans[:middle])) | ((value >= border) & _within(value, spans[middle:]))
+
+
 def search_by_type(collections: DataFrame, queries: DataFrame, type: str, n: int = 10, **options) -> DataFrame:
     """As ``search`` in the collection of one type; an unknown type gives no rows."""
     return search(collections, queries, n, config.TYPE_TO_COLLECTION.get(type, ""), **options)

@@ -101,6 +101,14 @@ def test_records_of_cells_are_embedded_once(spark, tables, monkeypatch):
         q.similar_many_by_cells(spark, tables)
 
 
+def test_spans_are_halved(spark):
+    spans = [("b", "d"), ("f", "f"), ("h", "k"), ("m", "m"), ("p", "r")]
+    values = [None, "", *"abcdefghijklmnopqrstuvwxyz", "dd", "fz"]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    got = {r[0] for r in df.filter(search._within(F.col("v"), spans)).collect()}
+    assert got == {v for v in values if v is not None and any(low <= v <= high for low, high in spans)}
+
+
 def test_records_are_written_without_a_sort(spark):
     name = "spark.sql.maxConcurrentOutputFileWriters"
     before = spark.conf.get(name)
