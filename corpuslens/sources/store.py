@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from corpuslens import config
 from corpuslens.operators.rollup import FILE
 from corpuslens.operators.search import LOOSE, Cells, assign_cells, cell_radii, fit_cells
+from corpuslens.operators.skew import materialise
 
 RECORDS = "records"
 FOLDED = "folded"
@@ -297,7 +298,7 @@ def _place(spark: SparkSession, store: str, name: str) -> None:
     rows = _rows(spark, store, [name]).drop("document", "content_key", "gen")
     where = lambda part: f"{store}/{part}/{version}/{name}"
     (
-        assign_cells(rows, centres)
+        materialise(assign_cells(rows, centres))  # the ranges are found in a pass of their own: cells are assigned once
         .repartitionByRange("collection", "cell", "corpus_id", "rel_path", "id")
         .sortWithinPartitions("collection", "cell", "corpus_id", "rel_path", "id")
         .write.mode("overwrite")

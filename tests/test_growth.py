@@ -101,6 +101,31 @@ def test_records_of_cells_are_embedded_once(spark, tables, monkeypatch):
         q.similar_many_by_cells(spark, tables)
 
 
+def test_a_generation_is_assigned_to_cells_once(spark, tmp_path, monkeypatch):
+    rows = [("functions", "c", f"p{i:03d}", f"{i:03d}", [float(i % 5), 1.0]) for i in range(200)]
+    held = spark.createDataFrame(rows, "collection string, corpus_id string, rel_path string, id string, embedding array<float>")
+    for column in ("document", "file_path", "filename", "extension", "name", "type", "error_message"):
+        held = held.withColumn(column, F.lit("x"))
+    for column, kind in (("total_lines", "bigint"), ("has_error", "boolean"), ("oversized_file", "boolean")):
+        held = held.withColumn(column, F.lit(None).cast(kind))
+    stores.write_records(held, str(tmp_path))
+    passed, real = spark.sparkContext.accumulator(0), stores.assign_cells
+
+    def counted(records, centres):
+        cut = real(records, centres)
+
+        def count(batches):
+            for batch in batches:
+                passed.add(batch.num_rows)
+                yield batch
+
+        return cut.mapInArrow(count, cut.schema)
+
+    monkeypatch.setattr(stores, "assign_cells", counted)
+    assert stores.build_index(spark, str(tmp_path), 3) == 3
+    assert passed.value == 200
+
+
 def test_spans_are_halved(spark):
     spans = [("b", "d"), ("f", "f"), ("h", "k"), ("m", "m"), ("p", "r")]
     values = [None, "", *"abcdefghijklmnopqrstuvwxyz", "dd", "fz"]
