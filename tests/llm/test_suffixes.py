@@ -90,3 +90,45 @@ def test_empty_table_and_bad_depth(spark):
     assert dedup_suffixes(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     with pytest.raises(ValueError):
         dedup_suffixes(spark.createDataFrame([], "doc_id long, text string"), 10, 10)
+
+
+def rounds():
+    """Texts that go round, some shorter than it takes to repeat LENGTH bytes, whole or inside other words."""
+    ring = "".join(f"Anlyou{i % 3} " for i in range(200))
+    texts = ["Ti " * 700, ("Ti " * 700)[1:402], "i Ti T" + "Ti " * 140 + "other words", "nded " * 81, "nded " * 80, ring[3:], ring[:405] + "end", ring[24:424]]
+    texts += [" ".join(filler(600 + i, 30)) + "Ti " * (130 + i) + " ".join(filler(700 + i, 9)) for i in range(8)]
+    return [(i, text) for i, text in enumerate(texts)]
+
+
+def test_texts_that_go_round(docs):
+    assert result(docs(rounds()), 400, 32) == brute(rounds(), 400)
+    assert result(docs(rounds()), 12, 4) == brute(rounds(), 12)
+
+
+def test_a_text_that_goes_round_has_few_anchors(docs):
+    base = suffixes.text_ids(docs([(1, "Ti " * 3000 + "end")]))
+    assert suffixes._anchors(base, 400, 32).count() < 60
+
+
+def test_short_passages_bring_no_bytes_together(docs, monkeypatch):
+    passages = [" ".join(filler(5 + i, 30))[:190] for i in range(9)]
+    rows = [(i, "".join(" ".join(filler(1000 * i + k, 30)) + p for k, p in enumerate(passages))) for i in range(20)]
+    alike, sent = suffixes._contexts, []
+    monkeypatch.setattr(suffixes, "_contexts", lambda *args: sent.append(alike(*args)) or sent[-1])
+    assert result(docs(rows), 400, 32) == brute(rows, 400)
+    assert sum(table.count() for table in sent) <= 20  # at most the first and last row of each task of the sort
+
+
+@pytest.mark.parametrize("length, depth, limit", [(400, 32, 4096), (12, 4, 20)])
+def test_equal_contexts_in_several_tasks(docs, spark, length, depth, limit):
+    changed = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "11"}
+    before = {name: spark.conf.get(name) for name in changed}
+    rows = cases() + [(500 + i, t) for i, t in rounds()]
+    for name, value in changed.items():
+        spark.conf.set(name, value)
+    try:
+        found = dedup_suffixes(docs(rows), length, depth, limit).collect()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found), key=repr) == brute(rows, length)
