@@ -196,8 +196,11 @@ def infer(
 
 
 def _declared(words: str) -> str:
-    """``word name`` where the word stands alone. The look behind comes after the word: it is then rare."""
-    return rf"(?:{words})(?<!{WORD}(?:{words})) +({WORD}+)"
+    """``word name`` where the word stands alone. A set of first letters is tried at each place, which is cheaper than
+    all words; the look behind comes after the word: it is then rare."""
+    each = words.split("|")
+    rest = "|".join(f"(?<={word[0]}){word[1:]}" for word in each)
+    return rf"[{''.join(sorted({word[0] for word in each}))}](?:{rest})(?<!{WORD}(?:{words})) +({WORD}+)"
 
 
 # What the built-in patterns take as a class, a function and an import.

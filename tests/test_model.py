@@ -296,3 +296,19 @@ def test_stored_responses_are_folded_and_only_asked_ones_are_shuffled(spark, tmp
     assert plan.index("Exchange hashpartitioning") < plan.index("BroadcastHashJoin")
     assert sorted(r["prompt_hash"] for r in some.collect()) == ["p3", "y"]
     assert stores.read_responses(spark, store, asked.limit(0)).count() == 0
+
+
+def test_declarations_are_sought_by_their_first_letter(spark):
+    from pyspark.sql import functions as F
+
+    from corpuslens.functions.text import WORD
+    from corpuslens.operators.model import CLASS, FUNCTION
+
+    texts = ["subclass A class  B_é classclass C éclass D", "function f func g functionfunc h func\tx def  def def y xdef z 1func q",
+             "class", "enum X\ninterface Y structstruct S _struct T", "functional f func  é9 fundef a", "interfaceclass Z interface  class W"]
+    table = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = lambda pattern: F.regexp_extract_all("t", F.lit(pattern), F.lit(1))
+    for pattern, words, letters in ((CLASS, "class|interface|struct|enum", "[ceis]"), (FUNCTION, "def|function|func", "[df]")):
+        plain = rf"(?:{words})(?<!{WORD}(?:{words})) +({WORD}+)"
+        assert pattern.startswith(letters)  # not the words themselves, at every place
+        assert table.filter(found(pattern) != found(plain)).count() == 0
