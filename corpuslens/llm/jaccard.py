@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from corpuslens.llm.batches import LOWER, Rolling, Words, column, mix, slices
+from corpuslens.llm.batches import LOWER, WORD_SLICE, Rolling, Words, column, mix, slices
 from corpuslens.llm.components import components
 from corpuslens.llm.shared import keep, row_key, rows_with, small, text_of
 
@@ -77,7 +77,7 @@ def corpus_levels(docs: DataFrame) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(1 << PLACES, np.uint32)  # a task reads far fewer shingles than would overflow it
-        for part in slices(batches):
+        for part in slices(batches, limit=WORD_SLICE):
             places, times = np.unique(_place(shingles(column(part, "text"))[0]), return_counts=True)
             table[places] += times.astype(np.uint32)
         rows = table.reshape(parts, -1)
@@ -124,7 +124,7 @@ def _sets(docs: DataFrame, levels) -> DataFrame:
     """``doc_id, row_key, n, cls, grp, bits`` per document: size, class, group and parity bitmap of its set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, limit=WORD_SLICE):
             sets = ranked_sets(column(part, "text"), levels.value)
             n = np.array(list(map(len, sets)), np.int64)
             cls = np.array([_identity(s) if len(s) else 0 for s in sets], np.uint64)
@@ -148,7 +148,7 @@ def _postings(docs: DataFrame, levels) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, limit=WORD_SLICE):
             held = [s for s in ranked_sets(column(part, "text"), levels.value) if len(s)]
             heads = [s[: _prefix(len(s))] for s in held]
             grp = [_identity(np.append(h, np.uint64(len(s)))) for h, s in zip(heads, held)]
@@ -339,7 +339,7 @@ def _whole_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, levels)
     ids = classes.join(wanted, "cls").select("rep", "cls")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, limit=WORD_SLICE):
             sets = ranked_sets(column(part, "text"), levels.value)
             right = [i for i, (s, c) in enumerate(zip(sets, column(part, "cls").to_pylist())) if len(s) and np.uint64(_identity(s)).view(np.int64) == c]
             yield pa.RecordBatch.from_arrays(

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from corpuslens.llm.batches import Rolling, buffers, column, mix, slices
-from corpuslens.llm.shared import text_of
+from corpuslens.llm.shared import sent_text
 from corpuslens.llm.tokens import MARK, load
 
 DROPOUT = 0.1
@@ -324,12 +324,13 @@ def encode(
     ids back and adds the text they give as ``decoded``."""
     document = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"))
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(model).held)  # as large as the model
+    sent, text = sent_text(docs, columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary.of(shared.value)
         encoder = Encoder(vocabulary, seed, dropout, variants)
-        for part in slices(batches, "__cl_text", SLICE):
-            ids, offsets = encoder.encode(column(part, "__cl_text"), column(part, "__cl_document").to_numpy())
+        for part in slices(batches, text, SLICE):
+            ids, offsets = encoder.encode(column(part, text), column(part, "__cl_document").to_numpy())
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
             texts = [decode_ids(vocabulary, ids, offsets)] if decoded else []
             yield pa.RecordBatch.from_arrays([*(column(part, c) for c in columns), lists, *texts], names)
@@ -337,7 +338,7 @@ def encode(
     names = [*columns, "piece_ids", *["decoded"] * decoded]
     more = [T.StructField("piece_ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
     schema = T.StructType([*(docs.schema[c] for c in columns), *more[: 1 + decoded]])
-    return docs.select(*columns, text_of().alias("__cl_text"), document.alias("__cl_document")).mapInArrow(run, schema)
+    return docs.select(*sent, document.alias("__cl_document")).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, model: bytes) -> DataFrame:

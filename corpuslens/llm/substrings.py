@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from corpuslens.llm.batches import Rolling, Words, column, mix, slices, winnow
+from corpuslens.llm.batches import WORD_SLICE, Rolling, Words, column, mix, slices, winnow
 from corpuslens.llm.shared import WORD, keep, row_key, small, text_of
 
 WINDOW_WORDS = 50
@@ -48,7 +48,7 @@ def short_windows(docs: DataFrame, length: int) -> DataFrame:
     """``doc_id, short``: the short windows looked at, once per document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, limit=WORD_SLICE):
             words = Words(column(part, "text"))
             short, marked, _ = _anchors(words, length)
             rows, found = words.owner()[marked], short[marked]
@@ -69,7 +69,7 @@ def _extended(docs: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         half = length // 2
-        for part in slices(batches):
+        for part in slices(batches, limit=WORD_SLICE):
             words = Words(column(part, "text"))
             n = len(words.begin)
             short, _, stop = _anchors(words, length)

@@ -20,8 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from corpuslens.llm.batches import PLAIN, Words, column, mix, slices
-from corpuslens.llm.shared import text_of
+from corpuslens.llm.batches import PLAIN, WORD_SLICE, Words, column, mix, slices
+from corpuslens.llm.shared import sent_text, text_of
 
 BITS = 20
 TRAIN_ROWS = 20_000
@@ -80,7 +80,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, bits: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, seen = Ftrl((1 << bits) + 1), []
-        for part in slices(batches):
+        for part in slices(batches, limit=WORD_SLICE):
             owner, place = features(column(part, "text"), bits)
             order = np.lexsort((place, owner))
             owner, place = owner[order], place[order]
@@ -107,11 +107,12 @@ def score(docs: DataFrame, places: np.ndarray, weights: np.ndarray, columns: lis
     dense[places] = weights
     model = docs.sparkSession.sparkContext.broadcast(dense.astype(np.float32))
     taught = len(places) > 0
+    sent, text = sent_text(docs, columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = model.value
-        for part in slices(batches, "__cl_text"):
-            owner, place = features(column(part, "__cl_text"), bits)
+        for part in slices(batches, text, WORD_SLICE):
+            owner, place = features(column(part, text), bits)
             said = w[place] != 0
             once = np.unique((owner[said] << (bits + 1)) | place[said])
             total = np.bincount(once >> (bits + 1), w[once & ((1 << (bits + 1)) - 1)], part.num_rows) + w[-1]
@@ -120,9 +121,8 @@ def score(docs: DataFrame, places: np.ndarray, weights: np.ndarray, columns: lis
                 [*columns, "__cl_score"],
             )
 
-    held = docs.select(*columns, text_of().alias("__cl_text"))
     schema = T.StructType([*(docs.schema[name] for name in columns), T.StructField("__cl_score", T.DoubleType())])
-    return held.mapInArrow(run, schema)
+    return docs.select(*sent).mapInArrow(run, schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -1,9 +1,15 @@
 import random
 
+import numpy as np
+import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from corpus_pipeline import STAGES, run
+from corpuslens.llm.pieces import encode
+from corpuslens.llm.tokens import read_model
+from corpuslens.llm.toxicity import score
 from tests.llm.conftest import filler
 from tests.llm.test_jaccard import shingle_set
 from tests.llm.test_substrings import brute
@@ -128,3 +134,22 @@ def test_empty_tables(stages, spark, tmp_path):
     empty = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
     for _, stage in STAGES:
         assert stage(spark, empty, folder).collect() == []
+
+
+def test_texts_go_to_tasks_once(spark):
+    """Python gets a text that goes along once, takes NULL for empty and leaves it NULL."""
+    model = read_model(public_tokenizers.path(corpus_pipeline.PIECES))
+    rows = [(1, "the of and"), (2, None), (3, ""), (4, " Snivel é▁ \n")]
+    strings = spark.createDataFrame(rows, "doc_id long, text string")
+    binary = strings.withColumn("text", F.col("text").cast("binary"))
+    found = []
+    for docs, copies in ((strings, 0), (binary, 1)):
+        scored = score(docs, np.array([5, 1 << 20]), np.array([0.5, -0.5]), docs.columns)
+        encoded = encode(docs, model, docs.columns, decoded=True)
+        for made in (scored, encoded):
+            assert made.schema["text"] == docs.schema["text"]
+            assert made._jdf.queryExecution().analyzed().toString().count(" AS __cl_text") == copies
+        found.append([sorted((r[0], *r[2:]) for r in made.collect()) for made in (scored, encoded)])
+        assert sorted((r.doc_id, r.text) for r in encoded.collect()) == sorted((r.doc_id, r.text) for r in docs.collect())
+    assert found[0] == found[1]
+    assert [r[2] for r in found[0][1]] == [t or "" for _, t in rows] and found[0][1][1][1] == []
