@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from corpuslens import config
 from corpuslens.functions import replies
@@ -17,7 +18,11 @@ from corpuslens.operators.skew import lookup_join
 Client = Callable[[Sequence[str], float], Sequence[object]]
 Provider = Callable[[], Client]
 
-RESPONSE_TYPE = "prompt_hash string, response string, error string, attempts int"
+RESPONSE_TYPE = StructType(
+    [StructField(name, StringType()) for name in ("prompt_hash", "response", "error")] + [StructField("attempts", IntegerType())]
+)
+#: Replies handed back to Spark at once: so many, or fewer of so many letters together.
+FRAME_ROWS, FRAME_LETTERS = 2000, 1 << 20
 #: Estimated tokens that go out with one call.
 BATCH_TOKENS = 16 * config.DEFAULT_CONTEXT_LENGTH
 
@@ -58,13 +63,23 @@ def add_prompts(chunks: DataFrame, functions: bool = True, dependencies: bool =
     return chunks.withColumn("prompt", prompt).withColumn("prompt_hash", F.sha2("prompt", 256))
 
 
-def pending_prompts(prompts: DataFrame, responses: DataFrame | None) -> DataFrame:
+def pending_prompts(
+    prompts: DataFrame, responses: DataFrame | None, deal: dict[str, Column] | None = None
+) -> DataFrame:
     """Distinct prompts that no stored response answers; a stored failure is no answer. One shuffle serves
-    the duplicates and the look-up."""
-    asked = prompts.select("prompt_hash", "prompt").repartition("prompt_hash").dropDuplicates(["prompt_hash"])
-    if responses is None:
-        return asked
-    return asked.join(responses.filter("error IS NULL").select("prompt_hash"), "prompt_hash", "left_anti")
+    the duplicates and the look-up.
+
+    ``deal`` names columns made of the hash, by which the prompts are partitioned and sorted then: the shuffle that
+    deals them out serves the duplicates, and what is answered is left out before.
+    """
+    asked = prompts.select("prompt_hash", "prompt")
+    answered = None if responses is None else responses.filter("error IS NULL").select("prompt_hash")
+    if deal:
+        if answered is not None:
+            asked = asked.join(answered, "prompt_hash", "left_anti")
+        return asked.withColumns(deal).repartition(*deal).dropDuplicates([*deal, "prompt_hash"])
+    asked = asked.repartition("prompt_hash").dropDuplicates(["prompt_hash"])
+    return asked if answered is None else asked.join(answered, "prompt_hash", "left_anti")
 
 
 def pack(rows, batch: int, batch_tokens: float):
@@ -93,6 +108,7 @@ def infer(
     batch_tokens: int = BATCH_TOKENS,
     in_flight: int = 1,
     calls_per_second: float | None = None,
+    dealt: bool = False,
 ) -> DataFrame:
     """One response row per prompt. ``tasks`` times ``in_flight`` bounds how many clients work at once.
 
@@ -102,12 +118,14 @@ def infer(
 
     Only timeouts are tried again; any other failure, or the last timeout, becomes the row's error. A call
     that raises is halved until the prompts at fault stand alone.
+    Prompts are shuffled into ``tasks`` pieces, unless they are ``dealt`` into no more than that already.
     Write the result before reading it twice: a model may answer differently the second time.
     """
     if min(batch, batch_tokens, in_flight) < 1 or (calls_per_second is not None and calls_per_second <= 0):
         raise ValueError("batch, batch_tokens and in_flight begin at 1, calls_per_second lies above 0")
     tasks = tasks or prompts.sparkSession.sparkContext.defaultParallelism
     gap = tasks / calls_per_second if calls_per_second else 0.0
+    columns = RESPONSE_TYPE.names
 
     def call(frames):
         import threading
@@ -125,37 +143,42 @@ def infer(
                     mine = begin[0] = max(begin[0] + gap, time.monotonic())
                 time.sleep(max(0.0, mine - time.monotonic()))
 
-        def ask(client: Client, texts: list[str]) -> list[object]:
+        def ask(desk: list, texts: list[str]) -> list[object]:
             take_turn()
-            one = ThreadPoolExecutor(1)
+            client, one = desk
+            called = None
             try:
-                answers = list(one.submit(client, texts, timeout).result(timeout * len(texts)))
+                called = one.submit(client, texts, timeout)
+                answers = list(called.result(timeout * len(texts)))
                 if len(answers) != len(texts):
                     raise ValueError("a provider gives one reply per prompt")
                 return answers
             except (TimeoutError, Late):
+                if called is not None and not called.done():  # it may hang for good: the next call has another thread
+                    one.shutdown(wait=False)
+                    desk[1] = ThreadPoolExecutor(1)
                 late = TimeoutError(f"no reply within {timeout:g} seconds")
                 return [late] * len(texts)
             except Exception as failure:
                 # One bad prompt must not fail its neighbours.
                 half = len(texts) // 2
-                return ask(client, texts[:half]) + ask(client, texts[half:]) if half else [failure]
-            finally:
-                one.shutdown(wait=False)
+                return ask(desk, texts[:half]) + ask(desk, texts[half:]) if half else [failure]
 
-        idle = LifoQueue()  # clients not at work; those in use go first, so no more are made than needed
-        for _ in range(in_flight):
-            idle.put(None)
+        # Clients not at work, each with the thread it is called in; those in use go first, so no more are made than needed.
+        idle = LifoQueue()
+        desks = [[None, ThreadPoolExecutor(1)] for _ in range(in_flight)]
+        for desk in desks:
+            idle.put(desk)
 
         def work(part):
-            client = idle.get()
-            if client is None:
-                client = provider()
+            desk = idle.get()
+            if desk[0] is None:
+                desk[0] = provider()
             texts, todo = [text for _, text in part], list(range(len(part)))
             answer, error, attempts = [None] * len(part), [None] * len(part), [0] * len(part)
             for attempt in range(1, tries + 1):
                 again = []
-                for i, got in zip(todo, ask(client, [texts[i] for i in todo])):
+                for i, got in zip(todo, ask(desk, [texts[i] for i in todo])):
                     attempts[i] = attempt
                     if isinstance(got, TimeoutError):
                         error[i] = f"{got} ({attempt} attempts)"
@@ -169,14 +192,23 @@ def infer(
                     break
                 if attempt < tries:
                     time.sleep(pause)
-            idle.put(client)
-            return pd.DataFrame(
-                {"prompt_hash": [name for name, _ in part], "response": answer, "error": error, "attempts": attempts}
-            )
-
-        rows = (row for frame in frames for row in zip(frame["prompt_hash"], frame["prompt"]))
-        pool, flying = ThreadPoolExecutor(in_flight), set()
-        try:
+            idle.put(desk)
+            return list(zip([name for name, _ in part], answer, error, attempts))
+
+        def framed(parts):
+            """Few frames of many calls: each costs as much as many rows."""
+            held, letters = [], 0
+            for part in parts:
+                held += part
+                letters += sum(len(reply or "") for _, reply, _, _ in part)
+                if len(held) >= FRAME_ROWS or letters >= FRAME_LETTERS:
+                    yield pd.DataFrame(held, columns=columns)
+                    held, letters = [], 0
+            if held:
+                yield pd.DataFrame(held, columns=columns)
+
+        def answered():
+            flying = set()
             for part in pack(rows, batch, batch_tokens):
                 if len(flying) == in_flight:
                     done, flying = wait(flying, return_when=FIRST_COMPLETED)
@@ -185,14 +217,18 @@ def infer(
             while flying:
                 done, flying = wait(flying, return_when=FIRST_COMPLETED)
                 yield from (one.result() for one in done)
+
+        rows = (row for frame in frames for row in zip(frame["prompt_hash"], frame["prompt"]))
+        pool = ThreadPoolExecutor(in_flight)
+        try:
+            yield from framed(answered())
         finally:
             pool.shutdown(wait=False, cancel_futures=True)
+            for _, one in desks:
+                one.shutdown(wait=False)
 
-    return (
-        prompts.select("prompt_hash", "prompt")
-        .repartition(tasks, "prompt_hash")
-        .mapInPandas(call, RESPONSE_TYPE)
-    )
+    rows = prompts.select("prompt_hash", "prompt")
+    return (rows if dealt else rows.repartition(tasks, "prompt_hash")).mapInPandas(call, RESPONSE_TYPE)
 
 
 def _declared(words: str) -> str:

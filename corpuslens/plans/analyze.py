@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor, as_completed
+from datetime import datetime, timezone
+from itertools import count
 from queue import SimpleQueue
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -51,17 +54,38 @@ def answer(prompts: DataFrame, store: str, provider: model.Provider, wave: int =
     """
     spark = prompts.sparkSession
     hashes = materialise(prompts.select("prompt_hash").distinct())
-    asked = materialise(model.pending_prompts(prompts, stores.read_responses(spark, store, hashes)))
-    waves = max(1, -(-asked.count() // wave))
+    held = stores.read_responses(spark, store, hashes)
+    pending = hashes.count()
+    if held is not None:
+        held = materialise(held.filter("error IS NULL").select("prompt_hash", "error"))
+        pending -= held.count()
+    waves = max(1, -(-pending // wave))
     if waves == 1:
-        stores.write_responses(model.infer(asked, provider, **options), store)
+        stores.write_responses(model.infer(model.pending_prompts(prompts, held), provider, **options), store)
     else:
-        _ask_waves(asked, waves, -(-wave // WAVE_FILE), store, provider, **options)
+        deal = {
+            "_wave": F.pmod(F.xxhash64("prompt_hash"), F.lit(waves)).cast("int"),
+            "_file": F.pmod(F.xxhash64("prompt_hash", F.lit("file")), F.lit(-(-wave // WAVE_FILE))),
+        }
+        _ask_waves(model.pending_prompts(prompts, held, deal), waves, store, provider, **options)
     return stores.read_responses(spark, store, hashes)
 
 
+class Clock:
+    """The time, told anew once a second: Spark compiles a stage again for each other time that it writes."""
+
+    def __init__(self) -> None:
+        self._told = (0.0, None)
+
+    def now(self) -> datetime:
+        told, at = time.monotonic(), self._told
+        if at[1] is None or told - at[0] >= 1.0:
+            at = self._told = (told, datetime.now(timezone.utc))
+        return at[1]
+
+
 def _ask_waves(
-    asked: DataFrame, waves: int, files: int, store: str, provider: model.Provider,
+    asked: DataFrame, waves: int, store: str, provider: model.Provider,
     tasks: int | None = None, calls_per_second: float | None = None, **options,
 ) -> None:
     """Each wave lies in a folder of its own, so none reads the prompts of another. ``WAVES_AT_ONCE`` are under way,
@@ -75,27 +99,33 @@ def _ask_waves(
         shares.put(tasks // together + (i < tasks % together))
     rate = calls_per_second and calls_per_second / together
     folder = f"{checkpoint_dir(spark)}/waves-{uuid.uuid4().hex}"
-    number = F.pmod(F.xxhash64("prompt_hash"), F.lit(waves)).cast("int").alias("_wave")
-    file = F.pmod(F.xxhash64("prompt_hash", F.lit("file")), F.lit(files))
-    asked.select("prompt_hash", "prompt", number).repartition("_wave", file).write.partitionBy("_wave").parquet(folder)
+    asked.select("prompt_hash", "prompt", "_wave").write.partitionBy("_wave").parquet(folder)
+
+    places, stored, clock = count(stores.next_response_part(spark, store)), [], Clock()
 
     def ask(at: int) -> None:
-        part = spark.read.schema("prompt_hash string, prompt string, _wave int").option("basePath", folder)
-        part = part.parquet(f"{folder}/_wave={at}")
+        part = spark.read.schema("prompt_hash string, prompt string").parquet(f"{folder}/_wave={at}")
         mine = shares.get()
+        alone = mine == 1  # a wave that one task asks needs no shuffle
         try:
-            stores.write_responses(model.infer(part, provider, tasks=mine, calls_per_second=rate, **options), store, fold_after=None)
+            answers = model.infer(
+                part.coalesce(1) if alone else part, provider, tasks=mine, calls_per_second=rate, **options | {"dealt": alone}
+            )
+            stores.write_responses(answers, store, fold_after=None, place=next(places), asked_at=clock.now())
+            stored.append(at)
         finally:
             shares.put(mine)
 
     held = sorted(int(name.removeprefix("_wave=")) for name in stores.folder_names(spark, folder))
     with ThreadPoolExecutor(together) as pool:
-        running = [pool.submit(ask, at) for at in held]
+        running, folded = [pool.submit(ask, at) for at in held], 0
         try:
-            for done, one in enumerate(as_completed(running), 1):
+            for one in as_completed(running):
                 one.result()
-                if done % stores.FAN == 0 or done == len(running):
+                if len(stored) >= folded + stores.FAN:  # waves go on during a fold: the next takes all that ended meanwhile
+                    folded = len(stored)
                     stores.fold_responses(spark, store)
+            stores.fold_responses(spark, store)
         finally:
             for one in running:
                 one.cancel()

@@ -28,6 +28,8 @@ import math
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from datetime import datetime
+from functools import lru_cache
 from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -52,6 +54,7 @@ SCHEMA = (
     "file_path string, filename string, extension string, name string, type string, total_lines bigint, "
     "has_error boolean, oversized_file boolean, error_message string, content_key string, version timestamp"
 )
+RESPONSE_SCHEMA = "prompt_hash string, response string, error string, attempts int, asked_at timestamp"
 #: Neighbours of one tier after which a writer folds them; also the factor between tiers.
 FAN = 8
 #: Records a cell holds on average, and the most cells: their centres and radii go through the driver.
@@ -61,8 +64,14 @@ MAX_CELLS = 4096
 ASKED_HASHES = 100_000
 
 
+@lru_cache(maxsize=1)
+def _path_class(jvm):
+    """Looked up once: each part of a dotted name is sought as a class in every jar."""
+    return jvm.org.apache.hadoop.fs.Path
+
+
 def _hadoop(spark: SparkSession, path: str):
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where = _path_class(spark._jvm)(path)
     return where, where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
 
 
@@ -77,13 +86,18 @@ def _folders(spark: SparkSession, path: str) -> list[str]:
     where, files = _hadoop(spark, path)
     if not files.exists(where):
         return []
-    done = lambda p: files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))
-    return sorted(s.getPath().getName() for s in files.listStatus(where) if s.isDirectory() and done(s.getPath()))
+    path_of = _path_class(spark._jvm)
+    done = lambda p: files.exists(path_of(p, "_SUCCESS"))
+    return sorted(p.getName() for p in (s.getPath() for s in files.listStatus(where) if s.isDirectory()) if done(p))
+
+
+def _next(names: list[str], prefix: str) -> int:
+    """The place behind all ``names``."""
+    return 1 + max((int(n[len(prefix) + 1 :][:12]) for n in names), default=-1)
 
 
-def _name(names: list[str], prefix: str, label: str | None = None) -> str:
-    """A name behind all ``names`` that nobody else has."""
-    number = 1 + max((int(n[len(prefix) + 1 :][:12]) for n in names), default=-1)
+def _name(number: int, prefix: str, label: str | None = None) -> str:
+    """A name at a place that nobody else has."""
     return f"{prefix}={number:012d}.{uuid.uuid4().hex}" + (f"@{quote(label, safe='')}" if label else "")
 
 
@@ -102,14 +116,16 @@ def _folded(spark: SparkSession, store: str, folder: str = FOLDED) -> dict[str,
     return found
 
 
-def _generations(spark: SparkSession, store: str, folder: str = RECORDS, folded: str = FOLDED) -> list[str]:
-    """What counts, oldest first: folded generations, and those that no fold holds."""
-    names = _folders(spark, f"{store}/{folder}")
-    folds = _folded(spark, store, folded)
+def _live(names: list[str], folds: dict[str, list[str]]) -> list[str]:
     hidden = {n for held in folds.values() for n in held}
     return [n for n in names if n not in hidden and (n in folds or _label(n) != BASE)]
 
 
+def _generations(spark: SparkSession, store: str, folder: str = RECORDS, folded: str = FOLDED) -> list[str]:
+    """What counts, oldest first: folded generations, and those that no fold holds."""
+    return _live(_folders(spark, f"{store}/{folder}"), _folded(spark, store, folded))
+
+
 def _sizes(spark: SparkSession, store: str, names: list[str], folder: str = RECORDS) -> list[int]:
     """Bytes of each generation, from the file system."""
     found = []
@@ -156,7 +172,7 @@ def write_records(records: DataFrame, store: str, label: str | None = None, comp
         raise ValueError(f"{BASE} is no label")
     live = _generations(spark, store)
     before = [n for n in live if label and _label(n) == quote(label, safe="")]
-    name = before[-1] if before else _name(_folders(spark, f"{store}/{RECORDS}"), "gen", label)
+    name = before[-1] if before else _name(_next(_folders(spark, f"{store}/{RECORDS}"), "gen"), "gen", label)
     for column, kind in (("embedding", "array<float>"), ("content_key", "string"), ("modified_at", "timestamp")):
         if column not in records.columns:
             records = records.withColumn(column, F.lit(None).cast(kind))
@@ -351,7 +367,7 @@ def _latest(held: DataFrame) -> DataFrame:
 
 
 def _responses(spark: SparkSession, store: str, names: list[str]) -> DataFrame:
-    return spark.read.parquet(*[f"{store}/{RESPONSES}/{n}" for n in names])
+    return spark.read.schema(RESPONSE_SCHEMA).parquet(*[f"{store}/{RESPONSES}/{n}" for n in names])
 
 
 def read_responses(spark: SparkSession, store: str, asked: DataFrame | None = None) -> DataFrame | None:
@@ -371,12 +387,21 @@ def read_responses(spark: SparkSession, store: str, asked: DataFrame | None = No
     return _latest(held).drop("asked_at")
 
 
-def write_responses(responses: DataFrame, store: str, fold_after: int | None = FAN) -> None:
+def next_response_part(spark: SparkSession, store: str) -> int:
+    """The place behind all stored parts, for a writer of many: it need not list them for each."""
+    return _next(_folders(spark, f"{store}/{RESPONSES}"), "part")
+
+
+def write_responses(
+    responses: DataFrame, store: str, fold_after: int | None = FAN, place: int | None = None, asked_at: datetime | None = None
+) -> None:
     """Kept for good: a reply that was paid for is never asked for again. Failures are kept beside it and
-    may be tried again. So many parts of a tier as ``fold_after`` says are folded after the write."""
+    may be tried again. So many parts of a tier as ``fold_after`` says are folded after the write. ``asked_at`` is the
+    time of the write unless it is told."""
     spark = responses.sparkSession
-    name = _name(_folders(spark, f"{store}/{RESPONSES}"), "part")
-    responses.withColumn("asked_at", F.current_timestamp()).write.parquet(f"{store}/{RESPONSES}/{name}")
+    name = _name(next_response_part(spark, store) if place is None else place, "part")
+    stamp = F.current_timestamp() if asked_at is None else F.lit(asked_at)
+    responses.withColumn("asked_at", stamp).write.parquet(f"{store}/{RESPONSES}/{name}")
     if fold_after is not None:
         fold_responses(spark, store, fold_after)
 
@@ -385,21 +410,22 @@ def fold_responses(spark: SparkSession, store: str, fan: int = FAN) -> None:
     """Folds neighbouring parts of like size in tiers, as records are, into the row that counts of each prompt. What
     an earlier fold had replaced is removed at the next."""
     while True:
-        names = _generations(spark, store, RESPONSES, RESPONSES_FOLDED)
+        present = _folders(spark, f"{store}/{RESPONSES}")
+        earlier = _folded(spark, store, RESPONSES_FOLDED)
+        names = _live(present, earlier)
         found = due(_sizes(spark, store, names, RESPONSES), fan) if len(names) >= fan else None
         if not found:
             return
         members = names[slice(*found)]
-        earlier = _folded(spark, store, RESPONSES_FOLDED)
-        present = set(_folders(spark, f"{store}/{RESPONSES}"))
         part = f"{members[-1].partition('.')[0]}.{uuid.uuid4().hex}@{BASE}"
         _latest(_responses(spark, store, members)).write.parquet(f"{store}/{RESPONSES}/{part}")
-        _list_fold(spark, store, RESPONSES, RESPONSES_FOLDED, part, members, earlier, present)
+        _list_fold(spark, store, RESPONSES, RESPONSES_FOLDED, part, members, earlier, set(present))
 
 
 def write_table(df: DataFrame, store: str, name: str) -> None:
     """A small table as a new version beside the old one, which may be what is being read."""
-    df.write.parquet(f"{store}/{name}/{_name(_folders(df.sparkSession, f'{store}/{name}'), 'version')}")
+    number = _next(_folders(df.sparkSession, f"{store}/{name}"), "version")
+    df.write.parquet(f"{store}/{name}/{_name(number, 'version')}")
 
 
 def read_table(spark: SparkSession, store: str, name: str) -> DataFrame | None:

@@ -37,6 +37,64 @@ def test_each_wave_reads_its_own_prompts(spark, tmp_path, monkeypatch):
     assert {o["tasks"] for _, o in seen} == {1} and {o["calls_per_second"] for _, o in seen} == {250.0}
 
 
+def test_a_wave_neither_lists_the_store_nor_shuffles(spark, tmp_path, monkeypatch):
+    plans, listed, infer, folders = [], [], model.infer, stores._folders
+
+    def planned(part, provider, **options):
+        answers = infer(part, provider, **options)
+        plans.append(answers._jdf.queryExecution().executedPlan().toString())
+        return answers
+
+    monkeypatch.setattr(model, "infer", planned)
+    monkeypatch.setattr(stores, "_folders", lambda *a: listed.append(1) or folders(*a))
+    monkeypatch.setattr(stores, "fold_responses", lambda *a, **o: None)
+    names = [f"p{i}" for i in range(300)]
+    asked = spark.createDataFrame([(n, n) for n in names * 2], "prompt_hash string, prompt string")
+    got = analyze.answer(asked, str(tmp_path), lambda: lambda texts, timeout: [t.upper() for t in texts], wave=10, tasks=4)
+    assert {r["prompt_hash"]: r["response"] for r in got.collect()} == {n: n.upper() for n in names}
+    assert len(plans) > 20 and not any("Exchange" in plan for plan in plans)
+    assert len(listed) < len(plans) / 2
+    parts = folders(spark, f"{tmp_path}/{stores.RESPONSES}")  # each wave is a part of its own, at a place of its own
+    assert len(parts) == len(plans) == len({name.partition(".")[0] for name in parts})
+
+
+def test_waves_of_several_tasks_answer_all(spark, tmp_path):
+    names = [f"p{i}" for i in range(40)]
+    asked = spark.createDataFrame([(n, n) for n in names], "prompt_hash string, prompt string")
+    got = analyze.answer(asked, str(tmp_path), lambda: lambda texts, timeout: list(texts), wave=20, tasks=5)
+    assert sorted(r["response"] for r in got.collect()) == sorted(names)
+
+
+def test_waves_ask_what_failed_and_nothing_else(spark, tmp_path):
+    names = [f"p{i}" for i in range(60)]
+    asked = spark.createDataFrame([(n, n) for n in names] + [(None, None)] * 2, "prompt_hash string, prompt string")
+    bad = lambda: lambda texts, timeout: [ValueError("bad") if t is None or t.endswith("3") else "first" for t in texts]
+    analyze.answer(asked, str(tmp_path), bad, wave=7)
+    got = analyze.answer(asked, str(tmp_path), lambda: lambda texts, timeout: ["again"] * len(texts), wave=2)
+    assert {r["prompt_hash"]: r["response"] for r in got.collect()} == {n: "again" if n.endswith("3") else "first" for n in names}
+
+
+def test_prompts_are_dealt_out_in_the_shuffle_that_drops_their_copies(spark):
+    asked = spark.range(100).select(F.col("id").cast("string").alias("prompt_hash"), F.lit("x").alias("prompt"))
+    deal = {"_wave": F.pmod(F.xxhash64("prompt_hash"), F.lit(5)).cast("int")}
+    dealt = model.pending_prompts(asked.union(asked), None, deal)
+    assert dealt._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert dealt.count() == 100 and dealt.select("prompt_hash").distinct().count() == 100
+    good = asked.limit(30).select("prompt_hash", F.lit(None).cast("string").alias("error"))
+    failed = asked.select("prompt_hash", F.lit("no").alias("error"))
+    assert model.pending_prompts(asked, good.union(failed), deal).count() == 70
+
+
+def test_the_time_is_told_anew_once_a_second(monkeypatch):
+    clock, at = analyze.Clock(), [10.0]
+    monkeypatch.setattr(analyze.time, "monotonic", lambda: at[0])
+    first = clock.now()
+    at[0] = 10.9
+    assert clock.now() is first
+    at[0] = 11.0
+    assert clock.now() is not first and clock.now() >= first
+
+
 def test_a_failing_wave_keeps_what_was_stored(spark, tmp_path):
     def provider():
         raise RuntimeError("no client")

@@ -191,6 +191,41 @@ def test_a_hanging_call_is_given_up(spark):
     assert got["hang"][1] == "no reply within 0.3 seconds (2 attempts)" and got["hang"][2] == 2
 
 
+def test_calls_of_a_client_share_a_thread_and_their_replies_a_frame(spark):
+    import threading
+
+    def provider():
+        return lambda texts, timeout: [str(threading.get_ident())] * len(texts)
+
+    frames = []
+
+    class Taken:  # what ``infer`` gives Spark, taken and called here
+        sparkSession = spark
+        select = repartition = lambda self, *a: self
+
+        def mapInPandas(self, call, schema):
+            import pandas as pd
+
+            frames.extend(call(iter([pd.DataFrame({"prompt_hash": list("abcdef"), "prompt": list("abcdef")})])))
+
+    model.infer(Taken(), provider, tasks=1, batch=1)
+    assert [list(f["prompt_hash"]) for f in frames] == [list("abcdef")]
+    assert frames[0]["response"].nunique() == 1 and frames[0]["error"].isna().all()
+
+
+def test_a_call_behind_a_hanging_one_has_a_thread_of_its_own(spark):
+    def provider():
+        def client(texts, timeout):
+            time.sleep(3 if texts[0] == "hang" else 0)
+            return list(texts)
+
+        return client
+
+    got = answers(model.infer(prompts(spark, ["hang", *"abc"]), provider, tasks=1, batch=1, tries=1, pause=0.0, timeout=0.5))
+    assert got.pop("hang")[1] == "no reply within 0.5 seconds (1 attempts)"
+    assert got == {name: (name, None, 1) for name in "abc"}
+
+
 def canned():
     def client(texts, timeout):
         return [
